@@ -467,6 +467,375 @@ USING (user_id, year, month)""", "plays_lineitem"))(
     lambda spark, d: M.novelty(_lineitem(spark, d), U))
 
 
+
+# ------------------------------------------------------------ R: rule layers
+from cadenza.operators import rules as R  # noqa: E402
+from cadenza.operators.rules import DISPLAY_DIGITS  # noqa: E402
+
+
+def _rule_sql(expr: str) -> str:
+    import re
+
+    for short, full in sorted(C.RULE_ALIASES.items(), key=lambda kv: -len(kv[0])):
+        expr = re.sub(rf"\b{short}\b", full, expr)
+    return expr
+
+
+def _disp_sql(prof_sql: str, key: str = "user_id") -> str:
+    cols = ", ".join(f"round_even({c}, {d}) AS {c}" for c, d in DISPLAY_DIGITS.items())
+    return (f"SELECT {key}, total_hours, max_session_hours, top_song_hours, unique_artists, loyal_artists_5yr, "
+            f"incognito_plays, known_countries, total_plays, {cols} FROM ({prof_sql}) AS prof")
+
+
+def _first_rule_sql(rules, default: str) -> str:
+    whens = " ".join(f"WHEN coalesce({_rule_sql(c)}, false) THEN '{n}'" for c, n in rules)
+    return f"CASE {whens} ELSE '{default}' END"
+
+
+_EARNED_SQL = " + ".join(f"CAST(coalesce({cond}, false) AS INTEGER)" for _, _, cond in C.BADGES)
+_PROFILE_EVENTS = _profile_sql("user_id", "plays_events")
+_PROFILE_LINEITEM = _profile_sql("user_id", "plays_lineitem")
+
+
+def _badges_sql(prof: str) -> str:
+    parts = [f"SELECT user_id, {i} AS badge_order, '{bid}' AS badge, '{name}' AS name, "
+             f"coalesce({cond}, false) AS earned FROM disp" for i, (bid, name, cond) in enumerate(C.BADGES)]
+    return f"WITH disp AS ({_disp_sql(prof)})\n" + "\nUNION ALL\n".join(parts)
+
+
+def _levels_sql(prof: str) -> str:
+    lv = " ".join(f"WHEN total_hours >= {t} THEN {l}" for t, _, l in reversed(C.LEVELS))
+    tt = " ".join(f"WHEN total_hours >= {t} THEN '{n}'" for t, n, _ in reversed(C.LEVELS))
+    nx = " ".join(f"WHEN total_hours < {t} THEN {t}" for t, _, _ in C.LEVELS)
+    return (f"WITH disp AS ({_disp_sql(prof)}), b AS (SELECT user_id, total_hours, {_EARNED_SQL} AS badges_earned FROM disp)\n"
+            f"SELECT user_id, badges_earned, {len(C.BADGES)} AS badges_total, "
+            f"CASE {lv} ELSE {C.LEVEL_BELOW_FIRST[1]} END AS level, CASE {tt} ELSE '{C.LEVEL_BELOW_FIRST[0]}' END AS title, "
+            f"CASE {nx} END AS next_threshold_hours, "
+            f"CAST(floor(total_hours * {C.XP_PER_HOUR} + badges_earned * {C.XP_PER_BADGE}) AS BIGINT) AS xp FROM b")
+
+
+def _archetype_sql(prof: str) -> str:
+    return (f"WITH disp AS ({_disp_sql(prof)}) SELECT user_id, "
+            f"{_first_rule_sql(C.ARCHETYPES, C.ARCHETYPE_DEFAULT)} AS archetype FROM disp")
+
+
+def _radar_sql(prof: str) -> str:
+    cols = []
+    for name, metric, factor, capped in C.RADAR_AXES:
+        v = f"(CAST(100 AS DOUBLE) - {metric})" if factor is None else f"({metric} * CAST({factor} AS DOUBLE))"
+        if capped:
+            v = f"least({v}, CAST(100 AS DOUBLE))"
+        cols.append(f"round_even({v}, 1) AS {name}")
+    return f"WITH disp AS ({_disp_sql(prof)}) SELECT user_id, {', '.join(cols)} FROM disp"
+
+
+def _prof_events(spark, d):
+    return _profile_spark(_events(spark, d), U)
+
+
+def _prof_lineitem(spark, d):
+    return _profile_spark(_lineitem(spark, d), U)
+
+
+register("R1_badges", _badges_sql(_PROFILE_EVENTS))(lambda spark, d: R.badges(_prof_events(spark, d), U))
+register("R1_badges_lineitem", _badges_sql(_PROFILE_LINEITEM))(
+    lambda spark, d: R.badges(_prof_lineitem(spark, d), U))
+register("R2_R3_R4_levels", _levels_sql(_PROFILE_EVENTS))(lambda spark, d: R.levels(_prof_events(spark, d), U))
+register("R5_archetype", _archetype_sql(_PROFILE_EVENTS))(lambda spark, d: R.archetype(_prof_events(spark, d), U))
+register("R5_archetype_lineitem", _archetype_sql(_PROFILE_LINEITEM))(
+    lambda spark, d: R.archetype(_prof_lineitem(spark, d), U))
+register("R6_radar", _radar_sql(_PROFILE_EVENTS))(lambda spark, d: R.radar(_prof_events(spark, d), U))
+register("R7_loyal_artists", with_plays(
+    "SELECT a.user_id, count(*) FILTER (WHERE date_diff('microsecond', f.first_ts, l.last_ts) // 86400000000 >= 1825 "
+    "AND a.plays >= 20) AS loyal_artists_5yr FROM (SELECT user_id, artist, count(*) AS plays FROM plays GROUP BY ALL) a "
+    "JOIN (SELECT user_id, artist, min(ts) AS first_ts FROM plays GROUP BY ALL) f USING (user_id, artist) "
+    "JOIN (SELECT user_id, max(ts) AS last_ts FROM plays GROUP BY ALL) l USING (user_id) GROUP BY ALL",
+    "plays_lineitem"))(lambda spark, d: M.loyal_artists(_lineitem(spark, d), U))
+
+
+# ------------------------------------------- S8 / W6 / W7 / J7 / A21: pool
+from cadenza.operators import percentiles as PC  # noqa: E402
+from cadenza.sources import pool as POOL  # noqa: E402
+
+_VEC_COLS = ", ".join(C.METRIC_KEYS)
+
+
+def _vectors_sql(prof: str) -> str:
+    return f"SELECT user_id, {_VEC_COLS} FROM ({prof}) AS v"
+
+
+def _pool_events(spark, d):
+    return M.user_vector(_prof_events(spark, d), U)
+
+
+def _pctl_sql() -> str:
+    return (f"WITH pool AS ({_vectors_sql(_PROFILE_EVENTS)}), "
+            f"long AS (UNPIVOT pool ON {_VEC_COLS} INTO NAME metric VALUE value)\n"
+            "SELECT user_id, metric, value, CASE WHEN count(*) OVER (PARTITION BY metric) < 2 THEN 50.0 "
+            "ELSE CAST(100 AS DOUBLE) * (rank() OVER (PARTITION BY metric ORDER BY value) - 1) "
+            "/ count(*) OVER (PARTITION BY metric) END AS percentile FROM long")
+
+
+register("W6_percentiles", _pctl_sql())(lambda spark, d: PC.percentiles(_pool_events(spark, d), U))
+
+
+def _labels_sql() -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.METRIC_LABEL_SUFFIX.items())
+    return (f"SELECT user_id, metric, concat('%', CAST(CAST(round_even(round_even(percentile, 1), 0) AS BIGINT) AS VARCHAR), "
+            f"' ', CASE metric {cases} END) AS label FROM ({_pctl_sql()}) AS p")
+
+
+register("W7_percentile_labels", _labels_sql())(
+    lambda spark, d: PC.percentile_labels(PC.percentiles(_pool_events(spark, d), U), U))
+
+
+def _against_sql() -> str:
+    return (f"WITH pool AS ({_vectors_sql(_PROFILE_EVENTS)}), users AS ({_vectors_sql(_PROFILE_LINEITEM)}), "
+            f"pl AS (UNPIVOT pool ON {_VEC_COLS} INTO NAME metric VALUE value), "
+            f"ul AS (UNPIVOT users ON {_VEC_COLS} INTO NAME metric VALUE value), "
+            "n AS (SELECT count(*) AS n FROM pool)\n"
+            "SELECT user_id, metric, value, CASE WHEN (SELECT n FROM n) < 2 THEN 50.0 ELSE CAST(100 AS DOUBLE) * "
+            "(SELECT count(*) FROM pl WHERE pl.metric = ul.metric AND pl.value < ul.value) / (SELECT n FROM n) END "
+            "AS percentile FROM ul")
+
+
+register("J7_percentiles_against_pool", _against_sql())(
+    lambda spark, d: PC.percentiles_against(M.user_vector(_prof_lineitem(spark, d), U), _pool_events(spark, d), U))
+
+register("A21_pool_averages", "SELECT count(*) AS total_users, " + ", ".join(
+    f"round(coalesce(avg({m}), 0.0), 9) AS {m}" for m in C.METRIC_KEYS) + f" FROM ({_vectors_sql(_PROFILE_EVENTS)}) AS v")(
+    lambda spark, d: PC.pool_averages(_pool_events(spark, d)).select(
+        "total_users", *[_r9(m) for m in C.METRIC_KEYS]))
+
+
+@register("S8_pool_append_scan", f"SELECT user_id AS id, {_VEC_COLS} FROM ({_vectors_sql(_PROFILE_EVENTS)}) AS a "
+                                 f"UNION ALL SELECT user_id AS id, {_VEC_COLS} FROM ({_vectors_sql(_PROFILE_LINEITEM)}) AS b")
+def q_pool(spark, d):
+    from cadenza.session import scratch_path
+
+    path = scratch_path(spark, "pool")
+    POOL.append_pool(_pool_events(spark, d), path)
+    POOL.append_pool(M.user_vector(_prof_lineitem(spark, d), U), path)
+    return POOL.read_pool(spark, path).drop("created_at")
+
+
+# ------------------------------------------------------- C: clustering
+from cadenza.operators import cluster as CL  # noqa: E402
+
+
+register("C7_label_rules_on_vectors", f"SELECT user_id, {_first_rule_sql(C.CLUSTER_LABELS, C.CLUSTER_LABEL_DEFAULT)} AS label "
+         f"FROM (SELECT user_id, " + ", ".join(f"round_even({m}, 3) AS {m}" for m in C.METRIC_KEYS)
+         + f" FROM ({_vectors_sql(_PROFILE_EVENTS)}) AS v) AS r")(
+    lambda spark, d: R.cluster_label(_pool_events(spark, d), ["user_id"]))
+
+
+_C2_SQL = (f"SELECT user_id, " + ", ".join(
+    f"round(CASE WHEN stddev_pop({m}) OVER () = 0 THEN 0.0 ELSE ({m} - avg({m}) OVER ()) / stddev_pop({m}) OVER () END, 6) AS {m}"
+    for m in C.METRIC_KEYS) + f" FROM ({_vectors_sql(_PROFILE_EVENTS)}) AS v")
+
+
+@register("C2_standardized_vectors", _C2_SQL)
+def q_standardized(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    v = _pool_events(spark, d)
+    z = CL.standardize(v, CL.scaler_stats(v)).select("user_id", vector_to_array("features").alias("z"))
+    return z.select("user_id", *[F.round(F.col("z")[i], 6).alias(m) for i, m in enumerate(C.METRIC_KEYS)])
+
+
+
+
+@register("C1_C10_segments")
+def q_segments(spark, d):
+    """k-means over the listener pool (rows-only: k-means|| init differs from
+    k-means++; properties are tested instead)."""
+    seg = CL.segment(_pool_events(spark, d), ["user_id"], restarts=3)
+    return seg.clusters
+
+
+@register("C9_J5_assign_new_listeners")
+def q_assign(spark, d):
+    seg = CL.segment(_pool_events(spark, d), ["user_id"], restarts=2)
+    return CL.assign(seg, M.user_vector(_prof_lineitem(spark, d), U), ["user_id"])
+
+
+@register("C3_k_sweep")
+def q_sweep(spark, d):
+    _, n, _, scaled = CL.prepare_vectors(_pool_events(spark, d))
+    k, sil, diags = CL.choose_k(scaled, n)
+    return spark.createDataFrame(diags, "k int, inertia double, silhouette double")
+
+
+
+# ------------------------------------------------------------- G: graph
+from cadenza.operators import graph as G  # noqa: E402
+from cadenza.plans.oracle import plays_cte  # noqa: E402
+
+
+def _graph_item(spark, d):
+    return fixtures.plays(spark, d, "graph_item")
+
+
+def _item_edges(spark, d):
+    """graph_item edges: lag within each listener, pooled into one graph."""
+    return S.transitions(_graph_item(spark, d), U, group_keys=ALL)
+
+
+def _edges_cte(name: str = "graph_item", lag_key: str = "user_id", group_key: str = "") -> str:
+    part = f"PARTITION BY {lag_key} " if lag_key else ""
+    gsel = f"{group_key}, " if group_key else ""
+    return (f"{plays_cte(name)},\ne AS (SELECT {gsel}prev_artist AS src, artist AS dst, count(*) AS weight FROM ("
+            f"SELECT *, lag(artist) OVER w AS prev_artist, lag(ts) OVER w AS prev_ts FROM plays WHERE artist <> 'Unknown' "
+            f"WINDOW w AS ({part}ORDER BY {_ORDER_SQL})) WHERE prev_ts IS NOT NULL AND "
+            f"date_diff('microsecond', prev_ts, ts) <= 1800000000 GROUP BY ALL),\n"
+            "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),\n"
+            "nb AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)")
+
+
+register("G1_edges_graph_item", f"WITH {_edges_cte()} SELECT * FROM e")(_item_edges)
+register("G1_edges_per_listener", f"WITH {_edges_cte('plays_events', 'user_id', 'user_id')} SELECT * FROM e")(
+    lambda spark, d: S.transitions(_events(spark, d), U))
+register("G1_edges_whole_input", f"WITH {_edges_cte('plays_events', '')} SELECT * FROM e")(
+    lambda spark, d: S.transitions(_events(spark, d), ALL))
+register("U2_vertices", f"WITH {_edges_cte()} SELECT id FROM v")(lambda spark, d: G.vertices(_item_edges(spark, d)))
+register("G8_degrees", f"""WITH {_edges_cte()} SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree,
+  CAST(sum(iw) AS BIGINT) AS in_weight, CAST(sum(ow) AS BIGINT) AS out_weight, CAST(sum(iw) + sum(ow) AS BIGINT) AS weighted_degree
+FROM (SELECT src AS id, 0 AS i, 1 AS o, 0 AS iw, weight AS ow FROM e UNION ALL SELECT dst, 1, 0, weight, 0 FROM e) GROUP BY id""")(
+    lambda spark, d: G.degrees(_item_edges(spark, d)))
+register("J8_reciprocal_edges", f"WITH {_edges_cte()} SELECT e.* FROM e WHERE src <> dst AND EXISTS "
+         "(SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)")(
+    lambda spark, d: G.reciprocal_edges(_item_edges(spark, d)))
+
+
+def _summary_sql(name: str, lag_key: str, group_key: str) -> str:
+    g = group_key
+    gsel = f"{g}, " if g else ""
+    gby = f"GROUP BY {g}" if g else ""
+    using = f"USING ({g})" if g else "ON true"
+    return (f"WITH {_edges_cte(name, lag_key, g)}, vv AS (SELECT {gsel}src AS id FROM e UNION SELECT {gsel}dst FROM e), "
+            f"m AS (SELECT {gsel}count(*) AS edges, count(*) FILTER (WHERE src = dst) AS self_loops FROM e {gby}), "
+            f"n AS (SELECT {gsel}count(*) AS nodes FROM vv {gby}), "
+            f"r AS (SELECT {gsel}count(*) AS rc FROM e x WHERE src <> dst AND EXISTS (SELECT 1 FROM e y WHERE y.src = x.dst "
+            f"AND y.dst = x.src{f' AND y.{g} = x.{g}' if g else ''}) {gby})\n"
+            f"SELECT {'m.' + g + ', ' if g else ''}nodes, edges, coalesce(CAST(edges AS DOUBLE) / nullif(nodes * (nodes - 1), 0), 0.0) AS density, "
+            "CAST(edges AS DOUBLE) / nodes AS avg_in_degree, CAST(edges AS DOUBLE) / nodes AS avg_out_degree, self_loops, "
+            f"CAST(coalesce(rc, 0) AS DOUBLE) / edges AS reciprocity FROM m JOIN n {using} LEFT JOIN r {using}")
+
+
+register("G7_summary", _summary_sql("graph_item", "user_id", ""))(lambda spark, d: G.summary(_item_edges(spark, d)))
+register("G7_summary_per_listener", _summary_sql("plays_events", "user_id", "user_id"))(
+    lambda spark, d: G.summary(S.transitions(_events(spark, d), U), U))
+
+
+def _pagerank_ctes(iters: int, weighted: bool = True) -> str:
+    w = "CAST(e.weight AS DOUBLE)" if weighted else "1.0"
+    parts = ["nn AS (SELECT count(*) AS n FROM v)",
+             f"ow AS (SELECT src, sum({w.replace('e.', '')}) AS w FROM e GROUP BY src)",
+             f"ep AS (SELECT e.src, e.dst, {w} / ow.w AS p FROM e JOIN ow USING (src))",
+             "vd AS (SELECT v.id, ow.src IS NULL AS dangling FROM v LEFT JOIN ow ON v.id = ow.src)",
+             "r0 AS MATERIALIZED (SELECT id, 1.0 / (SELECT n FROM nn) AS r FROM v)"]
+    for i in range(1, iters + 1):
+        p = f"r{i - 1}"
+        parts.append(
+            f"r{i} AS MATERIALIZED (SELECT vd.id, 0.85 * coalesce(c.s, 0) + 0.85 * (SELECT coalesce(sum(x.r), 0) FROM {p} x "
+            f"JOIN vd y USING (id) WHERE y.dangling) / (SELECT n FROM nn) + 0.15 / (SELECT n FROM nn) AS r FROM vd LEFT JOIN "
+            f"(SELECT ep.dst AS id, sum({p}.r * ep.p) AS s FROM ep JOIN {p} ON ep.src = {p}.id GROUP BY ep.dst) c USING (id))")
+    return ",\n".join(parts)
+
+
+register("G2_pagerank_20_rounds", f"WITH {_edges_cte()},\n{_pagerank_ctes(20)}\nSELECT id, round(r, 9) AS rank FROM r20")(
+    lambda spark, d: G.pagerank(_item_edges(spark, d), iterations=20).select("id", _r9("rank")))
+register("G2_pagerank_whole_input_20_rounds",
+         f"WITH {_edges_cte('plays_events', '')},\n{_pagerank_ctes(20)}\nSELECT id, round(r, 9) AS rank FROM r20")(
+    lambda spark, d: G.pagerank(S.transitions(_events(spark, d), ALL), iterations=20).select("id", _r9("rank")))
+register("T3_W5_top_pagerank", f"WITH {_edges_cte()},\n{_pagerank_ctes(20)}\nSELECT CAST(row_number() OVER "
+         "(ORDER BY r DESC, id) AS INTEGER) AS position, id, round(r, 9) AS rank FROM r20 QUALIFY position <= 20")(
+    lambda spark, d: G.top_pagerank(G.pagerank(_item_edges(spark, d), iterations=20)).select(
+        "position", "id", _r9("rank")))
+
+
+@register("G2_pagerank_converged")
+def q_pr_conv(spark, d):
+    """Weighted PageRank to tolerance (rows-only; sums to 1 per graph)."""
+    return G.pagerank(_item_edges(spark, d))
+
+
+def _graphx_ctes(iters: int) -> str:
+    parts = ["od AS (SELECT src, count(*) AS d FROM (SELECT DISTINCT src, dst FROM e) GROUP BY src)",
+             "ep AS (SELECT x.src, x.dst, 1.0 / od.d AS p FROM (SELECT DISTINCT src, dst FROM e) x JOIN od USING (src))",
+             "g0 AS MATERIALIZED (SELECT id, 1.0 AS r FROM v)"]
+    for i in range(1, iters + 1):
+        p = f"g{i - 1}"
+        parts.append(f"g{i} AS MATERIALIZED (SELECT v.id, 0.15 + 0.85 * coalesce(c.s, 0) AS r FROM v LEFT JOIN "
+                     f"(SELECT ep.dst AS id, sum({p}.r * ep.p) AS s FROM ep JOIN {p} ON ep.src = {p}.id GROUP BY ep.dst) c USING (id))")
+    return ",\n".join(parts)
+
+
+register("G3_pagerank_unweighted", f"WITH {_edges_cte()},\n{_graphx_ctes(20)}\nSELECT id, round(r * (SELECT count(*) FROM g20) "
+         "/ (SELECT sum(r) FROM g20), 9) AS rank FROM g20")(
+    lambda spark, d: G.pagerank_unweighted(_item_edges(spark, d)).select("id", _r9("rank")))
+
+
+def _lpa_ctes(rounds: int, self_vote: bool = True) -> str:
+    parts = ["l0 AS MATERIALIZED (SELECT id, id AS label FROM v)"]
+    for i in range(1, rounds + 1):
+        p = f"l{i - 1}"
+        own = f" UNION ALL SELECT id, label FROM {p}" if self_vote else ""
+        parts.append(
+            f"l{i} AS MATERIALIZED (SELECT {p}.id, coalesce(b.label, {p}.label) AS label FROM {p} LEFT JOIN (SELECT id, label FROM "
+            f"(SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY c DESC, label) AS rn FROM (SELECT id, label, count(*) AS c "
+            f"FROM (SELECT nb.a AS id, q.label FROM nb JOIN {p} q ON q.id = nb.b{own}) GROUP BY ALL)) WHERE rn = 1) b USING (id))")
+    return ",\n".join(parts)
+
+
+LPA_ROUNDS = 10
+register("G4_label_propagation", f"WITH {_edges_cte()},\n{_lpa_ctes(LPA_ROUNDS)}\nSELECT id, label FROM l{LPA_ROUNDS}")(
+    lambda spark, d: G.label_propagation(_item_edges(spark, d), max_iter=LPA_ROUNDS))
+register("G4_label_propagation_no_self_vote_5_rounds",
+         f"WITH {_edges_cte()},\n{_lpa_ctes(5, False)}\nSELECT id, label FROM l5")(
+    lambda spark, d: G.label_propagation(_item_edges(spark, d), max_iter=5, self_vote=False))
+
+
+def _communities_sql() -> str:
+    return f"""WITH {_edges_cte()},
+{_lpa_ctes(LPA_ROUNDS)},
+wd AS (SELECT id, sum(w) AS wdeg FROM (SELECT src AS id, weight AS w FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY id),
+m AS (SELECT l.id, l.label, coalesce(wd.wdeg, 0) AS wdeg FROM l{LPA_ROUNDS} l LEFT JOIN wd USING (id)),
+agg AS (SELECT label, count(*) AS size, CAST(sum(wdeg) AS BIGINT) AS weight FROM m GROUP BY label),
+ranked AS (SELECT *, row_number() OVER (ORDER BY weight DESC, label) AS pos FROM agg),
+tops AS (SELECT label, list(id ORDER BY r) AS top_members FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY wdeg DESC, id) AS r
+  FROM m) WHERE r <= 8 GROUP BY label)
+SELECT CAST(pos - 1 AS INTEGER) AS community, label, size, weight, top_members FROM ranked JOIN tops USING (label) WHERE pos <= 10"""
+
+
+def _communities(spark, d):
+    e = _item_edges(spark, d)
+    return G.communities(e, G.label_propagation(e, max_iter=LPA_ROUNDS))
+
+
+register("G5_T4_T5_communities", _communities_sql())(_communities)
+register("A23_community_members", f"""WITH {_edges_cte()},
+{_lpa_ctes(LPA_ROUNDS)},
+sizes AS (SELECT label, count(*) AS size FROM l{LPA_ROUNDS} GROUP BY label),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY size DESC, label) AS INTEGER) AS position FROM sizes),
+firsts AS (SELECT label, list(id ORDER BY id) AS members FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS r
+  FROM l{LPA_ROUNDS}) WHERE r <= 8 GROUP BY label)
+SELECT label, size, position, members FROM ranked JOIN firsts USING (label) WHERE position <= 20""")(
+    lambda spark, d: G.community_members(G.label_propagation(_item_edges(spark, d), max_iter=LPA_ROUNDS)))
+
+
+_CC_SQL = (f"WITH RECURSIVE {_edges_cte()},\nreach(id, lbl) AS (SELECT id, id FROM v UNION "
+           "SELECT nb.a, reach.lbl FROM reach JOIN nb ON reach.id = nb.b),\ncc AS (SELECT id, min(lbl) AS component FROM reach GROUP BY id)\n")
+register("G6_components", _CC_SQL + "SELECT id, component FROM cc")(
+    lambda spark, d: G.components(_item_edges(spark, d)))
+register("G6_T6_component_summary", _CC_SQL.replace("WITH RECURSIVE", "WITH RECURSIVE") + """, sizes AS (SELECT component, count(*) AS size FROM cc GROUP BY component)
+SELECT component, size, position, sample_members, components, largest_size FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS position FROM sizes) s
+JOIN (SELECT component, list(id ORDER BY id) AS sample_members FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY id) AS r
+  FROM cc) WHERE r <= 5 GROUP BY component) USING (component)
+CROSS JOIN (SELECT count(*) AS components, max(size) AS largest_size FROM sizes) t WHERE position <= 5""")(
+    lambda spark, d: G.component_summary(G.components(_item_edges(spark, d))))
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "8g",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -85,6 +87,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/cadenza-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def cut_lineage(df):  # noqa: ANN001, ANN201 - DataFrame in, DataFrame out
+    """Materialise ``df`` with a reliable ``checkpoint()`` in the shared
+    checkpoint folder: later jobs start from it instead of replaying the plan
+    (and survive losing the executors that computed it)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def is_local_path(path: str) -> bool:
     return path.startswith("/") or path.startswith("file:")
 
