@@ -836,6 +836,104 @@ JOIN (SELECT component, list(id ORDER BY id) AS sample_members FROM (SELECT *, r
 CROSS JOIN (SELECT count(*) AS components, max(size) AS largest_size FROM sizes) t WHERE position <= 5""")(
     lambda spark, d: G.component_summary(G.components(_item_edges(spark, d))))
 
+
+# ------------------------------------------------- S / U: sources and sinks
+from cadenza.session import scratch_path  # noqa: E402
+from cadenza.sources import schema as SC  # noqa: E402
+from cadenza.sources.synth import synthetic_plays  # noqa: E402
+
+_NO_ID_COLS_SQL = PLAY_COLS_SQL.replace("play_id", "CAST(NULL AS BIGINT) AS play_id")
+
+
+@register("S1_json_export_scan", with_plays(f"SELECT {_NO_ID_COLS_SQL} FROM plays"))
+def q_json(spark, d):
+    """Raw plays written as JSON export records (export field names, ISO ts
+    text), then scanned back with the explicit export schema and cleaned."""
+    path = scratch_path(spark, "json")
+    SC.to_export(fixtures.raw_view(spark, d, "plays_events")).write.mode("overwrite").json(path)
+    return SC.read_plays(spark, path, fmt="json", multiline=False)
+
+
+@register("S4_S5_partitioned_parquet_pruned", with_plays(
+    f"SELECT {PLAY_COLS_SQL} FROM plays WHERE year IN (1995, 1996)", "plays_lineitem"))
+def q_parquet(spark, d):
+    """Clean plays written partitioned by (year, month), read back with a
+    partition filter (PartitionFilters prune the other years' folders)."""
+    path = scratch_path(spark, "plays")
+    SC.write_plays(_lineitem(spark, d), path)
+    return SC.read_plays_table(spark, path, years=[1995, 1996])
+
+
+_CUT_SQL = "TIMESTAMP '2024-01-16 00:00:00'"
+_U1_COLS = (_NO_ID_COLS_SQL
+            .replace("skipped,", f"CASE WHEN ts < {_CUT_SQL} THEN skipped ELSE false END AS skipped,")
+            .replace("conn_country, platform,",
+                     f"CASE WHEN ts < {_CUT_SQL} THEN conn_country ELSE 'Unknown' END AS conn_country, "
+                     f"CASE WHEN ts < {_CUT_SQL} THEN platform ELSE 'Unknown' END AS platform,"))
+_U1_SQL = with_plays(f"SELECT {_U1_COLS} FROM plays")
+
+
+@register("U1_union_differing_exports", _U1_SQL)
+def q_union(spark, d):
+    """Two export sets covering different periods, the later one without the
+    skipped / country / platform fields, unioned by name (missing -> null)."""
+    raw = SC.to_export(fixtures.raw_view(spark, d, "plays_events"))
+    cut = "2024-01-16T00:00:00"
+    early = raw.filter(F.col("ts") < cut)
+    late = raw.filter(F.col("ts") >= cut).drop("skipped", "conn_country", "platform")
+    return SC.clean_plays(SC.union_exports([early, late]))
+
+
+@register("S7_synthetic_plays")
+def q_synth(spark, d):
+    """One synthetic play per event row (rows-only: a generator)."""
+    ids = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"))
+    return SC.clean_plays(SC.from_export(synthetic_plays(ids, seed=42)))
+
+
+# --------------------------------------------------------- R8 / G9 / G10
+from cadenza.plans import report as RP  # noqa: E402
+
+
+@register("R8_report")
+def q_report(spark, d):
+    """Whole per-listener report rows (rows-only: nested display structs)."""
+    return RP.report(_events(spark, d), U)
+
+
+@register("G10_graph_report")
+def q_graph_report(spark, d):
+    return RP.graph_report(_item_edges(spark, d))
+
+
+def _display_sql(part: str) -> str:
+    head = f"""WITH {_edges_cte()},
+{_pagerank_ctes(20)},
+{_lpa_ctes(LPA_ROUNDS)},
+wd AS (SELECT id, sum(w) AS wdeg FROM (SELECT src AS id, weight AS w FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY id),
+m AS (SELECT l.id, l.label, coalesce(wd.wdeg, 0) AS wdeg FROM l{LPA_ROUNDS} l LEFT JOIN wd USING (id)),
+agg AS (SELECT label, sum(wdeg) AS weight FROM m GROUP BY label),
+ranked AS (SELECT *, row_number() OVER (ORDER BY weight DESC, label) - 1 AS community FROM agg),
+mem AS (SELECT id, min(community) AS community FROM (SELECT m.id, ranked.community, row_number() OVER (PARTITION BY m.label ORDER BY wdeg DESC, m.id) AS r
+  FROM m JOIN ranked USING (label) WHERE ranked.community < 10) WHERE r <= 8 GROUP BY id),
+keep AS (SELECT id, round(r, 9) AS rank FROM r20 QUALIFY row_number() OVER (ORDER BY r DESC, id) <= 60)
+"""
+    if part == "nodes":
+        return head + "SELECT keep.id, rank, CAST(coalesce(mem.community, -1) AS INTEGER) AS community FROM keep LEFT JOIN mem USING (id)"
+    return head + ("SELECT src, dst, weight FROM e WHERE src <> dst AND src IN (SELECT id FROM keep) AND dst IN (SELECT id FROM keep) "
+                   "QUALIFY row_number() OVER (ORDER BY weight DESC, src, dst) <= 120")
+
+
+def _display(spark, d):
+    e = _item_edges(spark, d)
+    ranks = G.pagerank(e, iterations=20)
+    return G.display_subgraph(e, ranks, G.communities(e, G.label_propagation(e, max_iter=LPA_ROUNDS)))
+
+
+register("G9_J3_J4_display_nodes", _display_sql("nodes"))(
+    lambda spark, d: _display(spark, d)[0].select("id", _r9("rank"), "community"))
+register("G9_J3_T7_display_edges", _display_sql("edges"))(lambda spark, d: _display(spark, d)[1])
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -250,3 +250,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     return path
+
+
+def to_export(df: DataFrame) -> DataFrame:
+    """Canonical (raw or clean) plays -> export-shaped records (``ts`` as
+    ISO-8601 UTC text with a ``Z``), e.g. to write JSON exports."""
+    back = {v: k for k, v in EXPORT_FIELDS.items()}
+    cols = []
+    for c in df.columns:
+        if c == "ts":
+            cols.append(F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"))
+        elif c in back:
+            cols.append(F.col(c).alias(back[c]))
+        elif c == "user_id":
+            cols.append(F.col(c))
+    return df.select(*cols)
