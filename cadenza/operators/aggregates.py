@@ -23,14 +23,11 @@ def _sum_if(cond: Column, value: Column) -> Column:
     return F.sum(F.when(cond, value).otherwise(F.lit(0)))
 
 
-def totals(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-           completed_reason: str = C.COMPLETED_REASON) -> DataFrame:
-    """Counts, sums and extremes of one listener in one pass."""
-    d, ks = prepare(df, keys)
+def _totals_aggs(completed_reason: str = C.COMPLETED_REASON) -> list[Column]:
     ms = F.col("ms_played")
     skipped = F.col("skipped")
     album_real = F.col("album").isNotNull() & (F.length(F.trim(F.col("album"))) > 0)
-    out = d.groupBy(*ks).agg(
+    return [
         F.count(F.lit(1)).alias("total_plays"),
         F.sum(ms).alias("total_ms"),
         F.count_if(skipped).alias("skipped_plays"),
@@ -44,8 +41,15 @@ def totals(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
         F.count_if(album_real).alias("album_plays"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-    )
-    out = out.select(
+    ]
+
+
+TOTAL_COLUMNS = ("total_plays", "total_ms", "skipped_plays", "completed_plays", "shuffle_plays", "offline_ms",
+                 "incognito_plays", "early_skips", "skipped_ms", "focus_plays", "album_plays", "first_ts", "last_ts")
+
+
+def _totals_derived(out: DataFrame) -> DataFrame:
+    return out.select(
         "*",
         hours("total_ms").alias("total_hours"),
         (hours("total_ms") / 24).alias("day_equivalent"),
@@ -54,9 +58,61 @@ def totals(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
         F.year("first_ts").alias("first_year"),
         F.year("last_ts").alias("last_year"),
     )
+
+
+def totals(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
+           completed_reason: str = C.COMPLETED_REASON) -> DataFrame:
+    """Counts, sums and extremes of one listener in one pass."""
+    d, ks = prepare(df, keys)
+    out = _totals_derived(d.groupBy(*ks).agg(*_totals_aggs(completed_reason)))
     return finish(out, keys)
 
 
+def listener_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
+                    completed_reason: str = C.COMPLETED_REASON) -> dict[str, DataFrame]:
+    """A1/A2/A15 + A7/A8/A10/A11 from ONE scan and ONE shuffle.
+
+    A GROUPING SETS aggregate over ``(keys)``, ``(keys, hour_utc)``,
+    ``(keys, conn_country)``, ``(keys, platform_cat)``, ``(keys, year, month)``;
+    every returned table is a filter of that single aggregate, so Spark
+    computes (and shuffles) it once and reuses the exchange.  Returns
+    ``totals``, ``hour``, ``country``, ``platform``, ``month`` (the dimension
+    tables carry ``plays``, ``ms``, ``skips``)."""
+    d, ks = prepare(df, keys)
+    d = d.withColumn("platform_cat", platform_category("platform"))
+    dims = ["hour_utc", "conn_country", "platform_cat", "year", "month"]
+    sets = {"totals": [], "hour": ["hour_utc"], "country": ["conn_country"], "platform": ["platform_cat"],
+            "month": ["year", "month"]}
+    g = d.groupingSets([[*ks, *v] for v in sets.values()], *ks, *dims).agg(
+        *_totals_aggs(completed_reason), F.grouping_id(*ks, *dims).alias("_gid"))
+
+    def gid(members: list[str]) -> int:
+        return sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in members)
+
+    out = {}
+    for name, members in sets.items():
+        t = g.filter(F.col("_gid") == gid(members))
+        if name == "totals":
+            out[name] = finish(_totals_derived(t.select(*ks, *TOTAL_COLUMNS)), keys)
+        else:
+            out[name] = finish(t.select(*ks, *members, F.col("total_plays").alias("plays"),
+                                        F.col("total_ms").alias("ms"), F.col("skipped_plays").alias("skips")), keys)
+    return out
+
+
+def track_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> dict[str, DataFrame]:
+    """A3/A4/A16/A17 from ONE scan: per (keys, track, artist) plays, ms,
+    skips, first play; the artist table is rolled up from it (no re-scan)."""
+    d, ks = prepare(df, keys)
+    tracks = d.groupBy(*ks, "track", "artist").agg(
+        F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms"),
+        F.count_if(F.col("skipped")).alias("skips"), F.min("ts").alias("first_ts"))
+    artists = tracks.groupBy(*ks, "artist").agg(
+        F.sum("plays").alias("plays"), F.sum("ms").alias("ms"), F.sum("skips").alias("skips"),
+        F.min("first_ts").alias("first_ts"))
+    return {"tracks": finish(tracks, keys), "artists": finish(artists, keys)}
+
+
 def by_dimension(df: DataFrame, dims: Sequence[str | Column], keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """Plays, ms and skips per (keys, dims)."""
     d, ks = prepare(df, keys)

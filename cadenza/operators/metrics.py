@@ -120,29 +120,54 @@ def loyal_artists(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                  session_mode: str = "end_to_start", bucket: str = "day") -> DataFrame:
-    """One row per key with every metric (unrounded)."""
+    """One row per key with every metric (unrounded).
+
+    Three passes over the plays feed everything: one GROUPING SETS aggregate
+    (totals + hour / country / platform / month tables), one (track, artist)
+    aggregate (rolled up to artists), and one ordered pass (pairs + sessions).
+    The pieces are per-key tables joined on the keys."""
     d, ks = prepare(df, keys)
-    t = A.totals(d, ks)
-    tz = timezone(d, ks)
-    artists = A.by_artist(d, ks)
-    parts = [
-        A.distinct_counts(d, ks),
-        A.entropy(artists, "plays", ks, "artist_diversity_entropy"),
-        tz,
-        night_and_mobile(d, ks, tz),
-        novelty_rate(d, ks),
-        loyalty(d, ks),
-        top_song(d, ks),
-        S.habit_loop(d, ks, bucket).select(*ks, "habit_loop_score_pct"),
-        S.session_stats(d, ks, session_mode, bucket),
-        A.known_countries(d, ks),
-        loyal_artists(d, ks),
-    ]
-    p = t
+    lt = A.listener_tables(d, ks)
+    tt = A.track_tables(d, ks)
+    sq = S.listening_sequence(d, ks, session_mode, bucket=bucket)
+    tracks, artists = tt["tracks"], tt["artists"]
+
+    dom = A.argmax(lt["country"], "conn_country", "ms", ks, "dominant_country")
+    tz = dom.select(*ks, "dominant_country", tz_offset("dominant_country").alias("tz_offset")).withColumn(
+        "timezone", tz_label("tz_offset"))
+    night = lt["hour"].join(tz.select(*ks, "tz_offset"), ks).groupBy(*ks).agg(
+        F.sum(F.when(F.pmod(F.col("hour_utc") + F.col("tz_offset"), F.lit(24)) < C.NIGHT_LOCAL_HOURS,
+                     F.col("ms")).otherwise(0)).alias("night_ms"))
+    mobile = lt["platform"].groupBy(*ks).agg(
+        F.sum(F.when(F.col("platform_cat") == "Mobile", F.col("ms")).otherwise(0)).alias("mobile_ms"))
+    countries = lt["country"].groupBy(*ks).agg(
+        F.count_if(F.col("conn_country") != C.UNKNOWN).alias("known_countries"))
+    new_m = tracks.groupBy(*ks, F.year("first_ts").alias("year"), F.month("first_ts").alias("month")).agg(
+        F.count(F.lit(1)).alias("new_tracks"))
+    nov = lt["month"].join(new_m, [*ks, "year", "month"], "left").groupBy(*ks).agg(
+        F.avg(pct(F.coalesce(F.col("new_tracks"), F.lit(0)), F.col("plays"))).alias("music_novelty_rate_pct"))
+    distinct = tracks.groupBy(*ks).agg(F.count(F.lit(1)).alias("unique_tracks")).join(
+        artists.groupBy(*ks).agg(F.count(F.lit(1)).alias("unique_artists")), ks)
+    ent = A.entropy(artists, "plays", ks, "artist_diversity_entropy")
+    loyal = A.top_k(artists, "ms", C.LOYALTY_TOP_ARTISTS, ks, tiebreak=["artist"]).groupBy(*ks).agg(
+        F.sum("plays").alias("top_artist_plays"))
+    song = A.top_k(tracks, "ms", 1, ks, tiebreak=["track", "artist"]).select(
+        *ks, F.col("plays").alias("top_song_plays"), hours("ms").alias("top_song_hours"))
+    since = F.expr(f"timestampdiff(MICROSECOND, first_ts, last_ts) div {A.DAY_MICROS}")
+    loyal5 = artists.join(lt["totals"].select(*ks, "last_ts"), ks).groupBy(*ks).agg(
+        F.count_if((since >= C.LOYAL_ARTIST_DAYS) & (F.col("plays") >= C.LOYAL_ARTIST_MIN_PLAYS)).alias(
+            "loyal_artists_5yr"))
+    parts = [distinct, ent, tz, night, mobile, nov, loyal, song,
+             sq["habit"].select(*ks, "habit_loop_score_pct"), sq["session_stats"], countries, loyal5]
+    p = lt["totals"]
     for part in parts:
         p = p.join(part, ks, "left")
+    return finish(_profile_columns(p, ks), keys)
+
+
+def _profile_columns(p: DataFrame, ks: list[str]) -> DataFrame:
     n = F.col("total_plays")
-    out = p.select(
+    return p.select(
         *ks,
         "total_plays", "total_ms", "total_hours", "day_equivalent",
         "completed_plays", "skipped_plays",
@@ -180,7 +205,6 @@ def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
         F.coalesce("known_countries", F.lit(0)).alias("known_countries"),
         F.coalesce("loyal_artists_5yr", F.lit(0)).alias("loyal_artists_5yr"),
     )
-    return finish(out, keys)
 
 
 def user_vector(profile: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:

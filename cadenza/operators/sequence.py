@@ -81,6 +81,15 @@ def gaps(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day")
     )
 
 
+def _flag_sessions(seq: DataFrame, mode: str, gap_minutes: int) -> DataFrame:
+    """``_new`` = first play of a session, from ``prev.ts`` of :func:`with_previous`."""
+    if mode not in ("end_to_start", "end_to_end"):
+        raise ValueError(mode)
+    start = minus_ms("ts", "ms_played") if mode == "end_to_start" else F.col("ts")
+    gap = micros_between(F.col("prev.ts"), start)
+    return seq.withColumn("_new", F.col("prev").isNull() | (gap > F.lit(gap_minutes * 60 * 1_000_000)))
+
+
 def session_flags(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
                   gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> DataFrame:
     """Flag the first play of each session (``_new``).
@@ -88,22 +97,13 @@ def session_flags(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str =
     * ``end_to_start`` (W2a): new iff ``(ts - ms_played) - prev_ts > gap``
     * ``end_to_end`` (W2b): new iff ``ts - prev_ts > gap``
     """
-    d = with_previous(df, ["ts"], keys, bucket=bucket)
-    start = minus_ms("ts", "ms_played") if mode == "end_to_start" else F.col("ts")
-    if mode not in ("end_to_start", "end_to_end"):
-        raise ValueError(mode)
-    gap = micros_between(F.col("prev.ts"), start)
-    new = F.col("prev").isNull() | (gap > F.lit(gap_minutes * 60 * 1_000_000))
-    return d.withColumn("_new", new).drop("prev")
+    return _flag_sessions(with_previous(df, ["ts"], keys, bucket=bucket), mode, gap_minutes).drop("prev")
 
 
-def session_ids(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> DataFrame:
-    """Tag every play with ``session_start`` (order key of its session's
-    first play), using the same bucket-and-carry scheme for the running
-    "last session start"."""
-    d = session_flags(df, keys, mode, gap_minutes, bucket)
-    d, ks = prepare(d, keys)
+def _assign_sessions(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``session_start`` (order key of the session's first play) for flagged
+    plays (with the bucket column), carried across buckets like the lag."""
+    d, ks = prepare(flagged, keys)
     part = [*ks, BUCKET]
     start_key = F.when(F.col("_new"), _order_struct(PLAY_ORDER))
     w = Window.partitionBy(*part).orderBy(*PLAY_ORDER).rowsBetween(Window.unboundedPreceding, 0)
@@ -123,13 +123,16 @@ def session_ids(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "
     return finish(d, keys)
 
 
-def sessions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-             gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> DataFrame:
-    """One row per session: start, end, plays, ms."""
-    if mode == "end_to_end":
-        return sessions_by_window(df, keys, gap_minutes)
-    d = session_ids(df, keys, mode, gap_minutes, bucket)
-    d, ks = prepare(d, keys)
+def session_ids(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
+                gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> DataFrame:
+    """Tag every play with ``session_start`` (order key of its session's
+    first play), using the same bucket-and-carry scheme for the running
+    "last session start"."""
+    return _assign_sessions(session_flags(df, keys, mode, gap_minutes, bucket), keys)
+
+
+def _session_table(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
+    d, ks = prepare(ids, keys)
     out = d.groupBy(*ks, "session_start").agg(
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),
@@ -139,6 +142,24 @@ def sessions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end
     return finish(out, keys)
 
 
+def sessions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
+             gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> DataFrame:
+    """One row per session: start, end, plays, ms."""
+    if mode == "end_to_end":
+        return sessions_by_window(df, keys, gap_minutes)
+    return _session_table(session_ids(df, keys, mode, gap_minutes, bucket), keys)
+
+
+def _session_stats(sess: DataFrame, keys: Sequence[str]) -> DataFrame:
+    s, ks = prepare(sess, keys)
+    out = s.groupBy(*ks).agg(
+        F.count(F.lit(1)).alias("sessions"),
+        (F.sum("ms") / F.count(F.lit(1)) / F.lit(3_600_000.0)).alias("avg_session_hours"),
+        (F.max("ms") / F.lit(3_600_000.0)).alias("max_session_hours"),
+    )
+    return finish(out, keys)
+
+
 def sessions_by_window(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                        gap_minutes: int = C.SESSION_GAP_MINUTES) -> DataFrame:
     """W2b with Spark's ``session_window``: events ``[ts, ts+gap)`` that touch
@@ -157,33 +178,27 @@ def sessions_by_window(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 def session_stats(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
                   bucket: str = "day") -> DataFrame:
     """M25 + R1 input: session count, mean and longest session hours."""
-    s, ks = prepare(sessions(df, keys, mode, bucket=bucket), keys)
-    out = s.groupBy(*ks).agg(
-        F.count(F.lit(1)).alias("sessions"),
-        (F.sum("ms") / F.count(F.lit(1)) / F.lit(3_600_000.0)).alias("avg_session_hours"),
-        (F.max("ms") / F.lit(3_600_000.0)).alias("max_session_hours"),
-    )
-    return finish(out, keys)
+    return _session_stats(sessions(df, keys, mode, bucket=bucket), keys)
 
 
-def consecutive_pairs(df: DataFrame, cols: Sequence[str] = ("track", "artist"),
-                      keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day") -> DataFrame:
-    """Count of each (previous, current) pair of consecutive plays."""
-    d = with_previous(df, list(cols), keys, bucket=bucket)
-    d, ks = prepare(d, keys)
+def _pairs(seq: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    d, ks = prepare(seq, keys)
     out = d.filter(F.col("prev").isNotNull()).groupBy(
         *ks, *[F.col(f"prev.{c}").alias(f"prev_{c}") for c in cols], *cols
     ).agg(F.count(F.lit(1)).alias("n"))
     return finish(out, keys)
 
 
-def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day") -> DataFrame:
-    """100 * (distinct consecutive (track, artist) pairs seen more than
-    once) / (plays - 1); 0 with fewer than two plays."""
-    d, ks = prepare(df, keys)
-    pairs = consecutive_pairs(d, ("track", "artist"), ks, bucket)
-    rep = pairs.groupBy(*ks).agg(F.count_if(F.col("n") > 1).alias("repeated_pairs"),
-                                 F.sum("n").alias("all_pairs"))
+def consecutive_pairs(df: DataFrame, cols: Sequence[str] = ("track", "artist"),
+                      keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day") -> DataFrame:
+    """Count of each (previous, current) pair of consecutive plays."""
+    return _pairs(with_previous(df, list(cols), keys, bucket=bucket), cols, keys)
+
+
+def _habit(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    p, ks = prepare(pairs, keys)
+    rep = p.groupBy(*ks).agg(F.count_if(F.col("n") > 1).alias("repeated_pairs"),
+                             F.sum("n").alias("all_pairs"))
     out = rep.select(
         *ks, "repeated_pairs", "all_pairs",
         F.coalesce(F.try_divide(F.lit(100.0) * F.col("repeated_pairs"), F.col("all_pairs")),
@@ -191,6 +206,24 @@ def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str =
     return finish(out, keys)
 
 
+def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day") -> DataFrame:
+    """100 * (distinct consecutive (track, artist) pairs seen more than
+    once) / (plays - 1); no row for a key with fewer than two plays."""
+    return _habit(consecutive_pairs(df, ("track", "artist"), keys, bucket), keys)
+
+
+def listening_sequence(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
+                       gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> dict[str, DataFrame]:
+    """W2 + W3 + M21 + M25 from ONE ordered pass: the previous (track, artist,
+    ts) of every play feeds both the consecutive-pair counts and the session
+    flags.  Returns ``pairs``, ``habit``, ``sessions``, ``session_stats``."""
+    seq = with_previous(df, ["track", "artist", "ts"], keys, bucket=bucket)
+    pairs = _pairs(seq, ("track", "artist"), keys)
+    sess = _session_table(_assign_sessions(_flag_sessions(seq, mode, gap_minutes).drop("prev"), keys), keys)
+    return {"pairs": pairs, "habit": _habit(pairs, keys), "sessions": sess,
+            "session_stats": _session_stats(sess, keys)}
+
+
 def transitions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, gap_minutes: int = C.SESSION_GAP_MINUTES,
                 group_keys: Sequence[str] | None = None, bucket: str = "day") -> DataFrame:
     """G1: artist transition edges ``(src, dst, weight)``.
