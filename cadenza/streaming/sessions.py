@@ -29,9 +29,16 @@ def read_play_stream(spark, path: str, fmt: str = "parquet", max_files_per_trigg
 
 def stream_sessions(plays: DataFrame, keys: Sequence[str] = ("user_id",),
                     gap_minutes: int = C.SESSION_GAP_MINUTES, watermark: str = "2 hours") -> DataFrame:
-    """Streaming sessions (end-to-end gap): keys, start_ts, end_ts, plays, ms."""
-    w = F.session_window("ts", f"{gap_minutes} minutes")
-    return plays.withWatermark("ts", watermark).groupBy(*keys, w.alias("w")).agg(
+    """Streaming sessions (end-to-end gap): keys, start_ts, end_ts, plays, ms.
+
+    Watermarks need an instant (TIMESTAMP); ``ts`` is the UTC wall clock
+    (TIMESTAMP_NTZ), so the event time is the same instant built from its
+    epoch microseconds (exact, independent of the session time zone)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    event = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
+    w = F.session_window("event_time", f"{gap_minutes} minutes")
+    timed = plays.withColumn("event_time", event).withWatermark("event_time", watermark)
+    return timed.groupBy(*keys, w.alias("w")).agg(
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),
         F.count(F.lit(1)).alias("plays"),
