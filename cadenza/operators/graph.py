@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import constants as C
 from cadenza.operators.aggregates import top_k
-from cadenza.operators.keys import finish, prepare
+from cadenza.operators.keys import finish, join_per_key, prepare
 from cadenza.session import cut_lineage
 
 GRAPH_KEYS: tuple[str, ...] = ()
@@ -110,7 +110,7 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
     en = (e.join(outw, [*ks, "src"])
           .select(*ks, "src", "dst", (F.col("weight") / F.col("_ow")).alias("_p"))
           .repartition(*ks, "src").persist(StorageLevel.MEMORY_AND_DISK))
-    vn = v.join(n, ks).join(
+    vn = join_per_key(v, n, ks, keys).join(
         outw.select(*ks, F.col("src").alias("id"), F.lit(False).alias("_dangling")), [*ks, "id"], "left"
     ).select(*ks, "id", "_n", F.coalesce("_dangling", F.lit(True)).alias("_dangling")).persist(
         StorageLevel.MEMORY_AND_DISK)
@@ -120,8 +120,8 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
         contrib = en.join(r.select(*ks, F.col("id").alias("src"), "rank"), [*ks, "src"]).groupBy(
             *ks, F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("_p")).alias("_c"))
         dm = r.filter("_dangling").groupBy(*ks).agg(F.sum("rank").alias("_dm"))
-        new = r.select(*ks, "id", "_n", "_dangling", F.col("rank").alias("_old")).join(
-            contrib, [*ks, "id"], "left").join(dm, ks, "left").select(
+        new = join_per_key(r.select(*ks, "id", "_n", "_dangling", F.col("rank").alias("_old")).join(
+            contrib, [*ks, "id"], "left"), dm, ks, keys, "left").select(
             *ks, "id", "_n", "_dangling", "_old",
             (F.lit(damping) * F.coalesce("_c", F.lit(0.0))
              + F.lit(damping) * F.coalesce("_dm", F.lit(0.0)) / F.col("_n")
@@ -161,7 +161,7 @@ def pagerank_unweighted(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, rese
         r = _cut(new) if (i + 1) % checkpoint_every == 0 or i + 1 == iterations else new
     en.unpersist()
     tot = r.groupBy(*ks).agg(F.sum("rank").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    out = r.join(tot, ks).select(*ks, "id", (F.col("rank") * F.col("_n") / F.col("_s")).alias("rank"))
+    out = join_per_key(r, tot, ks, keys).select(*ks, "id", (F.col("rank") * F.col("_n") / F.col("_s")).alias("rank"))
     return finish(out, keys)
 
 
@@ -273,7 +273,7 @@ def component_summary(comps: DataFrame, keys: Sequence[str] = GRAPH_KEYS, top: i
     stats = sizes.groupBy(*ks).agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest_size"))
     ranked = top_k(sizes, "size", top, ks, tiebreak=["component"], rank_col="position")
     samples = _collect_top(c, [*ks, "component"], [F.col("id")], sample, "id", "sample_members")
-    out = ranked.join(samples, [*ks, "component"]).join(stats, ks)
+    out = join_per_key(ranked.join(samples, [*ks, "component"]), stats, ks, keys)
     return finish(out, keys)
 
 

@@ -17,7 +17,7 @@ from cadenza.functions import constants as C
 from cadenza.functions.expressions import hours, pct, ratio, tz_label, tz_offset
 from cadenza.operators import aggregates as A
 from cadenza.operators import sequence as S
-from cadenza.operators.keys import DEFAULT_KEYS, finish, prepare
+from cadenza.operators.keys import DEFAULT_KEYS, finish, join_per_key, prepare
 
 
 def timezone(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -111,7 +111,7 @@ def loyal_artists(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     played at least ``min_plays`` times."""
     d, ks = prepare(df, keys)
     last = d.groupBy(*ks).agg(F.max("ts").alias("last_ts"))
-    art = A.by_artist(d, ks).join(A.first_listen(d, ["artist"], ks), [*ks, "artist"]).join(last, ks)
+    art = join_per_key(A.by_artist(d, ks).join(A.first_listen(d, ["artist"], ks), [*ks, "artist"]), last, ks, keys)
     since = F.expr(f"timestampdiff(MICROSECOND, first_ts, last_ts) div {A.DAY_MICROS}")
     out = art.groupBy(*ks).agg(
         F.count_if((since >= days) & (F.col("plays") >= min_plays)).alias("loyal_artists_5yr"))
@@ -135,7 +135,7 @@ def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     dom = A.argmax(lt["country"], "conn_country", "ms", ks, "dominant_country")
     tz = dom.select(*ks, "dominant_country", tz_offset("dominant_country").alias("tz_offset")).withColumn(
         "timezone", tz_label("tz_offset"))
-    night = lt["hour"].join(tz.select(*ks, "tz_offset"), ks).groupBy(*ks).agg(
+    night = join_per_key(lt["hour"], tz.select(*ks, "tz_offset"), ks, keys).groupBy(*ks).agg(
         F.sum(F.when(F.pmod(F.col("hour_utc") + F.col("tz_offset"), F.lit(24)) < C.NIGHT_LOCAL_HOURS,
                      F.col("ms")).otherwise(0)).alias("night_ms"))
     mobile = lt["platform"].groupBy(*ks).agg(
@@ -154,7 +154,7 @@ def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     song = A.top_k(tracks, "ms", 1, ks, tiebreak=["track", "artist"]).select(
         *ks, F.col("plays").alias("top_song_plays"), hours("ms").alias("top_song_hours"))
     since = F.expr(f"timestampdiff(MICROSECOND, first_ts, last_ts) div {A.DAY_MICROS}")
-    loyal5 = artists.join(lt["totals"].select(*ks, "last_ts"), ks).groupBy(*ks).agg(
+    loyal5 = join_per_key(artists, lt["totals"].select(*ks, "last_ts"), ks, keys).groupBy(*ks).agg(
         F.count_if((since >= C.LOYAL_ARTIST_DAYS) & (F.col("plays") >= C.LOYAL_ARTIST_MIN_PLAYS)).alias(
             "loyal_artists_5yr"))
     parts = [distinct, ent, tz, night, mobile, nov, loyal, song,

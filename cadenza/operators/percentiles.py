@@ -26,7 +26,23 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import constants as C
 
-RANK_BUCKETS = 64
+RANK_BUCKETS = 256
+
+
+def _count_less(bounds: str, value: str, size: int) -> list[tuple[str, F.Column]]:
+    """Binary lifting over a sorted array: number of elements < value in
+    O(log size) steps (one projection per step)."""
+    steps = []
+    step = 1
+    while step * 2 <= size:
+        step *= 2
+    steps.append(("_lo", F.lit(0)))
+    while step >= 1:
+        nxt = F.col("_lo") + F.lit(step)
+        ok = (nxt <= F.size(bounds)) & (F.element_at(bounds, nxt) < F.col(value))
+        steps.append(("_lo", F.when(ok, nxt).otherwise(F.col("_lo"))))
+        step //= 2
+    return steps
 
 
 def to_long(vectors: DataFrame, id_cols: Sequence[str], metrics: Sequence[str] = tuple(C.METRIC_KEYS)) -> DataFrame:
@@ -48,8 +64,10 @@ def count_below(values: DataFrame, group: Sequence[str] = ("metric",), value: st
         F.percentile_approx(value, probs, 10_000).alias("_bounds"),
         F.sum("_w").alias("total"))
     # one row per group, at most ``buckets`` doubles each: bounded, broadcast
-    c = cnt.join(F.broadcast(bounds), g).withColumn(
-        "_bkt", F.aggregate("_bounds", F.lit(0), lambda acc, b: acc + F.when(b < F.col(value), 1).otherwise(0)))
+    c = cnt.join(F.broadcast(bounds), g)
+    for name, expr in _count_less("_bounds", value, buckets - 1):
+        c = c.withColumn(name, expr)
+    c = c.withColumnRenamed("_lo", "_bkt")
     per_bucket = c.groupBy(*g, "_bkt").agg(F.sum("_w").alias("_bw"))
     offsets = per_bucket.select(
         *g, "_bkt",

@@ -144,9 +144,12 @@ def _session_table(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def sessions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
              gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> DataFrame:
-    """One row per session: start, end, plays, ms."""
-    if mode == "end_to_end":
-        return sessions_by_window(df, keys, gap_minutes)
+    """One row per session: start, end, plays, ms.
+
+    Both modes use the bucketed ordered pass, so a hot listener is spread over
+    its days.  (:func:`sessions_by_window` is the ``session_window`` form of
+    ``end_to_end``: simpler, but its final merge is partitioned by the keys
+    only.)"""
     return _session_table(session_ids(df, keys, mode, gap_minutes, bucket), keys)
 
 
@@ -164,7 +167,9 @@ def sessions_by_window(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                        gap_minutes: int = C.SESSION_GAP_MINUTES) -> DataFrame:
     """W2b with Spark's ``session_window``: events ``[ts, ts+gap)`` that touch
     or overlap merge, which is exactly "new iff ts - prev_ts > gap".  Sessions
-    are merged map-side inside each partition before the shuffle."""
+    are merged map-side inside each partition before the shuffle; the final
+    merge is partitioned by the keys only, so prefer :func:`sessions` when a
+    single key can hold a large share of the plays."""
     d, ks = prepare(df, keys)
     out = d.groupBy(*ks, F.session_window("ts", f"{gap_minutes} minutes").alias("w")).agg(
         F.min("ts").alias("start_ts"),

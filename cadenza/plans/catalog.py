@@ -307,6 +307,8 @@ register("W2b_A22_sessions_end_to_end", with_plays(_sessions_sql("user_id", "end
     lambda spark, d: S.sessions(_events(spark, d), U, "end_to_end"))
 register("W2b_A22_sessions_end_to_end_all", with_plays(_sessions_sql("", "end_to_end")))(
     lambda spark, d: S.sessions(_events(spark, d), ALL, "end_to_end"))
+register("W2b_session_window", with_plays(_sessions_sql("user_id", "end_to_end")))(
+    lambda spark, d: S.sessions_by_window(_events(spark, d), U))
 
 
 def _pairs_sql(key: str) -> str:
