@@ -119,7 +119,8 @@ def loyal_artists(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 
 def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                 session_mode: str = "end_to_start", bucket: str = "day") -> DataFrame:
+                 session_mode: str = "end_to_start", bucket: str = "day",
+                 hot_rows: int | None = S.HOT_KEY_ROWS) -> DataFrame:
     """One row per key with every metric (unrounded).
 
     Three passes over the plays feed everything: one GROUPING SETS aggregate
@@ -129,7 +130,7 @@ def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     d, ks = prepare(df, keys)
     lt = A.listener_tables(d, ks)
     tt = A.track_tables(d, ks)
-    sq = S.listening_sequence(d, ks, session_mode, bucket=bucket)
+    sq = S.listening_sequence(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows)
     tracks, artists = tt["tracks"], tt["artists"]
 
     dom = A.argmax(lt["country"], "conn_country", "ms", ks, "dominant_country")

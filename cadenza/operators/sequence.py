@@ -2,10 +2,14 @@
 
 Hot keys.  A plain ``Window.partitionBy(keys).orderBy(ts)`` sends all plays
 of a key to one task; with ``keys=()`` (or a listener holding a third of the
-data) that is the whole table in one task.  Every ordered operator here
-partitions by ``(keys, time bucket)`` instead (default bucket: one day) and
-stitches bucket borders with a small per-bucket summary:
-
+data) that is the whole table in one task.  The ordered operators therefore
+split *hot* keys by time:
+
+0. one map-side pre-aggregated count per key finds the keys with more than
+   ``hot_rows`` plays (at most ``N / hot_rows`` of them, so the list is
+   broadcast with a proven bound).  Only these keys are split into
+   ``(key, day)`` buckets; every other key keeps one bucket.  When no key is
+   hot (a scalar check on the driver) the plain per-key window is used.
 1. within each (key, bucket) the window gives ``lag`` for all but the first
    row;
 2. a map-side pre-aggregated summary keeps the last row of each (key, bucket);
@@ -13,7 +17,8 @@ stitches bucket borders with a small per-bucket summary:
 3. the carry is joined back on (key, bucket), which is already the
    partitioning of the windowed rows, so only the summary is shuffled.
 
-The result equals the plain per-key window for any data.
+The result equals the plain per-key window for any data and any split
+(tested with every key split, ``hot_rows=0``, against brute force).
 """
 
 from __future__ import annotations
@@ -37,42 +42,79 @@ def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
 
 
-def _with_bucket(df: DataFrame, bucket: str) -> DataFrame:
-    return df.withColumn(BUCKET, F.date_trunc(bucket, F.col("ts")))
+HOT_KEY_ROWS = 1_000_000  # plays per key above which its sequence is split by day
 
 
-def with_previous(
-    df: DataFrame,
-    cols: Sequence[str],
-    keys: Sequence[str] = DEFAULT_KEYS,
-    order: Sequence[str] = PLAY_ORDER,
-    bucket: str = "day",
-    prev_col: str = "prev",
-) -> DataFrame:
-    """Add ``prev`` (struct of ``cols`` on the previous play of the same key, or
-    null for the first play) plus the bucket column.  See the module doc."""
+def _single_bucket() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, hot_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` plays (at most ``N / hot_rows`` rows),
+    materialised in the checkpoint folder; ``None`` when there is none."""
+    from cadenza.session import cut_lineage
+
     d, ks = prepare(df, keys)
-    d = _with_bucket(d, bucket)
+    hot = cut_lineage(d.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+                      .filter(F.col("_n") > hot_rows).select(*ks, F.lit(True).alias("_hot")))
+    return hot if hot.limit(1).count() > 0 else None
+
+
+def _ordered(df: DataFrame, keys: Sequence[str], bucket: str, hot_rows: int | None
+             ) -> tuple[DataFrame, list[str], bool]:
+    """Prepared plays with the bucket column; ``split`` tells whether any key
+    is split into several buckets (``hot_rows=0`` splits every key)."""
+    d, ks = prepare(df, keys)
+    if hot_rows is not None and hot_rows <= 0:
+        return d.withColumn(BUCKET, F.date_trunc(bucket, F.col("ts"))), ks, True
+    hot = hot_keys(d, ks, hot_rows if hot_rows is not None else HOT_KEY_ROWS)
+    if hot is None:
+        return d.withColumn(BUCKET, _single_bucket()), ks, False
+    d = d.join(F.broadcast(hot), ks, "left")  # bounded: at most N / hot_rows keys
+    d = d.withColumn(BUCKET, F.when(F.col("_hot"), F.date_trunc(bucket, F.col("ts"))).otherwise(
+        _single_bucket())).drop("_hot")
+    return d, ks, True
+
+
+def _prev(d: DataFrame, ks: list[str], split: bool, cols: Sequence[str], order: Sequence[str],
+          prev_col: str) -> DataFrame:
     part = [*ks, BUCKET]
     w = Window.partitionBy(*part).orderBy(*order)
     row = F.struct(*[F.col(c) for c in cols])
+    if not split:
+        return d.withColumn(prev_col, F.lag(row).over(w))
     # summary: last row of every (key, bucket), pre-aggregated map-side
     last = d.groupBy(*part).agg(F.max_by(row, _order_struct(order)).alias("_last"))
     carry = last.select(
         *part, F.lag("_last").over(Window.partitionBy(*ks).orderBy(BUCKET)).alias("_carry"))
-    d = (
+    return (
         d.withColumn("_rn", F.row_number().over(w))
         .withColumn("_lag", F.lag(row).over(w))
         .join(carry, part, "left")
         .withColumn(prev_col, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_rn", "_lag", "_carry")
     )
-    return finish(d, keys)
 
 
-def gaps(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day") -> DataFrame:
+def with_previous(
+    df: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str] = DEFAULT_KEYS,
+    order: Sequence[str] = PLAY_ORDER,
+    bucket: str = "day",
+    prev_col: str = "prev",
+    hot_rows: int | None = HOT_KEY_ROWS,
+) -> DataFrame:
+    """Add ``prev`` (struct of ``cols`` on the previous play of the same key, or
+    null for the first play) plus the bucket column.  See the module doc."""
+    d, ks, split = _ordered(df, keys, bucket, hot_rows)
+    return finish(_prev(d, ks, split, cols, order, prev_col), keys)
+
+
+def gaps(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day",
+         hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Previous artist / ts and the end-to-end gap in minutes."""
-    d = with_previous(df, ["artist", "ts"], keys, bucket=bucket)
+    d = with_previous(df, ["artist", "ts"], keys, bucket=bucket, hot_rows=hot_rows)
     return d.select(
         *[c for c in df.columns],
         F.col("prev.artist").alias("prev_artist"),
@@ -91,22 +133,26 @@ def _flag_sessions(seq: DataFrame, mode: str, gap_minutes: int) -> DataFrame:
 
 
 def session_flags(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                  gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> DataFrame:
+                  gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
+                  hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Flag the first play of each session (``_new``).
 
     * ``end_to_start`` (W2a): new iff ``(ts - ms_played) - prev_ts > gap``
     * ``end_to_end`` (W2b): new iff ``ts - prev_ts > gap``
     """
-    return _flag_sessions(with_previous(df, ["ts"], keys, bucket=bucket), mode, gap_minutes).drop("prev")
+    seq = with_previous(df, ["ts"], keys, bucket=bucket, hot_rows=hot_rows)
+    return _flag_sessions(seq, mode, gap_minutes).drop("prev")
 
 
-def _assign_sessions(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _assign_sessions(flagged: DataFrame, keys: Sequence[str], split: bool = True) -> DataFrame:
     """``session_start`` (order key of the session's first play) for flagged
     plays (with the bucket column), carried across buckets like the lag."""
     d, ks = prepare(flagged, keys)
     part = [*ks, BUCKET]
     start_key = F.when(F.col("_new"), _order_struct(PLAY_ORDER))
     w = Window.partitionBy(*part).orderBy(*PLAY_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    if not split:
+        return finish(d.withColumn("session_start", F.max(start_key).over(w)).drop(BUCKET), keys)
     # per bucket: latest session start inside it; carried to later buckets
     summary = d.groupBy(*part).agg(F.max(start_key).alias("_bmax"))
     carry = summary.select(
@@ -124,11 +170,14 @@ def _assign_sessions(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def session_ids(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> DataFrame:
+                gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
+                hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Tag every play with ``session_start`` (order key of its session's
     first play), using the same bucket-and-carry scheme for the running
     "last session start"."""
-    return _assign_sessions(session_flags(df, keys, mode, gap_minutes, bucket), keys)
+    d, ks, split = _ordered(df, keys, bucket, hot_rows)
+    flagged = _flag_sessions(_prev(d, ks, split, ["ts"], PLAY_ORDER, "prev"), mode, gap_minutes).drop("prev")
+    return finish(_assign_sessions(flagged, ks, split), keys)
 
 
 def _session_table(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,14 +192,15 @@ def _session_table(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sessions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-             gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> DataFrame:
+             gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
+             hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """One row per session: start, end, plays, ms.
 
     Both modes use the bucketed ordered pass, so a hot listener is spread over
     its days.  (:func:`sessions_by_window` is the ``session_window`` form of
     ``end_to_end``: simpler, but its final merge is partitioned by the keys
     only.)"""
-    return _session_table(session_ids(df, keys, mode, gap_minutes, bucket), keys)
+    return _session_table(session_ids(df, keys, mode, gap_minutes, bucket, hot_rows), keys)
 
 
 def _session_stats(sess: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -181,9 +231,9 @@ def sessions_by_window(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 
 def session_stats(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                  bucket: str = "day") -> DataFrame:
+                  bucket: str = "day", hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """M25 + R1 input: session count, mean and longest session hours."""
-    return _session_stats(sessions(df, keys, mode, bucket=bucket), keys)
+    return _session_stats(sessions(df, keys, mode, bucket=bucket, hot_rows=hot_rows), keys)
 
 
 def _pairs(seq: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -195,9 +245,10 @@ def _pairs(seq: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFram
 
 
 def consecutive_pairs(df: DataFrame, cols: Sequence[str] = ("track", "artist"),
-                      keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day") -> DataFrame:
+                      keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day",
+                      hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Count of each (previous, current) pair of consecutive plays."""
-    return _pairs(with_previous(df, list(cols), keys, bucket=bucket), cols, keys)
+    return _pairs(with_previous(df, list(cols), keys, bucket=bucket, hot_rows=hot_rows), cols, keys)
 
 
 def _habit(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -211,26 +262,31 @@ def _habit(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return finish(out, keys)
 
 
-def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day") -> DataFrame:
+def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day",
+               hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """100 * (distinct consecutive (track, artist) pairs seen more than
     once) / (plays - 1); no row for a key with fewer than two plays."""
-    return _habit(consecutive_pairs(df, ("track", "artist"), keys, bucket), keys)
+    return _habit(consecutive_pairs(df, ("track", "artist"), keys, bucket, hot_rows), keys)
 
 
 def listening_sequence(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                       gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day") -> dict[str, DataFrame]:
+                       gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
+                       hot_rows: int | None = HOT_KEY_ROWS) -> dict[str, DataFrame]:
     """W2 + W3 + M21 + M25 from ONE ordered pass: the previous (track, artist,
     ts) of every play feeds both the consecutive-pair counts and the session
     flags.  Returns ``pairs``, ``habit``, ``sessions``, ``session_stats``."""
-    seq = with_previous(df, ["track", "artist", "ts"], keys, bucket=bucket)
+    d, ks, split = _ordered(df, keys, bucket, hot_rows)
+    seq = finish(_prev(d, ks, split, ["track", "artist", "ts"], PLAY_ORDER, "prev"), keys)
     pairs = _pairs(seq, ("track", "artist"), keys)
-    sess = _session_table(_assign_sessions(_flag_sessions(seq, mode, gap_minutes).drop("prev"), keys), keys)
+    flagged = _flag_sessions(seq, mode, gap_minutes).drop("prev")
+    sess = _session_table(_assign_sessions(flagged, keys, split), keys)
     return {"pairs": pairs, "habit": _habit(pairs, keys), "sessions": sess,
             "session_stats": _session_stats(sess, keys)}
 
 
 def transitions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, gap_minutes: int = C.SESSION_GAP_MINUTES,
-                group_keys: Sequence[str] | None = None, bucket: str = "day") -> DataFrame:
+                group_keys: Sequence[str] | None = None, bucket: str = "day",
+                hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """G1: artist transition edges ``(src, dst, weight)``.
 
     Plays without a real artist are removed *before* pairing; consecutive
@@ -239,7 +295,7 @@ def transitions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, gap_minutes:
     (default: the same keys; ``()`` pools all listeners into one graph).
     """
     d = df.filter(F.col("artist") != C.UNKNOWN)
-    d = with_previous(d, ["artist", "ts"], keys, bucket=bucket)
+    d = with_previous(d, ["artist", "ts"], keys, bucket=bucket, hot_rows=hot_rows)
     gk = list(keys) if group_keys is None else list(group_keys)
     ok = F.col("prev").isNotNull() & (
         micros_between(F.col("prev.ts"), F.col("ts")) <= F.lit(gap_minutes * 60 * 1_000_000))

@@ -307,6 +307,10 @@ register("W2b_A22_sessions_end_to_end", with_plays(_sessions_sql("user_id", "end
     lambda spark, d: S.sessions(_events(spark, d), U, "end_to_end"))
 register("W2b_A22_sessions_end_to_end_all", with_plays(_sessions_sql("", "end_to_end")))(
     lambda spark, d: S.sessions(_events(spark, d), ALL, "end_to_end"))
+register("W2a_sessions_split_by_day", with_plays(_sessions_sql("user_id", "end_to_start")))(
+    lambda spark, d: S.sessions(_events(spark, d), U, "end_to_start", hot_rows=0))
+register("W2a_sessions_split_by_hour_all", with_plays(_sessions_sql("", "end_to_start")))(
+    lambda spark, d: S.sessions(_events(spark, d), ALL, "end_to_start", bucket="hour", hot_rows=0))
 register("W2b_session_window", with_plays(_sessions_sql("user_id", "end_to_end")))(
     lambda spark, d: S.sessions_by_window(_events(spark, d), U))
 
@@ -322,6 +326,8 @@ register("W3_consecutive_pairs", with_plays(_pairs_sql("user_id")))(
     lambda spark, d: S.consecutive_pairs(_events(spark, d), ("track", "artist"), U))
 register("W3_consecutive_pairs_all", with_plays(_pairs_sql("")))(
     lambda spark, d: S.consecutive_pairs(_events(spark, d), ("track", "artist"), ALL))
+register("W3_consecutive_pairs_split_by_day", with_plays(_pairs_sql("user_id")))(
+    lambda spark, d: S.consecutive_pairs(_events(spark, d), ("track", "artist"), U, hot_rows=0))
 
 
 def _habit_sql(key: str, name: str) -> str:
@@ -427,8 +433,8 @@ FROM t LEFT JOIN dc USING ({k}) LEFT JOIN da USING ({k}) LEFT JOIN dom USING ({k
     return with_plays(body, name, ctes)
 
 
-def _profile_spark(df: DataFrame, keys) -> DataFrame:
-    p = M.user_profile(df, keys)
+def _profile_spark(df: DataFrame, keys, **kw) -> DataFrame:
+    p = M.user_profile(df, keys, **kw)
     return p.select(*[_r9(c) if c in ("artist_diversity_entropy", "music_novelty_rate_pct") else F.col(c)
                       for c in p.columns])
 
@@ -439,6 +445,8 @@ register("M1_M28_profile_events_all", _profile_sql(None, "plays_events"))(
     lambda spark, d: _profile_spark(_events(spark, d), ALL))
 register("M1_M28_profile_lineitem", _profile_sql("user_id", "plays_lineitem"))(
     lambda spark, d: _profile_spark(_lineitem(spark, d), U))
+register("M1_M28_profile_events_split_by_day", _profile_sql("user_id", "plays_events"))(
+    lambda spark, d: _profile_spark(_events(spark, d), U, hot_rows=0))
 
 
 register("M11_J6_circadian", with_plays(
@@ -699,6 +707,8 @@ register("G1_edges_per_listener", f"WITH {_edges_cte('plays_events', 'user_id',
     lambda spark, d: S.transitions(_events(spark, d), U))
 register("G1_edges_whole_input", f"WITH {_edges_cte('plays_events', '')} SELECT * FROM e")(
     lambda spark, d: S.transitions(_events(spark, d), ALL))
+register("G1_edges_whole_input_split_by_day", f"WITH {_edges_cte('plays_events', '')} SELECT * FROM e")(
+    lambda spark, d: S.transitions(_events(spark, d), ALL, hot_rows=0))
 register("U2_vertices", f"WITH {_edges_cte()} SELECT id FROM v")(lambda spark, d: G.vertices(_item_edges(spark, d)))
 register("G8_degrees", f"""WITH {_edges_cte()} SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree,
   CAST(sum(iw) AS BIGINT) AS in_weight, CAST(sum(ow) AS BIGINT) AS out_weight, CAST(sum(iw) + sum(ow) AS BIGINT) AS weighted_degree

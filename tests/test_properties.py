@@ -22,9 +22,11 @@ def _brute_prev(pdf: pd.DataFrame, keys):
 
 
 @pytest.mark.parametrize("keys", [("user_id",), ()])
-@pytest.mark.parametrize("bucket", ["hour", "day", "year"])
-def test_with_previous_equals_plain_lag(events_mid, keys, bucket):
-    got = S.with_previous(events_mid, ["track"], keys, bucket=bucket).select(
+@pytest.mark.parametrize("bucket,hot_rows", [("hour", 0), ("day", 0), ("year", 0), ("day", 66), ("day", None)])
+def test_with_previous_equals_plain_lag(events_mid, keys, bucket, hot_rows):
+    """Every key split (0), some keys split (66 ~ the mean plays per listener),
+    adaptive default (None): always equal to the plain ordered lag."""
+    got = S.with_previous(events_mid, ["track"], keys, bucket=bucket, hot_rows=hot_rows).select(
         "play_id", "user_id", F.col("prev.track").alias("pt")).toPandas()
     want = _brute_prev(events_mid.select("play_id", "user_id", *PLAY_ORDER[:-1]).toPandas(), list(keys))
     got_map = dict(zip(zip(got["play_id"], got["user_id"]), got["pt"]))
@@ -34,14 +36,16 @@ def test_with_previous_equals_plain_lag(events_mid, keys, bucket):
         assert (pd.isna(v) and g is None) or g == v
 
 
-def test_sessions_bucket_independent(events_mid):
-    a = S.sessions(events_mid, ("user_id",), bucket="hour").orderBy("user_id", "start_ts").collect()
-    b = S.sessions(events_mid, ("user_id",), bucket="month").orderBy("user_id", "start_ts").collect()
-    assert a == b
+@pytest.mark.parametrize("keys", [("user_id",), ()])
+def test_sessions_split_independent(events_mid, keys):
+    order = [*keys, "start_ts"]
+    base = S.sessions(events_mid, keys).orderBy(*order).collect()
+    for bucket, hot in (("hour", 0), ("month", 0), ("day", 66)):
+        assert S.sessions(events_mid, keys, bucket=bucket, hot_rows=hot).orderBy(*order).collect() == base
 
 
 def test_session_ms_adds_up(events_mid):
-    s = S.sessions(events_mid, ()).agg(F.sum("ms"), F.sum("plays")).first()
+    s = S.sessions(events_mid, (), hot_rows=0).agg(F.sum("ms"), F.sum("plays")).first()
     t = events_mid.agg(F.sum("ms_played"), F.count(F.lit(1))).first()
     assert tuple(s) == tuple(t)
 
@@ -58,9 +62,9 @@ def _rows_close(a, b):
                 assert v == w, k
 
 
-def test_profile_independent_of_partitioning(events_small):
+def test_profile_independent_of_partitioning_and_split(events_small):
     a = M.user_profile(events_small.repartition(1)).orderBy("user_id").collect()
-    b = M.user_profile(events_small.repartition(7, "ts")).orderBy("user_id").collect()
+    b = M.user_profile(events_small.repartition(7, "ts"), hot_rows=0).orderBy("user_id").collect()
     _rows_close(a, b)
 
 
