@@ -70,19 +70,20 @@ def totals(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 def listener_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                     completed_reason: str = C.COMPLETED_REASON) -> dict[str, DataFrame]:
-    """A1/A2/A15 + A7/A8/A10/A11 from ONE scan and ONE shuffle.
+    """A1/A2/A15 + A7–A11 from ONE scan and ONE shuffle.
 
     A GROUPING SETS aggregate over ``(keys)``, ``(keys, hour_utc)``,
-    ``(keys, conn_country)``, ``(keys, platform_cat)``, ``(keys, year, month)``;
-    every returned table is a filter of that single aggregate, so Spark
-    computes (and shuffles) it once and reuses the exchange.  Returns
-    ``totals``, ``hour``, ``country``, ``platform``, ``month`` (the dimension
-    tables carry ``plays``, ``ms``, ``skips``)."""
+    ``(keys, weekday)``, ``(keys, conn_country)``, ``(keys, platform_cat)``,
+    ``(keys, year, month)``; every returned table is a filter of that single
+    aggregate, so Spark computes (and shuffles) it once and reuses the
+    exchange.  Returns ``totals``, ``hour``, ``weekday``, ``country``,
+    ``platform``, ``month`` (the dimension tables carry ``plays``, ``ms``,
+    ``skips``)."""
     d, ks = prepare(df, keys)
     d = d.withColumn("platform_cat", platform_category("platform"))
-    dims = ["hour_utc", "conn_country", "platform_cat", "year", "month"]
-    sets = {"totals": [], "hour": ["hour_utc"], "country": ["conn_country"], "platform": ["platform_cat"],
-            "month": ["year", "month"]}
+    dims = ["hour_utc", "weekday", "conn_country", "platform_cat", "year", "month"]
+    sets = {"totals": [], "hour": ["hour_utc"], "weekday": ["weekday"], "country": ["conn_country"],
+            "platform": ["platform_cat"], "month": ["year", "month"]}
     g = d.groupingSets([[*ks, *v] for v in sets.values()], *ks, *dims).agg(
         *_totals_aggs(completed_reason), F.grouping_id(*ks, *dims).alias("_gid"))
 

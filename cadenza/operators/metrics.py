@@ -118,34 +118,79 @@ def loyal_artists(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     return finish(out, keys)
 
 
-def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                 session_mode: str = "end_to_start", bucket: str = "day",
-                 hot_rows: int | None = S.HOT_KEY_ROWS) -> DataFrame:
-    """One row per key with every metric (unrounded).
-
-    Three passes over the plays feed everything: one GROUPING SETS aggregate
-    (totals + hour / country / platform / month tables), one (track, artist)
-    aggregate (rolled up to artists), and one ordered pass (pairs + sessions).
-    The pieces are per-key tables joined on the keys."""
+def profile_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
+                   session_mode: str = "end_to_start", bucket: str = "day",
+                   hot_rows: int | None = S.HOT_KEY_ROWS) -> dict[str, DataFrame]:
+    """The three passes over the plays that every profile / report piece is
+    derived from: one GROUPING SETS aggregate (totals + hour / weekday /
+    country / platform / month tables), one (track, artist) aggregate rolled
+    up to artists, and one ordered pass (pairs + sessions); plus the
+    dominant-country time zone.  Keys column(s) included (``_all`` for ``()``)."""
     d, ks = prepare(df, keys)
-    lt = A.listener_tables(d, ks)
-    tt = A.track_tables(d, ks)
-    sq = S.listening_sequence(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows)
-    tracks, artists = tt["tracks"], tt["artists"]
-
-    dom = A.argmax(lt["country"], "conn_country", "ms", ks, "dominant_country")
-    tz = dom.select(*ks, "dominant_country", tz_offset("dominant_country").alias("tz_offset")).withColumn(
+    t = dict(A.listener_tables(d, ks))
+    t.update(A.track_tables(d, ks))
+    t.update(S.listening_sequence(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows))
+    dom = A.argmax(t["country"], "conn_country", "ms", ks, "dominant_country")
+    t["tz"] = dom.select(*ks, "dominant_country", tz_offset("dominant_country").alias("tz_offset")).withColumn(
         "timezone", tz_label("tz_offset"))
-    night = join_per_key(lt["hour"], tz.select(*ks, "tz_offset"), ks, keys).groupBy(*ks).agg(
+    t["_ks"] = ks  # type: ignore[assignment]
+    return t
+
+
+def local_hours(t: dict, keys: Sequence[str]) -> DataFrame:
+    """M11 + J6 from the profile tables: 24 local hours per key, zero-filled."""
+    ks = t["_ks"]
+    lh = join_per_key(t["hour"], t["tz"].select(*ks, "tz_offset"), ks, keys).select(
+        *ks, F.pmod(F.col("hour_utc") + F.col("tz_offset"), F.lit(24)).alias("local_hour"), "ms")
+    grid = t["tz"].select(*ks, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("local_hour"))
+    return grid.join(lh, [*ks, "local_hour"], "left").select(
+        *ks, "local_hour", hours(F.coalesce(F.col("ms"), F.lit(0))).alias("hours"))
+
+
+def weekdays(t: dict) -> DataFrame:
+    """A9 + J6 from the profile tables: hours per weekday, all 7 days."""
+    ks = t["_ks"]
+    grid = t["totals"].select(*ks, F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
+    return grid.join(t["weekday"], [*ks, "weekday"], "left").select(
+        *ks, "weekday", hours(F.coalesce(F.col("ms"), F.lit(0))).alias("hours"))
+
+
+def years(t: dict) -> DataFrame:
+    """A6 rolled up from the month table: plays, ms, hours per year."""
+    ks = t["_ks"]
+    return t["month"].groupBy(*ks, "year").agg(F.sum("plays").alias("plays"), F.sum("ms").alias("ms")).withColumn(
+        "hours", hours("ms"))
+
+
+def growth(t: dict) -> DataFrame:
+    """W4/M10 from the year table."""
+    ks = t["_ks"]
+    from pyspark.sql import Window
+
+    y = years(t).withColumn("prev_ms", F.lag("ms").over(Window.partitionBy(*ks).orderBy("year")))
+    return y.filter(F.col("prev_ms") > 0).select(
+        *ks, "year", (F.lit(100.0) * (F.col("ms") - F.col("prev_ms")) / F.col("prev_ms")).alias("growth_pct"))
+
+
+def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
+                 session_mode: str = "end_to_start", bucket: str = "day",
+                 hot_rows: int | None = S.HOT_KEY_ROWS, tables: dict | None = None) -> DataFrame:
+    """One row per key with every metric (unrounded), assembled from
+    :func:`profile_tables` by joins on the keys."""
+    t = tables or profile_tables(df, keys, session_mode, bucket, hot_rows)
+    ks = t["_ks"]
+    tracks, artists = t["tracks"], t["artists"]
+    tz = t["tz"]
+    night = join_per_key(t["hour"], tz.select(*ks, "tz_offset"), ks, keys).groupBy(*ks).agg(
         F.sum(F.when(F.pmod(F.col("hour_utc") + F.col("tz_offset"), F.lit(24)) < C.NIGHT_LOCAL_HOURS,
                      F.col("ms")).otherwise(0)).alias("night_ms"))
-    mobile = lt["platform"].groupBy(*ks).agg(
+    mobile = t["platform"].groupBy(*ks).agg(
         F.sum(F.when(F.col("platform_cat") == "Mobile", F.col("ms")).otherwise(0)).alias("mobile_ms"))
-    countries = lt["country"].groupBy(*ks).agg(
+    countries = t["country"].groupBy(*ks).agg(
         F.count_if(F.col("conn_country") != C.UNKNOWN).alias("known_countries"))
     new_m = tracks.groupBy(*ks, F.year("first_ts").alias("year"), F.month("first_ts").alias("month")).agg(
         F.count(F.lit(1)).alias("new_tracks"))
-    nov = lt["month"].join(new_m, [*ks, "year", "month"], "left").groupBy(*ks).agg(
+    nov = t["month"].join(new_m, [*ks, "year", "month"], "left").groupBy(*ks).agg(
         F.avg(pct(F.coalesce(F.col("new_tracks"), F.lit(0)), F.col("plays"))).alias("music_novelty_rate_pct"))
     distinct = tracks.groupBy(*ks).agg(F.count(F.lit(1)).alias("unique_tracks")).join(
         artists.groupBy(*ks).agg(F.count(F.lit(1)).alias("unique_artists")), ks)
@@ -155,12 +200,12 @@ def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     song = A.top_k(tracks, "ms", 1, ks, tiebreak=["track", "artist"]).select(
         *ks, F.col("plays").alias("top_song_plays"), hours("ms").alias("top_song_hours"))
     since = F.expr(f"timestampdiff(MICROSECOND, first_ts, last_ts) div {A.DAY_MICROS}")
-    loyal5 = join_per_key(artists, lt["totals"].select(*ks, "last_ts"), ks, keys).groupBy(*ks).agg(
+    loyal5 = join_per_key(artists, t["totals"].select(*ks, "last_ts"), ks, keys).groupBy(*ks).agg(
         F.count_if((since >= C.LOYAL_ARTIST_DAYS) & (F.col("plays") >= C.LOYAL_ARTIST_MIN_PLAYS)).alias(
             "loyal_artists_5yr"))
     parts = [distinct, ent, tz, night, mobile, nov, loyal, song,
-             sq["habit"].select(*ks, "habit_loop_score_pct"), sq["session_stats"], countries, loyal5]
-    p = lt["totals"]
+             t["habit"].select(*ks, "habit_loop_score_pct"), t["session_stats"], countries, loyal5]
+    p = t["totals"]
     for part in parts:
         p = p.join(part, ks, "left")
     return finish(_profile_columns(p, ks), keys)

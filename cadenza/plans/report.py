@@ -19,7 +19,6 @@ from cadenza.operators import aggregates as A
 from cadenza.operators import graph as G
 from cadenza.operators import metrics as M
 from cadenza.operators import rules as R
-from cadenza.operators import sequence as S
 from cadenza.operators.keys import DEFAULT_KEYS, finish, prepare
 from cadenza.operators.rules import DISPLAY_DIGITS
 
@@ -34,22 +33,30 @@ def _listed(df: DataFrame, ks: list[str], order: str, fields: Sequence[Column |
 def report(plays: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """Per key: summary, metrics (display rounding), top lists, years,
     weekdays, local circadian hours, yearly growth, badges, level, archetype,
-    radar, plus ``summary_json`` (the compact payload as JSON text)."""
+    radar, plus ``summary_json`` (the compact payload as JSON text).
+
+    Everything is derived from the three passes of
+    :func:`metrics.profile_tables` (no further scans of the plays)."""
     d, ks = prepare(plays, keys)
-    prof = M.user_profile(d, ks)
+    t = M.profile_tables(d, ks)
+    prof = M.user_profile(d, ks, tables=t)
     shown = R.displayed(prof)
     h2 = lambda c: F.bround(F.col(c), 2)
     h1 = lambda c: F.bround(F.col(c), 1)
-    top_a = _listed(A.top_artists(d, C.TOP_LIST_SIZE, ks), ks, "rank",
+    top_a = A.top_k(t["artists"], "ms", C.TOP_LIST_SIZE, ks, tiebreak=["artist"]).withColumn(
+        "hours", F.col("ms") / F.lit(3_600_000.0)).withColumn(
+        "skip_pct", F.lit(100.0) * F.col("skips") / F.col("plays"))
+    top_a = _listed(top_a, ks, "rank",
                     ["rank", "artist", h1("hours").alias("hours"), "plays", h1("skip_pct").alias("skip_pct")],
                     "top_artists")
-    top_s = _listed(A.top_songs(d, C.TOP_LIST_SIZE, ks), ks, "rank",
-                    ["rank", "track", "artist", h1("hours").alias("hours")], "top_songs")
-    years = _listed(A.by_dimension(d, ["year"], ks).withColumn("hours", F.col("ms") / F.lit(3_600_000.0)), ks,
-                    "year", ["year", "plays", h1("hours").alias("hours")], "years")
-    wdays = _listed(M.weekday_profile(d, ks), ks, "weekday", ["weekday", h1("hours").alias("hours")], "weekdays")
-    circ = _listed(M.circadian(d, ks), ks, "local_hour", ["local_hour", h1("hours").alias("hours")], "circadian_hours")
-    growth = _listed(S.yearly_growth(d, ks), ks, "year", ["year", h1("growth_pct").alias("growth_pct")],
+    top_s = A.top_k(t["tracks"], "ms", C.TOP_LIST_SIZE, ks, tiebreak=["track", "artist"]).withColumn(
+        "hours", F.col("ms") / F.lit(3_600_000.0))
+    top_s = _listed(top_s, ks, "rank", ["rank", "track", "artist", h1("hours").alias("hours")], "top_songs")
+    years = _listed(M.years(t), ks, "year", ["year", "plays", h1("hours").alias("hours")], "years")
+    wdays = _listed(M.weekdays(t), ks, "weekday", ["weekday", h1("hours").alias("hours")], "weekdays")
+    circ = _listed(M.local_hours(t, keys), ks, "local_hour", ["local_hour", h1("hours").alias("hours")],
+                   "circadian_hours")
+    growth = _listed(M.growth(t), ks, "year", ["year", h1("growth_pct").alias("growth_pct")],
                      "yearly_growth_pct")
     badges = _listed(R.badges(prof, ks), ks, "badge_order", ["badge", "name", "earned"], "badges")
     lvl = R.levels(prof, ks)
