@@ -21,9 +21,10 @@ from cadenza.session import get_spark  # noqa: E402
 
 HEADLINE = [
     # name in the report      registered query
+    ("profile_whole_input", "M1_M28_profile_events_all"),   # all metrics, input = one listener (100K plays at sf0.1)
     ("profile_per_listener", "M1_M28_profile_events"),      # all metrics, 1 row per listener
-    ("profile_whole_input", "M1_M28_profile_events_all"),   # all metrics, input = one listener
-    ("profile_lineitem", "M1_M28_profile_lineitem"),        # all metrics, 6x more plays
+    ("profile_lineitem", "M1_M28_profile_lineitem"),        # all metrics per listener, 600K plays at sf0.1
+    ("profile_lineitem_whole_input", "M1_M28_profile_lineitem_all"),
     ("sessions", "W2a_A22_sessions_end_to_start"),
     ("top_artists", "T1_M27_top_artists"),
     ("all_dimensions", "A20_all_dimensions"),
@@ -49,15 +50,21 @@ def main() -> None:
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[label] = round(time.perf_counter() - t0, 3)
     plays = qs["P1_P8_clean_plays_events"](spark, sf_dir).count()
+    # The headline is the job the published numbers time: all metrics over a
+    # play table treated as one listener ("compute all metrics"), here the
+    # events view (100,000 plays at sf0.1; published: 9.1 s PySpark, 0.67 s
+    # pandas for 100,000 plays).  Every other query is listed beside it.
     print(json.dumps({
-        "metric": "headline_queries_total",
-        "value": round(sum(times.values()), 3),
+        "metric": "all_metrics_whole_input_events",
+        "value": times["profile_whole_input"],
         "unit": "sec",
         "queries": times,
+        "total_sec": round(sum(times.values()), 3),
         "sf": sf,
         "plays_events": plays,
         "cpus": cpus,
-        "profile_plays_per_sec": round(plays / times["profile_per_listener"], 1),
+        "plays_per_sec_whole_input": round(plays / times["profile_whole_input"], 1),
+        "plays_per_sec_per_listener": round(plays / times["profile_per_listener"], 1),
     }))
 
 

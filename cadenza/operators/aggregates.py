@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import constants as C
 from cadenza.functions.expressions import hours, micros_between, platform_category
 from cadenza.operators.keys import DEFAULT_KEYS, finish, prepare
+from cadenza.session import cut_lineage
 
 DAY_MICROS = 86_400_000_000
 
@@ -69,7 +70,7 @@ def totals(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 
 def listener_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                    completed_reason: str = C.COMPLETED_REASON) -> dict[str, DataFrame]:
+                    completed_reason: str = C.COMPLETED_REASON, materialize: bool = False) -> dict[str, DataFrame]:
     """A1/A2/A15 + A7–A11 from ONE scan and ONE shuffle.
 
     A GROUPING SETS aggregate over ``(keys)``, ``(keys, hour_utc)``,
@@ -78,7 +79,12 @@ def listener_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     aggregate, so Spark computes (and shuffles) it once and reuses the
     exchange.  Returns ``totals``, ``hour``, ``weekday``, ``country``,
     ``platform``, ``month`` (the dimension tables carry ``plays``, ``ms``,
-    ``skips``)."""
+    ``skips``).
+
+    Catalyst pushes each table's ``grouping_id`` filter below the aggregate
+    and prunes the aggregate per consumer, which would give every consumer
+    its own scan; ``materialize=True`` writes the aggregate once
+    (``checkpoint``) so all tables read that one result."""
     d, ks = prepare(df, keys)
     d = d.withColumn("platform_cat", platform_category("platform"))
     dims = ["hour_utc", "weekday", "conn_country", "platform_cat", "year", "month"]
@@ -86,6 +92,8 @@ def listener_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
             "platform": ["platform_cat"], "month": ["year", "month"]}
     g = d.groupingSets([[*ks, *v] for v in sets.values()], *ks, *dims).agg(
         *_totals_aggs(completed_reason), F.grouping_id(*ks, *dims).alias("_gid"))
+    if materialize:
+        g = cut_lineage(g)
 
     def gid(members: list[str]) -> int:
         return sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in members)
@@ -101,16 +109,23 @@ def listener_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     return out
 
 
-def track_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> dict[str, DataFrame]:
+def track_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
+                 materialize: bool = False) -> dict[str, DataFrame]:
     """A3/A4/A16/A17 from ONE scan: per (keys, track, artist) plays, ms,
-    skips, first play; the artist table is rolled up from it (no re-scan)."""
+    skips, first play; the artist table is rolled up from it (no re-scan).
+    ``materialize=True`` checkpoints both so their many consumers share one
+    computation (see :func:`listener_tables`)."""
     d, ks = prepare(df, keys)
     tracks = d.groupBy(*ks, "track", "artist").agg(
         F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms"),
         F.count_if(F.col("skipped")).alias("skips"), F.min("ts").alias("first_ts"))
+    if materialize:
+        tracks = cut_lineage(tracks)
     artists = tracks.groupBy(*ks, "artist").agg(
         F.sum("plays").alias("plays"), F.sum("ms").alias("ms"), F.sum("skips").alias("skips"),
         F.min("first_ts").alias("first_ts"))
+    if materialize:
+        artists = cut_lineage(artists)
     return {"tracks": finish(tracks, keys), "artists": finish(artists, keys)}
 
 

@@ -120,16 +120,22 @@ def loyal_artists(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 def profile_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                    session_mode: str = "end_to_start", bucket: str = "day",
-                   hot_rows: int | None = S.HOT_KEY_ROWS) -> dict[str, DataFrame]:
+                   hot_rows: int | None = S.HOT_KEY_ROWS, materialize: bool = True) -> dict[str, DataFrame]:
     """The three passes over the plays that every profile / report piece is
     derived from: one GROUPING SETS aggregate (totals + hour / weekday /
     country / platform / month tables), one (track, artist) aggregate rolled
     up to artists, and one ordered pass (pairs + sessions); plus the
-    dominant-country time zone.  Keys column(s) included (``_all`` for ``()``)."""
+    dominant-country time zone.  Keys column(s) included (``_all`` for ``()``).
+
+    With ``materialize`` (default) each pass result is written once with a
+    reliable ``checkpoint()``: every later piece reads those compact results,
+    so the plays are scanned exactly three times (plus the hot-key count)
+    however many metrics are derived, and a lost executor does not replay the
+    passes."""
     d, ks = prepare(df, keys)
-    t = dict(A.listener_tables(d, ks))
-    t.update(A.track_tables(d, ks))
-    t.update(S.listening_sequence(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows))
+    t = dict(A.listener_tables(d, ks, materialize=materialize))
+    t.update(A.track_tables(d, ks, materialize=materialize))
+    t.update(S.listening_sequence(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows, materialize=materialize))
     dom = A.argmax(t["country"], "conn_country", "ms", ks, "dominant_country")
     t["tz"] = dom.select(*ks, "dominant_country", tz_offset("dominant_country").alias("tz_offset")).withColumn(
         "timezone", tz_label("tz_offset"))

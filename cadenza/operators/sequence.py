@@ -271,12 +271,19 @@ def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str =
 
 def listening_sequence(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
                        gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
-                       hot_rows: int | None = HOT_KEY_ROWS) -> dict[str, DataFrame]:
+                       hot_rows: int | None = HOT_KEY_ROWS, materialize: bool = False) -> dict[str, DataFrame]:
     """W2 + W3 + M21 + M25 from ONE ordered pass: the previous (track, artist,
     ts) of every play feeds both the consecutive-pair counts and the session
-    flags.  Returns ``pairs``, ``habit``, ``sessions``, ``session_stats``."""
+    flags.  Returns ``pairs``, ``habit``, ``sessions``, ``session_stats``.
+    ``materialize=True`` checkpoints the ordered rows so both consumers read
+    one computation (otherwise Catalyst plans one window pass per consumer)."""
     d, ks, split = _ordered(df, keys, bucket, hot_rows)
-    seq = finish(_prev(d, ks, split, ["track", "artist", "ts"], PLAY_ORDER, "prev"), keys)
+    seq = _prev(d.select(*ks, BUCKET, *PLAY_ORDER), ks, split, ["track", "artist", "ts"], PLAY_ORDER, "prev")
+    if materialize:  # one ordered pass for both consumers (pairs, sessions)
+        from cadenza.session import cut_lineage
+
+        seq = cut_lineage(seq)
+    seq = finish(seq, keys)
     pairs = _pairs(seq, ("track", "artist"), keys)
     flagged = _flag_sessions(seq, mode, gap_minutes).drop("prev")
     sess = _session_table(_assign_sessions(flagged, keys, split), keys)

@@ -445,6 +445,8 @@ register("M1_M28_profile_events_all", _profile_sql(None, "plays_events"))(
     lambda spark, d: _profile_spark(_events(spark, d), ALL))
 register("M1_M28_profile_lineitem", _profile_sql("user_id", "plays_lineitem"))(
     lambda spark, d: _profile_spark(_lineitem(spark, d), U))
+register("M1_M28_profile_lineitem_all", _profile_sql(None, "plays_lineitem"))(
+    lambda spark, d: _profile_spark(_lineitem(spark, d), ALL))
 register("M1_M28_profile_events_split_by_day", _profile_sql("user_id", "plays_events"))(
     lambda spark, d: _profile_spark(_events(spark, d), U, hot_rows=0))
 
