@@ -42,8 +42,13 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
     spark = get_spark(f"local[{cpus}]", app="cadenza-bench", shuffle_partitions=max(8, cpus))
     qs = catalog.queries()
-    # warm-up (class loading, codegen caches) on the smallest query
-    qs["A11_by_country"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # warm-up: every headline query once on the smallest tables, so class
+    # loading and code generation are not timed (session start-up is not
+    # timed either); then each query once at the benchmark scale.
+    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    if os.path.isdir(warm_dir):
+        for _, name in HEADLINE:
+            qs[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for label, name in HEADLINE:
         t0 = time.perf_counter()
@@ -63,6 +68,7 @@ def main() -> None:
         "sf": sf,
         "plays_events": plays,
         "cpus": cpus,
+        "warmup": "headline queries once on " + warm_dir,
         "plays_per_sec_whole_input": round(plays / times["profile_whole_input"], 1),
         "plays_per_sec_per_listener": round(plays / times["profile_per_listener"], 1),
     }))

@@ -103,7 +103,9 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
     ``weighted=False`` treats every edge as weight 1.
     """
     e, ks = prepare(edges, keys)
-    e = e.withColumn("weight", F.col("weight") if weighted else F.lit(1))
+    # the edge table feeds vertices, out-weights and the normalised edges:
+    # materialise it once instead of replaying the plan that built it
+    e = _cut(e.select(*ks, "src", "dst", (F.col("weight") if weighted else F.lit(1)).alias("weight")))
     v = vertices(e, ks)
     n = v.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
     outw = e.groupBy(*ks, "src").agg(F.sum("weight").alias("_ow"))
@@ -114,7 +116,7 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
         outw.select(*ks, F.col("src").alias("id"), F.lit(False).alias("_dangling")), [*ks, "id"], "left"
     ).select(*ks, "id", "_n", F.coalesce("_dangling", F.lit(True)).alias("_dangling")).persist(
         StorageLevel.MEMORY_AND_DISK)
-    r = _cut(vn.select(*ks, "id", "_n", "_dangling", (F.lit(1.0) / F.col("_n")).alias("rank")))
+    r = _cut(vn.select(*ks, "id", "_n", "_dangling", (F.lit(1.0) / F.col("_n")).alias("rank")).repartition(*ks, "id"))
     rounds = iterations if iterations is not None else max_iter
     for i in range(rounds):
         contrib = en.join(r.select(*ks, F.col("id").alias("src"), "rank"), [*ks, "src"]).groupBy(
@@ -126,7 +128,9 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
             (F.lit(damping) * F.coalesce("_c", F.lit(0.0))
              + F.lit(damping) * F.coalesce("_dm", F.lit(0.0)) / F.col("_n")
              + F.lit(1.0 - damping) / F.col("_n")).alias("rank"))
-        new = _cut(new) if (i + 1) % checkpoint_every == 0 or i + 1 == rounds else new
+        new = new.repartition(*ks, "id")  # checkpoints keep this partitioning for the next round's joins
+        new = (_cut(new) if (i + 1) % checkpoint_every == 0 or i + 1 == rounds
+               else new.persist(StorageLevel.MEMORY_AND_DISK))
         if iterations is None:
             worst = new.groupBy(*ks).agg(
                 (F.sum(F.abs(F.col("rank") - F.col("_old"))) - F.first("_n") * F.lit(tol)).alias("_gap")
@@ -147,7 +151,7 @@ def pagerank_unweighted(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, rese
     ``x' = reset + (1 - reset) * sum(x[u] / outdeg(u))``, then scaled so the
     ranks of each graph sum to N."""
     e, ks = prepare(edges, keys)
-    e = e.select(*ks, "src", "dst").distinct()
+    e = _cut(e.select(*ks, "src", "dst").distinct())
     v = vertices(e, ks)
     outd = e.groupBy(*ks, "src").agg(F.count(F.lit(1)).alias("_od"))
     en = e.join(outd, [*ks, "src"]).select(*ks, "src", "dst", (F.lit(1.0) / F.col("_od")).alias("_p")).repartition(
@@ -181,7 +185,7 @@ def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_it
     after ``max_iter`` rounds.  ``self_vote=False`` is the GraphFrames form
     (which may oscillate)."""
     e, ks = prepare(edges, keys)
-    nb = undirected_neighbours(e, ks).repartition(*ks, "b").persist(StorageLevel.MEMORY_AND_DISK)
+    nb = _cut(undirected_neighbours(e, ks).repartition(*ks, "b"))
     lab = _cut(vertices(e, ks).select(*ks, "id", F.col("id").alias("label")))
     for i in range(max_iter):
         votes = nb.join(lab.select(*ks, F.col("id").alias("b"), "label"), [*ks, "b"]).select(
@@ -198,7 +202,6 @@ def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_it
         lab = new.drop("_old")
         if changed == 0:
             break
-    nb.unpersist()
     return finish(lab, keys)
 
 
@@ -207,7 +210,7 @@ def components(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int
     """Weakly connected components; ``component`` = smallest vertex id of
     the component (min-label propagation to a fixpoint)."""
     e, ks = prepare(edges, keys)
-    nb = undirected_neighbours(e, ks).repartition(*ks, "b").persist(StorageLevel.MEMORY_AND_DISK)
+    nb = _cut(undirected_neighbours(e, ks).repartition(*ks, "b"))
     comp = _cut(vertices(e, ks).select(*ks, "id", F.col("id").alias("component")))
     for i in range(max_iter):
         cand = nb.join(comp.select(*ks, F.col("id").alias("b"), "component"), [*ks, "b"]).groupBy(
@@ -220,7 +223,6 @@ def components(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int
         comp = new.drop("_old")
         if changed == 0:
             break
-    nb.unpersist()
     return finish(comp, keys)
 
 

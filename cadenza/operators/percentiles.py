@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import constants as C
+from cadenza.session import cut_lineage
 
 RANK_BUCKETS = 256
 
@@ -83,8 +84,11 @@ def count_below(values: DataFrame, group: Sequence[str] = ("metric",), value: st
 
 def percentiles(pool: DataFrame, id_cols: Sequence[str] = ("user_id",),
                 metrics: Sequence[str] = tuple(C.METRIC_KEYS)) -> DataFrame:
-    """Every pool member's percentile on every metric (long format)."""
-    long = to_long(pool, id_cols, metrics)
+    """Every pool member's percentile on every metric (long format).
+
+    The long table is read by several consumers (ranking, join back), so it
+    is materialised once instead of re-running the plan that built the pool."""
+    long = cut_lineage(to_long(pool, id_cols, metrics))
     below = count_below(long)
     pct = F.when(F.col("total") < 2, F.lit(C.PERCENTILE_SMALL_POOL)).otherwise(
         F.lit(100.0) * F.col("below") / F.col("total"))
@@ -98,7 +102,7 @@ def percentiles_against(users: DataFrame, pool: DataFrame, id_cols: Sequence[str
     The users' values enter the ranking with weight 0, so they are positioned
     among the pool values without counting themselves (no theta join)."""
     pool_long = to_long(pool, [], metrics).withColumn("_w", F.lit(1))
-    user_long = to_long(users, id_cols, metrics)
+    user_long = cut_lineage(to_long(users, id_cols, metrics))
     both = pool_long.unionByName(user_long.select("metric", "value", F.lit(0).alias("_w")))
     below = count_below(both, weight="_w")
     pct = F.when(F.col("total") < 2, F.lit(C.PERCENTILE_SMALL_POOL)).otherwise(
