@@ -198,19 +198,28 @@ def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
         F.count(F.lit(1)).alias("new_tracks"))
     nov = t["month"].join(new_m, [*ks, "year", "month"], "left").groupBy(*ks).agg(
         F.avg(pct(F.coalesce(F.col("new_tracks"), F.lit(0)), F.col("plays"))).alias("music_novelty_rate_pct"))
-    distinct = tracks.groupBy(*ks).agg(F.count(F.lit(1)).alias("unique_tracks")).join(
-        artists.groupBy(*ks).agg(F.count(F.lit(1)).alias("unique_artists")), ks)
-    ent = A.entropy(artists, "plays", ks, "artist_diversity_entropy")
-    loyal = A.top_k(artists, "ms", C.LOYALTY_TOP_ARTISTS, ks, tiebreak=["artist"]).groupBy(*ks).agg(
-        F.sum("plays").alias("top_artist_plays"))
-    song = A.top_k(tracks, "ms", 1, ks, tiebreak=["track", "artist"]).select(
-        *ks, F.col("plays").alias("top_song_plays"), hours("ms").alias("top_song_hours"))
+    # one aggregate over tracks: distinct tracks + top song (ms desc, then
+    # track, artist asc: the same order as the top-k lists)
+    track_stats = tracks.groupBy(*ks).agg(
+        F.count(F.lit(1)).alias("unique_tracks"),
+        F.min_by(F.struct("plays", "ms"),
+                 F.struct((-F.col("ms")).alias("m"), F.col("track"), F.col("artist"))).alias("_top"),
+    ).select(*ks, "unique_tracks", F.col("_top.plays").alias("top_song_plays"),
+             hours(F.col("_top.ms")).alias("top_song_hours"))
+    # one aggregate over artists: distinct artists, entropy sums, loyal artists
     since = F.expr(f"timestampdiff(MICROSECOND, first_ts, last_ts) div {A.DAY_MICROS}")
-    loyal5 = join_per_key(artists, t["totals"].select(*ks, "last_ts"), ks, keys).groupBy(*ks).agg(
+    c = F.col("plays").cast("double")
+    artist_stats = join_per_key(artists, t["totals"].select(*ks, "last_ts"), ks, keys).groupBy(*ks).agg(
+        F.count(F.lit(1)).alias("unique_artists"),
+        F.sum(c).alias("_n"), F.sum(c * F.log2(c)).alias("_s"),
         F.count_if((since >= C.LOYAL_ARTIST_DAYS) & (F.col("plays") >= C.LOYAL_ARTIST_MIN_PLAYS)).alias(
-            "loyal_artists_5yr"))
-    parts = [distinct, ent, tz, night, mobile, nov, loyal, song,
-             t["habit"].select(*ks, "habit_loop_score_pct"), t["session_stats"], countries, loyal5]
+            "loyal_artists_5yr"),
+    ).select(*ks, "unique_artists", "loyal_artists_5yr",
+             (F.log2("_n") - F.col("_s") / F.col("_n")).alias("artist_diversity_entropy"))
+    loyal = A.top_k(artists, "ms", C.LOYALTY_TOP_ARTISTS, ks, tiebreak=["artist"]).groupBy(*ks).agg(
+        F.sum("plays").alias("top_artist_plays"))
+    parts = [track_stats, artist_stats, tz, night, mobile, nov, loyal,
+             t["habit"].select(*ks, "habit_loop_score_pct"), t["session_stats"], countries]
     p = t["totals"]
     for part in parts:
         p = p.join(part, ks, "left")
