@@ -99,6 +99,17 @@ def test_every_vertex_in_one_component_and_community(spark):
     v = G.vertices(e).count()
     for df in (G.components(e), G.label_propagation(e)):
         assert df.count() == v and df.select("id").distinct().count() == v
+    star = {r.id: r.component for r in G.components(e).collect()}
+    prop = {r.id: r.component for r in G.components(e, method="propagate").collect()}
+    assert star == prop
+
+
+def test_components_on_a_long_chain(spark):
+    """A path of 200 vertices: star rounds stay few, result = one component."""
+    ids = [f"v{i:04d}" for i in range(200)]
+    e = spark.createDataFrame([(ids[i + 1], ids[i], 1) for i in range(199)], "src string, dst string, weight bigint")
+    comps = G.components(e).select("component").distinct().collect()
+    assert [r.component for r in comps] == ["v0000"]
 
 
 def test_count_below_brute_force_with_hot_value(spark):
