@@ -57,15 +57,23 @@ _SQL = {
 }
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names) -> None:  # noqa: ANN001
-    for n in names:
-        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+def _parameterised(sql: str, tables) -> str:  # noqa: ANN001
+    """The shared SQL text with ``{table}`` references for ``spark.sql(**dfs)``."""
+    import re
+
+    for t in tables:
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+    return sql
 
 
 def raw_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The raw (uncleaned) play-shaped rows of fixture ``name``."""
-    register_tables(spark, sf_dir, _TABLES[name])
-    return spark.sql(_SQL[name])
+    """The raw (uncleaned) play-shaped rows of fixture ``name``.
+
+    The test tables are passed to ``spark.sql`` as DataFrame arguments, so no
+    session-wide temporary view is created or replaced."""
+    tables = _TABLES[name]
+    dfs = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    return spark.sql(_parameterised(_SQL[name], tables), **dfs)
 
 
 def plays(spark: SparkSession, sf_dir: str, name: str = "plays_events") -> DataFrame:
