@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # remove checkpoint files once their DataFrames are garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # map-side merge of session windows before the shuffle on the keys
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
