@@ -51,6 +51,9 @@ def get_spark(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if not _configured_checkpoint_dir(spark):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3) for cluster runs")
+        # local tests / bench only: a private folder on this machine
         local = tempfile.mkdtemp(prefix="cadenza-ckpt-")
         spark.conf.set("spark.checkpoint.dir", local)
         spark.sparkContext.setCheckpointDir(local)
