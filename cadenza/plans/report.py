@@ -21,6 +21,7 @@ from cadenza.operators import metrics as M
 from cadenza.operators import rules as R
 from cadenza.operators.keys import DEFAULT_KEYS, finish, prepare
 from cadenza.operators.rules import DISPLAY_DIGITS
+from cadenza.session import cut_lineage
 
 
 def _listed(df: DataFrame, ks: list[str], order: str, fields: Sequence[Column | str], name: str) -> DataFrame:
@@ -39,7 +40,9 @@ def report(plays: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     :func:`metrics.profile_tables` (no further scans of the plays)."""
     d, ks = prepare(plays, keys)
     t = M.profile_tables(d, ks)
-    prof = M.user_profile(d, ks, tables=t)
+    # one row per key, read by five consumers (display, badges, levels,
+    # archetype, radar): written once instead of re-assembled by each
+    prof = cut_lineage(M.user_profile(d, ks, tables=t))
     shown = R.displayed(prof)
     h2 = lambda c: F.bround(F.col(c), 2)
     h1 = lambda c: F.bround(F.col(c), 1)
