@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import constants as C
-from cadenza.functions.expressions import hours, micros_between, platform_category
+from cadenza.functions.expressions import hours, platform_category
 from cadenza.operators.keys import DEFAULT_KEYS, finish, prepare
 from cadenza.session import cut_lineage
 

@@ -98,14 +98,3 @@ def cut_lineage(df):  # noqa: ANN001, ANN201 - DataFrame in, DataFrame out
     (and survive losing the executors that computed it)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def ensure_dir(path: str) -> None:
-    if path.startswith("file:"):
-        path = path[5:]
-    if path.startswith("/"):
-        os.makedirs(path, exist_ok=True)

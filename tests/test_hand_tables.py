@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from cadenza.operators import aggregates as A
 from cadenza.operators import graph as G
