@@ -6,7 +6,6 @@ Library operators never build a session themselves: callers pass ``spark``.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
