@@ -129,13 +129,16 @@ def profile_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
     With ``materialize`` (default) each pass result is written once with a
     reliable ``checkpoint()``: every later piece reads those compact results,
-    so the plays are scanned exactly three times (plus the hot-key count)
-    however many metrics are derived, and a lost executor does not replay the
-    passes."""
+    so the plays are scanned exactly three times however many metrics are
+    derived (the hot-key check reads the materialised totals), and a lost
+    executor does not replay the passes."""
     d, ks = prepare(df, keys)
     t = dict(A.listener_tables(d, ks, materialize=materialize))
     t.update(A.track_tables(d, ks, materialize=materialize))
-    t.update(S.listening_sequence(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows, materialize=materialize))
+    # plays per key are already in the (materialised) totals: no extra scan
+    counts = t["totals"].select(*ks, "total_plays") if materialize else None
+    t.update(S.listening_sequence(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows,
+                                  materialize=materialize, counts=counts))
     dom = A.argmax(t["country"], "conn_country", "ms", ks, "dominant_country")
     t["tz"] = dom.select(*ks, "dominant_country", tz_offset("dominant_country").alias("tz_offset")).withColumn(
         "timezone", tz_label("tz_offset"))

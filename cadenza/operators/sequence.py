@@ -49,25 +49,29 @@ def _single_bucket() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, hot_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, hot_rows: int = HOT_KEY_ROWS,
+             counts: DataFrame | None = None) -> DataFrame | None:
     """Keys with more than ``hot_rows`` plays (at most ``N / hot_rows`` rows),
-    materialised in the checkpoint folder; ``None`` when there is none."""
+    materialised in the checkpoint folder; ``None`` when there is none.
+    ``counts`` (keys + ``total_plays``, e.g. the listener totals already
+    computed) saves the counting scan over the plays."""
     from cadenza.session import cut_lineage
 
     d, ks = prepare(df, keys)
-    hot = cut_lineage(d.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-                      .filter(F.col("_n") > hot_rows).select(*ks, F.lit(True).alias("_hot")))
+    if counts is None:
+        counts = d.groupBy(*ks).agg(F.count(F.lit(1)).alias("total_plays"))
+    hot = cut_lineage(counts.filter(F.col("total_plays") > hot_rows).select(*ks, F.lit(True).alias("_hot")))
     return hot if hot.limit(1).count() > 0 else None
 
 
-def _ordered(df: DataFrame, keys: Sequence[str], bucket: str, hot_rows: int | None
-             ) -> tuple[DataFrame, list[str], bool]:
+def _ordered(df: DataFrame, keys: Sequence[str], bucket: str, hot_rows: int | None,
+             counts: DataFrame | None = None) -> tuple[DataFrame, list[str], bool]:
     """Prepared plays with the bucket column; ``split`` tells whether any key
     is split into several buckets (``hot_rows=0`` splits every key)."""
     d, ks = prepare(df, keys)
     if hot_rows is not None and hot_rows <= 0:
         return d.withColumn(BUCKET, F.date_trunc(bucket, F.col("ts"))), ks, True
-    hot = hot_keys(d, ks, hot_rows if hot_rows is not None else HOT_KEY_ROWS)
+    hot = hot_keys(d, ks, hot_rows if hot_rows is not None else HOT_KEY_ROWS, counts)
     if hot is None:
         return d.withColumn(BUCKET, _single_bucket()), ks, False
     d = d.join(F.broadcast(hot), ks, "left")  # bounded: at most N / hot_rows keys
@@ -271,13 +275,14 @@ def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str =
 
 def listening_sequence(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
                        gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
-                       hot_rows: int | None = HOT_KEY_ROWS, materialize: bool = False) -> dict[str, DataFrame]:
+                       hot_rows: int | None = HOT_KEY_ROWS, materialize: bool = False,
+                       counts: DataFrame | None = None) -> dict[str, DataFrame]:
     """W2 + W3 + M21 + M25 from ONE ordered pass: the previous (track, artist,
     ts) of every play feeds both the consecutive-pair counts and the session
     flags.  Returns ``pairs``, ``habit``, ``sessions``, ``session_stats``.
     ``materialize=True`` checkpoints the ordered rows so both consumers read
     one computation (otherwise Catalyst plans one window pass per consumer)."""
-    d, ks, split = _ordered(df, keys, bucket, hot_rows)
+    d, ks, split = _ordered(df, keys, bucket, hot_rows, counts)
     seq = _prev(d.select(*ks, BUCKET, *PLAY_ORDER), ks, split, ["track", "artist", "ts"], PLAY_ORDER, "prev")
     if materialize:  # one ordered pass for both consumers (pairs, sessions)
         from cadenza.session import cut_lineage
