@@ -174,6 +174,17 @@ def read_plays(
     them once with :func:`write_plays` and scan the Parquet afterwards.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if not paths:
+        return spark.createDataFrame([], PLAY_SCHEMA)  # no exports: empty typed table
+    try:
+        return _read_plays(spark, paths, fmt, multiline)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return spark.createDataFrame([], PLAY_SCHEMA)
+        raise
+
+
+def _read_plays(spark: SparkSession, paths: list[str], fmt: str, multiline: bool) -> DataFrame:
     if fmt == "json":
         raw = spark.read.schema(EXPORT_SCHEMA).option("multiLine", multiline).json(paths)
     elif fmt == "parquet":

@@ -132,3 +132,10 @@ def test_streaming_sessions_match_batch(spark, events_small):
     want = S.sessions(events_small, ("user_id",), "end_to_end")
     q.stop()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_no_exports_give_an_empty_typed_table(spark):
+    missing = scratch_path(spark, "none") + "/*.json"
+    df = schema.read_plays(spark, missing)
+    assert df.count() == 0 and df.schema == schema.PLAY_SCHEMA
+    assert schema.read_plays(spark, []).count() == 0
