@@ -768,10 +768,32 @@ register("T3_W5_top_pagerank", f"WITH {_edges_cte()},\n{_pagerank_ctes(20)}\nSEL
         "position", "id", _r9("rank")))
 
 
-@register("G2_pagerank_converged")
+def _pagerank_converged_ctes(max_iter: int = C.PAGERANK_MAX_ITER, tol: float = C.PAGERANK_TOL) -> str:
+    """Unrolled rounds with a carried "converged" flag: once the L1 change of
+    a round is below N * tol the ranks stay as they are (the Spark loop stops
+    at that round)."""
+    base = _pagerank_ctes(0).replace("r0 AS MATERIALIZED (SELECT id, 1.0 / (SELECT n FROM nn) AS r FROM v)",
+                                     "r0 AS MATERIALIZED (SELECT id, 1.0 / (SELECT n FROM nn) AS r, false AS done FROM v)")
+    parts = [base]
+    for i in range(1, max_iter + 1):
+        p = f"r{i - 1}"
+        parts.append(
+            f"s{i} AS MATERIALIZED (SELECT vd.id, 0.85 * coalesce(c.s, 0) + 0.85 * (SELECT coalesce(sum(x.r), 0) FROM {p} x "
+            f"JOIN vd y USING (id) WHERE y.dangling) / (SELECT n FROM nn) + 0.15 / (SELECT n FROM nn) AS r FROM vd LEFT JOIN "
+            f"(SELECT ep.dst AS id, sum({p}.r * ep.p) AS s FROM ep JOIN {p} ON ep.src = {p}.id GROUP BY ep.dst) c USING (id))")
+        parts.append(
+            f"r{i} AS MATERIALIZED (SELECT q.id, CASE WHEN q.done THEN q.r ELSE t.r END AS r, q.done OR "
+            f"(SELECT sum(abs(a.r - b.r)) FROM s{i} a JOIN {p} b USING (id)) < (SELECT n FROM nn) * {tol!r} AS done "
+            f"FROM {p} q JOIN s{i} t USING (id))")
+    return ",\n".join(parts)
+
+
+@register("G2_pagerank_converged",
+          f"WITH {_edges_cte()},\n{_pagerank_converged_ctes()}\nSELECT id, round(r, 9) AS rank FROM r{C.PAGERANK_MAX_ITER}")
 def q_pr_conv(spark, d):
-    """Weighted PageRank to tolerance (rows-only; sums to 1 per graph)."""
-    return G.pagerank(_item_edges(spark, d))
+    """Weighted PageRank to tolerance (stops at the first round whose L1
+    change is below N * tol)."""
+    return G.pagerank(_item_edges(spark, d)).select("id", _r9("rank"))
 
 
 def _graphx_ctes(iters: int) -> str:
