@@ -98,8 +98,10 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
     """Weighted PageRank, ranks sum to 1 per graph.
 
     ``x' = d * sum(x[u] * w(u,v) / outw(u)) + d * dangling_mass / N + (1-d) / N``.
-    Stops when every graph's L1 change is below ``N * tol`` (or after
-    ``max_iter`` rounds); ``iterations`` runs exactly that many rounds.
+    Each graph keeps the ranks of the first round whose L1 change is below
+    ``N * tol`` (graphs of one table converge independently); the loop ends
+    when all have converged or after ``max_iter`` rounds.  ``iterations``
+    runs exactly that many rounds.
     ``weighted=False`` treats every edge as weight 1.
     """
     e, ks = prepare(edges, keys)
@@ -116,28 +118,32 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
         outw.select(*ks, F.col("src").alias("id"), F.lit(False).alias("_dangling")), [*ks, "id"], "left"
     ).select(*ks, "id", "_n", F.coalesce("_dangling", F.lit(True)).alias("_dangling")).persist(
         StorageLevel.MEMORY_AND_DISK)
-    r = _cut(vn.select(*ks, "id", "_n", "_dangling", (F.lit(1.0) / F.col("_n")).alias("rank")).repartition(*ks, "id"))
+    r = _cut(vn.select(*ks, "id", "_n", "_dangling", (F.lit(1.0) / F.col("_n")).alias("rank"),
+                       F.lit(False).alias("_done")).repartition(*ks, "id"))
     rounds = iterations if iterations is not None else max_iter
     for i in range(rounds):
         contrib = en.join(r.select(*ks, F.col("id").alias("src"), "rank"), [*ks, "src"]).groupBy(
             *ks, F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("_p")).alias("_c"))
         dm = r.filter("_dangling").groupBy(*ks).agg(F.sum("rank").alias("_dm"))
-        new = join_per_key(r.select(*ks, "id", "_n", "_dangling", F.col("rank").alias("_old")).join(
+        step = (F.lit(damping) * F.coalesce("_c", F.lit(0.0))
+                + F.lit(damping) * F.coalesce("_dm", F.lit(0.0)) / F.col("_n")
+                + F.lit(1.0 - damping) / F.col("_n"))
+        new = join_per_key(r.select(*ks, "id", "_n", "_dangling", "_done", F.col("rank").alias("_old")).join(
             contrib, [*ks, "id"], "left"), dm, ks, keys, "left").select(
-            *ks, "id", "_n", "_dangling", "_old",
-            (F.lit(damping) * F.coalesce("_c", F.lit(0.0))
-             + F.lit(damping) * F.coalesce("_dm", F.lit(0.0)) / F.col("_n")
-             + F.lit(1.0 - damping) / F.col("_n")).alias("rank"))
+            *ks, "id", "_n", "_dangling", "_done", "_old",
+            # a graph that has converged keeps the ranks of its converging round
+            F.when(F.col("_done"), F.col("_old")).otherwise(step).alias("rank"))
         new = new.repartition(*ks, "id")  # checkpoints keep this partitioning for the next round's joins
         new = (_cut(new) if (i + 1) % checkpoint_every == 0 or i + 1 == rounds
                else new.persist(StorageLevel.MEMORY_AND_DISK))
         if iterations is None:
-            worst = new.groupBy(*ks).agg(
-                (F.sum(F.abs(F.col("rank") - F.col("_old"))) - F.first("_n") * F.lit(tol)).alias("_gap")
-            ).agg(F.max("_gap")).first()[0]
-            r = new.drop("_old")
-            if worst is None or worst < 0:
+            # per graph: converged once its L1 change is below N * tol
+            conv = new.groupBy(*ks).agg(
+                (F.sum(F.abs(F.col("rank") - F.col("_old"))) < F.first("_n") * F.lit(tol)).alias("_conv"))
+            if conv.filter(~F.col("_conv")).limit(1).count() == 0:
+                r = new.drop("_old")
                 break
+            r = join_per_key(new.drop("_old", "_done"), conv.withColumnRenamed("_conv", "_done"), ks, keys)
         else:
             r = new.drop("_old")
     en.unpersist()

@@ -147,3 +147,15 @@ def test_profile_with_some_hot_listeners(events_mid):
     a = M.user_profile(events_mid).orderBy("user_id").collect()
     b = M.user_profile(events_mid, hot_rows=66).orderBy("user_id").collect()
     _rows_close(a, b)
+
+
+def test_pagerank_graphs_converge_independently(events_small):
+    """Per-listener graphs in one table give the same ranks as each graph
+    computed alone (each stops at its own converging round)."""
+    e = S.transitions(events_small, ("user_id",))
+    together = {(r.user_id, r.id): r["rank"] for r in G.pagerank(e, ("user_id",)).collect()}
+    users = [r.user_id for r in e.groupBy("user_id").count().orderBy(F.desc("count")).limit(3).collect()]
+    for u in users:
+        alone = G.pagerank(e.filter(F.col("user_id") == u).drop("user_id"))
+        for r in alone.collect():
+            assert together[(u, r.id)] == pytest.approx(r["rank"], abs=1e-15)
