@@ -109,7 +109,8 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "left_anti") -> DataFrame:
     """Rows of ``docs`` whose id is not (``left_semi``: is) in the one column
     of ``ids``; null ids match null ids."""
-    return docs.join(ids.toDF("_ids"), docs[id_col].eqNullSafe(F.col("_ids")), how)
+    ids = ids.toDF("_ids")
+    return docs.join(ids, docs[id_col].eqNullSafe(ids["_ids"]), how)
 
 
 def sha256_hex(text: Column) -> Column:

@@ -41,35 +41,48 @@ def removed_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                        .filter(F.col("n") > 1), "repeated")
     hits = lookup_join(rows, repeated, ["h1", "h2"], "n").withColumn(
         "own", F.col("doc_id").eqNullSafe(F.col("first_id")))
-    again = F.row_number().over(W.partitionBy("doc_id", "th", "h1", "h2").orderBy("pos")) > 1
+    again = F.dense_rank().over(W.partitionBy("doc_id", "th", "h1", "h2").orderBy("pos")) > 1
     # one exchange by document serves the numbering and the gathering below
     later = hits.repartition("doc_id", "th").withColumn("again", again).filter(~F.col("own") | F.col("again"))
     return later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW_LINES) -> DataFrame:
-    """``docs`` with the columns n_lines, n_removed and the text without the
-    lines under later windows (named ``_n_lines``, ``_n_removed``, ``_text``;
-    all other columns are carried).
-
-    Lines are what line feeds separate, blank ones included.  Null texts stay
-    null (and their count of lines), texts of fewer than three lines stay whole, a text all of
-    whose lines go becomes empty.  Rows that share doc_id count as one
-    document: each keeps its own first occurrence.  A null id is no smaller
-    than any other id.  The lines of one document stay in one row."""
-    found = removed_positions(docs, id_col, text_col, k).select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("starts").alias("_starts"))
-    joined = docs.withColumn("_h", F.xxhash64(F.col(text_col))).join(
-        found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    text = F.col(text_col)
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + F.lit(k - 1))))))
+def _deduped(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(row: struct of all columns of ``docs``, doc_id, n_lines, n_removed, text)."""
+    found = removed_positions(docs, id_col, text_col, k).withColumnsRenamed({"doc_id": "found_id", "th": "found_th"})
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"),
+                       docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("th"))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("th") == F.col("found_th")), "left")
+    text = F.col("text")
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.lit(k - 1))))))
     # one generated row each: the split lines are made once, not once per line kept
-    cut = joined.select("*", F.explode(F.array(F.struct(
-        F.when(F.col("_starts").isNotNull(), F.split(text, "\n", -1)).alias("lines"), covered.alias("covered")))).alias("_cut"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_cut.lines") - 1), F.col("_cut.covered"))
+    cut = joined.select("row", "doc_id", "text", "starts", F.explode(F.array(F.struct(
+        F.when(F.col("starts").isNotNull(), F.split(text, "\n", -1)).alias("lines"), covered.alias("covered")))).alias("cut"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("cut.lines") - 1), F.col("cut.covered"))
     return cut.select(
-        *[docs[c] for c in docs.columns],
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("_n_lines"),
-        F.when(F.col("_starts").isNull(), 0).otherwise(F.size("_cut.covered")).alias("_n_removed"),
-        F.when(F.col("_starts").isNull(), text).otherwise(
-            F.array_join(F.transform(kept, lambda i: F.get("_cut.lines", i)), "\n")).alias("_text"))
+        "row", "doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"),
+        F.when(F.col("starts").isNull(), 0).otherwise(F.size("cut.covered")).cast("long").alias("n_removed"),
+        F.when(F.col("starts").isNull(), text).otherwise(
+            F.array_join(F.transform(kept, lambda i: F.get("cut.lines", i)), "\n")).alias("text"))
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW_LINES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_removed, text (without
+    the lines under later windows).
+
+    Lines are what line feeds separate, blank ones included.  Null texts stay
+    null (and their count of lines), texts of fewer than three lines stay
+    whole, a text all of whose lines go becomes empty.  Rows that share doc_id
+    count as one document: each keeps its own first occurrence.  A null id
+    comes after all others.  The lines of one document stay in one row."""
+    return _deduped(docs, id_col, text_col, k).drop("row")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW_LINES,
+               length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the text of ``line_report``, and ``length_col``, where
+    the table has it, counting the text that is left."""
+    new = {text_col: F.col("text")}
+    if length_col in docs.columns:
+        new[length_col] = F.length("text").cast(docs.schema[length_col].dataType)
+    return _deduped(docs, id_col, text_col, k).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -57,9 +57,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"),
-        F.col("_text").alias("text"))
+    return lines.line_report(table(spark, sf_dir, "documents"))
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,8 +184,10 @@ def close_pairs(fps: DataFrame, max_bits: int = MAX_BITS, hot_bucket: int = HOT_
     def forest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(spanning_links(left["a"].to_numpy(), right["b"].to_numpy(), max_bits), columns=["a", "b"])
 
-    g = ["part", "key", "pb", "ib"]
-    dense = pp.groupby(*g).cogroup(ii.groupby(*g)).applyInPandas(forest, "a long, b long")
+    # renamed: both sides come from ``hot``, and a cogroup needs columns of their own
+    left = pp.select("a", "part", "key", "pb", "ib").toDF("a", "p_part", "p_key", "p_pb", "p_ib")
+    right = ii.select("b", "part", "key", "pb", "ib").toDF("b", "i_part", "i_key", "i_pb", "i_ib")
+    dense = left.groupby(*left.columns[1:]).cogroup(right.groupby(*right.columns[1:])).applyInPandas(forest, "a long, b long")
     return cold.union(dense).distinct()
 
 
