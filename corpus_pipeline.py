@@ -20,9 +20,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines under later three-line windows;
     n_chars counts the text that is left."""
-    done = lines.line_dedup(docs)
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)}
-    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return lines.line_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
