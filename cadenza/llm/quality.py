@@ -26,6 +26,8 @@ from cadenza.llm.common import bounded_batches, written
 
 #: Hash buckets of words; the structure features follow them.
 WORD_BUCKETS = 1 << 13
+#: Length of a document's word vector, against values of 1 for its statistics.
+WORD_SCALE = 0.3
 #: Labelled rows the model is fitted on at most: those with the smallest hash
 #: of their id among the training rows.
 TRAIN_ROWS = 16_000
@@ -72,7 +74,7 @@ def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices (ascending) and values: hashed words weighted by 1 + log of
-    their count and scaled to length one, each statistic as its value and as
+    their count and scaled to one length, each statistic as its value and as
     the bin it falls in, and a mark for texts without words."""
     text = text or ""
     words = text.split()
@@ -82,14 +84,14 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if counts:
         at = np.fromiter((crc(k.encode()) for k in counts), dtype=np.int64, count=len(counts)) % WORD_BUCKETS
         np.add.at(x, at, 1 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts))))
-        x /= np.linalg.norm(x)
+        x *= WORD_SCALE / np.linalg.norm(x)
     index = np.flatnonzero(x)
     values = x[index]
     stats = np.array(statistics(text, words, counts))
     k = len(EDGES) + 2
     base = WORD_BUCKETS + np.arange(len(STATISTICS)) * k
     extra = np.stack([base, base + 1 + np.searchsorted(EDGES, stats)], axis=1).ravel()
-    weight = np.stack([stats, np.full(len(stats), 0.5)], axis=1).ravel()
+    weight = np.stack([stats, np.ones(len(stats))], axis=1).ravel()
     index, values = np.concatenate([index, extra]), np.concatenate([values, weight])
     if not words:
         index, values = np.append(index, N_FEATURES - 1), np.append(values, 1.0)
