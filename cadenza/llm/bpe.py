@@ -8,14 +8,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe_core import ChunkCoder, PieceEncoder, Vocabulary
-from cadenza.llm.common import bounded_batches
+from cadenza.llm.common import bounded_batches, no_cycle_collector
 
-#: Characters of text that are encoded at a time.
-SLICE_CHARS = 4 << 20
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -28,17 +29,15 @@ def decode_ids(vocab: Vocabulary, ids: bytes) -> bytes:
     return b"".join(map(vocab.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _slices(texts) -> Iterator[list[str]]:
-    """Runs of texts of about SLICE_CHARS characters (a longer text is alone)."""
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > SLICE_CHARS:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about SLICE_BYTES bytes (a longer text is alone)."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -57,8 +56,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         vocab, one = Vocabulary.read(path), coder(path, pattern)
         for b in batches:
             at = 0
-            for texts in _slices(b.column("text").to_pylist()):
-                ids = one.encode(texts)
+            for texts in _slices(b.column("text")):
+                with no_cycle_collector():
+                    ids = one.encode(texts)
                 out = {"doc_id": b.column("doc_id").slice(at, len(texts)),
                        "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                        **({"ids": pa.array(ids, pa.binary())} if keep_ids else {}),

@@ -18,10 +18,13 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Entries of the pair memo and of a chunk memo, after which they start anew.
-PAIR_LIMIT, CHUNK_LIMIT = 400_000, 500_000
+#: Entries of the pair memo, after which it starts anew, and of one
+#: generation of a chunk memo.
+PAIR_LIMIT, CHUNK_LIMIT = 400_000, 300_000
 #: Chunks longer than this many characters are encoded without being kept.
 LONG_CHUNK = 200
 
@@ -113,12 +116,37 @@ class PrefixEncoder:
         return out[::-1]
 
 
+class Memo:
+    """Two generations of remembered results: when the young one is full it
+    becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, wanted: set[str], compute: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dict that has all of ``wanted``."""
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = wanted.difference(young)
+        known = new.intersection(old) if old else ()
+        for c in known:
+            young[c] = old[c]
+        missing = list(new.difference(known) if known else new)
+        for a in range(0, len(missing), 50_000):
+            part = missing[a:a + 50_000]
+            young.update(zip(part, compute(part)))
+        return young
+
+
 class PieceEncoder:
     """Ids of texts, each match of ``pattern`` encoded separately."""
 
     def __init__(self, vocab: Vocabulary, pattern: str):
         self.vocab, self.find = vocab, regex.compile(pattern).findall
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(CHUNK_LIMIT)
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
@@ -126,23 +154,28 @@ class PieceEncoder:
         ids = [whole] if whole is not None else PrefixEncoder(self.vocab, data).ids()
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return [self._piece(p) for p in pieces]
+
     def encode(self, text: str) -> bytes:
-        memo, out = self.memo, []
-        for piece in self.find(text):
-            ids = memo.get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= LONG_CHUNK:
-                    if len(memo) >= CHUNK_LIMIT:
-                        memo.clear()
-                    memo[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_chunks([text])[0]
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        return [self.encode(c) for c in chunks]
+        cut = [self.find(c) for c in chunks]
+        memo = self.memo.learn(set(chain.from_iterable(cut)), self._pieces)
+        out = [b"".join(map(memo.__getitem__, c)) for c in cut]
+        forget_long(memo, chain.from_iterable(cut))
+        return out
+
+
+def forget_long(memo: dict[str, bytes], keys: Iterable[str]) -> None:
+    for k in keys:
+        if len(k) > LONG_CHUNK:
+            memo.pop(k, None)
 
 
+#: A space before white space (Python's) or the end, in Arrow's pattern language.
+_ODD = r" ([\t-\r\x1c-\x1f\x{85}\p{Z}]|$)"
 _BOUNDARY = re.compile(r"(?= \S)")
 _RUN = re.compile(r" (?:\s|$)")
 
@@ -165,20 +198,49 @@ class ChunkCoder:
     encoded once while they are remembered."""
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], limit: int = CHUNK_LIMIT):
-        self.encode_chunks, self.limit = encode_chunks, limit
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [chunks_of(t) for t in texts]
-        memo = self.memo
-        if len(memo) >= self.limit:
-            memo.clear()
-        new = list(set(chain.from_iterable(cut)).difference(memo))
-        for a in range(0, len(new), 50_000):
-            part = new[a:a + 50_000]
-            memo.update(zip(part, self.encode_chunks(part)))
-        out = [b"".join(map(memo.__getitem__, c)) for c in cut]
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del memo[c]
+        self.encode_chunks = encode_chunks
+        self.memo = Memo(limit)
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        wanted = set(chunks)
+        memo = self.memo.learn(wanted, self.encode_chunks)
+        out = list(map(memo.__getitem__, chunks))
+        forget_long(memo, wanted)
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Texts are cut and their chunks numbered by Arrow; Python sees each
+        distinct chunk of the call once, and the ids are put together by one
+        gather.  Texts in which a space comes before white space or the end
+        are cut by ``chunks_of`` instead."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        odd = pc.match_substring_regex(texts, _ODD)
+        parts = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        offsets = parts.offsets.to_numpy()
+        offsets = offsets - offsets[0] if len(offsets) else offsets
+        numbered = pc.dictionary_encode(parts.flatten())
+        index = numbered.indices.to_numpy().astype(np.int64)
+        heads = offsets[:-1]                              # the first part of a text has no space before it
+        first = pc.list_element(parts, 0).to_pylist() if len(parts) else []
+        words = numbered.dictionary
+        after = np.zeros(len(words), dtype=bool)
+        rest = np.ones(len(index), dtype=bool)
+        rest[heads] = False
+        after[index[rest]] = True
+        later = self._ids([" " + w for w in words.filter(pa.array(after)).to_pylist()])
+        begin = self._ids([w for w in first if w])
+        place = np.cumsum(after) - 1
+        at = place[index]
+        has = np.array([bool(w) for w in first], dtype=bool)
+        at[heads] = np.where(has, len(later) + np.cumsum(has) - 1, len(later) + len(begin))
+        entries = [*later, *begin, b""]
+        size = np.array([len(e) // 4 for e in entries], dtype=np.int64)
+        data = np.frombuffer(b"".join(entries), dtype="<u4")
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = data[np.repeat((np.cumsum(size) - size)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        stop = (4 * np.concatenate([[0], ends])[offsets]).tolist()
+        out = [ids[a:b] for a, b in zip(stop, stop[1:])]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[k] = b"".join(self._ids(chunks_of(texts[int(k)].as_py())))
         return out

@@ -9,7 +9,9 @@ names, are carried or ignored but never read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gc
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+@contextmanager
+def no_cycle_collector() -> Iterator[None]:
+    """Inside, Python frees objects by their reference counts alone: the
+    encoders make millions of strings and no cycles, and the collector would
+    walk them again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str,
                 how: str = "inner") -> DataFrame:
     """Join ``left`` with ``right`` (one row per key; its column ``n`` counts

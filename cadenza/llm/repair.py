@@ -35,6 +35,18 @@ class Grammar:
         out[rule] = self.lengths[symbols[rule] - self.base]
         return out
 
+    def flat(self, symbols: np.ndarray) -> np.ndarray:
+        """Expansion by one gather from a table of all rules' expansions."""
+        if not len(self.rules):
+            return symbols.astype(np.uint32)
+        rules = np.arange(self.base, self.base + len(self.rules), dtype=np.uint32)
+        known = np.concatenate([np.arange(self.base, dtype=np.uint32), self.expand(rules)])
+        size = np.concatenate([np.ones(self.base, dtype=np.int64), self.lengths.astype(np.int64)])
+        first = np.cumsum(size) - size
+        n = size[symbols]
+        ends = np.cumsum(n)
+        return known[np.repeat(first[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         while len(symbols):
             rule = symbols >= self.base
@@ -51,7 +63,7 @@ class Grammar:
     def decode(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids [start, stop): only the symbols that cover them are expanded."""
         if start == 0 and stop is None:
-            return self.expand(self.sequence)
+            return self.flat(self.sequence)
         ends = np.cumsum(self.symbol_lengths(self.sequence))
         stop = int(ends[-1]) if stop is None and len(ends) else (stop or 0)
         if stop <= start:
@@ -62,51 +74,59 @@ class Grammar:
 
 
 def _hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BITS)
+    return ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BITS)).astype(np.int64)
 
 
 def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, per_round: int = RULES_PER_ROUND) -> Grammar:
+    """Pairs are counted by hash slot: a slot that is frequent proposes one of
+    its pairs, whose places are then counted exactly; another pair of the slot
+    has its chance in a later round."""
     seq = np.ascontiguousarray(ids, dtype=np.uint32)
     rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
+    lengths = np.empty(0, dtype=np.uint32)
+    pair_of = np.empty(1 << _BITS, dtype=np.uint64)
     n_rules = 0
     while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
         h = _hash(left, right)
         may = np.flatnonzero((np.bincount(h, minlength=1 << _BITS) >= min_count)[h])
+        if not len(may):
+            break
+        slots = h[may]
         codes = left[may].astype(np.uint64) << np.uint64(32) | right[may]
-        ordered = np.sort(codes)
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.empty(0, int)
-        counts = np.diff(np.append(edge, len(ordered)))
+        pair_of[slots] = codes
+        proposed = pair_of[slots] == codes
+        may, slots = may[proposed], slots[proposed]
+        counts = np.bincount(slots, minlength=1 << _BITS)
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
             break
         often = often[np.argsort(-counts[often], kind="stable")][:per_round]
-        pairs = ordered[edge[often]]
-        # rank of the pair at every place; a hash slot belongs to its most frequent pair
-        slot = np.full(1 << _BITS, len(pairs), dtype=np.int32)
-        hp = _hash((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
-        slot[hp[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        rank = slot[h[may]]
-        rank[np.append(pairs, np.uint64(0))[rank] != codes] = len(pairs)
-        full = np.full(len(seq) + 1, len(pairs), dtype=np.int32)
-        full[may + 1] = rank
+        rank_of = np.full(1 << _BITS, len(often), dtype=np.int32)
+        rank_of[often] = np.arange(len(often), dtype=np.int32)
+        full = np.full(len(seq) + 1, len(often), dtype=np.int32)
+        full[may + 1] = rank_of[slots]
         mid = full[1:-1]
-        take = np.flatnonzero((mid < len(pairs)) & (mid < full[:-2]) & (mid <= full[2:]))
+        # of overlapping pairs the more frequent one, of a run of equal ones every second
+        take = np.flatnonzero((mid < len(often)) & (mid <= full[:-2]) & (mid <= full[2:]))
+        k = np.arange(len(take))
+        first = np.maximum.accumulate(np.where(np.diff(take, prepend=-2) == 1, 0, k)) if len(take) else k
+        take = take[(k - first) % 2 == 0]
         if len(take) < LEAST_GAIN * len(seq):
             break
-        used, new = np.unique(mid[take], return_inverse=True)
-        made = pairs[used]
+        ranks = mid[take]
+        used = np.flatnonzero(np.bincount(ranks, minlength=len(often)))
+        symbol = np.empty(len(often), dtype=np.uint32)
+        symbol[used] = np.arange(len(used), dtype=np.uint32) + np.uint32(base + n_rules)
+        made = pair_of[often[used]]
         two = np.stack([(made >> np.uint64(32)).astype(np.uint32), made.astype(np.uint32)], axis=1)
-        so_far = np.concatenate(lengths) if lengths else np.empty(0, dtype=np.uint32)
-        two_len = np.where(two >= base, np.append(so_far, np.uint32(0))[np.where(two >= base, two - np.uint32(base), len(so_far))], 1)
+        of = np.where(two >= base, two - np.uint32(base), np.uint32(len(lengths)))
         rules.append(two)
-        lengths.append(two_len.sum(axis=1).astype(np.uint32))
+        lengths = np.concatenate([lengths, np.append(lengths, np.uint32(1))[of].sum(axis=1).astype(np.uint32)])
         seq = seq.copy()
-        seq[take] = base + n_rules + new
+        seq[take] = symbol[ranks]
         keep = np.ones(len(seq), dtype=bool)
         keep[take + 1] = False
         seq = seq[keep]
-        n_rules += len(two)
-    return Grammar(base, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32),
-                   np.concatenate(lengths) if lengths else np.empty(0, np.uint32), seq)
+        n_rules += len(used)
+    return Grammar(base, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), lengths, seq)

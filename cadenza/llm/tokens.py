@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.llm.bpe import _slices
-from cadenza.llm.bpe_core import ChunkCoder
-from cadenza.llm.common import bounded_batches
+from cadenza.llm.bpe_core import CHUNK_LIMIT, ChunkCoder, Memo, forget_long
+from cadenza.llm.common import bounded_batches, no_cycle_collector
 from cadenza.llm.repair import Grammar, compress
 
 #: Ids after which a block ends (at the end of a document).
 BLOCK_IDS = 1 << 20
+#: Marks that may follow a word in its chunk (none is a letter, digit or space).
+_MARKS = ".,;:!?%$#&*|"
 _SCHEMA = ("shard int, block int, doc_ids array<bigint>, lengths binary, base int, rules binary, "
            "rule_lengths binary, sequence binary, n_ids long, crc32 long")
 
@@ -47,6 +49,7 @@ class _LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
+        self.memo = Memo(CHUNK_LIMIT)
         self.size = max(vocab.values()) + 1
         self.bytes_of = np.zeros(self.size, dtype=np.int64)
         for token, i in vocab.items():
@@ -57,19 +60,30 @@ class _LibraryEncoder:
         self.by_chunk = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) \
             and not pre.get("add_prefix_space")
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, list) else texts.to_pylist()
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def chunks(self, chunks: list[str], run: int = 500) -> list[bytes]:
-        out: list[bytes] = [b""] * len(chunks)
-        spaced = [i for i, c in enumerate(chunks) if c[0] == " "]
-        other = [i for i, c in enumerate(chunks) if c[0] != " "]
-        for i, ids in zip(other, self.whole([chunks[i] for i in other])):
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks: a word and the marks after it never share a match
+        (letters and marks are different runs), so they are encoded, and
+        remembered, apart."""
+        cut = [_word_and_marks(c) for c in chunks]
+        memo = self.memo.learn({x for pair in cut for x in pair if x}, self._joined)
+        out = [memo[w] + memo[m] if m else memo[w] for w, m in cut]
+        forget_long(memo, (w for w, _ in cut))
+        return out
+
+    def _joined(self, parts: list[str], run: int = 500) -> list[bytes]:
+        out: list[bytes] = [b""] * len(parts)
+        spaced = [i for i, c in enumerate(parts) if c[0] == " "]
+        other = [i for i, c in enumerate(parts) if c[0] != " "]
+        for i, ids in zip(other, self.whole([parts[i] for i in other])):
             out[i] = ids
         runs = [spaced[a:a + run] for a in range(0, len(spaced), run)]
-        for part, ids in zip(runs, self.whole(["".join(chunks[i] for i in part) for part in runs])):
+        for part, ids in zip(runs, self.whole(["".join(parts[i] for i in part) for part in runs])):
             ends = np.cumsum(self.bytes_of[np.frombuffer(ids, dtype="<u4")])
-            wanted = np.cumsum([len(chunks[i].encode()) for i in part])
+            wanted = np.cumsum([len(parts[i].encode()) for i in part])
             cut = np.searchsorted(ends, wanted)
             if not np.array_equal(ends[cut], wanted):
                 raise ValueError("tokens cross the chunks of this tokenizer")
@@ -80,6 +94,13 @@ class _LibraryEncoder:
         return out
 
 
+def _word_and_marks(chunk: str) -> tuple[str, str]:
+    word = chunk.rstrip(_MARKS)
+    if len(word) < len(chunk) and word and word[-1].isalpha():
+        return word, chunk[len(word):]
+    return chunk, ""
+
+
 @lru_cache(maxsize=2)
 def _library(path: str) -> tuple[_LibraryEncoder, ChunkCoder]:
     lib = _LibraryEncoder(path)
@@ -114,8 +135,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         shard, block, ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
             keys, at = b.column("doc_id").to_pylist(), 0
-            for texts in _slices(b.column("text").to_pylist()):
-                for x in encode(texts):
+            for texts in _slices(b.column("text")):
+                with no_cycle_collector():
+                    encoded = encode(texts)
+                for x in encoded:
                     ids.append(keys[at])
                     parts.append(x + end)
                     at += 1

@@ -10,7 +10,9 @@ from dataclasses import dataclass
 
 VERSION = b"WARC/1.1"
 _GZIP = b"\x1f\x8b\x08"
-_NEXT = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
+_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_NAME, _CONTROL = re.compile(rb"[A-Za-z0-9-]+"), re.compile(rb"[\x00-\x08\x0a-\x1f\x7f]")
+_MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _STEP = 1 << 14                           # bytes handed to the decompressor at a time
 _DATE = "2000-01-01T00:00:00Z"            # pages carry no crawl time
 
@@ -31,9 +33,9 @@ class Gap:
 
 
 def _header_value(value: str) -> str:
-    """A header line holds no line breaks or blanks at its ends: these and
-    percent signs are percent-encoded."""
-    out = value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    """A header line holds no control characters or blanks at its ends: these
+    and percent signs are percent-encoded."""
+    out = re.sub(r"[%\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
     return re.sub(r"^\s+|\s+$", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), out)
 
 
@@ -78,9 +80,11 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     headers = {}
     for line in data[at:head_end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
-            raise ValueError("header without colon")
+        if not colon or not _NAME.fullmatch(name) or _CONTROL.search(value):
+            raise ValueError("not a header line")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if not _MANDATORY <= headers.keys():
+        raise ValueError("mandatory header missing")
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise ValueError("no content length")
