@@ -22,7 +22,7 @@ SLICE_BYTES = 8 << 20
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> ChunkCoder:
     """One coder per Python worker: its memo serves all tasks of the worker."""
-    return ChunkCoder(PieceEncoder(Vocabulary.read(path), pattern).encode_chunks)
+    return ChunkCoder(PieceEncoder(Vocabulary.read(path), pattern).encode_all)
 
 
 def decode_ids(vocab: Vocabulary, ids: bytes) -> bytes:

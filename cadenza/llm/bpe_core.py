@@ -24,7 +24,7 @@ import regex
 
 #: Entries of the pair memo, after which it starts anew, and of one
 #: generation of a chunk memo.
-PAIR_LIMIT, CHUNK_LIMIT = 400_000, 300_000
+PAIR_LIMIT, CHUNK_LIMIT = 400_000, 500_000
 #: Chunks longer than this many characters are encoded without being kept.
 LONG_CHUNK = 200
 
@@ -125,20 +125,28 @@ class Memo:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, wanted: set[str], compute: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-        """A dict that has all of ``wanted``."""
+    def look_up(self, keys: list[str], compute: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Results of ``keys`` (best distinct), computed where not remembered;
+        those of long keys are not kept."""
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = wanted.difference(young)
-        known = new.intersection(old) if old else ()
-        for c in known:
-            young[c] = old[c]
-        missing = list(new.difference(known) if known else new)
+        out: list = list(map(young.get, keys))
+        holes = [i for i, x in enumerate(out) if x is None]
+        missing = []
+        for i in holes:
+            known = out[i] = old.get(keys[i])
+            if known is None:
+                missing.append(i)
+            else:
+                young[keys[i]] = known
         for a in range(0, len(missing), 50_000):
             part = missing[a:a + 50_000]
-            young.update(zip(part, compute(part)))
-        return young
+            for i, x in zip(part, compute([keys[i] for i in part])):
+                out[i] = x
+                if len(keys[i]) <= LONG_CHUNK:
+                    young[keys[i]] = x
+        return out
 
 
 class PieceEncoder:
@@ -146,34 +154,26 @@ class PieceEncoder:
 
     def __init__(self, vocab: Vocabulary, pattern: str):
         self.vocab, self.find = vocab, regex.compile(pattern).findall
-        self.memo = Memo(CHUNK_LIMIT)
-
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.vocab.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixEncoder(self.vocab, data).ids()
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        return [self._piece(p) for p in pieces]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_chunks([text])[0]
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = [self.find(c) for c in chunks]
-        memo = self.memo.learn(set(chain.from_iterable(cut)), self._pieces)
-        out = [b"".join(map(memo.__getitem__, c)) for c in cut]
-        forget_long(memo, chain.from_iterable(cut))
-        return out
-
+        ids: list[int] = []
+        for piece in self.find(text):
+            data = piece.encode()
+            whole = self.vocab.ranks.get(data)
+            if whole is not None:
+                ids.append(whole)
+            else:
+                ids += PrefixEncoder(self.vocab, data).ids()
+        return np.array(ids, dtype="<u4").tobytes()
 
-def forget_long(memo: dict[str, bytes], keys: Iterable[str]) -> None:
-    for k in keys:
-        if len(k) > LONG_CHUNK:
-            memo.pop(k, None)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
 
 
+#: Marks that may follow a word in its chunk (none is a letter, digit or space),
+#: and the pattern that leaves the marks at a word's end alone.
+_MARKS = ".,;:!?%$#&*|"
+_BEFORE_MARKS = r"(?s)^.*?([.,;:!?%$#&*|]*)$"
 #: A space before white space (Python's) or the end, in Arrow's pattern language.
 _ODD = r" ([\t-\r\x1c-\x1f\x{85}\p{Z}]|$)"
 _BOUNDARY = re.compile(r"(?= \S)")
@@ -193,54 +193,77 @@ def chunks_of(text: str) -> list[str]:
     return [first, *out] if first else out
 
 
+def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all entries one after another, where each starts, how many it has."""
+    size = np.array([len(e) // 4 for e in entries], dtype=np.int64)
+    return np.frombuffer(b"".join(entries), dtype="<u4"), np.cumsum(size) - size, size
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries numbered by ``at`` one after another, and where each ends."""
+    n = size[at]
+    ends = np.cumsum(n)
+    return data[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class ChunkCoder:
-    """Ids (little-endian unsigned 32-bit) of many texts; distinct chunks are
-    encoded once while they are remembered."""
+    """Ids (little-endian unsigned 32-bit) of many texts.  Texts are cut into
+    chunks, and chunks into a word and the marks after it: letters and marks
+    are different runs of a byte-level pattern, so no match holds both.
+    Distinct words are encoded once while they are remembered."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], limit: int = CHUNK_LIMIT):
-        self.encode_chunks = encode_chunks
+    def __init__(self, encode_parts: Callable[[list[str]], list[bytes]], limit: int = CHUNK_LIMIT):
+        self.encode_parts = encode_parts
         self.memo = Memo(limit)
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        wanted = set(chunks)
-        memo = self.memo.learn(wanted, self.encode_chunks)
-        out = list(map(memo.__getitem__, chunks))
-        forget_long(memo, wanted)
-        return out
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return self.memo.look_up(parts, self.encode_parts)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of the chunks " " + word for distinct words."""
+        core = pc.utf8_rtrim(words, characters=_MARKS)
+        letter = pc.utf8_is_alpha(pc.utf8_slice_codeunits(core, -1))
+        core = pc.if_else(letter, core, words)
+        marks = pc.if_else(pc.equal(core, words), "", pc.replace_substring_regex(words, _BEFORE_MARKS, r"\1"))
+        core, marks = pc.dictionary_encode(core), pc.dictionary_encode(marks)
+        entries = [*self._ids([" " + w for w in core.dictionary.to_pylist()]),
+                   *[self._ids([m])[0] if m else b"" for m in marks.dictionary.to_pylist()]]
+        data, start, size = _table(entries)
+        at = np.stack([core.indices.to_numpy(), marks.indices.to_numpy() + len(core.dictionary)], axis=1).astype(np.int64)
+        data, ends = _gather(data, start, size, at.ravel())
+        ends = ends[1::2]
+        return data, np.concatenate([[0], ends[:-1]]) if len(ends) else ends, np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
-        """Texts are cut and their chunks numbered by Arrow; Python sees each
-        distinct chunk of the call once, and the ids are put together by one
-        gather.  Texts in which a space comes before white space or the end
-        are cut by ``chunks_of`` instead."""
+        """Arrow cuts the texts and numbers the chunks, Python sees each
+        distinct word of the call once, and gathers put the ids together.
+        Texts in which a space comes before white space or the end are cut by
+        ``chunks_of`` instead."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return []
         odd = pc.match_substring_regex(texts, _ODD)
         parts = pc.split_pattern(pc.if_else(odd, "", texts), " ")
-        offsets = parts.offsets.to_numpy()
-        offsets = offsets - offsets[0] if len(offsets) else offsets
-        numbered = pc.dictionary_encode(parts.flatten())
-        index = numbered.indices.to_numpy().astype(np.int64)
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
         heads = offsets[:-1]                              # the first part of a text has no space before it
-        first = pc.list_element(parts, 0).to_pylist() if len(parts) else []
-        words = numbered.dictionary
-        after = np.zeros(len(words), dtype=bool)
-        rest = np.ones(len(index), dtype=bool)
-        rest[heads] = False
-        after[index[rest]] = True
-        later = self._ids([" " + w for w in words.filter(pa.array(after)).to_pylist()])
+        first = pc.list_element(parts, 0).to_pylist()
         begin = self._ids([w for w in first if w])
-        place = np.cumsum(after) - 1
-        at = place[index]
+        flat = parts.flatten()
+        rest = np.ones(len(flat), dtype=bool)
+        rest[heads] = False
+        numbered = pc.dictionary_encode(flat.filter(pa.array(rest)))
+        data, start, size = self._words(numbered.dictionary)
+        head_data, head_start, head_size = _table([*begin, b""])
         has = np.array([bool(w) for w in first], dtype=bool)
-        at[heads] = np.where(has, len(later) + np.cumsum(has) - 1, len(later) + len(begin))
-        entries = [*later, *begin, b""]
-        size = np.array([len(e) // 4 for e in entries], dtype=np.int64)
-        data = np.frombuffer(b"".join(entries), dtype="<u4")
-        n = size[at]
-        ends = np.cumsum(n)
-        ids = data[np.repeat((np.cumsum(size) - size)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = np.empty(len(flat), dtype=np.int64)
+        at[rest] = numbered.indices.to_numpy()
+        at[heads] = len(size) + np.where(has, np.cumsum(has) - 1, len(begin))
+        ids, ends = _gather(np.concatenate([data, head_data]), np.concatenate([start, head_start + len(data)]),
+                            np.concatenate([size, head_size]), at)
+        raw = ids.tobytes()
         stop = (4 * np.concatenate([[0], ends])[offsets]).tolist()
-        out = [ids[a:b] for a, b in zip(stop, stop[1:])]
+        out = [raw[a:b] for a, b in zip(stop, stop[1:])]
         for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
             out[k] = b"".join(self._ids(chunks_of(texts[int(k)].as_py())))
         return out

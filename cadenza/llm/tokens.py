@@ -25,21 +25,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.llm.bpe import _slices
-from cadenza.llm.bpe_core import CHUNK_LIMIT, ChunkCoder, Memo, forget_long
+from cadenza.llm.bpe_core import ChunkCoder
 from cadenza.llm.common import bounded_batches, no_cycle_collector
 from cadenza.llm.repair import Grammar, compress
 
 #: Ids after which a block ends (at the end of a document).
 BLOCK_IDS = 1 << 20
-#: Marks that may follow a word in its chunk (none is a letter, digit or space).
-_MARKS = ".,;:!?%$#&*|"
 _SCHEMA = ("shard int, block int, doc_ids array<bigint>, lengths binary, base int, rules binary, "
            "rule_lengths binary, sequence binary, n_ids long, crc32 long")
 
 
 class _LibraryEncoder:
-    """The tokenizers library over chunks: chunks that start with a space are
-    joined and encoded together, for no match crosses into such a chunk; the
+    """The tokenizers library over parts of texts: parts that start with a space are
+    joined and encoded together, for no match crosses into such a part; the
     bytes of the tokens tell where each one ends."""
 
     def __init__(self, path: str):
@@ -49,7 +47,6 @@ class _LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
-        self.memo = Memo(CHUNK_LIMIT)
         self.size = max(vocab.values()) + 1
         self.bytes_of = np.zeros(self.size, dtype=np.int64)
         for token, i in vocab.items():
@@ -64,47 +61,30 @@ class _LibraryEncoder:
         texts = texts if isinstance(texts, list) else texts.to_pylist()
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks: a word and the marks after it never share a match
-        (letters and marks are different runs), so they are encoded, and
-        remembered, apart."""
-        cut = [_word_and_marks(c) for c in chunks]
-        memo = self.memo.learn({x for pair in cut for x in pair if x}, self._joined)
-        out = [memo[w] + memo[m] if m else memo[w] for w, m in cut]
-        forget_long(memo, (w for w, _ in cut))
-        return out
-
-    def _joined(self, parts: list[str], run: int = 500) -> list[bytes]:
-        out: list[bytes] = [b""] * len(parts)
-        spaced = [i for i, c in enumerate(parts) if c[0] == " "]
-        other = [i for i, c in enumerate(parts) if c[0] != " "]
-        for i, ids in zip(other, self.whole([parts[i] for i in other])):
-            out[i] = ids
-        runs = [spaced[a:a + run] for a in range(0, len(spaced), run)]
-        for part, ids in zip(runs, self.whole(["".join(parts[i] for i in part) for part in runs])):
+    def parts(self, parts: list[str], run: int = 500) -> list[bytes]:
+        spaced = [p for p in parts if p[0] == " "]
+        done = iter(self._joined([spaced[a:a + run] for a in range(0, len(spaced), run)]))
+        other = iter(self.whole([p for p in parts if p[0] != " "]) if len(spaced) < len(parts) else ())
+        return [next(done if p[0] == " " else other) for p in parts]
+
+    def _joined(self, runs: list[list[str]]) -> Iterator[bytes]:
+        texts = ["".join(part) for part in runs]
+        for part, text, ids in zip(runs, texts, self.whole(texts)):
             ends = np.cumsum(self.bytes_of[np.frombuffer(ids, dtype="<u4")])
-            wanted = np.cumsum([len(parts[i].encode()) for i in part])
+            wanted = np.cumsum(list(map(len, part)) if text.isascii() else [len(p.encode()) for p in part])
             cut = np.searchsorted(ends, wanted)
             if not np.array_equal(ends[cut], wanted):
-                raise ValueError("tokens cross the chunks of this tokenizer")
+                raise ValueError("tokens cross the parts of this tokenizer")
             at = 0
-            for i, c in zip(part, ((cut + 1) * 4).tolist()):
-                out[i] = ids[at:c]
+            for c in ((cut + 1) * 4).tolist():
+                yield ids[at:c]
                 at = c
-        return out
-
-
-def _word_and_marks(chunk: str) -> tuple[str, str]:
-    word = chunk.rstrip(_MARKS)
-    if len(word) < len(chunk) and word and word[-1].isalpha():
-        return word, chunk[len(word):]
-    return chunk, ""
 
 
 @lru_cache(maxsize=2)
 def _library(path: str) -> tuple[_LibraryEncoder, ChunkCoder]:
     lib = _LibraryEncoder(path)
-    return lib, ChunkCoder(lib.chunks)
+    return lib, ChunkCoder(lib.parts)
 
 
 def _pack(shard: int, block: int, ids: list, parts: list[bytes], base: int) -> pa.RecordBatch:

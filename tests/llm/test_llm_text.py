@@ -344,7 +344,7 @@ def test_chunks_are_safe_cuts():
         cut = chunks_of(t)
         assert "".join(cut) == t
         assert b"".join(whole.encode(c) for c in cut) == whole.encode(t), repr(t)
-    small = ChunkCoder(whole.encode_chunks, limit=3)
+    small = ChunkCoder(whole.encode_all, limit=3)
     assert [small.encode([t])[0] for t in _texts()] == [whole.encode(t) for t in _texts()]
 
 
