@@ -94,6 +94,26 @@ BADGES = [
     ("offline_warrior", "Offline Warrior", "offline_ratio_pct > 10"),
     ("creature_of_habit", "Creature of Habit", "habit_loop_score_pct > 10"),
 ]
+# Badge descriptions by badge id: text, the profile column whose
+# value stands for {} in it (None: no value), and how that value is written
+# (digits after the point; "," = with thousands separators).
+BADGE_DESCRIPTIONS = {
+    "night_owl": ("Gece dinleme > %25", None, None),
+    "marathon": ("Tek oturumda {} saat", "max_session_hours", "1"),
+    "one_track_mind": ("Bir şarkıyı {}+ saat", "top_song_hours", "0"),
+    "shuffle_addict": ("Shuffle > %80", None, None),
+    "album_purist": ("Shuffle < %20", None, None),
+    "explorer": ("{} benzersiz sanatçı", "unique_artists", ","),
+    "deep_focus": ("Odak skoru > %15", None, None),
+    "impatient": ("Erken atlama > %50", None, None),
+    "loyal_fan": ("{} sanatçıyı 5+ yıl", "loyal_artists_5yr", "0"),
+    "ghost": ("{} gizli dinleme", "incognito_plays", "0"),
+    "world_traveler": ("{} ülke", "known_countries", "0"),
+    "centurion": ("100.000+ dinleme", None, None),
+    "dedication": ("3.000+ saat", None, None),
+    "offline_warrior": ("Çevrimdışı > %10", None, None),
+    "creature_of_habit": ("Alışkanlık > %10", None, None),
+}
 LOYAL_ARTIST_DAYS = 5 * 365
 LOYAL_ARTIST_MIN_PLAYS = 20
 
@@ -116,40 +136,39 @@ XP_PER_BADGE = 50
 
 # --- fixed values: archetypes (rule, name), first match wins ---------------
 ARCHETYPES = [
-    ("night > 25 AND focus > 10", "The Night Diver"),
-    ("imp > 40 AND expl > 12", "The Restless Explorer"),
-    ("loyalty > 18 AND novelty < 7", "The Loyal Guardian"),
-    ("entropy > 10 AND expl > 8", "The Eclectic Mind"),
-    ("focus > 12 AND imp < 25", "The Deep Listener"),
-    ("imp > 35 AND novelty < 6", "The Picky Repeater"),
-    ("night > 20 AND entropy > 9", "The Midnight Wanderer"),
+    ("night_listening_ratio_pct > 25 AND focus_session_score_pct > 10", "The Night Diver"),
+    ("impatience_score_pct > 40 AND exploration_score > 12", "The Restless Explorer"),
+    ("artist_loyalty_score_pct > 18 AND music_novelty_rate_pct < 7", "The Loyal Guardian"),
+    ("artist_diversity_entropy > 10 AND exploration_score > 8", "The Eclectic Mind"),
+    ("focus_session_score_pct > 12 AND impatience_score_pct < 25", "The Deep Listener"),
+    ("impatience_score_pct > 35 AND music_novelty_rate_pct < 6", "The Picky Repeater"),
+    ("night_listening_ratio_pct > 20 AND artist_diversity_entropy > 9", "The Midnight Wanderer"),
 ]
 ARCHETYPE_DEFAULT = "The Balanced Listener"
+# Archetype descriptions.
+ARCHETYPE_DESCRIPTIONS = {
+    "The Night Diver": "Gece saatlerinde derinlere dalan, odaklı bir dinleyici.",
+    "The Restless Explorer": "Sürekli yeni şeyler arıyor, beğenmediklerini anında geçiyor.",
+    "The Loyal Guardian": "Sevdiği sanatçılara sadık, güvendiği limandan ayrılmıyor.",
+    "The Eclectic Mind": "Çok geniş bir müzik yelpazesi, türler arası rahatça geziniyor.",
+    "The Deep Listener": "Sabırlı, odaklı, şarkıları sonuna kadar dinleyen bir ruh.",
+    "The Picky Repeater": "Seçici ama keşfetmekten çok tekrar eden.",
+    "The Midnight Wanderer": "Gece saatlerinde farklı türler arasında dolaşan bir gezgin.",
+    "The Balanced Listener": "Dengeli bir dinleyici — keşfetme, sadakat ve sabır arasında denge.",
+}
 
 # --- fixed values: cluster centroid labels (rule, name), first match wins --
 CLUSTER_LABELS = [
-    ("night > 25 AND expl > 10", "Night Explorers"),
-    ("imp > 35 AND expl > 12", "Impatient Skippers"),
-    ("loyalty > 18 AND novelty < 7", "Loyal Repeaters"),
-    ("focus > 12 AND imp < 25", "Deep Listeners"),
-    ("intensity > 3 AND expl > 8", "Heavy Discoverers"),
-    ("night > 20", "Late Night Listeners"),
-    ("loyalty > 25", "Devoted Fans"),
+    ("night_listening_ratio_pct > 25 AND exploration_score > 10", "Night Explorers"),
+    ("impatience_score_pct > 35 AND exploration_score > 12", "Impatient Skippers"),
+    ("artist_loyalty_score_pct > 18 AND music_novelty_rate_pct < 7", "Loyal Repeaters"),
+    ("focus_session_score_pct > 12 AND impatience_score_pct < 25", "Deep Listeners"),
+    ("listening_intensity_h_per_day > 3 AND exploration_score > 8", "Heavy Discoverers"),
+    ("night_listening_ratio_pct > 20", "Late Night Listeners"),
+    ("artist_loyalty_score_pct > 25", "Devoted Fans"),
 ]
 CLUSTER_LABEL_DEFAULT = "Balanced Listeners"
 
-# Short names used by the archetype / cluster rules above.
-RULE_ALIASES = {
-    "night": "night_listening_ratio_pct",
-    "imp": "impatience_score_pct",
-    "expl": "exploration_score",
-    "focus": "focus_session_score_pct",
-    "loyalty": "artist_loyalty_score_pct",
-    "entropy": "artist_diversity_entropy",
-    "novelty": "music_novelty_rate_pct",
-    "intensity": "listening_intensity_h_per_day",
-}
-
 # --- fixed values: radar axes (name, metric, factor, capped at 100) --------
 RADAR_AXES = [
     ("patience", "impatience_score_pct", None, False),
@@ -176,5 +195,6 @@ DISPLAY_MIN_EDGES = 80
 KMEANS_SEED = 42
 KMEANS_K_MIN = 2
 KMEANS_K_MAX = 8
-KMEANS_RESTARTS = 20
+KMEANS_RESTARTS = 20  # starts of the final fit
+KMEANS_SWEEP_RESTARTS = 10  # starts for each k of the sweep
 KMEANS_MIN_ROWS = 4

@@ -3,8 +3,8 @@
 The scaler uses the population standard deviation (zero variance -> 0), as
 the matched behaviour does; the mean/sd of the 15 columns are one aggregate
 row (bounded).  k is chosen by silhouette (``ClusteringEvaluator``, squared
-Euclidean — Spark's default) over ``k_min..min(k_max, n-1)``; the final model
-is the lowest-cost fit over several seeds.  Only k-means centres, costs and
+Euclidean — Spark's default) over a table of diagnostics, one row per k from
+several starts each; the final model is the lowest-cost fit of more starts.  Only k-means centres, costs and
 silhouettes (bounded by k and the seed count) reach the driver.
 """
 
@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import constants as C
@@ -61,21 +61,34 @@ def _fit(data: DataFrame, k: int, seed: int) -> KMeansModel:
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
 
 
-def choose_k(scaled: DataFrame, n: int, k_min: int = C.KMEANS_K_MIN, k_max: int = C.KMEANS_K_MAX,
-             seed: int = C.KMEANS_SEED) -> tuple[int, float, list[dict]]:
-    """Silhouette sweep; best = highest silhouette, ties -> smallest k."""
-    k_hi = min(k_max, max(2, n - 1))
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    best_k, best, diags = 2, -1.0, []
-    for k in range(max(2, k_min), k_hi + 1):
-        model = _fit(scaled, k, seed)
-        if sum(1 for size in model.summary.clusterSizes if size > 0) < 2:
-            continue
-        sil = float(ev.evaluate(model.transform(scaled)))
-        diags.append({"k": k, "inertia": float(model.summary.trainingCost), "silhouette": sil})
-        if sil > best:
-            best_k, best = k, sil
-    return best_k, best, diags
+def _lowest_cost(data: DataFrame, k: int, starts: int, seed: int) -> KMeansModel:
+    return min((_fit(data, k, seed + s) for s in range(max(1, starts))), key=lambda m: m.summary.trainingCost)
+
+
+def silhouette(assigned: DataFrame) -> float:
+    """Mean silhouette of ``features`` under ``cluster``."""
+    return float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned))
+
+
+def sweep(scaled: DataFrame, n: int, k_min: int = C.KMEANS_K_MIN, k_max: int = C.KMEANS_K_MAX,
+          starts: int = C.KMEANS_SWEEP_RESTARTS, seed: int = C.KMEANS_SEED) -> list[dict]:
+    """One record per k that ``n`` rows allow: k, clusters (non-empty
+    ones), inertia and silhouette of the lowest-cost fit of ``starts`` fits
+    (null where all rows fell into one cluster)."""
+    table = []
+    for k in (k for k in range(k_min, k_max + 1) if k == 2 or 2 < k < n):
+        fit = _lowest_cost(scaled, k, starts, seed)
+        used = len([size for size in fit.summary.clusterSizes if size])
+        table.append({"k": k, "clusters": used, "inertia": float(fit.summary.trainingCost),
+                      "silhouette": silhouette(fit.transform(scaled)) if used > 1 else None})
+    return table
+
+
+def choose_k(table: list[dict]) -> tuple[int, float | None]:
+    """The k of the highest silhouette, the smallest k among equals; 2
+    when no fit of the sweep split the rows."""
+    split = sorted((-d["silhouette"], d["k"]) for d in table if d["silhouette"] is not None)
+    return (split[0][1], -split[0][0]) if split else (2, None)
 
 
 def prepare_vectors(vectors: DataFrame, id_cols: Sequence[str] = ("user_id",),
@@ -91,7 +104,7 @@ def prepare_vectors(vectors: DataFrame, id_cols: Sequence[str] = ("user_id",),
 
 
 def segment(vectors: DataFrame, id_cols: Sequence[str] = ("user_id",), k: int | None = None,
-            restarts: int = C.KMEANS_RESTARTS, k_min: int = C.KMEANS_K_MIN, k_max: int = C.KMEANS_K_MAX,
+            restarts: int = C.KMEANS_RESTARTS, sweep_restarts: int = C.KMEANS_SWEEP_RESTARTS, k_min: int = C.KMEANS_K_MIN, k_max: int = C.KMEANS_K_MAX,
             seed: int = C.KMEANS_SEED, metrics: Sequence[str] = tuple(C.METRIC_KEYS)) -> Segmentation:
     """Choose k (unless given), fit, assign, summarise clusters."""
     vec, n, stats, scaled = prepare_vectors(vectors, id_cols, metrics)
@@ -101,18 +114,30 @@ def segment(vectors: DataFrame, id_cols: Sequence[str] = ("user_id",), k: int |
     diags: list[dict] = []
     sil = None
     if k is None:
-        k, sil, diags = choose_k(scaled, n, k_min, k_max, seed)
-    models = [_fit(scaled, k, seed + i) for i in range(max(1, restarts))]  # C4
-    model = min(models, key=lambda m: m.summary.trainingCost)
+        diags = sweep(scaled, n, k_min, k_max, sweep_restarts, seed)
+        k, sil = choose_k(diags)
+    model = _lowest_cost(scaled, k, restarts, seed)  # C4
     pred = model.transform(scaled).drop("features")
-    if sil is None:
-        sil = float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(
-            model.transform(scaled)))
+    if sil is None and sum(size > 0 for size in model.summary.clusterSizes) > 1:
+        sil = silhouette(model.transform(scaled))
     clusters = cluster_summary(pred, n, metrics)
     scaled.unpersist()
     return Segmentation("ok", n, k, sil, diags, model, stats, pred, clusters)
 
 
+def status_row(spark: SparkSession, seg: Segmentation) -> DataFrame:
+    """One row: status, rows needed, rows there."""
+    return spark.createDataFrame([(seg.status, C.KMEANS_MIN_ROWS, seg.n_rows)],
+                                 "status string, min_samples_required int, current_samples long")
+
+
+def pool_status(vectors: DataFrame) -> DataFrame:
+    """The status row of a pool without fitting it."""
+    n = F.count(F.lit(1))
+    return vectors.agg(F.when(n < C.KMEANS_MIN_ROWS, "insufficient_data").otherwise("ok").alias("status"),
+                       F.lit(C.KMEANS_MIN_ROWS).alias("min_samples_required"), n.alias("current_samples"))
+
+
 def cluster_summary(assigned: DataFrame, n: int | None = None,
                     metrics: Sequence[str] = tuple(C.METRIC_KEYS)) -> DataFrame:
     """Size, share %, centroid in original units (group means) and the

@@ -5,12 +5,13 @@ pooled graph, ``keys=("user_id",)`` one graph per listener — every algorithm
 runs all graphs of the table at once, keys are part of every join key.
 
 Iterative algorithms are DataFrame loops: each round is a join of the (static,
-pre-partitioned, persisted) edge table with the current vertex state followed
-by a grouped aggregate, so hub vertices are pre-aggregated map-side.  The
-state is cut from its lineage with ``checkpoint()`` (reliable, written to the
-shared ``spark.checkpoint.dir``) so plans stay small and a lost executor does
-not replay earlier rounds.  Only per-round convergence scalars reach the
-driver.
+written or persisted) edge table with the current vertex state followed by a
+grouped aggregate, so hub vertices are pre-aggregated map-side and a hub's
+edges are not gathered in one partition beforehand (AQE can split that join).
+Every few rounds the state is cut from its lineage with ``checkpoint()``
+(reliable, written to the shared ``spark.checkpoint.dir``) so plans stay small
+and a lost executor replays a few rounds at most; the rounds between are
+persisted and released.  Only per-round convergence scalars reach the driver.
 """
 
 from __future__ import annotations
@@ -30,6 +31,33 @@ GRAPH_KEYS: tuple[str, ...] = ()
 
 
 _cut = cut_lineage
+#: Rounds between two checkpoints of an iterative operator; the rounds between
+#: are persisted and released once a later one is written.
+CHECKPOINT_EVERY = 8
+
+
+class _Rounds:
+    """State tables of a loop: every ``every``-th is checkpointed (plans stay
+    small, a lost executor replays a few rounds at most), the others are
+    persisted until the next checkpoint holds what follows from them."""
+
+    def __init__(self, every: int):
+        self.every, self.n, self.held = every, 0, []
+
+    def keep(self, df: DataFrame, last: bool = False) -> DataFrame:
+        self.n += 1
+        if last or self.n % self.every == 0:
+            out = _cut(df)
+            self.release()
+            return out
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(out)
+        return out
+
+    def release(self) -> None:
+        for x in self.held:
+            x.unpersist()
+        self.held = []
 
 
 def vertices(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS) -> DataFrame:
@@ -94,15 +122,19 @@ def summary(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS) -> DataFrame:
 # ------------------------------------------------------------------ PageRank
 def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float = C.PAGERANK_DAMPING,
              max_iter: int = C.PAGERANK_MAX_ITER, tol: float = C.PAGERANK_TOL, iterations: int | None = None,
-             weighted: bool = True, checkpoint_every: int = 1) -> DataFrame:
+             weighted: bool = True, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """Weighted PageRank, ranks sum to 1 per graph.
 
     ``x' = d * sum(x[u] * w(u,v) / outw(u)) + d * dangling_mass / N + (1-d) / N``.
     Each graph keeps the ranks of the first round whose L1 change is below
     ``N * tol`` (graphs of one table converge independently); the loop ends
-    when all have converged or after ``max_iter`` rounds.  ``iterations``
-    runs exactly that many rounds.
+    when all have converged and raises after ``max_iter`` rounds without.
+    ``iterations`` runs exactly that many rounds.
     ``weighted=False`` treats every edge as weight 1.
+
+    A round is one join of the edges with the ranks and one grouped sum; the
+    sum's partitioning by vertex serves the next round.  With fixed
+    ``iterations`` nothing runs between two checkpoints.
     """
     e, ks = prepare(edges, keys)
     # the edge table feeds vertices, out-weights and the normalised edges:
@@ -113,15 +145,14 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
     outw = e.groupBy(*ks, "src").agg(F.sum("weight").alias("_ow"))
     en = (e.join(outw, [*ks, "src"])
           .select(*ks, "src", "dst", (F.col("weight") / F.col("_ow")).alias("_p"))
-          .repartition(*ks, "src").persist(StorageLevel.MEMORY_AND_DISK))
-    vn = join_per_key(v, n, ks, keys).join(
-        outw.select(*ks, F.col("src").alias("id"), F.lit(False).alias("_dangling")), [*ks, "id"], "left"
-    ).select(*ks, "id", "_n", F.coalesce("_dangling", F.lit(True)).alias("_dangling")).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    r = _cut(vn.select(*ks, "id", "_n", "_dangling", (F.lit(1.0) / F.col("_n")).alias("rank"),
-                       F.lit(False).alias("_done")).repartition(*ks, "id"))
-    rounds = iterations if iterations is not None else max_iter
-    for i in range(rounds):
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    r = _cut(join_per_key(v, n, ks, keys).join(
+        outw.select(*ks, F.col("src").alias("id"), F.lit(False).alias("_dangling")), [*ks, "id"], "left").select(
+        *ks, "id", "_n", F.coalesce("_dangling", F.lit(True)).alias("_dangling"),
+        (F.lit(1.0) / F.col("_n")).alias("rank"), F.lit(False).alias("_done")))
+    rounds, state = iterations if iterations is not None else max_iter, _Rounds(checkpoint_every)
+    converged = iterations is not None or r.isEmpty()
+    for i in range(0 if converged and iterations is None else rounds):
         contrib = en.join(r.select(*ks, F.col("id").alias("src"), "rank"), [*ks, "src"]).groupBy(
             *ks, F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("_p")).alias("_c"))
         dm = r.filter("_dangling").groupBy(*ks).agg(F.sum("rank").alias("_dm"))
@@ -133,26 +164,29 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
             *ks, "id", "_n", "_dangling", "_done", "_old",
             # a graph that has converged keeps the ranks of its converging round
             F.when(F.col("_done"), F.col("_old")).otherwise(step).alias("rank"))
-        new = new.repartition(*ks, "id")  # checkpoints keep this partitioning for the next round's joins
-        new = (_cut(new) if (i + 1) % checkpoint_every == 0 or i + 1 == rounds
-               else new.persist(StorageLevel.MEMORY_AND_DISK))
-        if iterations is None:
-            # per graph: converged once its L1 change is below N * tol
-            conv = new.groupBy(*ks).agg(
-                (F.sum(F.abs(F.col("rank") - F.col("_old"))) < F.first("_n") * F.lit(tol)).alias("_conv"))
-            if conv.filter(~F.col("_conv")).limit(1).count() == 0:
-                r = new.drop("_old")
-                break
-            r = join_per_key(new.drop("_old", "_done"), conv.withColumnRenamed("_conv", "_done"), ks, keys)
-        else:
+        new = state.keep(new, last=i + 1 == rounds)
+        if iterations is not None:
             r = new.drop("_old")
+            continue
+        # per graph: converged once its L1 change is below N * tol
+        conv = new.groupBy(*ks).agg(
+            (F.sum(F.abs(F.col("rank") - F.col("_old"))) < F.first("_n") * F.lit(tol)).alias("_now")).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        state.held.append(conv)
+        if conv.filter(~F.col("_now")).isEmpty():
+            r, converged = new.drop("_old"), True
+            break
+        r = join_per_key(new.drop("_old", "_done"), conv.withColumnRenamed("_now", "_done"), ks, keys)
+    if not converged:
+        raise RuntimeError(f"pagerank: not converged after {max_iter} rounds")
+    out = _cut(r.select(*ks, "id", "rank"))
+    state.release()
     en.unpersist()
-    vn.unpersist()
-    return finish(r.select(*ks, "id", "rank"), keys)
+    return finish(out, keys)
 
 
 def pagerank_unweighted(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, reset: float = 0.15,
-                        iterations: int = 20, checkpoint_every: int = 1) -> DataFrame:
+                        iterations: int = 20, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """The GraphFrames/GraphX static PageRank: weights ignored, start at 1,
     ``x' = reset + (1 - reset) * sum(x[u] / outdeg(u))``, then scaled so the
     ranks of each graph sum to N."""
@@ -160,15 +194,16 @@ def pagerank_unweighted(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, rese
     e = _cut(e.select(*ks, "src", "dst").distinct())
     v = vertices(e, ks)
     outd = e.groupBy(*ks, "src").agg(F.count(F.lit(1)).alias("_od"))
-    en = e.join(outd, [*ks, "src"]).select(*ks, "src", "dst", (F.lit(1.0) / F.col("_od")).alias("_p")).repartition(
-        *ks, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    en = e.join(outd, [*ks, "src"]).select(*ks, "src", "dst", (F.lit(1.0) / F.col("_od")).alias("_p")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     r = _cut(v.select(*ks, "id", F.lit(1.0).alias("rank")))
+    state = _Rounds(checkpoint_every)
     for i in range(iterations):
         contrib = en.join(r.select(*ks, F.col("id").alias("src"), "rank"), [*ks, "src"]).groupBy(
             *ks, F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("_p")).alias("_c"))
         new = r.select(*ks, "id").join(contrib, [*ks, "id"], "left").select(
             *ks, "id", (F.lit(reset) + F.lit(1.0 - reset) * F.coalesce("_c", F.lit(0.0))).alias("rank"))
-        r = _cut(new) if (i + 1) % checkpoint_every == 0 or i + 1 == iterations else new
+        r = state.keep(new, last=i + 1 == iterations)
     en.unpersist()
     tot = r.groupBy(*ks).agg(F.sum("rank").alias("_s"), F.count(F.lit(1)).alias("_n"))
     out = join_per_key(r, tot, ks, keys).select(*ks, "id", (F.col("rank") * F.col("_n") / F.col("_s")).alias("rank"))
@@ -181,38 +216,54 @@ def top_pagerank(ranks: DataFrame, k: int = C.PAGERANK_TOP_K, keys: Sequence[str
 
 
 # ---------------------------------------------------- label propagation / WCC
-def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int = 10,
-                      self_vote: bool = True, checkpoint_every: int = 1) -> DataFrame:
-    """Synchronous label propagation on the undirected graph.
+def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int | None = None,
+                      self_vote: bool = True, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
+    """Synchronous label propagation on the undirected graph:
+    (keys, id, label, converged).
 
     Every vertex starts with its own id; each round it takes the label most
     frequent among its distinct neighbours (plus one vote for its own label
-    when ``self_vote``), ties to the smallest label.  Stops at a fixpoint or
-    after ``max_iter`` rounds.  ``self_vote=False`` is the GraphFrames form
-    (which may oscillate)."""
+    when ``self_vote``), ties to the smallest label.  Rounds go on to the
+    fixpoint, however many it takes.  Synchronous rounds can also swing for
+    ever (the GraphFrames form ``self_vote=False`` does on any edge): when the
+    whole labelling was seen before, the loop ends, and in the graphs that
+    still change each vertex takes the smaller of its last two labels and
+    ``converged`` is false.  ``max_iter`` ends it after so many rounds instead
+    (graphs that changed in the last one are not converged)."""
     e, ks = prepare(edges, keys)
-    nb = _cut(undirected_neighbours(e, ks).repartition(*ks, "b"))
-    lab = _cut(vertices(e, ks).select(*ks, "id", F.col("id").alias("label")))
-    for i in range(max_iter):
-        votes = nb.join(lab.select(*ks, F.col("id").alias("b"), "label"), [*ks, "b"]).select(
+    nb = _cut(undirected_neighbours(e, ks))
+    lab = _cut(vertices(e, ks).select(*ks, "id", F.col("id").alias("label"), F.col("id").alias("_old")))
+    state, seen, cycle, i = _Rounds(checkpoint_every), set(), False, 0
+    while max_iter is None or i < max_iter:
+        before = lab.select(*ks, "id", "label")
+        votes = nb.join(before.select(*ks, F.col("id").alias("b"), "label"), [*ks, "b"]).select(
             *ks, F.col("a").alias("id"), "label")
         if self_vote:
-            votes = votes.union(lab.select(*ks, "id", "label"))
+            votes = votes.union(before)
         counts = votes.groupBy(*ks, "id", "label").agg(F.count(F.lit(1)).alias("_v"))
         best = counts.groupBy(*ks, "id").agg(
             F.min_by("label", F.struct((-F.col("_v")).alias("v"), F.col("label").alias("l"))).alias("_new"))
-        new = lab.join(best, [*ks, "id"], "left").select(
-            *ks, "id", F.coalesce("_new", "label").alias("label"), F.col("label").alias("_old"))
-        new = _cut(new) if (i + 1) % checkpoint_every == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
-        changed = new.filter(F.col("label") != F.col("_old")).limit(1).count()
-        lab = new.drop("_old")
-        if changed == 0:
+        lab = state.keep(before.join(best, [*ks, "id"], "left").select(
+            *ks, "id", F.coalesce("_new", "label").alias("label"), F.col("label").alias("_old")))
+        i += 1
+        changed, mark = lab.agg(F.count_if(F.col("label") != F.col("_old")),
+                                F.sum(F.xxhash64(*ks, "id", "label").cast("decimal(38,0)"))).first()
+        if not changed:
             break
-    return finish(lab, keys)
+        if mark in seen:
+            cycle = True
+            break
+        seen.add(mark)
+    moving = lab.filter(F.col("label") != F.col("_old")).select(*ks).distinct().withColumn("_moving", F.lit(True))
+    lab = lab.withColumn("label", F.least("label", "_old")) if cycle else lab
+    out = _cut(join_per_key(lab.select(*ks, "id", "label"), moving, ks, keys, "left").select(
+        *ks, "id", "label", F.col("_moving").isNull().alias("converged")))
+    state.release()
+    return finish(out, keys)
 
 
 def components(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int = 1000,
-               method: str = "star", checkpoint_every: int = 1) -> DataFrame:
+               method: str = "star", checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """Weakly connected components; ``component`` = smallest vertex id of
     the component.
 
@@ -227,6 +278,7 @@ def components(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int
     # undirected simple edges as (a, b) with a > b
     cur = _cut(e.filter(F.col("src") != F.col("dst")).select(
         *ks, F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    state, seen, done = _Rounds(checkpoint_every), _edge_mark(cur, ks), False
     for _ in range(max_iter):
         both = cur.select(*ks, F.col("a").alias("u"), F.col("b").alias("v")).union(
             cur.select(*ks, F.col("b").alias("u"), F.col("a").alias("v")))
@@ -241,35 +293,45 @@ def components(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int
         small = both.join(m, [*ks, "u"]).select(*ks, F.col("v").alias("x"), "_m", "u")
         emitted = small.select(*ks, F.col("x").alias("a"), F.col("_m").alias("b")).union(
             small.select(*ks, F.col("u").alias("a"), F.col("_m").alias("b")))
-        new = _cut(emitted.filter(F.col("a") != F.col("b")).distinct())
-        changed = new.exceptAll(cur).union(cur.exceptAll(new)).limit(1).count()
-        cur = new
-        if changed == 0:
+        cur = state.keep(emitted.filter(F.col("a") != F.col("b")).distinct())
+        mark = _edge_mark(cur, ks)
+        if mark == seen:
+            done = True
             break
+        seen = mark
+    if not done:
+        raise RuntimeError(f"components: no fixpoint after {max_iter} rounds")
     # stars: every non-centre vertex points at its component's smallest id
     centre = cur.groupBy(*ks, F.col("a").alias("id")).agg(F.min("b").alias("_c"))
-    out = vertices(e, ks).join(centre, [*ks, "id"], "left").select(
-        *ks, "id", F.coalesce("_c", "id").alias("component"))
+    out = _cut(vertices(e, ks).join(centre, [*ks, "id"], "left").select(
+        *ks, "id", F.coalesce("_c", "id").alias("component")))
+    state.release()
     return finish(out, keys)
 
 
+def _edge_mark(edges: DataFrame, ks: Sequence[str]) -> tuple:
+    """Count and summed hash of distinct edges: equal marks, equal tables."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*ks, "a", "b").cast("decimal(38,0)"))).first())
+
+
 def _components_by_propagation(edges: DataFrame, keys: Sequence[str], max_iter: int,
                                checkpoint_every: int) -> DataFrame:
     e, ks = prepare(edges, keys)
-    nb = _cut(undirected_neighbours(e, ks).repartition(*ks, "b"))
+    nb = _cut(undirected_neighbours(e, ks))
     comp = _cut(vertices(e, ks).select(*ks, "id", F.col("id").alias("component")))
-    for i in range(max_iter):
+    state = _Rounds(checkpoint_every)
+    for _ in range(max_iter):
         cand = nb.join(comp.select(*ks, F.col("id").alias("b"), "component"), [*ks, "b"]).groupBy(
             *ks, F.col("a").alias("id")).agg(F.min("component").alias("_m"))
-        new = comp.join(cand, [*ks, "id"], "left").select(
+        new = state.keep(comp.join(cand, [*ks, "id"], "left").select(
             *ks, "id", F.least("component", F.coalesce("_m", "component")).alias("component"),
-            F.col("component").alias("_old"))
-        new = _cut(new) if (i + 1) % checkpoint_every == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
-        changed = new.filter(F.col("component") != F.col("_old")).limit(1).count()
+            F.col("component").alias("_old")))
         comp = new.drop("_old")
-        if changed == 0:
-            break
-    return finish(comp, keys)
+        if new.filter(F.col("component") != F.col("_old")).isEmpty():
+            out = _cut(comp)
+            state.release()
+            return finish(out, keys)
+    raise RuntimeError(f"components: no fixpoint after {max_iter} rounds")
 
 
 def _collect_top(df: DataFrame, group: Sequence[str], order: list[Column], k: int, value: str,

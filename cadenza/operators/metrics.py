@@ -119,7 +119,7 @@ def loyal_artists(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 
 def profile_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                   session_mode: str = "end_to_start", bucket: str = "day",
+                   session_mode: str = "end_to_start", bucket: str | None = None,
                    hot_rows: int | None = S.HOT_KEY_ROWS, materialize: bool = True) -> dict[str, DataFrame]:
     """The three passes over the plays that every profile / report piece is
     derived from: one GROUPING SETS aggregate (totals + hour / weekday /
@@ -130,7 +130,7 @@ def profile_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     With ``materialize`` (default) each pass result is written once with a
     reliable ``checkpoint()``: every later piece reads those compact results,
     so the plays are scanned exactly three times however many metrics are
-    derived (the hot-key check reads the materialised totals), and a lost
+    derived (hot keys are told from the materialised totals), and a lost
     executor does not replay the passes."""
     d, ks = prepare(df, keys)
     t = dict(A.listener_tables(d, ks, materialize=materialize))
@@ -182,7 +182,7 @@ def growth(t: dict) -> DataFrame:
 
 
 def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                 session_mode: str = "end_to_start", bucket: str = "day",
+                 session_mode: str = "end_to_start", bucket: str | None = None,
                  hot_rows: int | None = S.HOT_KEY_ROWS, tables: dict | None = None) -> DataFrame:
     """One row per key with every metric (unrounded), assembled from
     :func:`profile_tables` by joins on the keys."""

@@ -33,23 +33,23 @@ def displayed(profile: DataFrame) -> DataFrame:
         for c in profile.columns])
 
 
-def _rule(expr: str) -> Column:
-    for short, full in sorted(C.RULE_ALIASES.items(), key=lambda kv: -len(kv[0])):
-        expr = _replace_word(expr, short, full)
-    return F.expr(expr)
-
-
-def _replace_word(text: str, word: str, by: str) -> str:
-    import re
-
-    return re.sub(rf"\b{word}\b", by, text)
+def _badge_description(badge: str) -> Column:
+    """The badge's fixed text with the profile value it names."""
+    text, column, digits = C.BADGE_DESCRIPTIONS[badge]
+    if column is None:
+        return F.lit(text)
+    shown = (F.format_number(F.col(column), 0) if digits == ","
+             else F.bround(F.col(column).cast("double"), int(digits)).cast(f"decimal(38,{digits})").cast("string"))
+    before, after = text.split("{}")
+    return F.concat(F.lit(before), shown, F.lit(after))
 
 
 def badges(profile: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """One row per (key, badge) with ``earned``."""
+    """One row per (key, badge) with ``earned`` and its description."""
     d = displayed(profile)
     stack = F.explode(F.array(*[
         F.struct(F.lit(i).alias("badge_order"), F.lit(bid).alias("badge"), F.lit(name).alias("name"),
+                 _badge_description(bid).alias("description"),
                  F.coalesce(F.expr(cond), F.lit(False)).alias("earned"))
         for i, (bid, name, cond) in enumerate(C.BADGES)]))
     return d.select(*keys, stack.alias("b")).select(*keys, "b.*")
@@ -94,15 +94,16 @@ def levels(profile: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
 def _first_rule(rules: Sequence[tuple[str, str]], default: str) -> Column:
     out = None
     for cond, name in rules:
-        c = F.coalesce(_rule(cond), F.lit(False))
+        c = F.coalesce(F.expr(cond), F.lit(False))
         out = F.when(c, F.lit(name)) if out is None else out.when(c, F.lit(name))
     return out.otherwise(F.lit(default))
 
 
 def archetype(profile: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """First matching archetype rule."""
-    d = displayed(profile)
-    return d.select(*keys, _first_rule(C.ARCHETYPES, C.ARCHETYPE_DEFAULT).alias("archetype"))
+    """First matching archetype rule, with the archetype's description."""
+    d = displayed(profile).select(*keys, _first_rule(C.ARCHETYPES, C.ARCHETYPE_DEFAULT).alias("archetype"))
+    texts = F.create_map(*[F.lit(x) for pair in C.ARCHETYPE_DESCRIPTIONS.items() for x in pair])
+    return d.withColumn("archetype_description", texts[F.col("archetype")])
 
 
 def cluster_label(centroids: DataFrame, id_cols: Sequence[str]) -> DataFrame:

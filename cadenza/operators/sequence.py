@@ -3,16 +3,18 @@
 Hot keys.  A plain ``Window.partitionBy(keys).orderBy(ts)`` sends all plays
 of a key to one task; with ``keys=()`` (or a listener holding a third of the
 data) that is the whole table in one task.  The ordered operators therefore
-split *hot* keys by time:
-
-0. one map-side pre-aggregated count per key finds the keys with more than
-   ``hot_rows`` plays (at most ``N / hot_rows`` of them, so the list is
-   broadcast with a proven bound).  Only these keys are split into
-   ``(key, day)`` buckets; every other key keeps one bucket.  When no key is
-   hot (a scalar check on the driver) the plain per-key window is used.
+cut every key with more than ``hot_rows`` plays into time buckets of at most
+about that many.  One plan does this for all inputs, nothing runs while it is
+built, and AQE prunes the parts of it that turn out empty:
+
+0. a map-side pre-aggregated count per key finds the hot keys; their plays
+   alone are counted per minute, and each hot key takes the coarsest unit
+   (year, month, day, hour, minute) of which no bucket exceeds ``hot_rows``
+   (plays of one minute stay together).  Keys and units are joined to the
+   plays by key; only ``keys=()``, where that table is one row, is broadcast;
 1. within each (key, bucket) the window gives ``lag`` for all but the first
    row;
-2. a map-side pre-aggregated summary keeps the last row of each (key, bucket);
+2. for hot keys a pre-aggregated summary keeps the last row of each bucket;
    ``lag`` over that summary (one row per bucket, small) is the carry;
 3. the carry is joined back on (key, bucket), which is already the
    partitioning of the windowed rows, so only the summary is shuffled.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import constants as C
 from cadenza.functions.expressions import micros_between, minus_ms
-from cadenza.operators.keys import DEFAULT_KEYS, finish, prepare
+from cadenza.operators.keys import ALL, DEFAULT_KEYS, finish, join_per_key, prepare
 
 # Total order of plays within a listener.
 PLAY_ORDER = ("ts", "track", "artist", "ms_played", "play_id")
@@ -42,59 +44,62 @@ def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
 
 
-HOT_KEY_ROWS = 1_000_000  # plays per key above which its sequence is split by day
-
+HOT_KEY_ROWS = 1_000_000  # plays a key, and then a time bucket of it, may bring to one task
+#: Bucket units of hot keys, coarsest first.
+UNITS = ("year", "month", "day", "hour", "minute")
 
-def _single_bucket() -> Column:
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
-
-def hot_keys(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, hot_rows: int = HOT_KEY_ROWS,
-             counts: DataFrame | None = None) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` plays (at most ``N / hot_rows`` rows),
-    materialised in the checkpoint folder; ``None`` when there is none.
+def hot_units(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, hot_rows: int = HOT_KEY_ROWS,
+              counts: DataFrame | None = None, unit: str | None = None) -> DataFrame:
+    """``_unit`` for each key with more than ``hot_rows`` plays: ``unit``, or
+    the coarsest one whose buckets hold at most ``hot_rows`` plays each.
     ``counts`` (keys + ``total_plays``, e.g. the listener totals already
     computed) saves the counting scan over the plays."""
-    from cadenza.session import cut_lineage
-
     d, ks = prepare(df, keys)
     if counts is None:
         counts = d.groupBy(*ks).agg(F.count(F.lit(1)).alias("total_plays"))
-    hot = cut_lineage(counts.filter(F.col("total_plays") > hot_rows).select(*ks, F.lit(True).alias("_hot")))
-    return hot if hot.limit(1).count() > 0 else None
+    hot = counts.filter(F.col("total_plays") > hot_rows).select(*ks)
+    if unit:
+        return hot.select(*ks, F.lit(unit).alias("_unit"))
+    fine = join_per_key(d.select(*ks, "ts"), hot, ks, keys, "left_semi").groupBy(
+        *ks, F.date_trunc(UNITS[-1], "ts").alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = fine.select(*ks, "_n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.date_trunc(u, "_m").alias("at")) for i, u in enumerate(UNITS)])).alias("_u"))
+    most = sizes.groupBy(*ks, "_u.i", "_u.at").agg(F.sum("_n").alias("_n")).groupBy(*ks, "i").agg(F.max("_n").alias("_n"))
+    fit = most.filter((F.col("_n") <= hot_rows) | (F.col("i") == len(UNITS) - 1)).groupBy(*ks).agg(F.min("i").alias("_i"))
+    return fit.select(*ks, F.element_at(F.array(*map(F.lit, UNITS)), F.col("_i") + 1).alias("_unit"))
+
+
+def _ordered(df: DataFrame, keys: Sequence[str], bucket: str | None, hot_rows: int | None,
+             counts: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Prepared plays with the bucket column: the start of the play's time
+    bucket for hot keys, null for all others (``hot_rows=0``: all are hot)."""
+    d, ks = prepare(df, keys)
+    whole = not list(keys) or list(keys) == [ALL]
+    units = hot_units(d, () if whole else ks, HOT_KEY_ROWS if hot_rows is None else hot_rows, counts, bucket)
+    d = join_per_key(d, units, ks, () if whole else ks, "left")
+    at = F.lit(None).cast("timestamp_ntz")
+    for u in UNITS:
+        at = F.when(F.col("_unit") == u, F.date_trunc(u, "ts")).otherwise(at)
+    return d.withColumn(BUCKET, at).drop("_unit"), ks
 
 
-def _ordered(df: DataFrame, keys: Sequence[str], bucket: str, hot_rows: int | None,
-             counts: DataFrame | None = None) -> tuple[DataFrame, list[str], bool]:
-    """Prepared plays with the bucket column; ``split`` tells whether any key
-    is split into several buckets (``hot_rows=0`` splits every key)."""
-    d, ks = prepare(df, keys)
-    if hot_rows is not None and hot_rows <= 0:
-        return d.withColumn(BUCKET, F.date_trunc(bucket, F.col("ts"))), ks, True
-    hot = hot_keys(d, ks, hot_rows if hot_rows is not None else HOT_KEY_ROWS, counts)
-    if hot is None:
-        return d.withColumn(BUCKET, _single_bucket()), ks, False
-    d = d.join(F.broadcast(hot), ks, "left")  # bounded: at most N / hot_rows keys
-    d = d.withColumn(BUCKET, F.when(F.col("_hot"), F.date_trunc(bucket, F.col("ts"))).otherwise(
-        _single_bucket())).drop("_hot")
-    return d, ks, True
-
-
-def _prev(d: DataFrame, ks: list[str], split: bool, cols: Sequence[str], order: Sequence[str],
+def _on_bucket(d: DataFrame, carry: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Join the carry (hot buckets only) on keys and bucket."""
+    return d.join(carry, list(part), "left")
+
+
+def _prev(d: DataFrame, ks: list[str], cols: Sequence[str], order: Sequence[str],
           prev_col: str) -> DataFrame:
     part = [*ks, BUCKET]
     w = Window.partitionBy(*part).orderBy(*order)
     row = F.struct(*[F.col(c) for c in cols])
-    if not split:
-        return d.withColumn(prev_col, F.lag(row).over(w))
-    # summary: last row of every (key, bucket), pre-aggregated map-side
-    last = d.groupBy(*part).agg(F.max_by(row, _order_struct(order)).alias("_last"))
+    # summary: last row of every bucket of a hot key, pre-aggregated map-side
+    last = d.filter(F.col(BUCKET).isNotNull()).groupBy(*part).agg(F.max_by(row, _order_struct(order)).alias("_last"))
     carry = last.select(
         *part, F.lag("_last").over(Window.partitionBy(*ks).orderBy(BUCKET)).alias("_carry"))
     return (
-        d.withColumn("_rn", F.row_number().over(w))
-        .withColumn("_lag", F.lag(row).over(w))
-        .join(carry, part, "left")
+        _on_bucket(d.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(row).over(w)), carry, part)
         .withColumn(prev_col, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_rn", "_lag", "_carry")
     )
@@ -105,17 +110,17 @@ def with_previous(
     cols: Sequence[str],
     keys: Sequence[str] = DEFAULT_KEYS,
     order: Sequence[str] = PLAY_ORDER,
-    bucket: str = "day",
+    bucket: str | None = None,
     prev_col: str = "prev",
     hot_rows: int | None = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Add ``prev`` (struct of ``cols`` on the previous play of the same key, or
     null for the first play) plus the bucket column.  See the module doc."""
-    d, ks, split = _ordered(df, keys, bucket, hot_rows)
-    return finish(_prev(d, ks, split, cols, order, prev_col), keys)
+    d, ks = _ordered(df, keys, bucket, hot_rows)
+    return finish(_prev(d, ks, cols, order, prev_col), keys)
 
 
-def gaps(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day",
+def gaps(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str | None = None,
          hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Previous artist / ts and the end-to-end gap in minutes."""
     d = with_previous(df, ["artist", "ts"], keys, bucket=bucket, hot_rows=hot_rows)
@@ -137,7 +142,7 @@ def _flag_sessions(seq: DataFrame, mode: str, gap_minutes: int) -> DataFrame:
 
 
 def session_flags(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                  gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
+                  gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str | None = None,
                   hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Flag the first play of each session (``_new``).
 
@@ -148,25 +153,22 @@ def session_flags(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str =
     return _flag_sessions(seq, mode, gap_minutes).drop("prev")
 
 
-def _assign_sessions(flagged: DataFrame, keys: Sequence[str], split: bool = True) -> DataFrame:
+def _assign_sessions(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``session_start`` (order key of the session's first play) for flagged
     plays (with the bucket column), carried across buckets like the lag."""
     d, ks = prepare(flagged, keys)
     part = [*ks, BUCKET]
     start_key = F.when(F.col("_new"), _order_struct(PLAY_ORDER))
     w = Window.partitionBy(*part).orderBy(*PLAY_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    if not split:
-        return finish(d.withColumn("session_start", F.max(start_key).over(w)).drop(BUCKET), keys)
     # per bucket: latest session start inside it; carried to later buckets
-    summary = d.groupBy(*part).agg(F.max(start_key).alias("_bmax"))
+    summary = d.filter(F.col(BUCKET).isNotNull()).groupBy(*part).agg(F.max(start_key).alias("_bmax"))
     carry = summary.select(
         *part,
         F.max("_bmax").over(
             Window.partitionBy(*ks).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         ).alias("_carry"))
     d = (
-        d.withColumn("_run", F.max(start_key).over(w))
-        .join(carry, part, "left")
+        _on_bucket(d.withColumn("_run", F.max(start_key).over(w)), carry, part)
         .withColumn("session_start", F.coalesce(F.col("_run"), F.col("_carry")))
         .drop("_run", "_carry", BUCKET)
     )
@@ -174,14 +176,14 @@ def _assign_sessions(flagged: DataFrame, keys: Sequence[str], split: bool = True
 
 
 def session_ids(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
+                gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str | None = None,
                 hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Tag every play with ``session_start`` (order key of its session's
     first play), using the same bucket-and-carry scheme for the running
     "last session start"."""
-    d, ks, split = _ordered(df, keys, bucket, hot_rows)
-    flagged = _flag_sessions(_prev(d, ks, split, ["ts"], PLAY_ORDER, "prev"), mode, gap_minutes).drop("prev")
-    return finish(_assign_sessions(flagged, ks, split), keys)
+    d, ks = _ordered(df, keys, bucket, hot_rows)
+    flagged = _flag_sessions(_prev(d, ks, ["ts"], PLAY_ORDER, "prev"), mode, gap_minutes).drop("prev")
+    return finish(_assign_sessions(flagged, ks), keys)
 
 
 def _session_table(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -196,12 +198,12 @@ def _session_table(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sessions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-             gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
+             gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str | None = None,
              hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """One row per session: start, end, plays, ms.
 
     Both modes use the bucketed ordered pass, so a hot listener is spread over
-    its days.  (:func:`sessions_by_window` is the ``session_window`` form of
+    its time buckets.  (:func:`sessions_by_window` is the ``session_window`` form of
     ``end_to_end``: simpler, but its final merge is partitioned by the keys
     only.)"""
     return _session_table(session_ids(df, keys, mode, gap_minutes, bucket, hot_rows), keys)
@@ -235,7 +237,7 @@ def sessions_by_window(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 
 def session_stats(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                  bucket: str = "day", hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
+                  bucket: str | None = None, hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """M25 + R1 input: session count, mean and longest session hours."""
     return _session_stats(sessions(df, keys, mode, bucket=bucket, hot_rows=hot_rows), keys)
 
@@ -249,7 +251,7 @@ def _pairs(seq: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFram
 
 
 def consecutive_pairs(df: DataFrame, cols: Sequence[str] = ("track", "artist"),
-                      keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day",
+                      keys: Sequence[str] = DEFAULT_KEYS, bucket: str | None = None,
                       hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Count of each (previous, current) pair of consecutive plays."""
     return _pairs(with_previous(df, list(cols), keys, bucket=bucket, hot_rows=hot_rows), cols, keys)
@@ -266,7 +268,7 @@ def _habit(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return finish(out, keys)
 
 
-def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str = "day",
+def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str | None = None,
                hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """100 * (distinct consecutive (track, artist) pairs seen more than
     once) / (plays - 1); no row for a key with fewer than two plays."""
@@ -274,7 +276,7 @@ def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str =
 
 
 def listening_sequence(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                       gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str = "day",
+                       gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str | None = None,
                        hot_rows: int | None = HOT_KEY_ROWS, materialize: bool = False,
                        counts: DataFrame | None = None) -> dict[str, DataFrame]:
     """W2 + W3 + M21 + M25 from ONE ordered pass: the previous (track, artist,
@@ -282,8 +284,8 @@ def listening_sequence(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode:
     flags.  Returns ``pairs``, ``habit``, ``sessions``, ``session_stats``.
     ``materialize=True`` checkpoints the ordered rows so both consumers read
     one computation (otherwise Catalyst plans one window pass per consumer)."""
-    d, ks, split = _ordered(df, keys, bucket, hot_rows, counts)
-    seq = _prev(d.select(*ks, BUCKET, *PLAY_ORDER), ks, split, ["track", "artist", "ts"], PLAY_ORDER, "prev")
+    d, ks = _ordered(df, keys, bucket, hot_rows, counts)
+    seq = _prev(d.select(*ks, BUCKET, *PLAY_ORDER), ks, ["track", "artist", "ts"], PLAY_ORDER, "prev")
     if materialize:  # one ordered pass for both consumers (pairs, sessions)
         from cadenza.session import cut_lineage
 
@@ -291,13 +293,13 @@ def listening_sequence(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode:
     seq = finish(seq, keys)
     pairs = _pairs(seq, ("track", "artist"), keys)
     flagged = _flag_sessions(seq, mode, gap_minutes).drop("prev")
-    sess = _session_table(_assign_sessions(flagged, keys, split), keys)
+    sess = _session_table(_assign_sessions(flagged, keys), keys)
     return {"pairs": pairs, "habit": _habit(pairs, keys), "sessions": sess,
             "session_stats": _session_stats(sess, keys)}
 
 
 def transitions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, gap_minutes: int = C.SESSION_GAP_MINUTES,
-                group_keys: Sequence[str] | None = None, bucket: str = "day",
+                group_keys: Sequence[str] | None = None, bucket: str | None = None,
                 hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """G1: artist transition edges ``(src, dst, weight)``.
 

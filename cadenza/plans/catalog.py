@@ -485,14 +485,6 @@ from cadenza.operators import rules as R  # noqa: E402
 from cadenza.operators.rules import DISPLAY_DIGITS  # noqa: E402
 
 
-def _rule_sql(expr: str) -> str:
-    import re
-
-    for short, full in sorted(C.RULE_ALIASES.items(), key=lambda kv: -len(kv[0])):
-        expr = re.sub(rf"\b{short}\b", full, expr)
-    return expr
-
-
 def _disp_sql(prof_sql: str, key: str = "user_id") -> str:
     cols = ", ".join(f"round_even({c}, {d}) AS {c}" for c, d in DISPLAY_DIGITS.items())
     return (f"SELECT {key}, total_hours, max_session_hours, top_song_hours, unique_artists, loyal_artists_5yr, "
@@ -500,7 +492,7 @@ def _disp_sql(prof_sql: str, key: str = "user_id") -> str:
 
 
 def _first_rule_sql(rules, default: str) -> str:
-    whens = " ".join(f"WHEN coalesce({_rule_sql(c)}, false) THEN '{n}'" for c, n in rules)
+    whens = " ".join(f"WHEN coalesce({c}, false) THEN '{n}'" for c, n in rules)
     return f"CASE {whens} ELSE '{default}' END"
 
 
@@ -509,8 +501,17 @@ _PROFILE_EVENTS = _profile_sql("user_id", "plays_events")
 _PROFILE_LINEITEM = _profile_sql("user_id", "plays_lineitem")
 
 
+def _badge_text_sql(badge: str) -> str:
+    text, column, digits = C.BADGE_DESCRIPTIONS[badge]
+    if column is None:
+        return f"'{text}'"
+    before, after = text.split("{}")
+    shown = f"format('{{:,}}', {column})" if digits == "," else f"format('{{:.{digits}f}}', round_even(CAST({column} AS DOUBLE), {digits}))"
+    return f"'{before}' || {shown} || '{after}'"
+
+
 def _badges_sql(prof: str) -> str:
-    parts = [f"SELECT user_id, {i} AS badge_order, '{bid}' AS badge, '{name}' AS name, "
+    parts = [f"SELECT user_id, {i} AS badge_order, '{bid}' AS badge, '{name}' AS name, {_badge_text_sql(bid)} AS description, "
              f"coalesce({cond}, false) AS earned FROM disp" for i, (bid, name, cond) in enumerate(C.BADGES)]
     return f"WITH disp AS ({_disp_sql(prof)})\n" + "\nUNION ALL\n".join(parts)
 
@@ -527,8 +528,9 @@ def _levels_sql(prof: str) -> str:
 
 
 def _archetype_sql(prof: str) -> str:
-    return (f"WITH disp AS ({_disp_sql(prof)}) SELECT user_id, "
-            f"{_first_rule_sql(C.ARCHETYPES, C.ARCHETYPE_DEFAULT)} AS archetype FROM disp")
+    texts = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.ARCHETYPE_DESCRIPTIONS.items())
+    return (f"WITH disp AS ({_disp_sql(prof)}) SELECT user_id, archetype, CASE archetype {texts} END AS archetype_description "
+            f"FROM (SELECT user_id, {_first_rule_sql(C.ARCHETYPES, C.ARCHETYPE_DEFAULT)} AS archetype FROM disp)")
 
 
 def _radar_sql(prof: str) -> str:
@@ -660,23 +662,62 @@ def q_standardized(spark, d):
 @register("C1_C10_segments")
 def q_segments(spark, d):
     """k-means over the listener pool (rows-only: k-means|| init differs from
-    k-means++; properties are tested instead)."""
-    seg = CL.segment(_pool_events(spark, d), ["user_id"], restarts=3)
-    return seg.clusters
+    k-means++; properties are tested instead).  A pool that is too small gives
+    its status row."""
+    seg = CL.segment(_pool_events(spark, d), ["user_id"])
+    return seg.clusters if seg.clusters is not None else CL.status_row(spark, seg)
 
 
 @register("C9_J5_assign_new_listeners")
 def q_assign(spark, d):
-    seg = CL.segment(_pool_events(spark, d), ["user_id"], restarts=2)
+    """Rows-only, like the segments the listeners are placed in."""
+    seg = CL.segment(_pool_events(spark, d), ["user_id"])
     return CL.assign(seg, M.user_vector(_prof_lineitem(spark, d), U), ["user_id"])
 
 
 @register("C3_k_sweep")
 def q_sweep(spark, d):
+    """Diagnostics of every k, ten starts each (rows-only, see above)."""
     _, n, _, scaled = CL.prepare_vectors(_pool_events(spark, d))
-    k, sil, diags = CL.choose_k(scaled, n)
-    return spark.createDataFrame(diags, "k int, inertia double, silhouette double")
+    out = spark.createDataFrame(CL.sweep(scaled, n), "k int, clusters int, inertia double, silhouette double")
+    scaled.unpersist()
+    return out
+
+
+def _fixed_clusters(spark, d):
+    """The listener pool with a given assignment: listener number mod 4."""
+    return _pool_events(spark, d).withColumn("cluster", (F.col("user_id") % 4).cast("int"))
+
 
+register("C6_C8_cluster_summary", f"""WITH pool AS ({_vectors_sql(_PROFILE_EVENTS)}),
+g AS (SELECT CAST(user_id % 4 AS INTEGER) AS cluster, count(*) AS size, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM pool) AS share_pct,
+  {", ".join(f"avg(coalesce({m}, 0.0)) AS {m}" for m in C.METRIC_KEYS)} FROM pool GROUP BY ALL),
+l AS (SELECT cluster, {_first_rule_sql(C.CLUSTER_LABELS, C.CLUSTER_LABEL_DEFAULT)} AS label FROM (
+  SELECT cluster, {", ".join(f"round_even({m}, 3) AS {m}" for m in C.METRIC_KEYS)} FROM g))
+SELECT cluster, size, round(share_pct, 9) AS share_pct, label, {", ".join(f"round({m}, 6) AS {m}" for m in C.METRIC_KEYS)} FROM g JOIN l USING (cluster)""")(
+    lambda spark, d: CL.cluster_summary(_fixed_clusters(spark, d)).select(
+        "cluster", "size", _r9("share_pct"), "label", *[F.round(m, 6).alias(m) for m in C.METRIC_KEYS]))
+
+
+@register("C5_silhouette", f"""WITH pool AS ({_vectors_sql(_PROFILE_EVENTS)}),
+z AS (SELECT user_id, CAST(user_id % 4 AS INTEGER) AS cluster, {", ".join(
+    f"CASE WHEN stddev_pop({m}) OVER () = 0 THEN 0.0 ELSE ({m} - avg({m}) OVER ()) / stddev_pop({m}) OVER () END AS {m}" for m in C.METRIC_KEYS)} FROM pool),
+n AS (SELECT cluster, count(*) AS n FROM z GROUP BY ALL),
+d AS (SELECT a.user_id, a.cluster, b.cluster AS other, sum({" + ".join(f"(a.{m} - b.{m}) ** 2" for m in C.METRIC_KEYS)}) AS s
+  FROM z a, z b GROUP BY ALL),
+ab AS (SELECT user_id, max(CASE WHEN d.cluster = other THEN s / nullif(n.n - 1, 0) END) AS a, min(CASE WHEN d.cluster <> other THEN s / n.n END) AS b
+  FROM d JOIN n ON n.cluster = d.other GROUP BY ALL)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 WHEN a = b THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab""")
+def q_silhouette(spark, d):
+    """Silhouette (squared Euclidean distance) of a given assignment."""
+    v = _fixed_clusters(spark, d)
+    s = CL.silhouette(CL.standardize(v, CL.scaler_stats(v)))
+    return spark.createDataFrame([(round(s, 6),)], "silhouette double")
+
+
+register("C10_status", f"""SELECT CASE WHEN count(*) < {C.KMEANS_MIN_ROWS} THEN 'insufficient_data' ELSE 'ok' END AS status,
+  {C.KMEANS_MIN_ROWS} AS min_samples_required, count(*) AS current_samples FROM ({_vectors_sql(_PROFILE_EVENTS)}) AS v""")(
+    lambda spark, d: CL.pool_status(_pool_events(spark, d)))
 
 
 # ------------------------------------------------------------- G: graph
@@ -824,12 +865,16 @@ def _lpa_ctes(rounds: int, self_vote: bool = True) -> str:
     return ",\n".join(parts)
 
 
-LPA_ROUNDS = 10
-register("G4_label_propagation", f"WITH {_edges_cte()},\n{_lpa_ctes(LPA_ROUNDS)}\nSELECT id, label FROM l{LPA_ROUNDS}")(
-    lambda spark, d: G.label_propagation(_item_edges(spark, d), max_iter=LPA_ROUNDS))
+#: Rounds the oracles unroll: more than the data need (``converged`` tells).
+#: The operator itself has no such number; it runs to the fixpoint.
+LPA_ROUNDS = 40
+register("G4_label_propagation", f"""WITH {_edges_cte()},
+{_lpa_ctes(LPA_ROUNDS)}
+SELECT id, label, (SELECT count(*) = 0 FROM l{LPA_ROUNDS} a JOIN l{LPA_ROUNDS - 1} b USING (id) WHERE a.label <> b.label) AS converged
+FROM l{LPA_ROUNDS}""")(lambda spark, d: G.label_propagation(_item_edges(spark, d)))
 register("G4_label_propagation_no_self_vote_5_rounds",
          f"WITH {_edges_cte()},\n{_lpa_ctes(5, False)}\nSELECT id, label FROM l5")(
-    lambda spark, d: G.label_propagation(_item_edges(spark, d), max_iter=5, self_vote=False))
+    lambda spark, d: G.label_propagation(_item_edges(spark, d), max_iter=5, self_vote=False).select("id", "label"))
 
 
 def _communities_sql() -> str:
@@ -846,7 +891,7 @@ SELECT CAST(pos - 1 AS INTEGER) AS community, label, size, weight, top_members F
 
 def _communities(spark, d):
     e = _item_edges(spark, d)
-    return G.communities(e, G.label_propagation(e, max_iter=LPA_ROUNDS))
+    return G.communities(e, G.label_propagation(e))
 
 
 register("G5_T4_T5_communities", _communities_sql())(_communities)
@@ -857,7 +902,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY size DESC, label) AS INTEG
 firsts AS (SELECT label, list(id ORDER BY id) AS members FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS r
   FROM l{LPA_ROUNDS}) WHERE r <= 8 GROUP BY label)
 SELECT label, size, position, members FROM ranked JOIN firsts USING (label) WHERE position <= 20""")(
-    lambda spark, d: G.community_members(G.label_propagation(_item_edges(spark, d), max_iter=LPA_ROUNDS)))
+    lambda spark, d: G.community_members(G.label_propagation(_item_edges(spark, d))))
 
 
 _CC_SQL = (f"WITH RECURSIVE {_edges_cte()},\nreach(id, lbl) AS (SELECT id, id FROM v UNION "
@@ -890,6 +935,45 @@ def q_json(spark, d):
     return SC.read_plays(spark, path, fmt="json", multiline=False)
 
 
+_DIRTY = "second(ts) % 4 = 2"
+_DIRTY_COLS = _NO_ID_COLS_SQL.replace("ms_played,", f"CASE WHEN {_DIRTY} THEN 0 ELSE ms_played END AS ms_played,")
+for _flag in SC.FLAG_COLUMNS:
+    _DIRTY_COLS = _DIRTY_COLS.replace(f"{_flag},", f"CASE WHEN {_DIRTY} THEN false ELSE {_flag} END AS {_flag},")
+
+
+@register("S1_json_dirty_values", with_plays(f"SELECT {_DIRTY_COLS} FROM plays"))
+def q_json_dirty(spark, d):
+    """Export lines whose times and flags are spelt in four ways (by the
+    second of the play): 1234.0 and 0/1; "1234" and "true"; "oops" and
+    "maybe"; plain.  The scan coerces them (unreadable: 0 and false)."""
+    raw = SC.to_export(fixtures.raw_view(spark, d, "plays_events"))
+    kind = F.substring("ts", 18, 2).cast("int") % 4
+    varied = ("ms_played", *SC.FLAG_COLUMNS)
+    plain = [c for c in raw.columns if c not in varied]
+
+    def line(ms, flag):
+        return F.to_json(F.struct(*plain, ms(F.col("ms_played")).alias("ms_played"), *[flag(F.col(c)).alias(c) for c in SC.FLAG_COLUMNS]))
+
+    text = (F.when(kind == 0, line(lambda c: c.cast("double"), lambda c: c.cast("int")))
+            .when(kind == 1, line(lambda c: c.cast("string"), lambda c: c.cast("string")))
+            .when(kind == 2, line(lambda c: F.lit("oops"), lambda c: F.lit("maybe")))
+            .otherwise(line(lambda c: c, lambda c: c)))
+    path = scratch_path(spark, "json-dirty")
+    raw.select(text.alias("value")).write.text(path)
+    return SC.read_plays(spark, path, fmt="json", multiline=False)
+
+
+def _sink_round_trip(spark, d, fmt):
+    path = scratch_path(spark, fmt)
+    SC.write_table(SC.to_export(_lineitem(spark, d)), path, fmt)
+    return SC.read_plays(spark, path, fmt=fmt, multiline=False)
+
+
+for _fmt in ("json", "csv"):
+    register(f"S6_flat_{_fmt}_sink", with_plays(f"SELECT {_NO_ID_COLS_SQL} FROM plays", "plays_lineitem"))(
+        lambda spark, d, fmt=_fmt: _sink_round_trip(spark, d, fmt))
+
+
 @register("S4_S5_partitioned_parquet_pruned", with_plays(
     f"SELECT {PLAY_COLS_SQL} FROM plays WHERE year IN (1995, 1996)", "plays_lineitem"))
 def q_parquet(spark, d):
@@ -927,6 +1011,32 @@ def q_synth(spark, d):
     return SC.clean_plays(SC.from_export(synthetic_plays(ids, seed=42)))
 
 
+@register("S7_synthetic_invariants", "SELECT count(*) AS plays, " + ", ".join(f"0 AS {c}" for c in (
+    "bad_ms", "bad_ts", "bad_names", "bad_choices", "repeated")) + " FROM events")
+def q_synth_invariants(spark, d):
+    """What holds for every synthetic play, whatever the draws: counted are
+    the plays that break it."""
+    from cadenza.sources import synth as SY
+
+    ids = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"))
+    p = SC.clean_plays(SC.from_export(synthetic_plays(ids, seed=42)))
+    again = SC.clean_plays(SC.from_export(synthetic_plays(ids.repartition(3), seed=42)))
+    low, high = F.when(F.col("skipped"), 1_000).otherwise(60_000), F.when(F.col("skipped"), 60_000).otherwise(300_000)
+    choices = (F.col("reason_start").isin(SY.REASON_START) & F.col("reason_end").isin(SY.REASON_END)
+               & F.col("conn_country").isin([c for c, _ in SY.COUNTRIES]) & F.col("platform").isin([c for c, _ in SY.PLATFORMS]))
+    names = (F.col("artist").rlike("^Artist_[0-9]{5}$") & F.col("track").rlike("^Track_[0-9]{6}$")
+             & (F.col("album") == F.concat(F.lit("Album_of_"), F.col("artist"))))
+    out = p.agg(F.count(F.lit(1)).alias("plays"),
+                F.count_if((F.col("ms_played") < low) | (F.col("ms_played") >= high)).alias("bad_ms"),
+                F.count_if(~F.col("year").between(2018, 2026)).alias("bad_ts"),
+                F.count_if(~names).alias("bad_names"), F.count_if(~choices).alias("bad_choices"),
+                F.sum(F.xxhash64(*p.columns).cast("decimal(38,0)")).alias("_mark"))
+    mark = again.agg(F.sum(F.xxhash64(*again.columns).cast("decimal(38,0)")).alias("_again"))
+    # one row each: the table is the same however its ids are partitioned
+    return out.join(F.broadcast(mark)).select(
+        "plays", "bad_ms", "bad_ts", "bad_names", "bad_choices", F.when(F.col("_mark") == F.col("_again"), 0).otherwise(1).alias("repeated"))
+
+
 # --------------------------------------------------------- R8 / G9 / G10
 from cadenza.plans import report as RP  # noqa: E402
 
@@ -937,6 +1047,52 @@ def q_report(spark, d):
     return RP.report(_events(spark, d), U)
 
 
+_R8_SQL = f"""WITH lv AS ({_levels_sql(_PROFILE_EVENTS)}), ar AS ({_archetype_sql(_PROFILE_EVENTS)}), ra AS ({_radar_sql(_PROFILE_EVENTS)}),
+pr AS (SELECT user_id, total_plays, round_even(total_hours, 2) AS total_hours, sessions, shuffle_pct, unique_artists, unique_tracks,
+  first_year, last_year FROM ({_PROFILE_EVENTS}) AS p),
+top AS ({with_plays("SELECT user_id, arg_max(artist, r) AS top_artist, count(*) AS n_artists FROM (SELECT *, -row_number() OVER "
+                    "(PARTITION BY user_id ORDER BY ms DESC, artist) AS r FROM (SELECT user_id, artist, sum(ms_played) AS ms "
+                    "FROM plays GROUP BY ALL)) WHERE r >= -20 GROUP BY ALL")})
+SELECT user_id, total_plays, total_hours, sessions, round_even(shuffle_pct, 1) AS shuffle_pct, unique_artists, unique_tracks, first_year,
+  last_year, badges_earned, level, title, next_threshold_hours, xp, archetype, patience, exploration, loyalty, focus, diversity, night,
+  top_artist, n_artists, 24 AS n_hours, 7 AS n_weekdays, archetype AS json_archetype, title AS json_level
+FROM pr JOIN lv USING (user_id) JOIN ar USING (user_id) JOIN ra USING (user_id) JOIN top USING (user_id)"""
+
+
+@register("R8_report_flat", _R8_SQL)
+def q_report_flat(spark, d):
+    """The report rows flattened: summary, level, archetype, radar, the first
+    top artist, list sizes, and two fields of the JSON payload."""
+    r = RP.report(_events(spark, d), U)
+    return r.select(
+        "user_id", *[f"summary.{c}" for c in ("total_plays", "total_hours", "sessions", "shuffle_pct", "unique_artists",
+                                              "unique_tracks", "first_year", "last_year")],
+        F.size(F.filter("badges", lambda b: b["earned"])).alias("badges_earned"), "level", "title", "next_threshold_hours", "xp",
+        "archetype", *[f"radar.{name}" for name, *_ in C.RADAR_AXES],
+        F.get("top_artists", F.lit(0))["artist"].alias("top_artist"), F.size("top_artists").cast("long").alias("n_artists"),
+        F.size("circadian_hours").alias("n_hours"), F.size("weekdays").alias("n_weekdays"),
+        F.get_json_object("summary_json", "$.archetype").alias("json_archetype"),
+        F.get_json_object("summary_json", "$.level").alias("json_level"))
+
+
+@register("G10_graph_report_flat", f"""WITH RECURSIVE {_edges_cte()},
+reach(id, lbl) AS (SELECT id, id FROM v UNION SELECT nb.a, reach.lbl FROM reach JOIN nb ON reach.id = nb.b),
+cc AS (SELECT id, min(lbl) AS component FROM reach GROUP BY id), cs AS (SELECT component, count(*) AS size FROM cc GROUP BY component),
+{_lpa_ctes(LPA_ROUNDS)},
+wd AS (SELECT id, sum(w) AS wdeg FROM (SELECT src AS id, weight AS w FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY id),
+agg AS (SELECT l.label, count(*) AS size, CAST(sum(coalesce(wd.wdeg, 0)) AS BIGINT) AS weight FROM l{LPA_ROUNDS} l LEFT JOIN wd USING (id) GROUP BY l.label),
+best AS (SELECT list(size ORDER BY weight DESC, label) AS sizes, list(weight ORDER BY weight DESC, label) AS weights FROM (
+  SELECT * FROM agg ORDER BY weight DESC, label LIMIT 10))
+SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM cs) AS components,
+  (SELECT max(size) FROM cs) AS largest_size, sizes AS community_sizes, weights AS community_weights FROM best""")
+def q_graph_report_flat(spark, d):
+    """Summary, components and communities of the graph report."""
+    g = RP.graph_report(_item_edges(spark, d))
+    return g.select("summary.nodes", "summary.edges", "components", "largest_size",
+                    F.transform("communities", lambda c: c["size"]).alias("community_sizes"),
+                    F.transform("communities", lambda c: c["weight"]).alias("community_weights"))
+
+
 @register("G10_graph_report")
 def q_graph_report(spark, d):
     return RP.graph_report(_item_edges(spark, d))
@@ -963,7 +1119,7 @@ keep AS (SELECT id, round(r, 9) AS rank FROM r20 QUALIFY row_number() OVER (ORDE
 def _display(spark, d):
     e = _item_edges(spark, d)
     ranks = G.pagerank(e, iterations=20)
-    return G.display_subgraph(e, ranks, G.communities(e, G.label_propagation(e, max_iter=LPA_ROUNDS)))
+    return G.display_subgraph(e, ranks, G.communities(e, G.label_propagation(e)))
 
 
 register("G9_J3_J4_display_nodes", _display_sql("nodes"))(

@@ -61,7 +61,7 @@ def report(plays: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
                    "circadian_hours")
     growth = _listed(M.growth(t), ks, "year", ["year", h1("growth_pct").alias("growth_pct")],
                      "yearly_growth_pct")
-    badges = _listed(R.badges(prof, ks), ks, "badge_order", ["badge", "name", "earned"], "badges")
+    badges = _listed(R.badges(prof, ks), ks, "badge_order", ["badge", "name", "description", "earned"], "badges")
     lvl = R.levels(prof, ks)
     arch = R.archetype(prof, ks)
     radar = R.radar(prof, ks)

@@ -10,6 +10,7 @@ year, month, hour_utc, weekday (Mon=0) INT``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,19 +37,21 @@ EXPORT_FIELDS = {
 }
 
 # Explicit read schema for the JSON exports: no inference pass, missing
-# fields come back null; ``ts`` stays text so bad values can be dropped.
+# fields come back null.  Everything but user_id stays text, because exports
+# hold times, numbers and flags in several spellings (1234.0, "5000", 1, true)
+# that a typed read would turn into nulls; ``clean_plays`` coerces them.
 EXPORT_SCHEMA = T.StructType(
     [
         T.StructField("user_id", T.LongType()),
         T.StructField("ts", T.StringType()),
-        T.StructField("ms_played", T.LongType()),
+        T.StructField("ms_played", T.StringType()),
         T.StructField("master_metadata_track_name", T.StringType()),
         T.StructField("master_metadata_album_artist_name", T.StringType()),
         T.StructField("master_metadata_album_album_name", T.StringType()),
-        T.StructField("skipped", T.BooleanType()),
-        T.StructField("shuffle", T.BooleanType()),
-        T.StructField("offline", T.BooleanType()),
-        T.StructField("incognito_mode", T.BooleanType()),
+        T.StructField("skipped", T.StringType()),
+        T.StructField("shuffle", T.StringType()),
+        T.StructField("offline", T.StringType()),
+        T.StructField("incognito_mode", T.StringType()),
         T.StructField("reason_start", T.StringType()),
         T.StructField("reason_end", T.StringType()),
         T.StructField("conn_country", T.StringType()),
@@ -102,6 +105,27 @@ def _ts_expr(df: DataFrame) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch_ntz())
 
 
+def _ms_expr(df: DataFrame) -> Column:
+    """Whole milliseconds of a number or of text that holds one (fractions
+    cut off); anything else is 0."""
+    if "ms_played" not in df.columns:
+        return F.lit(0).cast("bigint")
+    ms = F.col("ms_played")
+    return F.coalesce(ms.try_cast("bigint"), ms.cast("string").try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def _flag_expr(df: DataFrame, name: str) -> Column:
+    """P5: a boolean, or text or a number that means one (numbers: not 0);
+    anything else is false."""
+    if name not in df.columns:
+        return F.lit(False)
+    if isinstance(df.schema[name].dataType, T.BooleanType):
+        return F.coalesce(F.col(name), F.lit(False))
+    text = F.trim(F.col(name).cast("string"))
+    number = text.try_cast("double")
+    return F.coalesce(F.when(number.isNotNull(), number != 0).otherwise(text.try_cast("boolean")), F.lit(False))
+
+
 def from_export(df: DataFrame) -> DataFrame:
     """Rename export fields (``master_metadata_*``) to canonical names (U1 safe)."""
     for src, dst in EXPORT_FIELDS.items():
@@ -115,7 +139,8 @@ def clean_plays(df: DataFrame, user_id: int | None = None) -> DataFrame:
 
     * missing columns are added (P2); ``user_id`` absent -> constant
     * unparseable ``ts`` and null / empty track names are dropped (P1, P3, P8)
-    * ``ms_played`` bad/null -> 0 (P4); flags null -> false (P5)
+    * ``ms_played`` as a number or as text, bad/null -> 0 (P4); flags as
+      booleans, numbers or text, bad/null -> false (P5)
     * artist null/empty -> ``'Unknown'``; album kept null (D9)
     * reasons, country, platform null/empty -> ``'Unknown'`` (P6)
     * year, month, hour_utc, weekday (Mon=0) derived from ``ts`` (P7)
@@ -136,7 +161,7 @@ def clean_plays(df: DataFrame, user_id: int | None = None) -> DataFrame:
         uid.alias("user_id"),
         (F.col("play_id").try_cast("bigint") if has("play_id") else F.lit(None).cast("bigint")).alias("play_id"),
         _ts_expr(df).alias("ts"),
-        (F.coalesce(F.col("ms_played").try_cast("bigint"), F.lit(0)) if has("ms_played") else F.lit(0).cast("bigint")).alias("ms_played"),
+        _ms_expr(df).alias("ms_played"),
         (F.col("track").cast("string") if has("track") else F.lit(None).cast("string")).alias("track"),
         F.coalesce(
             F.nullif(F.col("artist").cast("string"), F.lit("")) if has("artist") else F.lit(None).cast("string"),
@@ -145,7 +170,7 @@ def clean_plays(df: DataFrame, user_id: int | None = None) -> DataFrame:
         (F.col("album").cast("string") if has("album") else F.lit(None).cast("string")).alias("album"),
     ]
     for c in FLAG_COLUMNS:
-        out.append((F.coalesce(F.col(c).try_cast("boolean"), F.lit(False)) if has(c) else F.lit(False)).alias(c))
+        out.append(_flag_expr(df, c).alias(c))
     for c in DEFAULTED_STRINGS:
         v = F.nullif(F.col(c).cast("string"), F.lit("")) if has(c) else F.lit(None).cast("string")
         out.append(F.coalesce(v, F.lit(C.UNKNOWN)).alias(c))
@@ -171,22 +196,20 @@ def read_plays(
 
     JSON is read with the explicit export schema (no inference).  Pretty-printed
     arrays need ``multiline=True``; such files are not splittable, so convert
-    them once with :func:`write_plays` and scan the Parquet afterwards.
+    them once with :func:`write_plays` and scan the Parquet afterwards.  A
+    multi-line file whose payload is not a list is skipped.  An empty list of
+    paths, and a pattern (``*``, ``?``, ``[``, ``{``) that matches nothing,
+    give no rows; a named path that is missing raises.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    paths = [p for p in paths if not _GLOB.search(p) or _matches(spark, p)]
     if not paths:
         return spark.createDataFrame([], PLAY_SCHEMA)  # no exports: empty typed table
-    try:
-        return _read_plays(spark, paths, fmt, multiline)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return spark.createDataFrame([], PLAY_SCHEMA)
-        raise
-
-
-def _read_plays(spark: SparkSession, paths: list[str], fmt: str, multiline: bool) -> DataFrame:
     if fmt == "json":
         raw = spark.read.schema(EXPORT_SCHEMA).option("multiLine", multiline).json(paths)
+        if multiline:
+            raw = raw.withColumn("_file", F.col("_metadata.file_path")).join(
+                _list_files(spark, paths), "_file", "left_semi").drop("_file")
     elif fmt == "parquet":
         raw = spark.read.parquet(*paths)
     elif fmt == "csv":
@@ -196,6 +219,25 @@ def _read_plays(spark: SparkSession, paths: list[str], fmt: str, multiline: bool
     return clean_plays(from_export(raw))
 
 
+_GLOB = re.compile(r"[*?\[{]")
+
+
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return bool(found)
+
+
+def _list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files whose first character that is not blank opens a list."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"), F.translate("value", " \t\r\ufeff", "").alias("_line"))
+    first = lines.filter(F.col("_line") != "").groupBy("_file").agg(
+        F.min_by(F.substring("_line", 1, 1), F.struct("_block", "_row")).alias("_open"))
+    return first.filter(F.col("_open") == "[").select("_file")
+
+
 def union_exports(frames: Iterable[DataFrame]) -> DataFrame:
     """Union of files whose columns differ (missing -> null)."""
     frames = [from_export(f) for f in frames]
@@ -206,9 +248,27 @@ def union_exports(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def from_records(spark: SparkSession, records: list[dict], user_id: int | None = None) -> DataFrame:
-    """In-memory export records -> ``plays`` (no temp file involved)."""
-    rows = [{k: r.get(k) for k in EXPORT_SCHEMA.fieldNames()} for r in records]
-    return clean_plays(from_export(spark.createDataFrame(rows, EXPORT_SCHEMA)), user_id=user_id)
+    """In-memory export records -> ``plays`` (no temp file involved).
+
+    Values are taken as they come (numbers as floats or text, numeric flags,
+    ``datetime`` times) and coerced like those of a JSON export; records that
+    have no user_id get ``user_id``."""
+    text = [f.name for f in EXPORT_SCHEMA if f.name != "user_id"]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("user_id", *text)])
+    rows = [tuple(_as_text(r.get(c)) for c in ("user_id", *text)) for r in records]
+    raw = from_export(spark.createDataFrame(rows, schema))
+    if user_id is not None:
+        raw = raw.withColumn("user_id", F.coalesce("user_id", F.lit(str(user_id))))
+    return clean_plays(raw)
+
+
+def _as_text(value) -> str | None:  # noqa: ANN001 - any JSON value
+    """A record's value as an export would spell it; missing and NaN: null."""
+    if value is None or value != value:
+        return None
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    return str(value).lower() if isinstance(value, bool) else str(value)
 
 
 def from_pandas(spark: SparkSession, pdf) -> DataFrame:  # noqa: ANN001 - pandas optional
