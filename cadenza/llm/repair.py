@@ -78,9 +78,8 @@ def _hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, per_round: int = RULES_PER_ROUND) -> Grammar:
-    """Pairs are counted by hash slot: a slot that is frequent proposes one of
-    its pairs, whose places are then counted exactly; another pair of the slot
-    has its chance in a later round."""
+    """Every hash slot of pairs proposes one of its pairs, whose places are
+    counted exactly; another pair of the slot has its chance in a later round."""
     seq = np.ascontiguousarray(ids, dtype=np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.empty(0, dtype=np.uint32)
@@ -89,14 +88,10 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, per_round:
     while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
         h = _hash(left, right)
-        may = np.flatnonzero((np.bincount(h, minlength=1 << _BITS) >= min_count)[h])
-        if not len(may):
-            break
+        codes = left.astype(np.uint64) << np.uint64(32) | right
+        pair_of[h] = codes
+        may = np.flatnonzero(pair_of[h] == codes)
         slots = h[may]
-        codes = left[may].astype(np.uint64) << np.uint64(32) | right[may]
-        pair_of[slots] = codes
-        proposed = pair_of[slots] == codes
-        may, slots = may[proposed], slots[proposed]
         counts = np.bincount(slots, minlength=1 << _BITS)
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
