@@ -170,10 +170,8 @@ class PieceEncoder:
         return [self.encode(t) for t in texts]
 
 
-#: Marks that may follow a word in its chunk (none is a letter, digit or space),
-#: and the pattern that leaves the marks at a word's end alone.
+#: Marks that may follow a word in its chunk (none is a letter, digit or space).
 _MARKS = ".,;:!?%$#&*|"
-_BEFORE_MARKS = r"(?s)^.*?([.,;:!?%$#&*|]*)$"
 #: A space before white space (Python's) or the end, in Arrow's pattern language.
 _ODD = r" ([\t-\r\x1c-\x1f\x{85}\p{Z}]|$)"
 _BOUNDARY = re.compile(r"(?= \S)")
@@ -193,6 +191,10 @@ def chunks_of(text: str) -> list[str]:
     return [first, *out] if first else out
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all entries one after another, where each starts, how many it has."""
     size = np.array([len(e) // 4 for e in entries], dtype=np.int64)
@@ -224,12 +226,16 @@ class ChunkCoder:
         core = pc.utf8_rtrim(words, characters=_MARKS)
         letter = pc.utf8_is_alpha(pc.utf8_slice_codeunits(core, -1))
         core = pc.if_else(letter, core, words)
-        marks = pc.if_else(pc.equal(core, words), "", pc.replace_substring_regex(words, _BEFORE_MARKS, r"\1"))
-        core, marks = pc.dictionary_encode(core), pc.dictionary_encode(marks)
-        entries = [*self._ids([" " + w for w in core.dictionary.to_pylist()]),
-                   *[self._ids([m])[0] if m else b"" for m in marks.dictionary.to_pylist()]]
+        marked = pc.fill_null(pc.not_equal(core, words), False)
+        ends = [w[len(c):] for w, c in zip(_strings(words.filter(marked)), _strings(core.filter(marked)))]
+        number = {m: i for i, m in enumerate(dict.fromkeys(ends))}
+        core = pc.dictionary_encode(core)
+        spaced = pc.binary_join_element_wise("", core.dictionary, " ")
+        entries = [*self._ids(_strings(spaced)), b"", *self._ids(list(number))]
+        mark = np.full(len(words), len(core.dictionary), dtype=np.int64)
+        mark[np.flatnonzero(marked.to_numpy(zero_copy_only=False))] += np.array([1 + number[m] for m in ends], dtype=np.int64)
         data, start, size = _table(entries)
-        at = np.stack([core.indices.to_numpy(), marks.indices.to_numpy() + len(core.dictionary)], axis=1).astype(np.int64)
+        at = np.stack([core.indices.to_numpy().astype(np.int64), mark], axis=1)
         data, ends = _gather(data, start, size, at.ravel())
         ends = ends[1::2]
         return data, np.concatenate([[0], ends[:-1]]) if len(ends) else ends, np.diff(ends, prepend=0)
@@ -247,7 +253,7 @@ class ChunkCoder:
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         heads = offsets[:-1]                              # the first part of a text has no space before it
-        first = pc.list_element(parts, 0).to_pylist()
+        first = _strings(pc.list_element(parts, 0))
         begin = self._ids([w for w in first if w])
         flat = parts.flatten()
         rest = np.ones(len(flat), dtype=bool)
