@@ -25,6 +25,9 @@ from cadenza.operators.rules import cluster_label
 from cadenza.session import cut_lineage
 
 
+ROWS_PER_PARTITION = 20_000  # listener vectors of a k-means task
+
+
 @dataclass
 class Segmentation:
     status: str
@@ -99,7 +102,8 @@ def prepare_vectors(vectors: DataFrame, id_cols: Sequence[str] = ("user_id",),
         *id_cols, *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics]))
     n = vec.count()
     stats = scaler_stats(vec, metrics)
-    scaled = standardize(vec, stats, metrics).persist(StorageLevel.MEMORY_AND_DISK)
+    # many short jobs follow: no more partitions than the rows need
+    scaled = standardize(vec, stats, metrics).coalesce(n // ROWS_PER_PARTITION + 1).persist(StorageLevel.MEMORY_AND_DISK)
     return vec, n, stats, scaled
 
 

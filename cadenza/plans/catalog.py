@@ -451,6 +451,10 @@ register("M1_M28_profile_events_split_by_day", _profile_sql("user_id", "plays_ev
     lambda spark, d: _profile_spark(_events(spark, d), U, hot_rows=0))
 
 
+register("M1_M28_profile_events_all_split", _profile_sql(None, "plays_events"))(
+    lambda spark, d: _profile_spark(_events(spark, d), ALL, hot_rows=1000))
+
+
 register("M11_J6_circadian", with_plays(
     f"""SELECT g.user_id, g.local_hour, {hours_sql('coalesce(ms, 0)')} AS hours FROM
  (SELECT user_id, tz_offset, CAST(unnest(range(0, 24)) AS INTEGER) AS local_hour FROM dom) g
