@@ -23,6 +23,8 @@ from cadenza.session import scratch_path
 HOT_SHARE = 1000
 #: Rows of one key that go to one task.
 SPLIT_ROWS = 20_000
+#: Numbers (8 bytes each, and an entry of a hash table) that may be broadcast.
+BROADCAST_NUMBERS = 1 << 20
 #: Bytes of an Arrow batch handed to Python (long texts make small batches).
 BATCH_BYTES = 16 << 20
 
@@ -122,10 +124,18 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     return top.union(cur.select(F.col("b").alias("v"), F.col("b").alias("label"))).distinct()
 
 
+def if_small(df: DataFrame, numbers: int) -> DataFrame:
+    """``df`` to be broadcast if the counted ``numbers`` it holds are within
+    BROADCAST_NUMBERS; beyond, the join shuffles both sides."""
+    return F.broadcast(df) if numbers <= BROADCAST_NUMBERS else df
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "left_anti") -> DataFrame:
     """Rows of ``docs`` whose id is not (``left_semi``: is) in the one column
-    of ``ids``; null ids match null ids."""
-    ids = ids.toDF("_ids")
+    of ``ids``; null ids match null ids.  The ids are written and counted:
+    few enough, they are broadcast and the documents are not shuffled."""
+    ids = written(ids.toDF("_ids").distinct(), "ids")
+    ids = if_small(ids, ids.count())
     return docs.join(ids, docs[id_col].eqNullSafe(ids["_ids"]), how)
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import without, written
+from cadenza.llm.common import if_small, without, written
 
 #: Selected positions of each mask; all other positions are ignored.
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
@@ -80,6 +80,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
         "doc_id", "th", "item_id", "ih", (F.col("pos") - F.col("q")).alias("diagonal")).distinct(), "hits")
     per = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "ih", "diagonal")).alias("hits")).select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "hits")
+    per = if_small(per, 4 * hits.count())
     tokens = d.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select(
         "doc_id", F.explode(F.array(F.struct(words(F.col("text")).alias("w"), "hits"))).alias("x"))
     item_words = items.select("item_id", "ih", "n", words(F.col("text")).alias("iw"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cadenza.llm.common import lookup_join, written
+from cadenza.llm.common import if_small, lookup_join, written
 
 WINDOW_LINES = 3
 
@@ -49,7 +49,9 @@ def removed_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def _deduped(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(row: struct of all columns of ``docs``, doc_id, n_lines, n_removed, text)."""
-    found = removed_positions(docs, id_col, text_col, k).withColumnsRenamed({"doc_id": "found_id", "th": "found_th"})
+    found = written(removed_positions(docs, id_col, text_col, k), "removed").withColumnsRenamed(
+        {"doc_id": "found_id", "th": "found_th"})
+    found = if_small(found, found.agg(F.sum(F.size("starts") + 4)).first()[0] or 0)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"),
                        docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("th"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("th") == F.col("found_th")), "left")

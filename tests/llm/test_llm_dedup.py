@@ -75,7 +75,9 @@ def test_near_duplicates_brute_force(spark, hot):
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == brute_near(rows)
 
 
-def test_near_dedup_keeps_one_and_columns(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_near_dedup_keeps_one_and_columns(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_NUMBERS", limit)
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (9, "quite another text with other words here"), (None, "a b c d e f g")]
     out = simhash.near_dedup(docs_of(spark, rows))
     assert out.columns == docs_of(spark, []).columns
@@ -184,7 +186,9 @@ def test_line_dedup_brute_force(spark):
     assert by[100].n_lines is None
 
 
-def test_line_dedup_ties(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_line_dedup_ties(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_NUMBERS", limit)
     rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc\nd"), (None, "a\nb\nc")]
     docs = docs_of(spark, rows).withColumn("n_chars", F.lit(-1))
     out = lines.line_dedup(docs)
