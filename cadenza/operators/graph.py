@@ -230,8 +230,9 @@ def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_it
     ever (the GraphFrames form ``self_vote=False`` does on any edge): when the
     whole labelling was seen before, the loop ends, and in the graphs that
     still change each vertex takes the smaller of its last two labels and
-    ``converged`` is false.  ``max_iter`` ends it after so many rounds instead
-    (graphs that changed in the last one are not converged)."""
+    ``converged`` is false.  ``max_iter`` runs that many rounds instead, if no
+    fixpoint comes first (graphs that changed in the last one are not
+    converged)."""
     e, ks = prepare(edges, keys)
     nb = _cut(undirected_neighbours(e, ks))
     lab = _cut(vertices(e, ks).select(*ks, "id", F.col("id").alias("label"), F.col("id").alias("_old")))
@@ -252,7 +253,7 @@ def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_it
                                 F.sum(F.xxhash64(*ks, "id", "label").cast("decimal(38,0)"))).first()
         if not changed:
             break
-        if mark in seen:
+        if max_iter is None and mark in seen:
             cycle = True
             break
         seen.add(mark)
