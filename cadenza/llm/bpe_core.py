@@ -23,8 +23,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Entries of the pair memo, after which it starts anew, and of one
-#: generation of a chunk memo.
-PAIR_LIMIT, CHUNK_LIMIT = 400_000, 500_000
+#: generation of a chunk memo (about 200 bytes each, two generations; a worker
+#: keeps them between tasks, also while other stages run).
+PAIR_LIMIT, CHUNK_LIMIT = 200_000, 200_000
 #: Chunks longer than this many characters are encoded without being kept.
 LONG_CHUNK = 200
 

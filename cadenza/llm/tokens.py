@@ -31,6 +31,8 @@ from cadenza.llm.repair import Grammar, compress
 
 #: Ids after which a block ends (at the end of a document).
 BLOCK_IDS = 1 << 20
+#: Words of one generation of a worker's memo.
+MEMO_WORDS = 500_000
 _SCHEMA = ("shard int, block int, doc_ids array<bigint>, lengths binary, base int, rules binary, "
            "rule_lengths binary, sequence binary, n_ids long, crc32 long")
 
@@ -84,7 +86,7 @@ class _LibraryEncoder:
 @lru_cache(maxsize=2)
 def _library(path: str) -> tuple[_LibraryEncoder, ChunkCoder]:
     lib = _LibraryEncoder(path)
-    return lib, ChunkCoder(lib.parts)
+    return lib, ChunkCoder(lib.parts, MEMO_WORDS)
 
 
 def _pack(shard: int, block: int, ids: list, parts: list[bytes], base: int) -> pa.RecordBatch:
