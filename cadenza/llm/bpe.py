@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe_core import ChunkCoder, PieceEncoder, Vocabulary
-from cadenza.llm.common import bounded_batches, no_cycle_collector
+from cadenza.llm.common import bounded_batches, no_cycle_collector, remembers
 
 #: Bytes of text that are encoded at a time.
 SLICE_BYTES = 8 << 20
@@ -25,6 +25,9 @@ def coder(path: str, pattern: str) -> ChunkCoder:
     return ChunkCoder(PieceEncoder(Vocabulary.read(path), pattern).encode_all)
 
 
+remembers(coder.cache_clear)
+remembers(Vocabulary.read.cache_clear)
+
 def decode_ids(vocab: Vocabulary, ids: bytes) -> bytes:
     return b"".join(map(vocab.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 

@@ -10,7 +10,7 @@ names, are carried or ignored but never read.
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +49,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_memos: list[Callable[[], None]] = []
+
+
+def remembers(clear: Callable[[], None]) -> None:
+    """Name what empties a memo that a Python worker keeps between tasks."""
+    _memos.append(clear)
+
+
+def release_memos() -> None:
+    """Called by tasks of other operators: a worker that has moved on to them
+    gives back what the encoders remembered."""
+    for clear in _memos:
+        clear()
+
+
 @contextmanager
 def no_cycle_collector() -> Iterator[None]:
     """Inside, Python frees objects by their reference counts alone: the

@@ -22,7 +22,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bounded_batches, written
+from cadenza.llm.common import bounded_batches, release_memos, written
 
 #: Hash buckets of words; the structure features follow them.
 WORD_BUCKETS = 1 << 13
@@ -155,6 +155,7 @@ def score(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
         for b in batches:
             s = [model if isinstance(model, float) else model.score(*features(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(s, pa.float64())})

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bounded_batches, components, lookup_join, without, written
+from cadenza.llm.common import bounded_batches, components, lookup_join, release_memos, without, written
 from cadenza.llm.simhash_core import fingerprint
 
 SHINGLE_WORDS = 4
@@ -42,6 +42,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column("_text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("_id"), "fp": pa.array(fp.view(np.int64))})

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 
 from cadenza.llm.bpe import _slices
 from cadenza.llm.bpe_core import ChunkCoder
-from cadenza.llm.common import bounded_batches, no_cycle_collector
+from cadenza.llm.common import bounded_batches, no_cycle_collector, remembers
 from cadenza.llm.repair import Grammar, compress
 
 #: Ids after which a block ends (at the end of a document).
@@ -89,6 +89,9 @@ def _library(path: str) -> tuple[_LibraryEncoder, ChunkCoder]:
     return lib, ChunkCoder(lib.parts, MEMO_WORDS)
 
 
+remembers(_library.cache_clear)
+
+
 def _pack(shard: int, block: int, ids: list, parts: list[bytes], base: int) -> pa.RecordBatch:
     data = b"".join(parts)
     g = compress(np.frombuffer(data, dtype="<u4"), base)
