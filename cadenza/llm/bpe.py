@@ -16,7 +16,7 @@ from cadenza.llm.bpe_core import ChunkCoder, PieceEncoder, Vocabulary
 from cadenza.llm.common import bounded_batches, no_cycle_collector, remembers
 
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 @lru_cache(maxsize=2)
@@ -32,13 +32,13 @@ def decode_ids(vocab: Vocabulary, ids: bytes) -> bytes:
     return b"".join(map(vocab.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Runs of texts of about SLICE_BYTES bytes (a longer text is alone)."""
+def _slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Runs of texts of about ``most`` bytes (a longer text is alone)."""
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         before = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
         yield texts.slice(at, end - at)
         at = end
 

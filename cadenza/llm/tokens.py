@@ -31,6 +31,8 @@ from cadenza.llm.repair import Grammar, compress
 
 #: Ids after which a block ends (at the end of a document).
 BLOCK_IDS = 1 << 20
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 8 << 20
 #: Words of one generation of a worker's memo.
 MEMO_WORDS = 500_000
 _SCHEMA = ("shard int, block int, doc_ids array<bigint>, lengths binary, base int, rules binary, "
@@ -120,7 +122,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         shard, block, ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
             keys, at = b.column("doc_id").to_pylist(), 0
-            for texts in _slices(b.column("text")):
+            for texts in _slices(b.column("text"), SLICE_BYTES):
                 with no_cycle_collector():
                     encoded = encode(texts)
                 for x in encoded:
