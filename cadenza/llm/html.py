@@ -4,10 +4,11 @@ operator).
 A page is cut into blocks at block-level tags.  First pass: a block inside a
 container that is never main text (menu, header, footer, sidebar, notice,
 advert, form, comments) is bad, a block of an article or main element is good
-if it is long or has stop words, and any other block is judged by its length,
-its density of stop words and the share of its characters that are links.
-Second pass: the remaining short blocks take the label of the nearest decided
-neighbours.
+if it is long or has stop words, and any other block is judged by the share of
+its characters that are links, its length and its density of stop words (which
+says nothing on a page in a language without a list): linked ones are bad, long
+ones good or undecided.  Second pass: the undecided blocks take the label of
+the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -23,18 +24,61 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import bounded_batches
 
-#: Frequent function words of English, French, German and Spanish.
-STOP_WORDS = frozenset("""
-the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which
-le la les de des du et un une en que qui dans pour est sur au avec pas il elle ce ne se sont plus par
-der die das und ein eine in den von zu mit ist auf für nicht im sich dem des als auch es an werden aus
-el los las del y que en un una es por con para no su al lo como más pero sus o
-""".split())
+#: Function words by language, with the pieces that apostrophes leave.
+STOP_WORDS = {
+    "en": """a about above after again against all also although always am among an and another any are aren around as at away
+back be became because become been before being below between both but by can cannot could couldn d did didn do does doesn
+doing don done down during each either else enough even ever every few first for from further get had hadn has hasn have
+haven having he hence her here hers herself him himself his how however i if in indeed instead into is isn it its itself
+just last least less let like ll m made make many may me might mine more moreover most much must my myself near need neither
+never no nor not nothing now of off often on once one only onto or other others otherwise our ours ourselves out over own
+per perhaps quite rather re s same shall she should shouldn since so some something still such t than that the their
+theirs them themselves then there therefore these they this those though through throughout thus to together too toward
+towards two under unless until up upon us ve very via was wasn we well were weren what whatever when where whereas whether
+which while who whoever whole whom whose why will with within without won would wouldn yet you your yours yourself
+yourselves""",
+    "fr": """a à afin ai ainsi alors après as au aucun aucune aujourd aura aurait aussi autant autre autres aux avaient avait
+avant avec avoir avons ayant beaucoup bien c ça car ce ceci cela celle celles celui cependant ces cet cette ceux chaque
+chez ci comme comment contre d dans de déjà depuis dernier des dès deux devant doit doivent donc dont du durant elle elles
+en encore enfin entre es est et étaient était étant été être eu eux fait faire fois font hors hui ici il ils j jamais je
+jusqu jusque l la là laquelle le lequel les lesquelles lesquels leur leurs lors lorsqu lorsque lui m ma mais malgré me même
+mêmes mes mieux moi moins mon n ne ni non nos notre nous on ont ou où par parce parfois parmi pas pendant personne peu peut
+peuvent plus plusieurs plutôt pour pourquoi pourtant près presque puis puisque qu quand que quel quelle quelles quelque
+quelques quels qui quoi rien s sa sans se selon sera serait seront ses seulement si sien soi soit son sont sous souvent
+suis sur surtout t ta tandis te tel telle telles tels tes toi ton toujours tous tout toute toutes très trop tu un une vers
+voici voilà vos votre vous vu y""",
+    "de": """ab aber allein alle allem allen aller alles als also am an andere anderem anderen anderer anderes auch auf aus
+außer außerdem bald bei beide beiden beim bereits bevor bin bis bisher bist da dabei dadurch dafür dagegen daher damals
+damit danach dann daran darauf daraus darf darin darüber darum das dass daß dazu dein deine dem den denen denn dennoch der
+deren des deshalb dessen die dies diese diesem diesen dieser dieses doch dort du durch dürfen ebenfalls ebenso ein eine
+einem einen einer eines einige einigen einmal er erst es etwa etwas euch euer für ganz gar gegen gegenüber genau gewesen
+hab habe haben hat hatte hatten hier hin hinter ich ihm ihn ihnen ihr ihre ihrem ihren ihrer ihres im immer in indem ins
+ist ja je jede jedem jeden jeder jedes jedoch jene jenen jener jetzt kann kein keine keinem keinen keiner können konnte
+könnte man manche mehr mein meine mich mir mit muss müssen musste nach nachdem neben nein nicht nichts noch nun nur ob
+obwohl oder ohne schon sehr sei sein seine seinem seinen seiner seit selbst sich sie sind so sobald sodass sogar solche
+soll sollen sollte sondern sonst soweit sowie statt über um und uns unser unsere unter viel viele vielen vom von vor
+während war waren warum was weder weil weiter welche welchem welchen welcher welches wenig wenn wer werde werden wie
+wieder will wir wird wo wollen worden wurde wurden würde würden zu zum zur zwar zwei zwischen""",
+    "es": """a acerca además ahí ahora al algo alguna algunas alguno algunos allá allí ambos ante antes aquel aquella aquellas
+aquellos aquí así aún aunque bajo bien cada casi como cómo con contra cual cuál cuales cualquier cuando cuándo cuanto cuya
+cuyo da de debe deben del demás dentro desde después donde dónde dos durante e el él ella ellas ello ellos en entonces
+entre era eran eres es esa esas ese eso esos esta está estaba estado están estar estas este esto estos fin fue fueron fuera
+ha había habían hace hacer hacia han hasta hay he hizo hoy incluso la las le les lo los luego más me mediante menos mi mí
+mientras mis misma mismas mismo mismos mucha muchas mucho muchos muy nada ni ningún ninguna no nos nosotros nuestra nuestras
+nuestro nuestros nunca o os otra otras otro otros para pero poco pocos por porque pueden puede pues que qué quien quién
+quienes se sea sean según ser será si sí sido siempre sin sino sobre sola solo sólo son su sus tal tales también tampoco
+tan tanto te tenía tener ti tiene tienen toda todas todavía todo todos tras tu tú tus un una unas uno unos usted ustedes va
+y ya yo""",
+}
+STOP_WORDS = {language: frozenset(words.split()) for language, words in STOP_WORDS.items()}
 #: First-pass thresholds: characters of a short and of a long block, share of
-#: stop words, share of linked characters.
+#: stop words in the best language (measured on prose, see README) of a block
+#: and of a page's long blocks together, share of linked characters.
 LENGTH_LOW, LENGTH_HIGH = 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+STOP_LOW, STOP_PAGE = 0.08, 0.20
 LINKS_MAX = 0.20
+#: Characters of scripts without spaces say as much as so many others.
+DENSE = 3
 
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt
 fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol
@@ -54,6 +98,7 @@ ARTICLE_TAGS = frozenset(("article", "main"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _NAME_PART = re.compile(r"[\s_\-]+")
 
 
@@ -149,33 +194,48 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _stop_share(text: str) -> float:
+    """Share of the words that are stop words of the language with the most."""
     words = _WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return max(sum(w in stop for w in words) for stop in STOP_WORDS.values()) / len(words) if words else 0.0
 
 
-def first_pass(b: Block) -> bool | None:
-    """True: main text, False: not, None: too short to tell."""
+def _length(text: str) -> int:
+    return len(text) + (0 if text.isascii() else (DENSE - 1) * len(_DENSE.findall(text)))
+
+
+def _is_long(b: Block) -> bool:
+    """Outside bad containers, long and hardly linked: text unless all around
+    it is not."""
+    text = b.text
+    return not b.bad and _length(text) >= LENGTH_LOW and b.linked <= LINKS_MAX * len(text)
+
+
+def knows_language(blocks: list[Block]) -> bool:
+    """Do the long blocks of the page, taken together, have stop words as prose
+    of a listed language has?  If not, stop words tell nothing about it."""
+    return _stop_share(" ".join(b.text for b in blocks if _is_long(b))) >= STOP_PAGE
+
+
+def first_pass(b: Block, known: bool = True) -> bool | None:
+    """True: main text, False: not, None: undecided.  ``known``: the page is in
+    a listed language."""
     if b.bad:
         return False
     text = b.text
     if b.article:
-        return True if len(text) >= LENGTH_LOW or _stop_share(text) >= STOP_LOW else None
+        return True if _length(text) >= LENGTH_LOW or _stop_share(text) >= STOP_LOW else None
     if b.linked > LINKS_MAX * len(text):
         return False
-    if len(text) < LENGTH_LOW:
+    if _length(text) < LENGTH_LOW:
         return None
-    share = _stop_share(text)
-    if share >= STOP_HIGH:
-        return True if len(text) > LENGTH_HIGH else None
-    if share >= STOP_LOW:
-        return None
-    return False
+    return True if not known or _length(text) > LENGTH_HIGH or _stop_share(text) >= STOP_LOW else None
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     """Undecided blocks take the nearest decided neighbour's label: inside an
     article only its own blocks count, and without any it is main text; of two
-    at one distance that differ a heading takes the one after, others are bad."""
+    at one distance that differ a heading takes the one after, others are bad.
+    A long block is bad only if its decided neighbours on both sides are."""
     n = len(blocks)
     before, after = [-1] * n, [-1] * n
     for order, to, step in ((range(n), before, -1), (range(n - 1, -1, -1), after, 1)):
@@ -188,7 +248,9 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
         if label is None:
             near = [j for j in (before[i], after[i]) if j >= 0 and (not b.article or blocks[j].article == b.article)]
             near.sort(key=lambda j: abs(j - i))
-            if not near:
+            if not b.article and _is_long(b):
+                label = len(near) < 2 or any(labels[j] for j in near)
+            elif not near:
                 label = bool(b.article)
             elif len(near) == 2 and abs(near[0] - i) == abs(near[1] - i) and labels[near[0]] != labels[near[1]]:
                 label = labels[after[i]] if b.tag in HEADINGS else bool(b.article)
@@ -200,7 +262,8 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    labels = second_pass(blocks, [first_pass(b) for b in blocks])
+    known = knows_language(blocks)
+    labels = second_pass(blocks, [first_pass(b, known) for b in blocks])
     return " ".join(b.text for b, good in zip(blocks, labels) if good)
 
 

@@ -93,6 +93,41 @@ def test_page_without_article_uses_two_passes():
     assert html.main_text(page) == want
 
 
+#: Prose with few listed stop words, in listed and other languages and scripts.
+PROSE = {
+    "licence": "Redistributions in binary form must reproduce copyright notices, disclaimers, warranty limitations.",
+    "german": "Verfahren Wärmebehandlung metallischer Werkstoffe unterscheiden Fachleute nach Temperatur, Dauer und Abkühlung.",
+    "finnish": "Suomen kielen sanat taipuvat monissa sijamuodoissa, joten lyhyitä apusanoja tarvitaan varsin harvoin lauseissa.",
+    "polish": "Rzeka płynie przez trzy województwa, zanim wpada do morza niedaleko starego portu rybackiego i latarni.",
+    "russian": "Город расположен на берегу большой реки, недалеко от границы, и известен своими старинными мостами.",
+    "chinese": "这座城市位于大河岸边，离边境不远，以古老的桥梁、市场和图书馆闻名，每年有许多游客前来参观。",
+}
+
+
+@pytest.mark.parametrize("name", PROSE)
+@pytest.mark.parametrize("around", ["<nav><a href=x>Home</a></nav>", "<div><a href=x>Home of the site</a></div>"])
+def test_page_without_article_keeps_prose(name, around):
+    text = PROSE[name]
+    page = f"<body>{around}<div><p>{text}</p><p>{text} 2</p><p>{text} 3</p></div>{around}</body>"
+    assert html.main_text(page) == f"{text} {text} 2 {text} 3"
+
+
+def test_page_in_known_language_drops_wordless_block_among_links():
+    long = "It was the best of the times and it was the worst of them, for all that they had to say in the end."
+    links = "<div><a href=x>Home</a></div>"
+    code = "xkcd qwrt zzz plmk vbnm grtp lkjh mnbv poiu ytre wqas xkcd qwrt zzz plmk vbnm grtp lkjh mnbv"
+    assert html.main_text(f"<p>{long}</p>{links}<p>{code}</p>{links}") == long
+    assert html.main_text(f"<p>{long}</p><p>{code}</p>{links}") == f"{long} {code}"
+
+
+def test_given_pages_lose_no_long_block_without_article(spark):
+    import re
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").limit(60).collect():
+        long = [b.text for b in html.blocks_of(row.html or "") if b.article and not b.bad and len(b.text) >= 70]
+        text = html.main_text(re.sub(r"<(/?)article\b", r"<\1div", row.html or ""))
+        assert all(b in text for b in long)
+
+
 @pytest.mark.parametrize("page", ["", None, "plain", "<", "<p", "<p>a<", "<!--", "<script>", '<a href="x' * 2000, "<p>" * 3000, "</p></div>", "&#x41;&bogus;", "<div " + "'" * 999])
 def test_page_broken_markup(page):
     assert isinstance(html.main_text(page), str)
