@@ -232,17 +232,18 @@ def first_pass(b: Block, known: bool = True) -> bool | None:
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
-    """Undecided blocks take the nearest decided neighbour's label: inside an
-    article only its own blocks count, and without any it is main text; of two
-    at one distance that differ a heading takes the one after, others are bad.
-    A long block is bad only if its decided neighbours on both sides are."""
+    """Undecided blocks take the nearest decided neighbour's label: blocks of bad
+    containers are no neighbours, inside an article only its own blocks count,
+    and without any it is main text; of two at one distance that differ a
+    heading takes the one after, others are bad.  A long block is bad only if
+    its decided neighbours on both sides are."""
     n = len(blocks)
     before, after = [-1] * n, [-1] * n
     for order, to, step in ((range(n), before, -1), (range(n - 1, -1, -1), after, 1)):
         for i in order:
             j = i + step
             if 0 <= j < n:
-                to[i] = j if labels[j] is not None else to[j]
+                to[i] = j if labels[j] is not None and not blocks[j].bad else to[j]
     out = []
     for i, (b, label) in enumerate(zip(blocks, labels)):
         if label is None:
@@ -251,7 +252,7 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
             if not b.article and _is_long(b):
                 label = len(near) < 2 or any(labels[j] for j in near)
             elif not near:
-                label = bool(b.article)
+                label = True
             elif len(near) == 2 and abs(near[0] - i) == abs(near[1] - i) and labels[near[0]] != labels[near[1]]:
                 label = labels[after[i]] if b.tag in HEADINGS else bool(b.article)
             else:

@@ -126,6 +126,22 @@ def test_given_pages_lose_no_long_block_without_article(spark):
         long = [b.text for b in html.blocks_of(row.html or "") if b.article and not b.bad and len(b.text) >= 70]
         text = html.main_text(re.sub(r"<(/?)article\b", r"<\1div", row.html or ""))
         assert all(b in text for b in long)
+        assert text == html.main_text(row.html)
+
+
+LONG = "It was the best of the times and it was the worst of them, for all that they had to say in the end."
+AD = "<div class=ad>Buy the best of all of the things that we have for you and your family, now and in the end.</div>"
+
+
+@pytest.mark.parametrize("inside, want", [
+    (f"<p>{LONG}</p>{AD}<p>Short end.</p>", f"{LONG} Short end."),
+    (f"<h1>Heading</h1>{AD}<p>{LONG}</p>", f"Heading {LONG}"),
+    (f"<p>{LONG}</p><p>Uno.</p><p>Two.</p>{AD}<p>{LONG}</p>", f"{LONG} Uno. Two. {LONG}"),
+    (f"<p>One.</p>{AD}<p>Two.</p>", "One. Two."),
+])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_page_drops_only_the_advert(tag, inside, want):
+    assert html.main_text(f"<body><nav><a href=x>Home</a></nav><{tag}>{inside}</{tag}><footer>x</footer></body>") == want
 
 
 @pytest.mark.parametrize("page", ["", None, "plain", "<", "<p", "<p>a<", "<!--", "<script>", '<a href="x' * 2000, "<p>" * 3000, "</p></div>", "&#x41;&bogus;", "<div " + "'" * 999])
