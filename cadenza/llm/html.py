@@ -85,21 +85,31 @@ fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup
 optgroup option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Contents that are no text of the page.
+#: Contents that are no text of the page.  Only those of RUN_ON go on to the
+#: page's end if the element is never closed; of others the tag alone is dropped.
 RAW_TAGS = frozenset(("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "canvas", "audio", "video", "select"))
+RUN_ON = frozenset(("script", "style", "textarea", "title"))
 #: Containers that never hold main text, by tag, role, class or id word.
 BAD_TAGS = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "button", "head"))
 BAD_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar"))
 BAD_WORDS = frozenset("""ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice
 popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies share
 sharing social related newsletter subscribe subscription login signup search pagination skip toolbar""".split())
+#: Words of containers whose own items often are article elements.
+ITEM_WORDS = frozenset("comment comments disqus reply replies related".split())
+#: ``with-sidebar`` and ``no-comments`` tell of a layout, not of a container.
+LAYOUT_PARTS = frozenset("with without no not non has have hide hides".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: How an element is bad: not, by its class or id (an article element below
+#: starts clean), by one of ITEM_WORDS (an article element below does so if the
+#: page has no other), by tag, role or ``hidden`` (all below is bad).
+CLEAN, MARKED, ITEMS, BARRED = range(4)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
-_NAME_PART = re.compile(r"[\s_\-]+")
+_NAME_PART = re.compile(r"[_\-]+")
 
 
 @dataclass
@@ -109,31 +119,66 @@ class Block:
     article: int                      # number of the enclosing article element, 0: none
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    spare: bool = False               # of an article element below ITEM_WORDS, bad if the page has another
 
     @property
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
-def _bad_container(tag: str, attributes: str, in_article: bool) -> bool:
+def _named(value: str) -> int:
+    """MARKED or ITEMS if a class or id value names a bad container."""
+    found = set()
+    for name in value.split():
+        parts = _NAME_PART.split(name)
+        layout = next((i for i, part in enumerate(parts) if part in LAYOUT_PARTS), len(parts))
+        found.update(BAD_WORDS.intersection(parts[:layout]))
+    return CLEAN if not found else MARKED if found.isdisjoint(ITEM_WORDS) else ITEMS
+
+
+def _bad_container(tag: str, attributes: str, in_article: bool) -> int:
     if tag in BAD_TAGS or (tag == "header" and not in_article):
-        return True
+        return BARRED
     if not attributes.strip() or tag in ("html", "body", *ARTICLE_TAGS):
-        return False
+        return CLEAN
+    bad = CLEAN
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         name = name.lower()
         if name == "hidden" or (name == "role" and value in BAD_ROLES):
-            return True
-        if name in ("class", "id") and not BAD_WORDS.isdisjoint(_NAME_PART.split(value)):
-            return True
-    return False
+            return BARRED
+        if name in ("class", "id"):
+            bad = max(bad, _named(value))
+    return bad
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element ``tag`` that is closed starts, and where it ends."""
+    ends, opened = {}, []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^<>]*>?", page, re.I):
+        if m[1]:
+            if opened:
+                ends[opened.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            opened.append(m.start())
+    return ends
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
+    """Blocks with text, in page order; spare ones are clean if no other block
+    is in an article element."""
+    out = _blocks(page)
+    spare = [b for b in out if b.spare]
+    if spare and not any(b.article and not b.bad for b in out):
+        for b in spare:
+            b.bad = False
+    return out
+
+
+def _blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []           # open elements: tag, bad, article
+    stack: list[tuple[str, int, int, bool]] = []      # open elements: tag, how bad, article, spare
+    ends: dict[str, dict[int, int]] = {}
     articles, links, at, n = 0, 0, 0, len(page)
     block = Block("", False, 0)
 
@@ -141,8 +186,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal block
         if block.parts and block.text:
             out.append(block)
-        bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        block = Block(tag, bad, article)
+        bad, article, spare = stack[-1][1:] if stack else (CLEAN, 0, False)
+        block = Block(tag, bool(bad) or spare, article, spare=spare and not bad)
 
     while at < n:
         m = _TOKEN.match(page, at)
@@ -162,9 +207,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, closing = tag.lower(), bool(m[1])
         if tag in RAW_TAGS and not closing:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if tag in RUN_ON:
+                if not m[3].endswith("/"):
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    at = end.end() if end else n
+            else:
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                at = max(at, ends[tag].get(m.start(), at))
             block.parts.append(" ")
             continue
         if tag == "a":
@@ -179,16 +229,19 @@ def blocks_of(page: str) -> list[Block]:
             elif tag in BLOCK_TAGS:
                 flush("")
         elif tag not in VOID_TAGS and (tag in BLOCK_TAGS or tag in BAD_TAGS) and tag != "p":
-            above_bad, above_article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            if tag in ARTICLE_TAGS and not above_article:
-                articles += 1
-                above_article = articles
-            stack.append((tag, above_bad or _bad_container(tag, m[3], bool(above_article)), above_article))
+            above_bad, above_article, spare = stack[-1][1:] if stack else (CLEAN, 0, False)
+            if tag in ARTICLE_TAGS and not any(s[0] == "article" for s in stack):
+                if not above_article:
+                    articles += 1
+                    above_article = articles
+                if above_bad in (MARKED, ITEMS):
+                    above_bad, spare = CLEAN, spare or above_bad == ITEMS
+            stack.append((tag, max(above_bad, _bad_container(tag, m[3], bool(above_article))), above_article, spare))
             flush(tag)
         elif tag in BLOCK_TAGS:
             flush(tag)
             if tag == "p" and m[3].strip() and _bad_container(tag, m[3], bool(block.article)):
-                block.bad = True
+                block.bad, block.spare = True, False
     flush("")
     return out
 

@@ -144,6 +144,35 @@ def test_page_drops_only_the_advert(tag, inside, want):
     assert html.main_text(f"<body><nav><a href=x>Home</a></nav><{tag}>{inside}</{tag}><footer>x</footer></body>") == want
 
 
+@pytest.mark.parametrize("around", [
+    "<div class='layout with-sidebar'>", "<div id='page' class='no-comments'>", "<div class=has-ads>", "<div class='page page--has-footer'>",
+    "<select name=a><option>x", "<object data=x>", "<svg viewBox='0 0 1 1'><path d=x>", "<noscript>", "<video src=x>",
+    "<select><select></select>", "<svg/>"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_page_is_not_lost_by_its_surroundings(around, tag):
+    page = f"<body>{around}<{tag}><p>{LONG}</p><p>Short.</p>{AD}<p>{LONG} 2</p></{tag}></body>"
+    assert html.main_text(page).endswith(f"{LONG} Short. {LONG} 2")
+
+
+@pytest.mark.parametrize("around", ["<div class=sidebar-left>", "<div class=comments>", "<main><div class='social menu'>", "<div class=cookie><p>x</div><div class=ad>"])
+def test_article_below_marked_ancestor_starts_clean(around):
+    assert html.main_text(f"<body>{around}<article><p>{LONG}</p>{AD}<p>Short.</p></article></body>") == f"{LONG} Short."
+
+
+def test_article_below_barred_ancestor_or_among_comments_stays_bad():
+    article = f"<article><p>{LONG}</p></article>"
+    for around in ("nav", "footer", "aside", "div role=navigation", "div hidden"):
+        assert html.main_text(f"<{around}>{article}</{around.split()[0]}>") == ""
+    assert html.main_text(f"{article}<div id=comments>{article}</div><div class=related>{article}</div>") == LONG
+    assert html.main_text(f"<article>{AD}<div class=ad>{article}</div><p>{LONG} 2</p></article>") == f"{LONG} 2"
+
+
+def test_raw_elements_of_a_page_are_dropped_in_linear_time():
+    page = f"<p>{LONG}</p><svg><svg><text>a</text></svg><text>b</text></svg><select><option>c</select><video>d</video><p>{LONG}</p>"
+    assert html.main_text(page) == f"{LONG} {LONG}"
+    assert html.main_text(f"<p>{LONG}</p>" + "<svg>" * 50_000 + "<svg " * 50_000) == LONG
+
+
 @pytest.mark.parametrize("page", ["", None, "plain", "<", "<p", "<p>a<", "<!--", "<script>", '<a href="x' * 2000, "<p>" * 3000, "</p></div>", "&#x41;&bogus;", "<div " + "'" * 999])
 def test_page_broken_markup(page):
     assert isinstance(html.main_text(page), str)
