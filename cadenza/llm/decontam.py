@@ -8,8 +8,9 @@ benchmark items; a hit names a diagonal (document position - item position),
 and along the diagonal the words are compared one by one.  An item leaks into
 a document if some 13 consecutive positions of it agree in 11 or more.  Items
 of 5 to 12 words are compared whole with one substitution per five words,
-their seeds are the solid runs that this leaves (pigeonhole); shorter items
-are too little evidence and are not searched.
+their seeds are the solid runs that this leaves (pigeonhole): one for each of
+the equal pieces of the item, of which a copy keeps at least one.  Shorter
+items are too little evidence and are not searched.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ MIN_ITEM_WORDS = 5
 #: Seeds (24 bytes each) and items up to these numbers are broadcast after
 #: counting; beyond, both joins shuffle.
 BROADCAST_SEEDS, BROADCAST_ITEM_WORDS = 1 << 18, 1 << 20
+#: Item words (about) whose hits are compared in one row; a document with more
+#: is dealt over several rows.
+ROW_WORDS = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -38,17 +42,51 @@ def _hashes(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("h"))
 
 
-def _seeds(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """(keep, pos, seed): masked seeds, and solid ones of the given lengths."""
-    def at(i: Column, tag: int, offsets) -> Column:
-        return F.when(i + (offsets[-1] + 1) <= F.size("h"), F.xxhash64(F.lit(tag), *[F.get("h", i + o) for o in offsets]))
+def _seeds(df: DataFrame, forms: list[tuple], *keep: str) -> DataFrame:
+    """(keep, pos, seed): seeds of the forms (tag, offsets, condition on the
+    row and the position)."""
+    def at(i: Column, tag: int, offsets, holds) -> Column:
+        fits = i + (offsets[-1] + 1) <= F.size("h")
+        return F.when(fits if holds is None else fits & holds(i), F.xxhash64(F.lit(tag), *[F.get("h", i + o) for o in offsets]))
 
-    forms = [(k, m) for k, m in enumerate(MASKS)] + [(100 + n, tuple(range(n))) for n in lengths]
-    every = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array(*[at(i, t, o) for t, o in forms]))
+    every = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array(*[at(i, *form) for form in forms]))
     rows = df.filter(F.size("h") > 0).select(*keep, F.posexplode(every).alias("pos", "s"))
     return rows.select(*keep, "pos", F.explode("s").alias("seed")).filter(F.col("seed").isNotNull())
 
 
+def _forms(lengths: list[int], masked: bool, of_items: bool) -> list[tuple]:
+    """Forms of seeds: the masks, if an item has them, and solid runs of the
+    given lengths.  Of items only those of a stretch or more have the masks,
+    and a shorter one has its own length alone, once per piece."""
+    n = F.col("n")
+    masks = [(t, m, (lambda i: n >= STRETCH) if of_items else None) for t, m in enumerate(MASKS)] if masked else []
+    return masks + [(100 + k, tuple(range(k)), (lambda i, k=k: (n < STRETCH) & (_piece(n) == k) & (i % k == 0) & (
+        i <= k * _allowed(n))) if of_items else None) for k in lengths]
+
+
+def _piece(n: Column) -> Column:
+    """Words of a piece of a short item: one more piece than substitutions."""
+    return F.floor(n / (_allowed(n) + 1)).cast("int")
+
+
+def _item_seeds(items: DataFrame, lengths: list[int], masked: bool) -> DataFrame:
+    return _seeds(_hashes(items, "item_id", "ih", "n"), _forms(lengths, masked, True), "item_id", "ih", "n").select(
+        "item_id", "ih", "n", F.col("pos").alias("q"), "seed")
+
+
+def _listed(hits: DataFrame, row_words: int) -> DataFrame:
+    """(_id, _th, hits): the hits of a text, in lists of about ``row_words``
+    item words at most; texts with more are counted, dealt by a hash."""
+    many = written(hits.groupBy("doc_id", "th").agg(F.sum("n").alias("words")).filter(F.col("words") > row_words).select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.ceil(F.col("words") / row_words).alias("rows")), "many-hits")
+    n = many.count()
+    dealt = hits.withColumn("row", F.lit(0)) if not n else hits.join(
+        if_small(many, 3 * n), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").withColumn(
+        "row", F.coalesce(F.pmod(F.xxhash64("item_id", "ih", "diagonal"), F.col("rows")).cast("int"), F.lit(0)))
+    return dealt.groupBy("doc_id", "th", "row").agg(F.collect_list(F.struct("item_id", "ih", "n", "diagonal")).alias("hits")).select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "hits")
+
+
 def _allowed(n: Column) -> Column:
     return F.when(n >= STRETCH, SUBSTITUTIONS).otherwise(F.floor(n / 5).cast("int"))
 
@@ -66,31 +104,33 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
                     .select("item_id", "text", F.xxhash64("text").alias("ih"), F.size(words(F.col("text"))).alias("n"))
                     .filter(F.col("n") >= MIN_ITEM_WORDS).distinct(), "items")
     n = F.col("n")
-    short = items.filter(n < STRETCH).select(F.floor(n / (_allowed(n) + 1)).cast("int").alias("k")).distinct()
-    lengths = sorted(r.k for r in short.collect())             # at most STRETCH - 1 numbers
-    size = items.agg(F.sum("n")).first()[0] or 0
-    item_seeds = _seeds(_hashes(items, "item_id", "ih"), lengths, "item_id", "ih").select(
-        "item_id", "ih", F.col("pos").alias("q"), "seed")
+    lengths = sorted(r.k for r in items.filter(n < STRETCH).select(_piece(n).alias("k")).distinct().collect())   # at most STRETCH - 1 numbers
+    size, most = items.agg(F.sum("n"), F.max("n")).first()
+    size, masked = size or 0, (most or 0) >= STRETCH
+    if not size:                                               # no items: some form, which nothing meets
+        lengths = [MIN_ITEM_WORDS]
+    item_seeds = _item_seeds(items, lengths, masked)
     if size * (len(MASKS) + len(lengths)) <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
         "th", F.xxhash64("text"))
-    doc_seeds = _seeds(_hashes(d, "doc_id", "th"), lengths, "doc_id", "th")
+    doc_seeds = _seeds(_hashes(d, "doc_id", "th"), _forms(lengths, masked, False), "doc_id", "th")
     hits = written(doc_seeds.join(item_seeds, "seed").select(
-        "doc_id", "th", "item_id", "ih", (F.col("pos") - F.col("q")).alias("diagonal")).distinct(), "hits")
-    per = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "ih", "diagonal")).alias("hits")).select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "hits")
-    per = if_small(per, 4 * hits.count())
-    tokens = d.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select(
-        "doc_id", F.explode(F.array(F.struct(words(F.col("text")).alias("w"), "hits"))).alias("x"))
+        "doc_id", "th", "item_id", "ih", "n", (F.col("pos") - F.col("q")).alias("diagonal")).distinct(), "hits")
+    per = if_small(_listed(hits, ROW_WORDS), 5 * hits.count())
+    # a hit takes only the words beside its item along: from the diagonal's start, or the text's
+    start = lambda g: F.greatest(g, F.lit(0))
+    beside = F.transform("x.hits", lambda x: F.struct(
+        x["item_id"].alias("_item"), x["ih"].alias("_ih"), x["diagonal"].alias("g"),
+        F.slice("x.w", start(x["diagonal"]) + 1, F.greatest(x["diagonal"] + x["n"] - start(x["diagonal"]), F.lit(0))).alias("w")))
+    hit = d.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select(
+        "doc_id", F.explode(F.array(F.struct(words(F.col("text")).alias("w"), "hits"))).alias("x")).select(
+        "doc_id", F.inline(beside))
     item_words = items.select("item_id", "ih", "n", words(F.col("text")).alias("iw"))
     if size <= BROADCAST_ITEM_WORDS:
         item_words = F.broadcast(item_words)
-    hit = tokens.select("doc_id", F.col("x.w").alias("w"), F.explode("x.hits").alias("hit")).select(
-        "doc_id", "w", F.col("hit.item_id").alias("_item"), F.col("hit.ih").alias("_ih"), F.col("hit.diagonal").alias("g"))
     on = F.col("_item").eqNullSafe(F.col("item_id")) & (F.col("_ih") == F.col("ih"))
-    same = F.transform("iw", lambda w, j: F.when(
-        (j + F.col("g") >= 0) & (F.get("w", j + F.col("g")) == w), 1).otherwise(0))
+    same = F.transform("iw", lambda w, j: F.when(F.get("w", j + F.col("g") - start(F.col("g"))) == w, 1).otherwise(0))
     lined = hit.join(item_words, on).select("doc_id", "item_id", "n", F.explode(F.array(same)).alias("same"))
     starts = F.sequence(F.lit(0), F.greatest(n - STRETCH, F.lit(0)))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)

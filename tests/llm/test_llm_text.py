@@ -291,6 +291,28 @@ def test_leaks_shuffled_joins_agree(spark, monkeypatch):
     assert sorted(map(tuple, decontam.leaks(d, b).collect())) == want and len(want) == 40
 
 
+def test_solid_seeds_are_those_of_short_items_alone(spark):
+    say = lambda n: " ".join(f"w{i}" for i in range(n))
+    items = spark.createDataFrame([(1, 1, 5, say(5)), (2, 2, 12, say(12)), (3, 3, 40, say(40))], "item_id long, ih long, n int, text string")
+    seeds = decontam._item_seeds(items, [2, 4], True).collect()
+    assert sorted((r.item_id, r.q) for r in seeds if r.item_id < 3) == [(1, 0), (1, 2), (2, 0), (2, 4), (2, 8)]
+    assert sum(r.item_id == 3 for r in seeds) == 2 * (40 - decontam.SPAN + 1)
+
+
+def test_hits_of_a_document_are_dealt_over_bounded_lists(spark, monkeypatch):
+    bench = [(j, f"of the w{j} x{j} y{j}") for j in range(30)] + [(50, " ".join(f"v{i}" for i in range(30)))]
+    docs = [(1, " ".join("of the" for _ in range(100)) + " " + bench[3][1] + " " + bench[-1][1]), (2, bench[4][1]), (None, bench[5][1]),
+            (3, "the w6 x6 y6 " + "z " * 50), (4, " ".join(bench[-1][1].split()[10:]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    sizes, listed = [], decontam._listed
+    monkeypatch.setattr(decontam, "_listed", lambda *a: sizes.append(listed(*a).select(F.size("hits").alias("n")).collect()) or listed(*a))
+    for row_words in (1 << 16, 500):
+        monkeypatch.setattr(decontam, "ROW_WORDS", row_words)
+        assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()} == _brute_leaks(docs, bench)
+    whole, dealt = ([r.n for r in s] for s in sizes)
+    assert sum(whole) == sum(dealt) and max(whole) > 3000 and max(dealt) < 200
+
+
 def test_masks_cover_two_substitutions():
     for a in range(13):
         for b in range(13):
