@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.  DataFrame functions only.
 
-Texts become lower-case words (runs of letters and digits).  Two fixed masks
+Texts become lower-case words (runs of letters and digits; a letter of a script
+that is written without spaces is a word of its own).  Two fixed masks
 of span 8 look at six of the eight positions; together they hit every aligned
 stretch of 13 words with up to two substitutions (all 78 placements are
 covered).  Seeds of all documents at every position join the seeds of all
@@ -25,6 +26,8 @@ MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 SPAN = 8
 STRETCH, SUBSTITUTIONS = 13, 2
 MIN_ITEM_WORDS = 5
+#: Thai, Lao, Burmese, Khmer, kana and Han: no spaces tell their words.
+UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}]"
 #: Seeds (24 bytes each) and items up to these numbers are broadcast after
 #: counting; beyond, both joins shuffle.
 BROADCAST_SEEDS, BROADCAST_ITEM_WORDS = 1 << 18, 1 << 20
@@ -34,7 +37,14 @@ ROW_WORDS = 1 << 16
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    low = F.lower(text)
+    cut = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    return F.array_remove(F.split(cut, r"[^\p{L}\p{N}]+"), "")
+
+
+def unsearched(bench: DataFrame, text_col: str = "text") -> int:
+    """Items that have words but too few to be searched."""
+    return bench.filter(F.size(words(F.coalesce(F.col(text_col), F.lit("")))).between(1, MIN_ITEM_WORDS - 1)).count()
 
 
 def _hashes(df: DataFrame, *keep: str) -> DataFrame:

@@ -313,6 +313,14 @@ def test_hits_of_a_document_are_dealt_over_bounded_lists(spark, monkeypatch):
     assert sum(whole) == sum(dealt) and max(whole) > 3000 and max(dealt) < 200
 
 
+def test_items_in_scripts_without_spaces_are_searched(spark):
+    bench = [(1, "这座城市位于大河岸边，离边境不远"), (2, "東京は日本の首都です。"), (3, "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"), (4, "one two three")]
+    docs = [(i, f"before it {t.rstrip('。')} after it") for i, t in bench] + [(5, "这座城市位于小河岸边，离边境不远"), (6, "城市"), (7, "words of another language only")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()) == [(1, 1), (2, 2), (3, 3), (5, 1)]
+    assert decontam.unsearched(b) == 1
+
+
 def test_masks_cover_two_substitutions():
     for a in range(13):
         for b in range(13):
