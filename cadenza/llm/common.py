@@ -2,8 +2,9 @@
 hot keys, connected components by star rounds, and bounded Arrow batches.
 
 Conventions of every operator here: an id column identifies a document (rows
-that share an id are the same document and share its decision; ids may be
-null); a null text counts as an empty one; extra columns, whatever their
+that share an id are the same document and share its decision, but where a
+decision comes from the text alone, as in the quality filter and in
+decontamination, the rows of one text share it; ids may be null); a null text counts as an empty one; extra columns, whatever their
 names, are carried or ignored but never read.
 """
 
@@ -154,5 +155,17 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str =
     return docs.join(ids, docs[id_col].eqNullSafe(ids["_ids"]), how)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text are not in ``rows`` (id, text_hash);
+    so other texts under the same id, or under a null one, stay."""
+    rows = written(rows.toDF("_ids", "_th").distinct(), "rows")
+    rows = if_small(rows, 2 * rows.count())
+    return docs.join(rows, docs[id_col].eqNullSafe(rows["_ids"]) & (text_hash(docs[text_col]) == rows["_th"]), "left_anti")
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)

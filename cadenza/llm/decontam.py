@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import if_small, without, written
+from cadenza.llm.common import if_small, text_hash, without_rows, written
 
 #: Selected positions of each mask; all other positions are ignored.
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
@@ -101,15 +101,9 @@ def _allowed(n: Column) -> Column:
     return F.when(n >= STRETCH, SUBSTITUTIONS).otherwise(F.floor(n / 5).cast("int"))
 
 
-def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, best, matched, item_words): the items that leak into
-    documents; best = most agreeing words within 13 consecutive positions,
-    matched = most agreeing words along one diagonal that passes.
-
-    Null texts are empty and match nothing, as do empty tables.  Rows that
-    share an id count as one document (or item).  Null ids are results like
-    others.  Benchmark items with equal texts are all named."""
+def _leaks(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(doc_id, th, item_id, n, matched, best): the diagonals that pass; th
+    tells the text of the row."""
     items = written(bench.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
                     .select("item_id", "text", F.xxhash64("text").alias("ih"), F.size(words(F.col("text"))).alias("n"))
                     .filter(F.col("n") >= MIN_ITEM_WORDS).distinct(), "items")
@@ -123,7 +117,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     if size * (len(MASKS) + len(lengths)) <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
-        "th", F.xxhash64("text"))
+        "th", text_hash(F.col("text")))
     doc_seeds = _seeds(_hashes(d, "doc_id", "th"), _forms(lengths, masked, False), "doc_id", "th")
     hits = written(doc_seeds.join(item_seeds, "seed").select(
         "doc_id", "th", "item_id", "ih", "n", (F.col("pos") - F.col("q")).alias("diagonal")).distinct(), "hits")
@@ -134,24 +128,37 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
         x["item_id"].alias("_item"), x["ih"].alias("_ih"), x["diagonal"].alias("g"),
         F.slice("x.w", start(x["diagonal"]) + 1, F.greatest(x["diagonal"] + x["n"] - start(x["diagonal"]), F.lit(0))).alias("w")))
     hit = d.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select(
-        "doc_id", F.explode(F.array(F.struct(words(F.col("text")).alias("w"), "hits"))).alias("x")).select(
-        "doc_id", F.inline(beside))
+        "doc_id", "th", F.explode(F.array(F.struct(words(F.col("text")).alias("w"), "hits"))).alias("x")).select(
+        "doc_id", "th", F.inline(beside))
     item_words = items.select("item_id", "ih", "n", words(F.col("text")).alias("iw"))
     if size <= BROADCAST_ITEM_WORDS:
         item_words = F.broadcast(item_words)
     on = F.col("_item").eqNullSafe(F.col("item_id")) & (F.col("_ih") == F.col("ih"))
     same = F.transform("iw", lambda w, j: F.when(F.get("w", j + F.col("g") - start(F.col("g"))) == w, 1).otherwise(0))
-    lined = hit.join(item_words, on).select("doc_id", "item_id", "n", F.explode(F.array(same)).alias("same"))
+    lined = hit.join(item_words, on).select("doc_id", "th", "item_id", "n", F.explode(F.array(same)).alias("same"))
     starts = F.sequence(F.lit(0), F.greatest(n - STRETCH, F.lit(0)))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     scored = lined.select(
-        "doc_id", "item_id", "n", total(F.col("same")).alias("matched"),
+        "doc_id", "th", "item_id", "n", total(F.col("same")).alias("matched"),
         F.array_max(F.transform(starts, lambda i: total(F.slice("same", i + 1, STRETCH)))).alias("best"))
     passes = F.when(n >= STRETCH, F.col("best") >= STRETCH - SUBSTITUTIONS).otherwise(F.col("matched") >= n - _allowed(n))
-    return scored.filter(passes).groupBy("doc_id", "item_id").agg(
+    return scored.filter(passes)
+
+
+def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, best, matched, item_words): the items that leak into
+    documents; best = most agreeing words within 13 consecutive positions,
+    matched = most agreeing words along one diagonal that passes.
+
+    Null texts are empty and match nothing, as do empty tables.  Rows that
+    share an id count as one document (or item).  Null ids are results like
+    others.  Benchmark items with equal texts are all named."""
+    return _leaks(docs, bench, id_col, text_col, item_col, item_text_col).groupBy("doc_id", "item_id").agg(
         F.max("best").alias("best"), F.max("matched").alias("matched"), F.max("n").alias("item_words"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that an item leaks into."""
-    return without(docs, leaks(docs, bench, id_col, text_col).select("doc_id").distinct(), id_col)
+    """``docs`` without the rows that an item leaks into, told by id and text."""
+    found = _leaks(docs, bench, id_col, text_col, "item_id", "text")
+    return without_rows(docs, found.select("doc_id", "th"), id_col, text_col)

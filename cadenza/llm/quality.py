@@ -22,7 +22,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bounded_batches, release_memos, written
+from cadenza.llm.common import bounded_batches, release_memos, text_hash, written
 
 #: Hash buckets of words; the structure features follow them.
 WORD_BUCKETS = 1 << 13
@@ -149,7 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted.  Null
+    """One row per row of ``docs``: doc_id, held_out, score, predicted."""
+    return scored_rows(docs, model, id_col, text_col).drop("th")
+
+
+def scored_rows(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` with th, the ``text_hash`` of the row, besides.  Null
     texts score like empty ones.  The model, N_FEATURES * (FACTORS + 1)
     numbers, goes to the tasks with the function."""
     bounded_batches(docs.sparkSession)
@@ -158,9 +163,10 @@ def score(docs: DataFrame, model: Machine | float, id_col: str = "doc_id", text_
         release_memos()
         for b in batches:
             s = [model if isinstance(model, float) else model.score(*features(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(s, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "th": b.column("th"), "score": pa.array(s, pa.float64())})
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return src.mapInArrow(run, "doc_id long, score double").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                      text_hash(F.col(text_col)).alias("th"))
+    return src.mapInArrow(run, "doc_id long, th long, score double").select(
+        "doc_id", "th", held_out(F.col("doc_id")).alias("held_out"), "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import bpe, decontam, lines, quality, simhash
-from cadenza.llm.common import table, without, written
+from cadenza.llm.common import table, without_rows, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.3 or more)."""
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return without(docs, scored.filter(F.col("predicted") == 0).select("doc_id"))
+    """Rows whose text the classifier accepts (score of 0.3 or more)."""
+    scored = quality.scored_rows(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return without_rows(docs, scored.filter(F.col("predicted") == 0).select("doc_id", "th"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item leaks into."""
+    """Rows whose text no benchmark item leaks into."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -6,6 +6,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 for _p in (ROOT, os.path.join(ROOT, "tests")):
@@ -53,6 +54,21 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, SF_SMALL).collect()} == set(rows) - bad
 
 
+def test_null_or_repeated_id_drops_no_clean_text(spark, monkeypatch):
+    item = " ".join(f"v{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item, 1), (None, "clean one", 2), (7, f"so {item}", 3), (7, "clean two", 4), (7, None, 5), (8, "clean one", 6)],
+                                 "doc_id long, text string, n long")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontam.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == [2, 4, 5, 6]
+    monkeypatch.setattr(quality, "train", lambda *a: 0.0)
+    assert corpus_pipeline.quality_filter(spark, docs, SF_SMALL).count() == 0
+    scored = quality.scored_rows
+    monkeypatch.setattr(quality, "scored_rows", lambda *a: scored(*a).withColumn(
+        "predicted", F.when(F.col("th").isin([r[0] for r in docs.filter("n in (1, 3)").select(F.xxhash64("text")).collect()]), 0).otherwise(1)))
+    assert sorted(r.n for r in corpus_pipeline.quality_filter(spark, docs, SF_SMALL).collect()) == [2, 4, 5, 6]
+
+
 def test_stages_on_empty_table(spark):
     stage = table(spark, SF_SMALL, "documents").limit(0)
     for _, f in corpus_pipeline.STAGES:
