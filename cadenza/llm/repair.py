@@ -3,7 +3,7 @@
 A round counts all neighbouring pairs of the sequence and replaces the
 frequent ones by new symbols (nonterminals); where two frequent pairs overlap
 the more frequent one wins and the other waits for the next round.  Rounds go
-on until no pair is frequent or a round no longer pays.  A grammar is the
+on until no pair is frequent, the last ones by exact counts.  A grammar is the
 rules (two symbols each, in the order they were made), the expansion length
 of every rule, and the remaining sequence; a range of ids is decoded from the
 symbols that cover it alone.
@@ -17,7 +17,8 @@ import numpy as np
 
 MIN_COUNT = 16
 RULES_PER_ROUND = 8192
-#: A round that shortens the sequence by less than this share is the last.
+#: After a round that shortens the sequence by less than this share all pairs
+#: are counted exactly.
 LEAST_GAIN = 0.01
 _BITS = 20
 
@@ -78,26 +79,35 @@ def _hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, per_round: int = RULES_PER_ROUND) -> Grammar:
-    """Every hash slot of pairs proposes one of its pairs, whose places are
-    counted exactly; another pair of the slot has its chance in a later round."""
+    """First every hash slot of pairs proposes one of its pairs, whose places
+    are counted exactly; another pair of the slot has its chance in a later
+    round.  When that gains little, all pairs of the slots that hold
+    ``min_count`` places are counted, until none has as many."""
     seq = np.ascontiguousarray(ids, dtype=np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.empty(0, dtype=np.uint32)
     pair_of = np.empty(1 << _BITS, dtype=np.uint64)
-    n_rules = 0
+    n_rules, exact = 0, False
     while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
         h = _hash(left, right)
         codes = left.astype(np.uint64) << np.uint64(32) | right
-        pair_of[h] = codes
-        may = np.flatnonzero(pair_of[h] == codes)
-        slots = h[may]
-        counts = np.bincount(slots, minlength=1 << _BITS)
+        if exact:
+            may = np.flatnonzero(np.bincount(h, minlength=1 << _BITS)[h] >= min_count)
+            pairs, slots = np.unique(codes[may], return_inverse=True)
+        else:
+            pair_of[h] = codes
+            may = np.flatnonzero(pair_of[h] == codes)
+            pairs, slots = pair_of, h[may]
+        counts = np.bincount(slots, minlength=len(pairs))
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
-            break
+            if exact:
+                break
+            exact = True
+            continue
         often = often[np.argsort(-counts[often], kind="stable")][:per_round]
-        rank_of = np.full(1 << _BITS, len(often), dtype=np.int32)
+        rank_of = np.full(len(pairs), len(often), dtype=np.int32)
         rank_of[often] = np.arange(len(often), dtype=np.int32)
         full = np.full(len(seq) + 1, len(often), dtype=np.int32)
         full[may + 1] = rank_of[slots]
@@ -107,13 +117,12 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, per_round:
         k = np.arange(len(take))
         first = np.maximum.accumulate(np.where(np.diff(take, prepend=-2) == 1, 0, k)) if len(take) else k
         take = take[(k - first) % 2 == 0]
-        if len(take) < LEAST_GAIN * len(seq):
-            break
+        exact = exact or len(take) < LEAST_GAIN * len(seq)
         ranks = mid[take]
         used = np.flatnonzero(np.bincount(ranks, minlength=len(often)))
         symbol = np.empty(len(often), dtype=np.uint32)
         symbol[used] = np.arange(len(used), dtype=np.uint32) + np.uint32(base + n_rules)
-        made = pair_of[often[used]]
+        made = pairs[often[used]]
         two = np.stack([(made >> np.uint64(32)).astype(np.uint32), made.astype(np.uint32)], axis=1)
         of = np.where(two >= base, two - np.uint32(base), np.uint32(len(lengths)))
         rules.append(two)

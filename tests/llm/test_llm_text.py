@@ -397,6 +397,25 @@ def test_archives_empty(spark):
     assert manifest.count() == 0 and warc.read_archives(spark, manifest, folder).count() == 0
 
 
+# ---------------------------------------------------------------- grammars
+
+@pytest.mark.parametrize("min_count", [2, 16])
+def test_grammar_leaves_no_frequent_pair(min_count):
+    from cadenza.llm import repair
+
+    rng = np.random.default_rng(3)
+    noise = rng.integers(0, 50_000, 60_000)
+    for i in range(20):                       # a few pairs of 16 or more places among 60,000
+        noise[rng.choice(29_000, 20, replace=False) * 2] = 100 + i
+    at = np.flatnonzero((noise >= 100) & (noise < 120))
+    noise[at[at < len(noise) - 1] + 1] = 7
+    for ids in (noise, np.zeros(1000, int), np.arange(5), np.array([], int)):
+        g = repair.compress(ids.astype(np.uint32), 50_000, min_count)
+        assert g.decode().tolist() == ids.tolist()
+        codes = g.sequence[:-1].astype(np.uint64) << np.uint64(32) | g.sequence[1:]
+        assert not len(codes) or np.unique(codes, return_counts=True)[1].max() < min_count
+
+
 # ---------------------------------------------------------------- byte pairs
 
 def _texts(seed=8, n=400):
