@@ -124,21 +124,24 @@ def profile_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     """The three passes over the plays that every profile / report piece is
     derived from: one GROUPING SETS aggregate (totals + hour / weekday /
     country / platform / month tables), one (track, artist) aggregate rolled
-    up to artists, and one ordered pass (pairs + sessions); plus the
-    dominant-country time zone.  Keys column(s) included (``_all`` for ``()``).
+    up to artists, and one ordered pass (pairs + sessions, ``history``); plus
+    the dominant-country time zone.  Keys column(s) included (``_all`` for
+    ``()``).
 
-    With ``materialize`` (default) each pass result is written once with a
+    With ``materialize`` (default) the aggregates are written once with a
     reliable ``checkpoint()``: every later piece reads those compact results,
-    so the plays are scanned exactly three times however many metrics are
-    derived (hot keys are told from the materialised totals), and a lost
-    executor does not replay the passes."""
+    so the plays are scanned three times however many metrics are derived (hot
+    keys are told from the materialised totals; if there are any, their plays
+    are read again), and a lost executor does not replay the aggregates.  The
+    ordered pass writes nothing per play; its one row per key is read once."""
     d, ks = prepare(df, keys)
     t = dict(A.listener_tables(d, ks, materialize=materialize))
     t.update(A.track_tables(d, ks, materialize=materialize))
     # plays per key are already in the (materialised) totals: no extra scan
     counts = t["totals"].select(*ks, "total_plays") if materialize else None
-    t.update(S.listening_sequence(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows,
-                                  materialize=materialize, counts=counts))
+    most = S.HOT_KEY_ROWS if hot_rows is None else hot_rows
+    none_hot = counts is not None and counts.filter(F.col("total_plays") > most).isEmpty()
+    t["history"] = S.history(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows, counts=counts, none_hot=none_hot)
     dom = A.argmax(t["country"], "conn_country", "ms", ks, "dominant_country")
     t["tz"] = dom.select(*ks, "dominant_country", tz_offset("dominant_country").alias("tz_offset")).withColumn(
         "timezone", tz_label("tz_offset"))
@@ -222,7 +225,7 @@ def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     loyal = A.top_k(artists, "ms", C.LOYALTY_TOP_ARTISTS, ks, tiebreak=["artist"]).groupBy(*ks).agg(
         F.sum("plays").alias("top_artist_plays"))
     parts = [track_stats, artist_stats, tz, night, mobile, nov, loyal,
-             t["habit"].select(*ks, "habit_loop_score_pct"), t["session_stats"], countries]
+             t["history"].drop("repeated_pairs", "all_pairs"), countries]
     p = t["totals"]
     for part in parts:
         p = p.join(part, ks, "left")

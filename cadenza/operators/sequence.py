@@ -4,21 +4,26 @@ Hot keys.  A plain ``Window.partitionBy(keys).orderBy(ts)`` sends all plays
 of a key to one task; with ``keys=()`` (or a listener holding a third of the
 data) that is the whole table in one task.  The ordered operators therefore
 cut every key with more than ``hot_rows`` plays into time buckets of at most
-about that many.  One plan does this for all inputs, nothing runs while it is
-built, and AQE prunes the parts of it that turn out empty:
-
-0. a map-side pre-aggregated count per key finds the hot keys; their plays
-   alone are counted per minute, and each hot key takes the coarsest unit
-   (year, month, day, hour, minute) of which no bucket exceeds ``hot_rows``
-   (plays of one minute stay together).  Keys and units are joined to the
-   plays by key; only ``keys=()``, where that table is one row, is broadcast;
-1. within each (key, bucket) the window gives ``lag`` for all but the first
-   row;
-2. for hot keys a pre-aggregated summary keeps the last row of each bucket;
-   ``lag`` over that summary (one row per bucket, small) is the carry;
-3. the carry is joined back on (key, bucket), which is already the
-   partitioning of the windowed rows, so only the summary is shuffled.
-
+about that many:
+
+0. a map-side pre-aggregated count per key names the hot keys, at most
+   ``MAX_HOT_KEYS`` of them (the largest; a key beyond has less than
+   1 / ``MAX_HOT_KEYS`` of all plays).  Their plays alone are counted per
+   minute, and each hot key takes the coarsest unit (year, month, day, hour,
+   minute) of which no bucket exceeds ``hot_rows`` (plays of one minute stay
+   together).  This bounded list is broadcast: it divides the plays into those
+   of hot keys and the others, so that hot plays are never exchanged by their
+   keys alone.  The others take the plain window;
+1. within each (key, bucket) of a hot key the window gives ``lag`` for all but
+   the first row;
+2. a pre-aggregated summary of the hot plays keeps the last row of each
+   bucket; ``lag`` over that summary (one row per bucket, small) is the carry,
+   joined back on (key, bucket), already the partitioning of the windowed rows;
+3. sessions of hot keys are cut inside buckets into fragments; only a bucket's
+   first and last fragment are open, and these are merged in bucket order.
+
+One lazy plan does this for all inputs and nothing runs while it is built;
+where no key is hot, the list is empty and AQE prunes the whole hot branch.
 The result equals the plain per-key window for any data and any split
 (tested with every key split, ``hot_rows=0``, against brute force).
 """
@@ -26,13 +31,14 @@ The result equals the plain per-key window for any data and any split
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import constants as C
 from cadenza.functions.expressions import micros_between, minus_ms
-from cadenza.operators.keys import ALL, DEFAULT_KEYS, finish, join_per_key, prepare
+from cadenza.operators.keys import DEFAULT_KEYS, finish, prepare
 
 # Total order of plays within a listener.
 PLAY_ORDER = ("ts", "track", "artist", "ms_played", "play_id")
@@ -49,19 +55,25 @@ HOT_KEY_ROWS = 1_000_000  # plays a key, and then a time bucket of it, may bring
 UNITS = ("year", "month", "day", "hour", "minute")
 
 
+MAX_HOT_KEYS = 10_000  # keys that are split; their list is broadcast
+
+
 def hot_units(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, hot_rows: int = HOT_KEY_ROWS,
               counts: DataFrame | None = None, unit: str | None = None) -> DataFrame:
     """``_unit`` for each key with more than ``hot_rows`` plays: ``unit``, or
-    the coarsest one whose buckets hold at most ``hot_rows`` plays each.
+    the coarsest one whose buckets hold at most ``hot_rows`` plays each; at
+    most ``MAX_HOT_KEYS`` rows.
     ``counts`` (keys + ``total_plays``, e.g. the listener totals already
     computed) saves the counting scan over the plays."""
     d, ks = prepare(df, keys)
     if counts is None:
         counts = d.groupBy(*ks).agg(F.count(F.lit(1)).alias("total_plays"))
-    hot = counts.filter(F.col("total_plays") > hot_rows).select(*ks)
+    # a null key stays whole: the joins on the list don't match it
+    hot = counts.filter(F.col("total_plays") > hot_rows).dropna(subset=ks).orderBy(F.col("total_plays").desc(), *ks).limit(
+        MAX_HOT_KEYS).select(*ks)
     if unit:
         return hot.select(*ks, F.lit(unit).alias("_unit"))
-    fine = join_per_key(d.select(*ks, "ts"), hot, ks, keys, "left_semi").groupBy(
+    fine = d.select(*ks, "ts").join(F.broadcast(hot), ks, "left_semi").groupBy(
         *ks, F.date_trunc(UNITS[-1], "ts").alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
     sizes = fine.select(*ks, "_n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.date_trunc(u, "_m").alias("at")) for i, u in enumerate(UNITS)])).alias("_u"))
@@ -70,39 +82,42 @@ def hot_units(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, hot_rows: int =
     return fit.select(*ks, F.element_at(F.array(*map(F.lit, UNITS)), F.col("_i") + 1).alias("_unit"))
 
 
-def _ordered(df: DataFrame, keys: Sequence[str], bucket: str | None, hot_rows: int | None,
-             counts: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-    """Prepared plays with the bucket column: the start of the play's time
-    bucket for hot keys, null for all others (``hot_rows=0``: all are hot)."""
+class Divided(NamedTuple):
+    """Plays of hot keys, with their bucket, and all others (bucket null),
+    the key columns, and the partitioning of hot plays."""
+
+    hot: DataFrame
+    cold: DataFrame
+    ks: list[str]
+    part: list[str]
+
+
+def _divide(df: DataFrame, keys: Sequence[str], bucket: str | None, hot_rows: int | None,
+            counts: DataFrame | None = None) -> Divided:
+    """The bucket of a hot play is the start of its time unit
+    (``hot_rows=0``: all keys are hot)."""
     d, ks = prepare(df, keys)
-    whole = not list(keys) or list(keys) == [ALL]
-    units = hot_units(d, () if whole else ks, HOT_KEY_ROWS if hot_rows is None else hot_rows, counts, bucket)
-    d = join_per_key(d, units, ks, () if whole else ks, "left")
-    at = F.lit(None).cast("timestamp_ntz")
+    units = F.broadcast(hot_units(d, ks, HOT_KEY_ROWS if hot_rows is None else hot_rows, counts, bucket))
+    none = F.lit(None).cast("timestamp_ntz")
+    at = none
     for u in UNITS:
         at = F.when(F.col("_unit") == u, F.date_trunc(u, "ts")).otherwise(at)
-    return d.withColumn(BUCKET, at).drop("_unit"), ks
-
-
-def _on_bucket(d: DataFrame, carry: DataFrame, part: Sequence[str]) -> DataFrame:
-    """Join the carry (hot buckets only) on keys and bucket."""
-    return d.join(carry, list(part), "left")
+    return Divided(d.join(units, ks).withColumn(BUCKET, at).drop("_unit"),
+                   d.join(units, ks, "left_anti").withColumn(BUCKET, none), ks, [*ks, BUCKET])
 
 
-def _prev(d: DataFrame, ks: list[str], cols: Sequence[str], order: Sequence[str],
-          prev_col: str) -> DataFrame:
-    part = [*ks, BUCKET]
-    w = Window.partitionBy(*part).orderBy(*order)
+def _prev(o: Divided, cols: Sequence[str], order: Sequence[str], prev_col: str) -> DataFrame:
     row = F.struct(*[F.col(c) for c in cols])
+    w = Window.partitionBy(*o.part).orderBy(*order)
     # summary: last row of every bucket of a hot key, pre-aggregated map-side
-    last = d.filter(F.col(BUCKET).isNotNull()).groupBy(*part).agg(F.max_by(row, _order_struct(order)).alias("_last"))
+    last = o.hot.groupBy(*o.part).agg(F.max_by(row, _order_struct(order)).alias("_last"))
     carry = last.select(
-        *part, F.lag("_last").over(Window.partitionBy(*ks).orderBy(BUCKET)).alias("_carry"))
-    return (
-        _on_bucket(d.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(row).over(w)), carry, part)
+        *o.part, F.lag("_last").over(Window.partitionBy(*o.ks).orderBy(BUCKET)).alias("_carry"))
+    hot = (
+        o.hot.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(row).over(w)).join(carry, o.part, "left")
         .withColumn(prev_col, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_rn", "_lag", "_carry")
-    )
+        .drop("_rn", "_lag", "_carry"))
+    return o.cold.withColumn(prev_col, F.lag(row).over(Window.partitionBy(*o.ks).orderBy(*order))).unionByName(hot)
 
 
 def with_previous(
@@ -116,8 +131,8 @@ def with_previous(
 ) -> DataFrame:
     """Add ``prev`` (struct of ``cols`` on the previous play of the same key, or
     null for the first play) plus the bucket column.  See the module doc."""
-    d, ks = _ordered(df, keys, bucket, hot_rows)
-    return finish(_prev(d, ks, cols, order, prev_col), keys)
+    o = _divide(df, keys, bucket, hot_rows)
+    return finish(_prev(o, cols, order, prev_col), keys)
 
 
 def gaps(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str | None = None,
@@ -132,13 +147,13 @@ def gaps(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str | None =
     )
 
 
-def _flag_sessions(seq: DataFrame, mode: str, gap_minutes: int) -> DataFrame:
-    """``_new`` = first play of a session, from ``prev.ts`` of :func:`with_previous`."""
+def _starts_session(prev_ts: Column, mode: str, gap_minutes: int) -> Column:
+    """True if a play after one at ``prev_ts`` (null: none) opens a session."""
     if mode not in ("end_to_start", "end_to_end"):
         raise ValueError(mode)
     start = minus_ms("ts", "ms_played") if mode == "end_to_start" else F.col("ts")
-    gap = micros_between(F.col("prev.ts"), start)
-    return seq.withColumn("_new", F.col("prev").isNull() | (gap > F.lit(gap_minutes * 60 * 1_000_000)))
+    gap = micros_between(prev_ts, start)
+    return prev_ts.isNull() | (gap > F.lit(gap_minutes * 60 * 1_000_000))
 
 
 def session_flags(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
@@ -150,51 +165,73 @@ def session_flags(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str =
     * ``end_to_end`` (W2b): new iff ``ts - prev_ts > gap``
     """
     seq = with_previous(df, ["ts"], keys, bucket=bucket, hot_rows=hot_rows)
-    return _flag_sessions(seq, mode, gap_minutes).drop("prev")
+    return seq.withColumn("_new", _starts_session(F.col("prev.ts"), mode, gap_minutes)).drop("prev")
 
 
-def _assign_sessions(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``session_start`` (order key of the session's first play) for flagged
-    plays (with the bucket column), carried across buckets like the lag."""
-    d, ks = prepare(flagged, keys)
-    part = [*ks, BUCKET]
+def session_ids(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
+                gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str | None = None,
+                hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
+    """Tag every play with ``session_start`` (order key of its session's
+    first play), using the same bucket-and-carry scheme for the running
+    "last session start"."""
+    o = _divide(df, keys, bucket, hot_rows)
+    d = _prev(o, ["ts"], PLAY_ORDER, "prev").withColumn(
+        "_new", _starts_session(F.col("prev.ts"), mode, gap_minutes)).drop("prev")
     start_key = F.when(F.col("_new"), _order_struct(PLAY_ORDER))
-    w = Window.partitionBy(*part).orderBy(*PLAY_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*o.part).orderBy(*PLAY_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     # per bucket: latest session start inside it; carried to later buckets
-    summary = d.filter(F.col(BUCKET).isNotNull()).groupBy(*part).agg(F.max(start_key).alias("_bmax"))
+    summary = d.filter(F.col(BUCKET).isNotNull()).groupBy(*o.part).agg(F.max(start_key).alias("_bmax"))
     carry = summary.select(
-        *part,
+        *o.part,
         F.max("_bmax").over(
-            Window.partitionBy(*ks).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+            Window.partitionBy(*o.ks).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         ).alias("_carry"))
     d = (
-        _on_bucket(d.withColumn("_run", F.max(start_key).over(w)), carry, part)
+        d.withColumn("_run", F.max(start_key).over(w)).join(carry, o.part, "left")
         .withColumn("session_start", F.coalesce(F.col("_run"), F.col("_carry")))
         .drop("_run", "_carry", BUCKET)
     )
     return finish(d, keys)
 
 
-def session_ids(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str | None = None,
-                hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
-    """Tag every play with ``session_start`` (order key of its session's
-    first play), using the same bucket-and-carry scheme for the running
-    "last session start"."""
-    d, ks = _ordered(df, keys, bucket, hot_rows)
-    flagged = _flag_sessions(_prev(d, ks, ["ts"], PLAY_ORDER, "prev"), mode, gap_minutes).drop("prev")
-    return finish(_assign_sessions(flagged, ks), keys)
-
-
-def _session_table(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
-    d, ks = prepare(ids, keys)
-    out = d.groupBy(*ks, "session_start").agg(
-        F.min("ts").alias("start_ts"),
-        F.max("ts").alias("end_ts"),
-        F.count(F.lit(1)).alias("plays"),
-        F.sum("ms_played").alias("ms"),
-    ).drop("session_start")
-    return finish(out, keys)
+def _fragments(plays: DataFrame, part: list[str], mode: str, gap_minutes: int) -> DataFrame:
+    """Sessions as far as one part tells: one row per run of its plays without
+    a session gap, with its own first play (``frag``), totals, whether it is
+    the part's first (``head``) or last (``tail``), and ``from_ts``, where a
+    head's first play counts as begun.
+
+    Fragments are a mergeable state: one that is neither head nor tail is a
+    closed session, the others are open (two a part at most)."""
+    w = Window.partitionBy(*part).orderBy(*PLAY_ORDER)
+    from_ts = minus_ms("ts", "ms_played") if mode == "end_to_start" else F.col("ts")
+    rows = plays.select(*part, *PLAY_ORDER).withColumn("_prev", F.lag("ts").over(w)).withColumn(
+        "_tail", F.lead(F.lit(1)).over(w).isNull())
+    flagged = rows.withColumn("_new", _starts_session(F.col("_prev"), mode, gap_minutes))
+    start = F.max(F.when(F.col("_new"), _order_struct(PLAY_ORDER))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # grouped within the window's partitioning: no further exchange of plays
+    return flagged.withColumn("frag", start).groupBy(*part, "frag").agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("plays"),
+        F.sum("ms_played").alias("ms"), F.max(F.col("_prev").isNull()).alias("head"), F.max("_tail").alias("tail"),
+        F.min(F.when(F.col("_prev").isNull(), from_ts)).alias("from_ts"))
+
+
+def _merge_fragments(frags: DataFrame, ks: list[str], gap_minutes: int) -> DataFrame:
+    """Fragments merged in bucket order: a head goes on with the fragment
+    before it (the tail of the bucket before) unless a gap lies between.
+    Only open fragments of a key meet; closed ones stay with their bucket."""
+    place = F.when(~(F.col("head") | F.col("tail")), F.col(BUCKET))
+    w = Window.partitionBy(*ks, "_place").orderBy("frag")
+    gap = micros_between(F.lag("end_ts").over(w), F.col("from_ts"))
+    goes_on = F.col("head") & (gap <= F.lit(gap_minutes * 60 * 1_000_000))
+    chained = frags.withColumn("_place", place).withColumn("_goes_on", F.coalesce(goes_on, F.lit(False))).withColumn(
+        "_session", F.max(F.when(~F.col("_goes_on"), F.col("frag"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return chained.groupBy(*ks, "_place", "_session").agg(
+        F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"),
+        F.sum("plays").alias("plays"), F.sum("ms").alias("ms"))
+
+
+def _hot_sessions(o: Divided, mode: str, gap_minutes: int) -> DataFrame:
+    return _merge_fragments(_fragments(o.hot, o.part, mode, gap_minutes), o.ks, gap_minutes)
 
 
 def sessions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
@@ -203,10 +240,14 @@ def sessions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end
     """One row per session: start, end, plays, ms.
 
     Both modes use the bucketed ordered pass, so a hot listener is spread over
-    its time buckets.  (:func:`sessions_by_window` is the ``session_window`` form of
-    ``end_to_end``: simpler, but its final merge is partitioned by the keys
-    only.)"""
-    return _session_table(session_ids(df, keys, mode, gap_minutes, bucket, hot_rows), keys)
+    its time buckets; the plays are read and shuffled once.
+    (:func:`sessions_by_window` is the ``session_window`` form of
+    ``end_to_end`` for keys of a bounded size: simpler, but its final merge is
+    partitioned by the keys only.)"""
+    o = _divide(df, keys, bucket, hot_rows)
+    cols = [*o.ks, "start_ts", "end_ts", "plays", "ms"]
+    whole = _fragments(o.cold, o.ks, mode, gap_minutes)
+    return finish(whole.select(*cols).unionByName(_hot_sessions(o, mode, gap_minutes).select(*cols)), keys)
 
 
 def _session_stats(sess: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -275,27 +316,61 @@ def habit_loop(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, bucket: str |
     return _habit(consecutive_pairs(df, ("track", "artist"), keys, bucket, hot_rows), keys)
 
 
-def listening_sequence(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
-                       gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str | None = None,
-                       hot_rows: int | None = HOT_KEY_ROWS, materialize: bool = False,
-                       counts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """W2 + W3 + M21 + M25 from ONE ordered pass: the previous (track, artist,
-    ts) of every play feeds both the consecutive-pair counts and the session
-    flags.  Returns ``pairs``, ``habit``, ``sessions``, ``session_stats``.
-    ``materialize=True`` checkpoints the ordered rows so both consumers read
-    one computation (otherwise Catalyst plans one window pass per consumer)."""
-    d, ks = _ordered(df, keys, bucket, hot_rows, counts)
-    seq = _prev(d.select(*ks, BUCKET, *PLAY_ORDER), ks, ["track", "artist", "ts"], PLAY_ORDER, "prev")
-    if materialize:  # one ordered pass for both consumers (pairs, sessions)
-        from cadenza.session import cut_lineage
-
-        seq = cut_lineage(seq)
-    seq = finish(seq, keys)
-    pairs = _pairs(seq, ("track", "artist"), keys)
-    flagged = _flag_sessions(seq, mode, gap_minutes).drop("prev")
-    sess = _session_table(_assign_sessions(flagged, keys), keys)
-    return {"pairs": pairs, "habit": _habit(pairs, keys), "sessions": sess,
-            "session_stats": _session_stats(sess, keys)}
+def _history_whole(d: DataFrame, ks: list[str], mode: str, gap_minutes: int) -> DataFrame:
+    """:func:`history` of keys that each fit one task: pairs and sessions from
+    one exchange of the plays.  A session's listening time stands at its last
+    play (running sum less the sum before its first), so it rides along with
+    the pair counts, which are grouped within the window's partitioning."""
+    w = Window.partitionBy(*ks).orderBy(*PLAY_ORDER)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    ms = F.coalesce(F.col("ms_played"), F.lit(0))
+    rows = d.select(*ks, *PLAY_ORDER).withColumn("_prev", F.lag(F.struct("track", "artist", "ts")).over(w)).withColumn(
+        "_sum", F.sum(ms).over(so_far)).withColumn("_new", _starts_session(F.col("_prev.ts"), mode, gap_minutes))
+    rows = rows.withColumn("_base", F.last(F.when(F.col("_new"), F.col("_sum") - ms), ignorenulls=True).over(so_far)).withColumn(
+        "_ends", F.coalesce(F.lead("_new").over(w), F.lit(True)))
+    pairs = rows.groupBy(*ks, F.col("_prev").isNull().alias("_first"), F.col("_prev.track").alias("_track"),
+                         F.col("_prev.artist").alias("_artist"), "track", "artist").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_new").alias("sessions"), F.sum(ms).alias("ms"),
+        F.max(F.when(F.col("_ends"), F.col("_sum") - F.col("_base"))).alias("most"))
+    n = F.when(F.col("_first"), F.lit(0)).otherwise(F.col("n"))
+    return pairs.groupBy(*ks).agg(
+        F.count_if(n > 1).alias("repeated_pairs"), F.sum(n).alias("all_pairs"), F.sum("sessions").alias("sessions"),
+        F.sum("ms").alias("_ms"), F.max("most").alias("_most"))
+
+
+def _history_columns(sums: DataFrame, ks: list[str]) -> DataFrame:
+    return sums.select(
+        *ks, "repeated_pairs", "all_pairs",
+        F.coalesce(F.try_divide(F.lit(100.0) * F.col("repeated_pairs"), F.col("all_pairs")),
+                   F.lit(0.0)).alias("habit_loop_score_pct"),
+        "sessions", (F.col("_ms") / F.col("sessions") / F.lit(3_600_000.0)).alias("avg_session_hours"),
+        (F.col("_most") / F.lit(3_600_000.0)).alias("max_session_hours"))
+
+
+def history(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, mode: str = "end_to_start",
+            gap_minutes: int = C.SESSION_GAP_MINUTES, bucket: str | None = None,
+            hot_rows: int | None = HOT_KEY_ROWS, counts: DataFrame | None = None, none_hot: bool = False) -> DataFrame:
+    """M21 + M25 in one row per key: ``repeated_pairs``, ``all_pairs``,
+    ``habit_loop_score_pct``, ``sessions``, ``avg_session_hours``,
+    ``max_session_hours``.  Nothing is written per play: keys that are not hot
+    take one exchange of their plays; hot ones add up pair counts and merge
+    session fragments of their buckets.  ``none_hot``: the caller knows that
+    no key has more than ``hot_rows`` plays."""
+    if none_hot:
+        d, ks = prepare(df, keys)
+        return finish(_history_columns(_history_whole(d, ks, mode, gap_minutes), ks), keys)
+    o = _divide(df, keys, bucket, hot_rows, counts)
+    ks = o.ks
+    hot_only = o._replace(cold=o.cold.limit(0))
+    pairs = _pairs(_prev(hot_only, ["track", "artist"], PLAY_ORDER, "prev"), ("track", "artist"), ks)
+    habit = pairs.groupBy(*ks).agg(F.count_if(F.col("n") > 1).alias("repeated_pairs"), F.sum("n").alias("all_pairs"))
+    sess = _hot_sessions(o, mode, gap_minutes).groupBy(*ks).agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("ms").alias("_ms"), F.max("ms").alias("_most"))
+    split = sess.join(habit, ks, "left").select(
+        *ks, F.coalesce("repeated_pairs", F.lit(0)).alias("repeated_pairs"),
+        F.coalesce("all_pairs", F.lit(0)).alias("all_pairs"), "sessions", "_ms", "_most")
+    out = _history_whole(o.cold, ks, mode, gap_minutes).unionByName(split)
+    return finish(_history_columns(out, ks), keys)
 
 
 def transitions(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, gap_minutes: int = C.SESSION_GAP_MINUTES,
