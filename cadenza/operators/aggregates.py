@@ -251,11 +251,12 @@ def entropy(counts: DataFrame, count_col: str = "plays", keys: Sequence[str] = D
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """Distinct artists and distinct (track, artist), from pre-aggregates."""
+    """Distinct artists and distinct (track, artist), from one scan:
+    tracks are counted per artist, then the artists."""
     d, ks = prepare(df, keys)
-    tracks = by_track(d, ks).groupBy(*ks).agg(F.count(F.lit(1)).alias("unique_tracks"))
-    artists = by_artist(d, ks).groupBy(*ks).agg(F.count(F.lit(1)).alias("unique_artists"))
-    return finish(tracks.join(artists, ks, "full").fillna(0, ["unique_tracks", "unique_artists"]), keys)
+    per_artist = by_track(d, ks).groupBy(*ks, "artist").agg(F.count(F.lit(1)).alias("_n"))
+    out = per_artist.groupBy(*ks).agg(F.sum("_n").alias("unique_tracks"), F.count(F.lit(1)).alias("unique_artists"))
+    return finish(out, keys)
 
 
 def argmax(table: DataFrame, dim: str, measure: str, keys: Sequence[str] = DEFAULT_KEYS,
@@ -285,9 +286,11 @@ def peaks(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """Peak UTC hour and busiest weekday (by ms), most active year (by
     plays) and top artist (by plays), ties to the smallest value."""
     d, ks = prepare(df, keys)
-    hour = argmax(by_dimension(d, ["hour_utc"], ks), "hour_utc", "ms", ks, "peak_hour_utc")
-    wd = argmax(by_dimension(d, ["weekday"], ks), "weekday", "ms", ks, "busiest_weekday")
-    yr = argmax(by_dimension(d, ["year"], ks), "year", "plays", ks, "most_active_year")
-    ar = argmax(by_artist(d, ks), "artist", "plays", ks, "top_artist_by_plays")
-    out = hour.join(wd, ks).join(yr, ks).join(ar, ks)
-    return finish(out, keys)
+    dims = {"hour_utc": ("peak_hour_utc", "ms"), "weekday": ("busiest_weekday", "ms"),
+            "year": ("most_active_year", "plays"), "artist": ("top_artist_by_plays", "plays")}
+    # one scan: a grouping set per dimension, told apart by its grouping bits
+    g = d.groupingSets([[*ks, c] for c in dims], *ks, *dims).agg(
+        F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms"), *[F.grouping(c).alias(f"_no_{c}") for c in dims])
+    first = [F.min_by(F.col(c), F.when(F.col(f"_no_{c}") == 0, F.struct((-F.col(by)).alias("m"), F.col(c).alias("d")))).alias(name)
+             for c, (name, by) in dims.items()]
+    return finish(g.groupBy(*ks).agg(*first), keys)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import constants as C
 from cadenza.operators.aggregates import top_k
 from cadenza.operators.keys import finish, join_per_key, prepare
+from cadenza.operators.skew import HOT_ROWS, hot_splits, split_join
 from cadenza.session import cut_lineage
 
 GRAPH_KEYS: tuple[str, ...] = ()
@@ -123,9 +124,32 @@ def summary(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS) -> DataFrame:
 
 
 # ------------------------------------------------------------------ PageRank
+def _blocked(edges: DataFrame, degree: DataFrame, ks: list[str], at: str, n: str,
+             hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges with ``_block``, and the blocks of each vertex that has several
+    (None if none has): the edges at a hub (more than ``hot_rows``) are dealt
+    over blocks by a hash, once for all rounds; a round sends the hub's state
+    to each."""
+    hubs = _cut(hot_splits(degree, [*ks, at], n, hot_rows))
+    if hubs.isEmpty():
+        return edges.withColumn("_block", F.lit(0)), None
+    block = F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*edges.columns), F.col("_splits")).cast("int"))
+    blocked = edges.join(F.broadcast(hubs), [*ks, at], "left").withColumn("_block", block).drop("_splits")
+    return blocked, hubs.select(*ks, at, F.explode(F.sequence(F.lit(1), F.col("_splits") - 1)).alias("_block"))
+
+
+def _meet(edges: DataFrame, state: DataFrame, more: DataFrame | None, ks: list[str], at: str) -> DataFrame:
+    """Blocked edges joined with ``state`` (one row per vertex), which goes to
+    block 0 and, for hubs, to their others."""
+    if more is None:
+        return edges.join(state, [*ks, at])
+    spread = state.withColumn("_block", F.lit(0)).unionByName(state.join(F.broadcast(more), [*ks, at]))
+    return edges.join(spread, [*ks, at, "_block"])
+
+
 def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float = C.PAGERANK_DAMPING,
              max_iter: int = C.PAGERANK_MAX_ITER, tol: float = C.PAGERANK_TOL, iterations: int | None = None,
-             weighted: bool = True, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
+             weighted: bool = True, checkpoint_every: int = CHECKPOINT_EVERY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Weighted PageRank, ranks sum to 1 per graph.
 
     ``x' = d * sum(x[u] * w(u,v) / outw(u)) + d * dangling_mass / N + (1-d) / N``.
@@ -135,8 +159,10 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
     ``iterations`` runs exactly that many rounds.
     ``weighted=False`` treats every edge as weight 1.
 
-    A round is one join of the edges with the ranks and one grouped sum; the
-    sum's partitioning by vertex serves the next round.
+    A round is one join of the edges with the ranks and one grouped sum.  The
+    edges are laid out once by source and, for sources with more than
+    ``hot_rows`` edges, block, so a round moves the ranks and the partial sums
+    of each part, not the edges.
     """
     e, ks = prepare(edges, keys)
     # the edge table feeds vertices, out-weights and the normalised edges:
@@ -144,10 +170,11 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
     e = _cut(e.select(*ks, "src", "dst", (F.col("weight") if weighted else F.lit(1)).alias("weight")))
     v = vertices(e, ks)
     n = v.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-    outw = e.groupBy(*ks, "src").agg(F.sum("weight").alias("_ow"))
-    en = (e.join(outw, [*ks, "src"])
-          .select(*ks, "src", "dst", (F.col("weight") / F.col("_ow")).alias("_p"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
+    outw = e.groupBy(*ks, "src").agg(F.sum("weight").alias("_ow"), F.count(F.lit(1)).alias("_od"))
+    blocked, more = _blocked(e, outw, ks, "src", "_od", hot_rows)
+    en = (_meet(blocked, outw.select(*ks, "src", "_ow"), more, ks, "src")
+          .select(*ks, "src", "_block", "dst", (F.col("weight") / F.col("_ow")).alias("_p"))
+          .repartition(*ks, "src", *(["_block"] if more else [])).persist(StorageLevel.MEMORY_AND_DISK))
     r = _cut(join_per_key(v, n, ks, keys).join(
         outw.select(*ks, F.col("src").alias("id"), F.lit(False).alias("_dangling")), [*ks, "id"], "left").select(
         *ks, "id", "_n", F.coalesce("_dangling", F.lit(True)).alias("_dangling"),
@@ -155,7 +182,7 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
     rounds, state = iterations if iterations is not None else max_iter, _Rounds(checkpoint_every)
     converged = iterations is not None or r.isEmpty()
     for i in range(0 if converged and iterations is None else rounds):
-        contrib = en.join(r.select(*ks, F.col("id").alias("src"), "rank"), [*ks, "src"]).groupBy(
+        contrib = _meet(en, r.select(*ks, F.col("id").alias("src"), "rank"), more, ks, "src").groupBy(
             *ks, F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("_p")).alias("_c"))
         dm = r.filter("_dangling").groupBy(*ks).agg(F.sum("rank").alias("_dm"))
         step = (F.lit(damping) * F.coalesce("_c", F.lit(0.0))
@@ -188,7 +215,7 @@ def pagerank(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, damping: float
 
 
 def pagerank_unweighted(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, reset: float = 0.15,
-                        iterations: int = 20, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
+                        iterations: int = 20, checkpoint_every: int = CHECKPOINT_EVERY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The GraphFrames/GraphX static PageRank: weights ignored, start at 1,
     ``x' = reset + (1 - reset) * sum(x[u] / outdeg(u))``, then scaled so the
     ranks of each graph sum to N."""
@@ -196,12 +223,14 @@ def pagerank_unweighted(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, rese
     e = _cut(e.select(*ks, "src", "dst").distinct())
     v = vertices(e, ks)
     outd = e.groupBy(*ks, "src").agg(F.count(F.lit(1)).alias("_od"))
-    en = e.join(outd, [*ks, "src"]).select(*ks, "src", "dst", (F.lit(1.0) / F.col("_od")).alias("_p")).persist(
+    blocked, more = _blocked(e, outd, ks, "src", "_od", hot_rows)
+    en = _meet(blocked, outd, more, ks, "src").select(
+        *ks, "src", "_block", "dst", (F.lit(1.0) / F.col("_od")).alias("_p")).repartition(*ks, "src", *(["_block"] if more else [])).persist(
         StorageLevel.MEMORY_AND_DISK)
     r = _cut(v.select(*ks, "id", F.lit(1.0).alias("rank")))
     state = _Rounds(checkpoint_every)
     for i in range(iterations):
-        contrib = en.join(r.select(*ks, F.col("id").alias("src"), "rank"), [*ks, "src"]).groupBy(
+        contrib = _meet(en, r.select(*ks, F.col("id").alias("src"), "rank"), more, ks, "src").groupBy(
             *ks, F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("_p")).alias("_c"))
         new = r.select(*ks, "id").join(contrib, [*ks, "id"], "left").select(
             *ks, "id", (F.lit(reset) + F.lit(1.0 - reset) * F.coalesce("_c", F.lit(0.0))).alias("rank"))
@@ -266,14 +295,16 @@ def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_it
 
 
 def components(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int = 1000,
-               method: str = "star", checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
+               method: str = "star", checkpoint_every: int = CHECKPOINT_EVERY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Weakly connected components; ``component`` = smallest vertex id of
     the component.
 
     ``method="star"`` (default) alternates the large-star and small-star edge
     rewrites of Kiveris et al. (2014): every round is a grouped min plus one
     join that emits at most one edge per input edge, and the number of rounds
-    grows with log(n) instead of the graph diameter.  ``method="propagate"``
+    grows with log(n) instead of the graph diameter.  A vertex with more than
+    ``hot_rows`` edges, the centre of a giant component in the end, is split
+    by the counts of each round (:func:`split_join`).  ``method="propagate"``
     is plain min-label propagation (rounds = diameter)."""
     if method == "propagate":
         return _components_by_propagation(edges, keys, max_iter, checkpoint_every)
@@ -286,14 +317,14 @@ def components(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int
         both = cur.select(*ks, F.col("a").alias("u"), F.col("b").alias("v")).union(
             cur.select(*ks, F.col("b").alias("u"), F.col("a").alias("v")))
         # large star: connect every larger neighbour of u to min(u, neighbours of u)
-        m = both.groupBy(*ks, "u").agg(F.min("v").alias("_mv")).select(
-            *ks, "u", F.least("u", "_mv").alias("_m"))
-        large = both.join(m, [*ks, "u"]).filter(F.col("v") > F.col("u")).select(
+        m = both.groupBy(*ks, "u").agg(F.min("v").alias("_mv"), F.count(F.lit(1)).alias("_n")).select(
+            *ks, "u", F.least("u", "_mv").alias("_m"), "_n")
+        large = split_join(both, m, [*ks, "u"], "_n", hot_rows).filter(F.col("v") > F.col("u")).select(
             *ks, F.col("v").alias("a"), F.col("_m").alias("b")).distinct()
         # small star: connect u and its smaller neighbours to the smallest of them
         both = large.select(*ks, F.col("a").alias("u"), F.col("b").alias("v"))  # a > b: v < u
-        m = both.groupBy(*ks, "u").agg(F.min("v").alias("_m"))
-        small = both.join(m, [*ks, "u"]).select(*ks, F.col("v").alias("x"), "_m", "u")
+        m = both.groupBy(*ks, "u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
+        small = split_join(both, m, [*ks, "u"], "_n", hot_rows).select(*ks, F.col("v").alias("x"), "_m", "u")
         emitted = small.select(*ks, F.col("x").alias("a"), F.col("_m").alias("b")).union(
             small.select(*ks, F.col("u").alias("a"), F.col("_m").alias("b")))
         cur = state.keep(emitted.filter(F.col("a") != F.col("b")).distinct())

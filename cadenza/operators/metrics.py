@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import constants as C
@@ -18,6 +18,7 @@ from cadenza.functions.expressions import hours, pct, ratio, tz_label, tz_offset
 from cadenza.operators import aggregates as A
 from cadenza.operators import sequence as S
 from cadenza.operators.keys import DEFAULT_KEYS, finish, join_per_key, prepare
+from cadenza.session import cut_lineage
 
 
 def timezone(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -49,24 +50,28 @@ def night_and_mobile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 
 def circadian(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """M11 + J6: 24 local hours per key (hours listened), zero-filled."""
+    """M11 + J6: 24 local hours per key (hours listened), zero-filled.  One
+    scan: listening per country gives the offset, and an array of 24 sums
+    (one per UTC hour) is turned by it."""
     d, ks = prepare(df, keys)
-    tz = timezone(d, ks)
-    lh = _local_hours(d, ks, tz).select(*ks, "local_hour", "ms")
-    grid = tz.select(*ks, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("local_hour"))
-    out = grid.join(lh, [*ks, "local_hour"], "left").select(
-        *ks, "local_hour", hours(F.coalesce(F.col("ms"), F.lit(0))).alias("hours"))
+    sums = [F.sum(F.when(F.col("hour_utc") == h, F.col("ms_played")).otherwise(0)).alias(f"_h{h}") for h in range(24)]
+    per_country = d.groupBy(*ks, "conn_country").agg(F.sum("ms_played").alias("_ms"), *sums)
+    per_key = per_country.groupBy(*ks).agg(
+        F.min_by("conn_country", F.struct((-F.col("_ms")).alias("m"), F.col("conn_country").alias("d"))).alias("_country"),
+        *[F.sum(f"_h{h}").alias(f"_h{h}") for h in range(24)])
+    turned = per_key.select(*ks, tz_offset("_country").alias("_tz"), F.posexplode(F.array(*[f"_h{h}" for h in range(24)])).alias("_h", "_ms"))
+    out = turned.select(*ks, F.pmod(F.col("_h") + F.col("_tz"), F.lit(24)).alias("local_hour"),
+                        hours(F.coalesce(F.col("_ms"), F.lit(0))).alias("hours"))
     return finish(out, keys)
 
 
 def weekday_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """A9 + J6: hours per weekday (Mon=0), all 7 days present."""
+    """A9 + J6: hours per weekday (Mon=0), all 7 days present, in one scan."""
     d, ks = prepare(df, keys)
-    wd = A.by_dimension(d, ["weekday"], ks)
-    grid = d.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n")).select(
-        *ks, F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
-    out = grid.join(wd, [*ks, "weekday"], "left").select(
-        *ks, "weekday", hours(F.coalesce(F.col("ms"), F.lit(0))).alias("hours"))
+    per_key = d.groupBy(*ks).agg(*[
+        F.sum(F.when(F.col("weekday") == i, F.col("ms_played")).otherwise(0)).alias(f"_d{i}") for i in range(7)])
+    out = per_key.select(*ks, F.posexplode(F.array(*[f"_d{i}" for i in range(7)])).alias("weekday", "_ms")).select(
+        *ks, "weekday", hours(F.coalesce(F.col("_ms"), F.lit(0))).alias("hours"))
     return finish(out, keys)
 
 
@@ -74,13 +79,15 @@ def novelty(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """M17 (A17 + A7 + J1): mean over months with plays of
     100 * (tracks first heard that month) / (plays that month)."""
     d, ks = prepare(df, keys)
-    first = A.first_listen(d, ["track", "artist"], ks)
-    new_m = first.groupBy(*ks, F.year("first_ts").alias("year"), F.month("first_ts").alias("month")).agg(
-        F.count(F.lit(1)).alias("new_tracks"))
-    plays_m = A.by_dimension(d, ["year", "month"], ks).select(*ks, "year", "month", "plays")
-    monthly = plays_m.join(new_m, [*ks, "year", "month"], "left").withColumn(
-        "novelty_pct", pct(F.coalesce(F.col("new_tracks"), F.lit(0)), F.col("plays")))
-    return finish(monthly, keys)
+    track = [*ks, "track", "artist"]
+    # one scan: plays per track and month; a track is new in its first month
+    monthly = d.groupBy(*track, "year", "month").agg(F.count(F.lit(1)).alias("_n"))
+    first = F.min(F.struct("year", "month")).over(Window.partitionBy(*track)) == F.struct("year", "month")
+    out = monthly.withColumn("_new", first).groupBy(*ks, "year", "month").agg(
+        F.sum("_n").alias("plays"), F.count_if("_new").alias("_new"))
+    new_tracks = F.when(F.col("_new") > 0, F.col("_new"))
+    return finish(out.select(*ks, "year", "month", "plays", new_tracks.alias("new_tracks"),
+                             pct("_new", "plays").alias("novelty_pct")), keys)
 
 
 def novelty_rate(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -110,8 +117,11 @@ def loyal_artists(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     """Artists first heard at least ``days`` before the last play and
     played at least ``min_plays`` times."""
     d, ks = prepare(df, keys)
-    last = d.groupBy(*ks).agg(F.max("ts").alias("last_ts"))
-    art = join_per_key(A.by_artist(d, ks).join(A.first_listen(d, ["artist"], ks), [*ks, "artist"]), last, ks, keys)
+    # the plays are read once: artists, written, also give the last play
+    artists = cut_lineage(d.groupBy(*ks, "artist").agg(
+        F.count(F.lit(1)).alias("plays"), F.min("ts").alias("first_ts"), F.max("ts").alias("_last")))
+    last = artists.groupBy(*ks).agg(F.max("_last").alias("last_ts"))
+    art = join_per_key(artists, last, ks, keys)
     since = F.expr(f"timestampdiff(MICROSECOND, first_ts, last_ts) div {A.DAY_MICROS}")
     out = art.groupBy(*ks).agg(
         F.count_if((since >= days) & (F.col("plays") >= min_plays)).alias("loyal_artists_5yr"))
@@ -177,8 +187,6 @@ def years(t: dict) -> DataFrame:
 def growth(t: dict) -> DataFrame:
     """W4/M10 from the year table."""
     ks = t["_ks"]
-    from pyspark.sql import Window
-
     y = years(t).withColumn("prev_ms", F.lag("ms").over(Window.partitionBy(*ks).orderBy("year")))
     return y.filter(F.col("prev_ms") > 0).select(
         *ks, "year", (F.lit(100.0) * (F.col("ms") - F.col("prev_ms")) / F.col("prev_ms")).alias("growth_pct"))

@@ -8,8 +8,11 @@ whole metric (which would put every listener of a metric in one task):
 
 1. values are collapsed to distinct ``(metric, value)`` rows with a weight
    (ties, however hot, become one row after a map-side partial aggregate);
-2. ``percentile_approx`` gives, per metric, ``B - 1`` value boundaries — a
-   table of ``#metrics`` rows, small and bounded, so it is broadcast;
+2. ``percentile_approx``, a mergeable sketch of the values, gives ``B - 1``
+   splitters per metric.  ``B`` comes from the counted pool, so that a range
+   holds about ``RANGE_ROWS`` distinct values at any pool size, and the
+   sketch's accuracy grows with it.  The splitters are ``#metrics`` rows of
+   ``B`` numbers, counted before they are broadcast;
 3. each distinct value falls in one of ``B`` buckets; a per-(metric, bucket)
    total (``#metrics * B`` rows) gives the mass of all lower buckets;
 4. inside each (metric, bucket) a running sum gives the mass below the value.
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 from cadenza.functions import constants as C
 from cadenza.session import cut_lineage
 
-RANK_BUCKETS = 256
+#: Distinct values of a group that one sorted range holds, about.
+RANGE_ROWS = 100_000
+#: Ranges a group may have: groups x this many numbers are broadcast.
+MAX_RANGES = 20_000
 
 
 def _count_less(bounds: str, value: str, size: int) -> list[tuple[str, F.Column]]:
@@ -53,20 +59,25 @@ def to_long(vectors: DataFrame, id_cols: Sequence[str], metrics: Sequence[str] =
 
 
 def count_below(values: DataFrame, group: Sequence[str] = ("metric",), value: str = "value",
-                weight: str | None = None, buckets: int = RANK_BUCKETS) -> DataFrame:
+                weight: str | None = None, buckets: int | None = None) -> DataFrame:
     """For every distinct ``(group, value)``: the total weight of rows of the
     group with a strictly smaller value (``below``) and the group's total
-    weight (``total``).  Rows with weight 0 are query points only."""
+    weight (``total``).  Rows with weight 0 are query points only.
+
+    ``buckets``: ranges per group; by default counted from ``values`` (which
+    should be a written table, as it is read three times)."""
     g = list(group)
     w = F.col(weight) if weight else F.lit(1)
     cnt = values.groupBy(*g, value).agg(F.sum(w).cast("bigint").alias("_w"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = cnt.groupBy(*g).agg(
-        F.percentile_approx(value, probs, 10_000).alias("_bounds"),
+    if buckets is None:
+        most = cnt.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        buckets = max(1, min(MAX_RANGES, -(-most // RANGE_ROWS)))
+    bounds = cnt.groupBy(*g).agg(*([F.percentile_approx(
+        value, [i / buckets for i in range(1, buckets)], max(10_000, 20 * buckets)).alias("_bounds")] if buckets > 1 else []),
         F.sum("_w").alias("total"))
     # one row per group, at most ``buckets`` doubles each: bounded, broadcast
     c = cnt.join(F.broadcast(bounds), g)
-    for name, expr in _count_less("_bounds", value, buckets - 1):
+    for name, expr in _count_less("_bounds", value, buckets - 1) if buckets > 1 else [("_lo", F.lit(0))]:
         c = c.withColumn(name, expr)
     c = c.withColumnRenamed("_lo", "_bkt")
     per_bucket = c.groupBy(*g, "_bkt").agg(F.sum("_w").alias("_bw"))
@@ -103,7 +114,7 @@ def percentiles_against(users: DataFrame, pool: DataFrame, id_cols: Sequence[str
     among the pool values without counting themselves (no theta join)."""
     pool_long = to_long(pool, [], metrics).withColumn("_w", F.lit(1))
     user_long = cut_lineage(to_long(users, id_cols, metrics))
-    both = pool_long.unionByName(user_long.select("metric", "value", F.lit(0).alias("_w")))
+    both = cut_lineage(pool_long.unionByName(user_long.select("metric", "value", F.lit(0).alias("_w"))))
     below = count_below(both, weight="_w")
     pct = F.when(F.col("total") < 2, F.lit(C.PERCENTILE_SMALL_POOL)).otherwise(
         F.lit(100.0) * F.col("below") / F.col("total"))
