@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe_core import ChunkCoder, PieceEncoder, Vocabulary
-from cadenza.llm.common import bounded_batches, no_cycle_collector, remembers
+from cadenza.llm.common import bounded_batches, give_back, no_cycle_collector, remembers
 
-#: Bytes of text that are encoded at a time.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are encoded at a time, and of an Arrow batch of texts.
+SLICE_BYTES, TEXT_BATCH_BYTES = 1 << 20, 4 << 20
+#: Words of a generation that a worker remembers (about 200 bytes each).
+WORDS_KEPT = 60_000
 
 
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> ChunkCoder:
     """One coder per Python worker: its memo serves all tasks of the worker."""
-    return ChunkCoder(PieceEncoder(Vocabulary.read(path), pattern).encode_all)
+    return ChunkCoder(PieceEncoder(Vocabulary.read(path), pattern).encode_all, WORDS_KEPT)
 
 
 remembers(coder.cache_clear)
@@ -52,10 +54,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     Null and empty texts have no ids.  ``path`` names a rank file that every
     executor has; ``pattern`` is its split pattern.  Special tokens' strings
     are ordinary text."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TEXT_BATCH_BYTES)
     schema = f"doc_id long, n_tokens long, {'ids binary, ' if keep_ids else ''}ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         vocab, one = Vocabulary.read(path), coder(path, pattern)
         for b in batches:
             at = 0

@@ -38,6 +38,12 @@ class Vocabulary:
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}
+        # lengths of the tokens that end in a pair of bytes, longest first
+        lengths: dict[bytes, set[int]] = {}
+        for t in ranks:
+            if len(t) > 1:
+                lengths.setdefault(t[-2:], set()).add(len(t))
+        self.lengths = {pair: tuple(sorted(n, reverse=True)) for pair, n in lengths.items()}
 
     @classmethod
     @lru_cache(maxsize=4)
@@ -77,7 +83,10 @@ class PrefixEncoder:
 
     def _last_of(self, data: bytes, end: int) -> int:
         ranks, last, apart = self.vocab.ranks, self.last, self.vocab.stays_apart
-        for start in range(max(0, end - self.vocab.longest), end):
+        for n in (*self.vocab.lengths.get(data[end - 2:end] if end > 1 else b"", ()), 1):
+            start = end - n
+            if start < 0:
+                continue
             t = ranks.get(data[start:end])
             if t is not None and (start == 0 or apart(last[start - 1], t)):
                 return t

@@ -10,10 +10,12 @@ names, are carried or ignored but never read.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session to BATCH_BYTES where Spark's
-    own default (64 MB) holds; a setting the user made is left as it is."""
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches of this session to ``most`` where Spark's own
+    default (64 MB) or this module's holds; a setting the user made is left as
+    it is."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key).rstrip("b") == str(64 << 20):
-        spark.conf.set(key, str(BATCH_BYTES))
+    if spark.conf.get(key).rstrip("b") in (str(64 << 20), str(BATCH_BYTES)):
+        spark.conf.set(key, str(most))
 
 
 _memos: list[Callable[[], None]] = []
@@ -65,6 +68,17 @@ def release_memos() -> None:
         clear()
 
 
+def give_back() -> None:
+    """Called by tasks of a worker that earlier stages have used: unused pages
+    of Arrow's pool and of the C heap go back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 @contextmanager
 def no_cycle_collector() -> Iterator[None]:
     """Inside, Python frees objects by their reference counts alone: the

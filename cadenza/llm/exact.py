@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cadenza.llm.common import lookup_join, sha256_hex, without, written
+from cadenza.llm.common import lookup_join, sha256_hex, without_rows, written
 from cadenza.session import scratch_path
 
 #: Entries a bucket may hold before it splits.
@@ -91,7 +91,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     normalise: Callable[[Column], Column] | None = None, capacity: int = CAPACITY) -> DataFrame:
+                     normalise: Callable[[Column], Column] | None = None, capacity: int = CAPACITY,
+                     with_key: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept,
     text_sha256 (of the normalised text).
 
@@ -106,10 +107,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "doc_id", F.xxhash64("text").alias("key"), sha256_hex(F.col("text")).alias("sha"))
     found = lookup_join(rows, index.select("key", "sha", "keep_id", "n"), ["key", "sha"], "n")
     return found.select("doc_id", "keep_id", F.col("n").alias("group_size"),
-                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), *(["key"] if with_key else []))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_duplicates`` drops."""
-    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id")
-    return without(docs, gone, id_col)
+    """``docs`` without the rows that ``exact_duplicates`` drops, told by id
+    and text, so that another text under a dropped id stays."""
+    gone = exact_duplicates(docs, id_col, text_col, with_key=True).filter(~F.col("kept")).select("doc_id", "key")
+    return without_rows(docs, gone, id_col, text_col)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -91,6 +92,8 @@ RAW_TAGS = frozenset(("script", "style", "noscript", "template", "iframe", "svg"
 RUN_ON = frozenset(("script", "style", "textarea", "title"))
 #: Containers that never hold main text, by tag, role, class or id word.
 BAD_TAGS = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "button", "head"))
+#: Of these only the inline ones with such a class or id are skipped whole.
+AD_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo".split())
 BAD_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar"))
 BAD_WORDS = frozenset("""ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice
 popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies share
@@ -100,6 +103,12 @@ ITEM_WORDS = frozenset("comment comments disqus reply replies related".split())
 #: ``with-sidebar`` and ``no-comments`` tell of a layout, not of a container.
 LAYOUT_PARTS = frozenset("with without no not non has have hide hides".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: What may stand in a page's head; anything else ends it.
+HEAD_CONTENT = frozenset("base link meta noscript script style template title object".split())
+#: A barred element that is never closed ends where one of these begins.
+SECTION_STARTS = frozenset("article main section header footer h1 p table blockquote pre figure".split())
+#: ``related-work`` is a chapter, not a list of links.
+NOT_ITEMS = frozenset("work works research literature concepts topics".split())
 #: How an element is bad: not, by its class or id (an article element below
 #: starts clean), by one of ITEM_WORDS (an article element below does so if the
 #: page has no other), by tag, role or ``hidden`` (all below is bad).
@@ -120,6 +129,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     spare: bool = False               # of an article element below ITEM_WORDS, bad if the page has another
+    form: int = 0                     # number of the enclosing form, 0: none
 
     @property
     def text(self) -> str:
@@ -132,11 +142,20 @@ def _named(value: str) -> int:
     for name in value.split():
         parts = _NAME_PART.split(name)
         layout = next((i for i, part in enumerate(parts) if part in LAYOUT_PARTS), len(parts))
-        found.update(BAD_WORDS.intersection(parts[:layout]))
+        found.update(w for w, after in zip(parts[:layout], [*parts[1:], ""]) if w in BAD_WORDS and not (
+            w == "related" and after in NOT_ITEMS))
     return CLEAN if not found else MARKED if found.isdisjoint(ITEM_WORDS) else ITEMS
 
 
+def _is_advert(attributes: str) -> bool:
+    """Of an inline element: does its class or id name an advert?"""
+    return any(name.lower() in ("class", "id") and any(AD_WORDS.intersection(_NAME_PART.split(x)) for x in (a or b or c).lower().split())
+               for name, a, b, c in _ATTRIBUTE.findall(attributes))
+
+
 def _bad_container(tag: str, attributes: str, in_article: bool) -> int:
+    if tag == "form":                                  # judged when the page is read
+        return CLEAN
     if tag in BAD_TAGS or (tag == "header" and not in_article):
         return BARRED
     if not attributes.strip() or tag in ("html", "body", *ARTICLE_TAGS):
@@ -166,8 +185,17 @@ def _ends(page: str, tag: str) -> dict[int, int]:
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order; spare ones are clean if no other block
-    is in an article element."""
-    out = _blocks(page)
+    is in an article element.  A form is a container of its own kind: it is
+    bad unless an article element begins in it, or most of the text of the
+    page's long blocks stands in it."""
+    out, with_article = _blocks(page)
+    long = [(b.form, len(b.text)) for b in out if _is_long(b)]
+    total, of_form = sum(n for _, n in long), Counter()
+    for f, n in long:
+        of_form[f] += n
+    for b in out:
+        if b.form and b.form not in with_article and 2 * of_form[b.form] <= total:
+            b.bad, b.spare = True, False
     spare = [b for b in out if b.spare]
     if spare and not any(b.article and not b.bad for b in out):
         for b in spare:
@@ -175,19 +203,62 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _blocks(page: str) -> list[Block]:
+@dataclass
+class _Open:
+    """An open element: how bad it is itself, and with those it stands in."""
+
+    tag: str
+    own: int
+    bad: int
+    article: int
+    spare: bool
+    form: int
+
+
+def _blocks(page: str) -> tuple[list[Block], set[int]]:
+    """Blocks, and the numbers of the forms that an article element begins in."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, bool]] = []      # open elements: tag, how bad, article, spare
+    stack: list[_Open] = []
+    count: Counter[str] = Counter()                    # open elements by tag
+    endless: list[int] = []                            # places on the stack of barred elements that are never closed
+    with_article: set[int] = set()
     ends: dict[str, dict[int, int]] = {}
-    articles, links, at, n = 0, 0, 0, len(page)
+    articles, forms, links, at, n = 0, 0, False, 0, len(page)
     block = Block("", False, 0)
 
     def flush(tag: str) -> None:
         nonlocal block
         if block.parts and block.text:
             out.append(block)
-        bad, article, spare = stack[-1][1:] if stack else (CLEAN, 0, False)
-        block = Block(tag, bool(bad) or spare, article, spare=spare and not bad)
+        if stack:
+            top = stack[-1]
+            block = Block(tag, bool(top.bad) or top.spare, top.article, spare=top.spare and not top.bad, form=top.form)
+        else:
+            block = Block(tag, False, 0)
+
+    def end_of(tag: str, start: int) -> int | None:
+        if tag not in ends:
+            ends[tag] = _ends(page, tag)
+        return ends[tag].get(start)
+
+    def close(tag: str) -> None:
+        while True:
+            top = stack.pop()
+            count[top.tag] -= 1
+            if top.tag == tag:
+                break
+        while endless and endless[-1] >= len(stack):
+            endless.pop()
+
+    def end_the_endless() -> None:
+        """The barred elements that are open and never closed end here; those
+        that began in them stay, without their mark."""
+        above = stack[endless[0] - 1].bad if endless[0] else CLEAN
+        for i in endless:
+            stack[i].own = CLEAN
+        for x in stack[endless[0]:]:
+            above = x.bad = max(CLEAN if x.tag in ARTICLE_TAGS and above != BARRED else above, x.own)
+        endless.clear()
 
     while at < n:
         m = _TOKEN.match(page, at)
@@ -200,50 +271,68 @@ def _blocks(page: str) -> list[Block]:
             if piece[0] != "<" or piece == "<":
                 if piece == "<" and (re.match(r"/?[a-zA-Z!?]", page[at:at + 2])):
                     break                              # a tag that the page's end cuts off
+                if stack and stack[-1].tag == "head" and not piece.isspace():
+                    close("head")
+                    flush("")
                 text = html.unescape(piece)
                 block.parts.append(text)
                 if links:
                     block.linked += len(text.strip())
             continue
         tag, closing = tag.lower(), bool(m[1])
+        if count["head"] and not closing and tag not in HEAD_CONTENT and tag != "head":
+            close("head")
+            flush("")
         if tag in RAW_TAGS and not closing:
             if tag in RUN_ON:
                 if not m[3].endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                     at = end.end() if end else n
             else:
-                if tag not in ends:
-                    ends[tag] = _ends(page, tag)
-                at = max(at, ends[tag].get(m.start(), at))
+                at = max(at, end_of(tag, m.start()) or at)
             block.parts.append(" ")
             continue
-        if tag == "a":
-            links = 0 if closing else 1
+        if tag == "a":                                 # an anchor without target, or never closed, is no link
+            links = not closing and "href" in m[3].lower() and end_of(tag, m.start()) is not None
+        if endless and not closing and tag in SECTION_STARTS:
+            end_the_endless()
+            flush("")
         if tag == "br":
             block.parts.append("\n")
         elif closing:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if count[tag]:
+                close(tag)
                 flush("")
             elif tag in BLOCK_TAGS:
                 flush("")
         elif tag not in VOID_TAGS and (tag in BLOCK_TAGS or tag in BAD_TAGS) and tag != "p":
-            above_bad, above_article, spare = stack[-1][1:] if stack else (CLEAN, 0, False)
-            if tag in ARTICLE_TAGS and not any(s[0] == "article" for s in stack):
-                if not above_article:
+            above = stack[-1] if stack else _Open("", CLEAN, CLEAN, 0, False, 0)
+            bad, article, spare, form = above.bad, above.article, above.spare, above.form
+            if tag in ARTICLE_TAGS and not count["article"]:
+                if not article:
                     articles += 1
-                    above_article = articles
-                if above_bad in (MARKED, ITEMS):
-                    above_bad, spare = CLEAN, spare or above_bad == ITEMS
-            stack.append((tag, max(above_bad, _bad_container(tag, m[3], bool(above_article))), above_article, spare))
+                    article = articles
+                if form:
+                    with_article.add(form)
+                if bad in (MARKED, ITEMS):
+                    bad, spare = CLEAN, spare or bad == ITEMS
+            if tag == "form":
+                forms += 1
+                form = form or forms
+            own = _bad_container(tag, m[3], bool(article))
+            if own == BARRED and tag in BAD_TAGS and tag != "head" and end_of(tag, m.start()) is None:
+                endless.append(len(stack))
+            stack.append(_Open(tag, own, max(bad, own), article, spare, form))
+            count[tag] += 1
             flush(tag)
         elif tag in BLOCK_TAGS:
             flush(tag)
             if tag == "p" and m[3].strip() and _bad_container(tag, m[3], bool(block.article)):
                 block.bad, block.spare = True, False
+        elif m[3].strip() and tag not in VOID_TAGS and tag != "a" and _is_advert(m[3]):
+            at = max(at, end_of(tag, m.start()) or at)
     flush("")
-    return out
+    return out, with_article
 
 
 def _stop_share(text: str) -> float:

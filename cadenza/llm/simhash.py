@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bounded_batches, components, lookup_join, release_memos, without, written
+from cadenza.llm.common import bounded_batches, components, lookup_join, release_memos, text_hash, without_rows, written
 from cadenza.llm.simhash_core import fingerprint
 
 SHINGLE_WORDS = 4
@@ -37,18 +37,21 @@ PROBE_COST, PAIR_COST = 4.0, 1.0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp bigint): one row per row of ``docs``."""
+                 shingle: int = SHINGLE_WORDS, with_hash: bool = False) -> DataFrame:
+    """(doc_id, fp bigint): one row per row of ``docs``; with th, the
+    ``text_hash`` of the row, if asked for."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memos()
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column("_text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("_id"), "fp": pa.array(fp.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("_id"), "fp": pa.array(fp.view(np.int64)),
+                                              **({"th": b.column("_th")} if with_hash else {})})
 
-    src = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+                      *([text_hash(F.col(text_col)).alias("_th")] if with_hash else []))
+    return src.mapInArrow(run, "doc_id long, fp long" + (", th long" if with_hash else ""))
 
 
 # ------------------------------------------------------------------ planning
@@ -220,15 +223,17 @@ def spanning_links(a: np.ndarray, b: np.ndarray, max_bits: int) -> list[tuple[in
 # ------------------------------------------------------------------ operator
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+                    shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, hot_bucket: int = HOT_BUCKET,
+                    with_hash: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, fingerprint (16 hex digits),
     component_id (smallest id reachable over links of ``max_bits`` or fewer
     differing bits, its own included) and group_size (rows of the component).
 
     A null or empty text has fingerprint zero and links like any other; null
     ids take part but never name a component (a component of null ids only has
-    a null component_id); an empty table gives an empty result."""
-    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    a null component_id); an empty table gives an empty result.  ``with_hash``
+    adds th, the ``text_hash`` of the row."""
+    rows = written(fingerprints(docs, id_col, text_col, shingle, with_hash), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     linked = components(close_pairs(classes.select("fp"), max_bits, hot_bucket))
     named = classes.join(linked.withColumnRenamed("v", "fp"), "fp", "left").select(
@@ -238,13 +243,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                              F.count(F.lit(1)).alias("members")), "components")
     of = written(lookup_join(named, per, ["label"], "members").select("fp", "n", "component_id", "group_size"), "classes")
     return lookup_join(rows, of, ["fp"], "n").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
+        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size",
+        *(["th"] if with_hash else []))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document (the smallest id) of every component; rows
-    with a null id stay, for nothing tells which of them is meant."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return without(docs, gone, id_col)
+    """``docs`` with one document (the smallest id) of every component, told
+    by id and text, so that another text under a dropped id stays; rows with a
+    null id stay, for nothing tells which of them is meant."""
+    found = near_duplicates(docs, id_col, text_col, shingle, max_bits, with_hash=True)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "th")
+    return without_rows(docs, gone, id_col, text_col)
