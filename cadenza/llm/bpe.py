@@ -12,19 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.bpe_core import ChunkCoder, PieceEncoder, Vocabulary
-from cadenza.llm.common import bounded_batches, give_back, no_cycle_collector, remembers
+from cadenza.llm.bpe_core import CHUNK_LIMIT, ChunkCoder, PieceEncoder, Vocabulary
+from cadenza.llm.common import BATCH_BYTES, bounded_batches, give_back, no_cycle_collector, remembers
 
-#: Bytes of text that are encoded at a time, and of an Arrow batch of texts.
-SLICE_BYTES, TEXT_BATCH_BYTES = 1 << 20, 4 << 20
-#: Words of a generation that a worker remembers (about 200 bytes each).
-WORDS_KEPT = 60_000
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 2 << 20
 
 
 @lru_cache(maxsize=2)
-def coder(path: str, pattern: str) -> ChunkCoder:
+def coder(path: str, pattern: str, words_kept: int = CHUNK_LIMIT) -> ChunkCoder:
     """One coder per Python worker: its memo serves all tasks of the worker."""
-    return ChunkCoder(PieceEncoder(Vocabulary.read(path), pattern).encode_all, WORDS_KEPT)
+    return ChunkCoder(PieceEncoder(Vocabulary.read(path), pattern).encode_all, words_kept)
 
 
 remembers(coder.cache_clear)
@@ -46,23 +44,26 @@ def _slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           keep_ids: bool = True) -> DataFrame:
+           keep_ids: bool = True, words_kept: int = CHUNK_LIMIT, slice_bytes: int = SLICE_BYTES,
+           batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (binary,
     little-endian unsigned 32-bit; left out without ``keep_ids``), ids_sha256,
     decoded_sha256 (of the bytes that decoding the ids gives).
 
     Null and empty texts have no ids.  ``path`` names a rank file that every
-    executor has; ``pattern`` is its split pattern.  Special tokens' strings
+    executor has; ``pattern`` is its split pattern.  ``words_kept`` (words of a
+    generation that a worker remembers), ``slice_bytes`` and ``batch_bytes``
+    bound a worker's memory; smaller ones cost time, not results.  Special tokens' strings
     are ordinary text."""
-    bounded_batches(docs.sparkSession, TEXT_BATCH_BYTES)
+    bounded_batches(docs.sparkSession, batch_bytes)
     schema = f"doc_id long, n_tokens long, {'ids binary, ' if keep_ids else ''}ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        vocab, one = Vocabulary.read(path), coder(path, pattern)
+        vocab, one = Vocabulary.read(path), coder(path, pattern, words_kept)
         for b in batches:
             at = 0
-            for texts in _slices(b.column("text")):
+            for texts in _slices(b.column("text"), slice_bytes):
                 with no_cycle_collector():
                     ids = one.encode(texts)
                 out = {"doc_id": b.column("doc_id").slice(at, len(texts)),

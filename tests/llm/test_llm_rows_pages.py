@@ -94,7 +94,7 @@ def test_two_passes_by_brute_force():
         assert html.main_text("".join(f"<p>{t}</p>" for t in page)) == _plain_blocks(page)
 
 
-def test_candidate_lengths_find_every_token():
+def test_last_tokens_of_prefixes_equal_the_merges():
     vocab = Vocabulary({bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258, b"xyzzy": 259, b"xy": 260, b"zz": 261, b"xyzz": 262})
     for data in (b"abababa", b"xyzzyab", b"a", b"", b"zzxyzz"):
         assert [vocab.tokens[i] for i in PrefixEncoder(vocab, data).ids()] == vocab.merge(data)
