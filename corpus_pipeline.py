@@ -35,8 +35,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the bytes
-    they decode to."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    they decode to.  The workers have run other stages before, beside a heap
+    that has grown: memo, slices and batches are smaller than bpe's own."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                      words_kept=60_000, slice_bytes=1 << 20, batch_bytes=4 << 20)
 
 
 STAGES = [
