@@ -142,23 +142,54 @@ def test_exact_duplicates_edges(spark):
 
 def test_extendible_index(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 400).alias("text"))
-    index = exact.build_index(docs, capacity=16)
+    index, slots, depth = exact.build_index(docs, capacity=16)
     rows = index.collect()
-    assert len(rows) == 400 and sum(r.n for r in rows) == 500 and {r.chain for r in rows} == {1}
+    assert len(rows) == 400 and sum(r.n for r in rows) == 500 and {len(r.chain) for r in rows} == {1}
     loads = index.groupBy("bucket", "local_depth").count().collect()
     assert max(r["count"] for r in loads) <= 16 and len({r.local_depth for r in loads}) > 1
     assert index.groupBy("bucket").agg(F.countDistinct("local_depth").alias("d")).filter("d > 1").count() == 0
+    assert depth == max(r.local_depth for r in loads) and slots.count() <= 1 << depth
     # the key range of a bucket: its slot's first local_depth bits
-    depth = max(r.local_depth for r in loads)
     for r in rows:
         slot = (r.key % (1 << 64)) >> (64 - depth)
         assert slot >> (depth - r.local_depth) == r.bucket >> (depth - r.local_depth)
 
 
+def test_owners_take_ranges_of_buckets(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 400).alias("text"))
+    index, _, _ = exact.build_index(docs, capacity=16)
+    files = index.groupBy(F.input_file_name().alias("f")).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).collect()
+    spans = sorted((r.a, r.b) for r in files)
+    assert len(spans) > 1 and all(b < a for (_, b), (a, _) in zip(spans, spans[1:]))
+
+
+def test_rows_come_by_the_directory(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 150).alias("text"))
+    index, slots, depth = exact.build_index(docs, capacity=16)
+    assert exact.find(docs, (index, slots, depth)).count() == 200
+    shifted = slots.withColumn("bucket", F.col("bucket") + 1)              # a wrong directory finds nothing
+    assert exact.find(docs, (index, shifted, depth)).count() == 0
+    some = slots.filter("slot > 0").count()                                # nor do documents of a slot it lacks
+    assert some < slots.count() and 0 < exact.find(docs, (index, slots.filter("slot > 0"), depth)).count() < 200
+
+
+def test_copies_are_folded_before_they_are_routed(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("t"), F.col("id") % 150)).alias("text"))
+    plain = sorted(map(tuple, exact.exact_duplicates(docs).collect()))
+    monkeypatch.setattr(exact, "FOLD_ROWS", 10)
+    assert sorted(map(tuple, exact.exact_duplicates(docs).collect())) == plain
+    assert {r[1:3] for r in plain if r[0] % 3 == 0} == {(297, 100)}
+
+
 def test_chain_of_one_key(spark, monkeypatch):
     monkeypatch.setattr(exact.F, "xxhash64", lambda *c: F.lit(1).cast("long"))      # every text collides
-    got = {(r.doc_id, r.keep_id) for r in exact.exact_duplicates(docs_of(spark, [(1, "a"), (2, "b"), (3, "a")])).collect()}
+    docs = docs_of(spark, [(1, "a"), (2, "b"), (3, "a")])
+    got = {(r.doc_id, r.keep_id) for r in exact.exact_duplicates(docs).collect()}
     assert got == {(1, 3), (3, 3), (2, 2)}
+    index = exact.build_index(docs)
+    assert [len(r.chain) for r in index[0].collect()] == [2]
+    assert {(r.doc_id, r.place) for r in exact.find(docs, index).collect()} in ({(1, 1), (3, 1), (2, 2)}, {(1, 2), (3, 2), (2, 1)})
 
 
 def brute_lines(rows):
