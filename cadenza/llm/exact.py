@@ -18,6 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cadenza.llm.common import lookup_join, sha256_hex, without_rows, written
 from cadenza.session import scratch_path
@@ -90,10 +91,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 capacity: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """The index, its directory and the global depth.
 
-    The index has one row per key: bucket, local_depth, key, n (rows of the
-    key) and ``chain``, the texts of the key that differ, in order of their
-    digest: structs (sha, keep_id, n), keep_id the largest id.  A chain is as
-    long as texts share a 64-bit hash."""
+    The index has one row per distinct text: bucket, local_depth, key, chain
+    (its place among the texts of the key, in order of their digests), sha,
+    keep_id (largest id), n.  A chain is as long as texts share a 64-bit hash."""
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col, normalise)
     keys = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
@@ -111,9 +111,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owner = F.floor(F.col("bucket") * F.lit(owners) / F.lit(float(1 << depth))).cast("int")
     owned = one.withColumn("owner", owner).repartitionById(owners, "owner")
     texts = owned.groupBy("owner", "bucket", "local_depth", "key", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    link = F.struct(sha256_hex(F.col("text")).alias("sha"), "keep_id", "n")
-    out = texts.select("owner", "bucket", "local_depth", "key", link.alias("link")).groupBy(
-        "owner", "bucket", "local_depth", "key").agg(F.sum("link.n").alias("n"), F.array_sort(F.collect_list("link")).alias("chain")).drop("owner")
+    place = F.row_number().over(W.partitionBy("owner", "bucket", "key").orderBy("sha"))
+    out = texts.select("owner", "bucket", "local_depth", "key", sha256_hex(F.col("text")).alias("sha"), "keep_id", "n").withColumn(
+        "chain", place).select("bucket", "local_depth", "key", "chain", "sha", "keep_id", "n")
     path = scratch_path(spark, "exact-index")
     out.write.parquet(path)
     return spark.read.schema(out.schema).parquet(path), slots, depth
@@ -121,15 +121,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def find(docs: DataFrame, index: tuple[DataFrame, DataFrame, int], id_col: str = "doc_id", text_col: str = "text",
          normalise: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(doc_id, key, sha, bucket, place, keep_id, n): for every row its bucket
-    by the directory, and its place in the chain of its key there."""
-    chains, slots, depth = index
+    """(doc_id, bucket, key, sha, chain, keep_id, n): for every row its bucket
+    by the directory and its text's place in the chain of its key there."""
+    entries, slots, depth = index
     rows = route(_keyed(docs, id_col, text_col, normalise).select("doc_id", "key", sha256_hex(F.col("text")).alias("sha")), slots, depth)
-    met = lookup_join(rows.drop("local_depth"), chains.select("bucket", "key", "n", "chain"), ["bucket", "key"], "n").drop("n")
-    place = F.array_position(F.transform("chain", lambda x: x["sha"]), F.col("sha")).cast("int")
-    return met.withColumn("place", place).filter("place > 0").select(
-        "doc_id", "key", "sha", "bucket", "place", F.element_at("chain", F.col("place")).alias("link")).select(
-        "doc_id", "key", "sha", "bucket", "place", "link.keep_id", "link.n")
+    return lookup_join(rows.select("doc_id", "bucket", "key", "sha"), entries.select("bucket", "key", "sha", "chain", "keep_id", "n"),
+                       ["bucket", "key", "sha"], "n").select("doc_id", "bucket", "key", "sha", "chain", "keep_id", "n")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

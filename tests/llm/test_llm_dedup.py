@@ -144,7 +144,7 @@ def test_extendible_index(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 400).alias("text"))
     index, slots, depth = exact.build_index(docs, capacity=16)
     rows = index.collect()
-    assert len(rows) == 400 and sum(r.n for r in rows) == 500 and {len(r.chain) for r in rows} == {1}
+    assert len(rows) == 400 and sum(r.n for r in rows) == 500 and {r.chain for r in rows} == {1}
     loads = index.groupBy("bucket", "local_depth").count().collect()
     assert max(r["count"] for r in loads) <= 16 and len({r.local_depth for r in loads}) > 1
     assert index.groupBy("bucket").agg(F.countDistinct("local_depth").alias("d")).filter("d > 1").count() == 0
@@ -188,8 +188,8 @@ def test_chain_of_one_key(spark, monkeypatch):
     got = {(r.doc_id, r.keep_id) for r in exact.exact_duplicates(docs).collect()}
     assert got == {(1, 3), (3, 3), (2, 2)}
     index = exact.build_index(docs)
-    assert [len(r.chain) for r in index[0].collect()] == [2]
-    assert {(r.doc_id, r.place) for r in exact.find(docs, index).collect()} in ({(1, 1), (3, 1), (2, 2)}, {(1, 2), (3, 2), (2, 1)})
+    assert sorted(r.chain for r in index[0].collect()) == [1, 2]
+    assert {(r.doc_id, r.chain) for r in exact.find(docs, index).collect()} in ({(1, 1), (3, 1), (2, 2)}, {(1, 2), (3, 2), (2, 1)})
 
 
 def brute_lines(rows):
