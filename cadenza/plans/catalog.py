@@ -1041,6 +1041,32 @@ def q_synth_invariants(spark, d):
         "plays", "bad_ms", "bad_ts", "bad_names", "bad_choices", F.when(F.col("_mark") == F.col("_again"), 0).otherwise(1).alias("repeated"))
 
 
+_S7_RANKS = 20
+_S7_SQL = "SELECT CAST(rank AS INTEGER) AS rank, kind, round(power(rank, -alpha) / total, 9) AS share, true AS as_expected FROM (" + " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, {alpha} AS alpha, (SELECT sum(power(k, -{alpha})) FROM range(1, 4097) AS t(k)) + power(4096.5, 1 - {alpha}) / ({alpha} - 1) AS total"
+    for kind, alpha in (("artist", 1.15), ("track", 1.05))) + f"), range(1, {_S7_RANKS + 1}) AS r(rank)"
+
+
+@register("S7_synthetic_popularity", _S7_SQL)
+def q_synth_popularity(spark, d):
+    """The most popular ranks: share of the plays the distribution gives
+    them, and whether those drawn lie within five standard errors."""
+    from cadenza.sources import synth as SY
+
+    ids = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"))
+    raw = synthetic_plays(ids, seed=42)
+    drawn = raw.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.substring_index(c, "_", -1).cast("int") + 1).alias("rank")) for k, c in (
+        ("artist", "master_metadata_album_artist_name"), ("track", "master_metadata_track_name"))])).alias("x")).select("x.*")
+    counts = drawn.filter(F.col("rank") <= _S7_RANKS).groupBy("kind", "rank").agg(F.count(F.lit(1)).alias("n"))
+    shares = spark.createDataFrame([(k, r, SY.zipf_share(r, a)) for k, a in (("artist", SY.ARTIST_ALPHA), ("track", SY.TRACK_ALPHA))
+                                    for r in range(1, _S7_RANKS + 1)], "kind string, rank int, p double")
+    plays = raw.agg(F.count(F.lit(1)).alias("plays"))
+    off = F.abs(F.coalesce("n", F.lit(0)) - F.col("plays") * F.col("p"))
+    near = off <= 5 * F.sqrt(F.col("plays") * F.col("p") * (1 - F.col("p"))) + 1
+    return shares.join(counts, ["kind", "rank"], "left").join(F.broadcast(plays)).select(
+        "kind", "rank", F.round("p", 9).alias("share"), near.alias("as_expected"))
+
+
 # --------------------------------------------------------- R8 / G9 / G10
 from cadenza.plans import report as RP  # noqa: E402
 

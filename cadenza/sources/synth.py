@@ -3,8 +3,9 @@
 Every row is a pure function of its id and the seed (``xxhash64`` of
 ``(id, seed, salt)``), so the table is the same whatever the partitioning and
 any lost partition regenerates identically.  Popularity is skewed: artist and
-track indices follow a discrete power law ``floor(u ** (-1 / (alpha - 1)))``
-(a Pareto approximation of the Zipf draw), clipped to the pool.
+track ranks are Zipf draws clipped to the pool, by the inverse of the exact
+distribution: the most popular ranks are found by binary search in a bounded
+table of cumulative shares, the ranks beyond by inverting the sum of the tail.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ REASON_START = ["trackdone", "fwdbtn", "backbtn", "clickrow", "appload"]
 REASON_END = ["trackdone", "fwdbtn", "logout", "endplay", "remote"]
 SKIP_P, SHUFFLE_P, OFFLINE_P, INCOGNITO_P = 0.32, 0.45, 0.08, 0.03
 ARTIST_ALPHA, TRACK_ALPHA = 1.15, 1.05
+#: Ranks in the table of cumulative shares.  Beyond it the sum of k**-alpha
+#: from rank m on is (m - 1/2)**(1 - alpha) / (alpha - 1) to ten digits.
+HEAD_RANKS = 4_096
 
 
 def _u(id_col: Column, seed: int, salt: int) -> Column:
@@ -38,9 +42,35 @@ def _choice(u: Column, weighted: list[tuple[str, float]]) -> Column:
     return expr.otherwise(F.lit(weighted[-1][0]))
 
 
-def _power_index(u: Column, alpha: float, n: int) -> Column:
-    k = F.floor(F.pow(F.greatest(u, F.lit(1e-300)), F.lit(-1.0 / (alpha - 1.0))))
-    return F.least(k - 1, F.lit(n - 1)).cast("int")
+def zipf_total(alpha: float) -> float:
+    """The sum of k**-alpha over all ranks k."""
+    return math.fsum(k ** -alpha for k in range(1, HEAD_RANKS + 1)) + (HEAD_RANKS + 0.5) ** (1 - alpha) / (alpha - 1)
+
+
+def zipf_share(rank: int, alpha: float) -> float:
+    """Share of a rank (1 is the most popular) below the pool's last."""
+    return rank ** -alpha / zipf_total(alpha)
+
+
+def _zipf_index(u: Column, alpha: float, n: int) -> Column:
+    """0-based rank of a uniform ``u``: the number of ranks whose cumulative
+    share is ``u`` or less, at most ``n - 1``."""
+    total, head = zipf_total(alpha), min(HEAD_RANKS, n - 1)
+    shares = [0.0]
+    for k in range(1, head + 1):
+        shares.append(shares[-1] + k ** -alpha / total)
+    # one literal, folded by the optimizer: shares[k - 1] is the bound of rank k
+    bounds = F.split(F.lit(",".join(map(repr, shares[1:]))), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(head, 1).bit_length()))])
+
+    def halve(low: Column, step: Column) -> Column:
+        return F.when((low + step <= head) & (F.get(bounds, low + step - 1) <= u), low + step).otherwise(low)
+
+    found = F.aggregate(steps, F.lit(0), halve) if head else F.lit(0)
+    # ranks m and beyond together have (1 - u) * total where m is
+    far = F.pow((alpha - 1.0) * (F.lit(1.0) - u) * total, F.lit(-1.0 / (alpha - 1.0))) + 0.5
+    tail = F.floor(F.least(far, F.lit(float(n)))).cast("int") - 1
+    return F.when(u < shares[-1], found).otherwise(F.least(F.greatest(tail, F.lit(head)), F.lit(n - 1)))
 
 
 def synthetic_plays(ids: DataFrame, id_col: str = "id", seed: int = 42, n_rows: int | None = None,
@@ -60,8 +90,8 @@ def synthetic_plays(ids: DataFrame, id_col: str = "id", seed: int = 42, n_rows:
     skipped = _u(i, seed, 2) < SKIP_P
     ms = F.when(skipped, F.lit(1_000) + F.floor(_u(i, seed, 3) * 59_000)).otherwise(
         F.lit(60_000) + F.floor(_u(i, seed, 3) * 240_000)).cast("bigint")
-    artist = F.format_string("Artist_%05d", _power_index(_u(i, seed, 4), ARTIST_ALPHA, n_artists))
-    track = F.format_string("Track_%06d", _power_index(_u(i, seed, 5), TRACK_ALPHA, n_tracks))
+    artist = F.format_string("Artist_%05d", _zipf_index(_u(i, seed, 4), ARTIST_ALPHA, n_artists))
+    track = F.format_string("Track_%06d", _zipf_index(_u(i, seed, 5), TRACK_ALPHA, n_tracks))
     return ids.select(
         F.date_format(F.timestamp_add("SECOND", secs, t0), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
         ms.alias("ms_played"),

@@ -7,6 +7,7 @@ import os
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -14,7 +15,7 @@ from cadenza.functions import constants as C
 from cadenza.operators import cluster as CL
 from cadenza.operators import sequence as S
 from cadenza.session import scratch_path
-from cadenza.sources import fixtures, pool, schema
+from cadenza.sources import fixtures, pool, schema, synth
 from cadenza.sources.synth import synthetic_plays
 
 
@@ -69,6 +70,18 @@ def test_pool_append_and_read(spark, events_small):
     assert back.columns[:2] == ["id", "created_at"] and back.columns[2:] == C.METRIC_KEYS
 
 
+@pytest.mark.parametrize(("alpha", "n"), [(1.15, 2), (1.15, 50), (1.15, 20_000), (1.05, 30_000)])
+def test_zipf_index_inverts_the_distribution(spark, alpha, n):
+    weights = np.arange(1, n, dtype=float) ** -alpha
+    bounds = np.cumsum(weights) / synth.zipf_total(alpha)
+    us = np.linspace(0, 1, 3_001)[:-1]
+    us = np.concatenate([us, bounds[:50] * (1 - 1e-7), bounds[:50] * (1 + 1e-7), bounds[-50:] * (1 - 1e-9), [1 - 2.0 ** -52]])
+    want = np.searchsorted(bounds, us, side="right")
+    rows = spark.createDataFrame([(i, float(u)) for i, u in enumerate(us)], "i int, u double").select(
+        "i", synth._zipf_index(F.col("u"), alpha, n).alias("k")).orderBy("i").collect()
+    assert [r.k for r in rows] == want.tolist()
+
+
 def test_synthetic_plays_deterministic_and_skewed(spark):
     a = synthetic_plays(spark.range(20_000), n_rows=20_000)
     b = synthetic_plays(spark.range(20_000).repartition(7), n_rows=20_000)
