@@ -247,6 +247,19 @@ def top_pagerank(ranks: DataFrame, k: int = C.PAGERANK_TOP_K, keys: Sequence[str
 
 
 # ---------------------------------------------------- label propagation / WCC
+#: Only vertices beside a change vote once at most this share of them changed.
+FRONTIER_SHARE = 0.25
+
+
+def _frontier(nb: DataFrame, lab: DataFrame, ks: list[str], self_vote: bool) -> DataFrame:
+    """(keys, id) of the vertices whose vote may differ in the next round: the
+    neighbours of those whose label changed and, where they vote for their own
+    label, these themselves."""
+    moved = lab.filter(F.col("label") != F.col("_old")).select(*ks, "id")
+    beside = nb.join(moved.withColumnRenamed("id", "b"), [*ks, "b"], "left_semi").select(*ks, F.col("a").alias("id"))
+    return (beside.union(moved) if self_vote else beside).distinct()
+
+
 def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_iter: int | None = None,
                       self_vote: bool = True, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """Synchronous label propagation on the undirected graph:
@@ -254,8 +267,9 @@ def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_it
 
     Every vertex starts with its own id; each round it takes the label most
     frequent among its distinct neighbours (plus one vote for its own label
-    when ``self_vote``), ties to the smallest label.  Rounds go on to the
-    fixpoint, however many it takes.  Synchronous rounds can also swing for
+    when ``self_vote``), ties to the smallest label.  A vertex beside no change
+    would vote as before, so once few labels change only the others vote.
+    Rounds go on to the fixpoint, however many it takes.  Synchronous rounds can also swing for
     ever (the GraphFrames form ``self_vote=False`` does on any edge): when the
     whole labelling was seen before, the loop ends, and in the graphs that
     still change each vertex takes the smaller of its last two labels and
@@ -265,27 +279,32 @@ def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_it
     e, ks = prepare(edges, keys)
     nb = _cut(undirected_neighbours(e, ks))
     lab = _cut(vertices(e, ks).select(*ks, "id", F.col("id").alias("label"), F.col("id").alias("_old")))
-    state, seen, cycle, i = _Rounds(checkpoint_every), set(), False, 0
+    state, seen, cycle, i, active = _Rounds(checkpoint_every), set(), False, 0, None
     while max_iter is None or i < max_iter:
         before = lab.select(*ks, "id", "label")
-        votes = nb.join(before.select(*ks, F.col("id").alias("b"), "label"), [*ks, "b"]).select(
+        asked, own = nb, before
+        if active is not None:
+            asked = nb.join(active.withColumnRenamed("id", "a"), [*ks, "a"], "left_semi")
+            own = before.join(active, [*ks, "id"], "left_semi")
+        votes = asked.join(before.select(*ks, F.col("id").alias("b"), "label"), [*ks, "b"]).select(
             *ks, F.col("a").alias("id"), "label")
         if self_vote:
-            votes = votes.union(before)
+            votes = votes.union(own)
         counts = votes.groupBy(*ks, "id", "label").agg(F.count(F.lit(1)).alias("_v"))
         best = counts.groupBy(*ks, "id").agg(
             F.min_by("label", F.struct((-F.col("_v")).alias("v"), F.col("label").alias("l"))).alias("_new"))
         lab = state.keep(before.join(best, [*ks, "id"], "left").select(
             *ks, "id", F.coalesce("_new", "label").alias("label"), F.col("label").alias("_old")))
         i += 1
-        changed, mark = lab.agg(F.count_if(F.col("label") != F.col("_old")),
-                                F.sum(F.xxhash64(*ks, "id", "label").cast("decimal(38,0)"))).first()
+        changed, mark, n = lab.agg(F.count_if(F.col("label") != F.col("_old")),
+                                   F.sum(F.xxhash64(*ks, "id", "label").cast("decimal(38,0)")), F.count(F.lit(1))).first()
         if not changed:
             break
         if max_iter is None and mark in seen:
             cycle = True
             break
         seen.add(mark)
+        active = _frontier(nb, lab, ks, self_vote) if changed <= n * FRONTIER_SHARE else None
     moving = lab.filter(F.col("label") != F.col("_old")).select(*ks).distinct().withColumn("_moving", F.lit(True))
     lab = lab.withColumn("label", F.least("label", "_old")) if cycle else lab
     out = _cut(join_per_key(lab.select(*ks, "id", "label"), moving, ks, keys, "left").select(

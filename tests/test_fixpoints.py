@@ -24,6 +24,43 @@ def test_chain_of_fifty_is_one_community(spark):
     assert len({r.label for r in cut}) == 40 and not any(r.converged for r in cut)
 
 
+def _labels_by_hand(pairs, self_vote, rounds):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set())
+        near.setdefault(b, set())
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    label = {v: v for v in near}
+    for _ in range(rounds):
+        new = {}
+        for v in near:
+            votes = [label[u] for u in near[v]] + ([label[v]] if self_vote else [])
+            new[v] = min(votes, key=lambda x: (-votes.count(x), x)) if votes else label[v]
+        label = new
+    return label
+
+
+@pytest.mark.parametrize("self_vote", [True, False])
+@pytest.mark.parametrize("share", [1.0, 0.0])
+def test_frontier_gives_the_labels_of_full_rounds(spark, monkeypatch, self_vote, share):
+    monkeypatch.setattr(G, "FRONTIER_SHARE", share)
+    rng = np.random.default_rng(11)
+    pairs = [(f"v{a:02d}", f"v{b:02d}") for a, b in rng.integers(0, 40, (60, 2))] + [(f"w{i}", f"w{i + 1}") for i in range(8)]
+    rows = G.label_propagation(_edges(spark, pairs), max_iter=6, self_vote=self_vote).collect()
+    assert {r.id: r.label for r in rows} == _labels_by_hand(pairs, self_vote, 6)
+
+
+def test_frontier_is_what_lies_beside_a_change(spark):
+    e = _edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")])
+    lab = spark.createDataFrame([(x, "c" if x == "b" else x, x) for x in "abcde"], "id string, label string, _old string")
+    e, ks = G.prepare(e, ())
+    lab, _ = G.prepare(lab, ())
+    for own, want in ((True, set("abc")), (False, set("ac"))):
+        assert {r.id for r in G._frontier(G.undirected_neighbours(e, ks), lab, ks, own).collect()} == want
+
+
 def test_oscillation_ends_and_is_told(spark):
     e = _edges(spark, [("a", "b")]).withColumn("g", F.lit(1)).union(
         _edges(spark, [("c", "d"), ("d", "e"), ("c", "e")]).withColumn("g", F.lit(2)))
