@@ -1089,6 +1089,29 @@ SELECT user_id, total_plays, total_hours, sessions, round_even(shuffle_pct, 1) A
 FROM pr JOIN lv USING (user_id) JOIN ar USING (user_id) JOIN ra USING (user_id) JOIN top USING (user_id)"""
 
 
+_T8_TOP = ("SELECT user_id, '{name}' AS list, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, {cols}) - 1 AS position, {shown} AS bucket "
+           "FROM (SELECT user_id, {cols}, sum(ms_played) AS ms FROM plays GROUP BY ALL) QUALIFY position < 20")
+_T8_SQL = with_plays("SELECT user_id, list, CAST(position AS INTEGER) AS position, bucket FROM (" + " UNION ALL ".join((
+    "SELECT user_id, 'years' AS list, row_number() OVER (PARTITION BY user_id ORDER BY year) - 1 AS position, CAST(year AS VARCHAR) AS bucket "
+    "FROM (SELECT DISTINCT user_id, year FROM plays)",
+    *(f"SELECT user_id, '{name}' AS list, b AS position, CAST(b AS VARCHAR) AS bucket FROM (SELECT DISTINCT user_id FROM plays), range({n}) AS t(b)"
+      for name, n in (("weekdays", 7), ("circadian_hours", 24))),
+    _T8_TOP.format(name="top_artists", cols="artist", shown="artist"),
+    _T8_TOP.format(name="top_songs", cols="track, artist", shown="track || ' / ' || artist"))) + ")")
+
+
+@register("T8_bucket_order", _T8_SQL)
+def q_bucket_order(spark, d):
+    """Every entry of the ordered lists of a report with its place: years,
+    weekdays (Mon = 0), local hours, top artists and songs."""
+    rows = RP.report(_events(spark, d), U)
+    shown = {"years": lambda x: x["year"].cast("string"), "weekdays": lambda x: x["weekday"].cast("string"),
+             "circadian_hours": lambda x: x["local_hour"].cast("string"), "top_artists": lambda x: x["artist"],
+             "top_songs": lambda x: F.concat(x["track"], F.lit(" / "), x["artist"])}
+    lists = F.array(*[F.struct(F.lit(name).alias("list"), F.transform(name, f).alias("v")) for name, f in shown.items()])
+    return rows.select("user_id", F.explode(lists).alias("l")).select("user_id", "l.list", F.posexplode("l.v").alias("position", "bucket"))
+
+
 @register("R8_report_flat", _R8_SQL)
 def q_report_flat(spark, d):
     """The report rows flattened: summary, level, archetype, radar, the first
