@@ -663,29 +663,92 @@ def q_standardized(spark, d):
 
 
 
-@register("C1_C10_segments")
+_Z = [f"z{i}" for i in range(len(C.METRIC_KEYS))]
+
+
+def _scaled_sql(rows: str) -> str:
+    """Rows in the units of the pool's scaler."""
+    return f"SELECT user_id, {', '.join(f'CASE WHEN s{i} = 0 THEN 0.0 ELSE (coalesce({m}, 0.0) - m{i}) / s{i} END AS z{i}' for i, m in enumerate(C.METRIC_KEYS))} FROM {rows}, sc"
+
+
+def _gap_sql(a: str, b: str) -> str:
+    return " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in _Z)
+
+
+def _kmeans_sql(starts: int) -> str:
+    """CTEs of all fits: x (scaled pool), c (drawn centres), l (centres by
+    round), a (rows placed by the last centres), b (cheapest start of the
+    sweep per k) and sweep."""
+    z = ", ".join(_Z)
+    ctes = [f"pool AS MATERIALIZED ({_vectors_sql(_PROFILE_EVENTS)})",
+            "sc AS MATERIALIZED (SELECT " + ", ".join(f"avg(coalesce({m}, 0.0)) AS m{i}, stddev_pop(coalesce({m}, 0.0)) AS s{i}" for i, m in enumerate(C.METRIC_KEYS)) + " FROM pool)",
+            f"x AS MATERIALIZED ({_scaled_sql('pool')})", f"st AS (SELECT unnest(range({starts})) AS s)"]
+    for t in range(C.KMEANS_K_MAX):
+        w = "SELECT s, user_id, 1.0 AS w FROM x, st" if t == 0 else (
+            f"SELECT c{t - 1}.s, x.user_id, min({_gap_sql('x', f'c{t - 1}')}) AS w FROM x, c{t - 1} GROUP BY ALL")
+        u = f"(CAST('0x' || substr(md5(concat('{C.KMEANS_SEED}:', s, ':{t}:', user_id)), 1, 13) AS BIGINT) + 1)::DOUBLE / {1 << 52}"
+        pick = f"SELECT p.s, {t} AS j, {z} FROM (SELECT s, arg_min(user_id, -ln({u}) / w) AS user_id FROM ({w}) WHERE w > {CL.APART} GROUP BY s) p JOIN x USING (user_id)"
+        ctes.append(f"c{t} AS MATERIALIZED (" + (f"SELECT * FROM c{t - 1} UNION ALL " if t else "") + pick + ")")
+    last = f"c{C.KMEANS_K_MAX - 1}"
+    near = f"SELECT l.r, l.k, l.s, x.user_id, arg_min(l.j, {_gap_sql('x', 'l')}) AS j, min({_gap_sql('x', 'l')}) AS d FROM l, x"
+    ctes += [
+        f"l AS (SELECT 0 AS r, k, s, j, {z} FROM {last}, (SELECT unnest(range({C.KMEANS_K_MIN}, {C.KMEANS_K_MAX + 1})) AS k) WHERE j < k "
+        f"UNION ALL SELECT r + 1, k, s, j, {', '.join(f'avg({c})' for c in _Z)} FROM ({near} WHERE l.r < {CL.ROUNDS} GROUP BY ALL) JOIN x USING (user_id) GROUP BY r, k, s, j)",
+        f"a AS MATERIALIZED ({near} WHERE l.r = {CL.ROUNDS} GROUP BY ALL)",
+        "i AS MATERIALIZED (SELECT k, s, sum(d) AS inertia, count(DISTINCT j) AS clusters FROM a GROUP BY ALL)",
+        f"b AS MATERIALIZED (SELECT k, arg_min(s, inertia) AS s FROM i WHERE s < {C.KMEANS_SWEEP_RESTARTS} AND (k = 2 OR k < (SELECT count(*) FROM pool)) GROUP BY k)",
+        "ba AS MATERIALIZED (SELECT k, user_id, j FROM a JOIN b USING (k, s))",
+        "sizes AS (SELECT k, j, count(*) AS n FROM ba GROUP BY ALL)",
+        f"pairs AS (SELECT p.k, p.user_id, p.j, q.j AS other, sum(g) AS g FROM ba p JOIN ba q USING (k) JOIN "
+        f"(SELECT v.user_id AS u1, w.user_id AS u2, {_gap_sql('v', 'w')} AS g FROM x v, x w) ON u1 = p.user_id AND u2 = q.user_id GROUP BY ALL)",
+        "ab AS (SELECT k, user_id, max(CASE WHEN pairs.j = other THEN g / nullif(n - 1, 0) END) AS a, min(CASE WHEN pairs.j <> other THEN g / n END) AS b "
+        "FROM pairs JOIN (SELECT k, j AS other, n FROM sizes) USING (k, other) GROUP BY ALL)",
+        "sil AS (SELECT k, avg(CASE WHEN a IS NULL THEN 0.0 WHEN a = b THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab GROUP BY k HAVING count(b) > 0)",
+        "sweep AS MATERIALIZED (SELECT k, clusters, inertia, silhouette FROM b JOIN i USING (k, s) LEFT JOIN sil USING (k))"]
+    return "WITH RECURSIVE " + ",\n".join(ctes)
+
+
+def _segments_sql() -> str:
+    """On top: the final fit (fs), its clusters by number (cl), rows (seg)."""
+    return _kmeans_sql(C.KMEANS_RESTARTS) + f""",
+fk AS (SELECT k FROM sweep ORDER BY silhouette DESC NULLS LAST, k LIMIT 1),
+fs AS MATERIALIZED (SELECT k, arg_min(s, inertia) AS s FROM i JOIN fk USING (k) GROUP BY k),
+cl AS MATERIALIZED (SELECT j, row_number() OVER (ORDER BY min(user_id)) - 1 AS cluster, count(*) AS size FROM a JOIN fs USING (k, s) GROUP BY j),
+g AS (SELECT cluster, {", ".join(f"avg(coalesce({m}, 0.0)) AS {m}" for m in C.METRIC_KEYS)} FROM a JOIN fs USING (k, s) JOIN cl USING (j) JOIN pool USING (user_id) GROUP BY cluster),
+lab AS (SELECT cluster, {_first_rule_sql(C.CLUSTER_LABELS, C.CLUSTER_LABEL_DEFAULT)} AS label FROM (
+  SELECT cluster, {", ".join(f"round_even({m}, 3) AS {m}" for m in C.METRIC_KEYS)} FROM g)),
+seg AS (SELECT CAST(cluster AS INTEGER) AS cluster, j, size, round(100.0::DOUBLE * size / (SELECT count(*) FROM pool), 9) AS share_pct, label FROM cl JOIN lab USING (cluster))"""
+
+
+@register("C1_C10_segments", _segments_sql() + f"""
+SELECT seg.cluster, size, share_pct, label, {", ".join(f"round({m}, 6) AS {m}" for m in C.METRIC_KEYS)} FROM seg JOIN g USING (cluster)""")
 def q_segments(spark, d):
-    """k-means over the listener pool (rows-only: k-means|| init differs from
-    k-means++; properties are tested instead).  A pool that is too small gives
-    its status row."""
+    """k-means over the listener pool, k by silhouette, starts drawn from
+    hashes of the ids.  A pool that is too small gives its status row."""
     seg = CL.segment(_pool_events(spark, d), ["user_id"])
-    return seg.clusters if seg.clusters is not None else CL.status_row(spark, seg)
+    if seg.clusters is None:
+        return CL.status_row(spark, seg)
+    return seg.clusters.select("cluster", "size", _r9("share_pct"), "label", *[F.round(m, 6).alias(m) for m in C.METRIC_KEYS])
 
 
-@register("C9_J5_assign_new_listeners")
+@register("C9_J5_assign_new_listeners", _segments_sql() + f""",
+new AS ({_vectors_sql(_PROFILE_LINEITEM)}), nx AS ({_scaled_sql('new')}),
+near AS (SELECT nx.user_id, arg_min(l.j, {_gap_sql('nx', 'l')}) AS j FROM nx, l JOIN fs USING (k, s) WHERE l.r = {CL.ROUNDS} GROUP BY ALL)
+SELECT cluster, user_id, label, size, share_pct FROM near JOIN seg USING (j)""")
 def q_assign(spark, d):
-    """Rows-only, like the segments the listeners are placed in."""
+    """Other listeners placed by the scaler and centres of the pool's fit."""
     seg = CL.segment(_pool_events(spark, d), ["user_id"])
-    return CL.assign(seg, M.user_vector(_prof_lineitem(spark, d), U), ["user_id"])
+    return CL.assign(seg, M.user_vector(_prof_lineitem(spark, d), U), ["user_id"]).withColumn("share_pct", _r9("share_pct"))
 
 
-@register("C3_k_sweep")
+@register("C3_k_sweep", _kmeans_sql(C.KMEANS_SWEEP_RESTARTS) + """
+SELECT CAST(k AS INTEGER) AS k, CAST(clusters AS INTEGER) AS clusters, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette FROM sweep""")
 def q_sweep(spark, d):
-    """Diagnostics of every k, ten starts each (rows-only, see above)."""
+    """Diagnostics of every k, ten starts each."""
     _, n, _, scaled = CL.prepare_vectors(_pool_events(spark, d))
     out = spark.createDataFrame(CL.sweep(scaled, n), "k int, clusters int, inertia double, silhouette double")
     scaled.unpersist()
-    return out
+    return out.select("k", "clusters", F.round("inertia", 6).alias("inertia"), F.round("silhouette", 6).alias("silhouette"))
 
 
 def _fixed_clusters(spark, d):

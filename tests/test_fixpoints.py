@@ -126,3 +126,37 @@ def test_building_a_sequence_runs_no_job(spark, events_small):
     S.transitions(events_small, ("user_id",))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(tracker.getJobIdsForGroup("build-only")) == 0
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    """Same centres however the rows are dealt; each fit is a fixpoint: rows
+    at their nearest centre, centres at their rows' mean."""
+    rng = np.random.default_rng(5)
+    data = rng.normal(0, 1, (60, 15))
+    rows = [(i, *map(float, x)) for i, x in enumerate(data)]
+    seen = []
+    for parts in (1, 7):
+        v = spark.createDataFrame(rows, ["user_id", *C.METRIC_KEYS]).repartition(parts)
+        _, n, stats, scaled = CL.prepare_vectors(v)
+        fit = CL._lowest_cost(scaled.repartition(parts), 3, 3, 42, ["user_id"])
+        seen.append([[round(x, 9) for x in c] for c in fit.centres])
+        x = (data - data.mean(axis=0)) / data.std(axis=0)
+        c = np.array(fit.centres)
+        d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        assert abs(fit.cost - d.min(axis=1).sum()) < 1e-6 and fit.sizes == np.bincount(near).tolist()
+        assert all(np.allclose(x[near == j].mean(axis=0), c[j], atol=1e-6) for j in range(3))
+        assert [int(np.flatnonzero(near == j)[0]) for j in range(3)] == sorted(int(np.flatnonzero(near == j)[0]) for j in range(3))
+        assert {r.user_id: r.cluster for r in CL.place(scaled, fit).collect()} == dict(enumerate(near.tolist()))
+        scaled.unpersist()
+    assert seen[0] == seen[1]
+
+
+def test_fewer_values_than_centres(spark):
+    """Six rows of two different vectors: no third centre can be drawn."""
+    v = spark.createDataFrame([(i, *([float(i % 2)] * 15)) for i in range(6)], ["user_id", *C.METRIC_KEYS])
+    seg = CL.segment(v, restarts=2, sweep_restarts=2)
+    assert seg.k == 2 and seg.silhouette > 0.999 and [r["clusters"] for r in seg.diagnostics] == [2] * 4
+    assert sorted(r.size for r in seg.clusters.collect()) == [3, 3]
+    alike = CL.segment(spark.createDataFrame([(i, *([1.0] * 15)) for i in range(5)], ["user_id", *C.METRIC_KEYS]), restarts=1, sweep_restarts=1)
+    assert alike.k == 2 and alike.silhouette is None and alike.clusters.count() == 1
