@@ -47,12 +47,17 @@ class Vocabulary:
 
     def merge(self, data: bytes) -> list[bytes]:
         """The plain merge loop, for the few bytes of a pair of tokens."""
+        rank, none = self.ranks.get, 1 << 60
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, k = min((self.ranks.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
+        found = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while found and (low := min(found)) < none:
+            k = found.index(low)
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            del found[k]
+            if k < len(found):
+                found[k] = rank(parts[k] + parts[k + 1], none)
+            if k:
+                found[k - 1] = rank(parts[k - 1] + parts[k], none)
         return parts
 
     def stays_apart(self, p: int, t: int) -> bool:
@@ -75,19 +80,32 @@ class PrefixEncoder:
         self.vocab, self.data, self.last = vocab, b"", []
         self.append(data)
 
-    def _last_of(self, data: bytes, end: int) -> int:
-        ranks, last, apart = self.vocab.ranks, self.last, self.vocab.stays_apart
-        for start in range(max(0, end - self.vocab.longest), end):
-            t = ranks.get(data[start:end])
-            if t is not None and (start == 0 or apart(last[start - 1], t)):
-                return t
-        raise ValueError(f"byte {data[end - 1]} has no token")
+    def _extend(self, data: bytes, end: int, stop: int) -> None:
+        """Last tokens of the prefixes from ``end`` to ``stop`` bytes, longest
+        candidates first; known pairs are looked up in place."""
+        last, longest, apart = self.last, self.vocab.longest, self.vocab.stays_apart
+        rank, known = self.vocab.ranks.get, self.vocab.pairs.get
+        while end <= stop:
+            start = end - longest if end > longest else 0
+            while start < end:
+                t = rank(data[start:end])
+                if t is not None:
+                    if start == 0:
+                        break
+                    p = last[start - 1]
+                    two = known(p << 32 | t)
+                    if two or two is None and apart(p, t):
+                        break
+                start += 1
+            else:
+                raise ValueError(f"byte {data[end - 1]} has no token")
+            last.append(t)
+            end += 1
 
     def append(self, more: bytes) -> None:
         first = len(self.data)
         self.data += more
-        for end in range(first + 1, len(self.data) + 1):
-            self.last.append(self._last_of(self.data, end))
+        self._extend(self.data, first + 1, len(self.data))
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of data[start:end]; returns how many prefixes
@@ -99,7 +117,7 @@ class PrefixEncoder:
         del self.last[start:]
         done, equal = 0, 0
         for at in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last_of(self.data, at))
+            self._extend(self.data, at, at)
             done += 1
             k = at - 1 - start - len(new)
             if k >= 0:
