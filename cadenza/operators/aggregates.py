@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import constants as C
 from cadenza.functions.expressions import hours, platform_category
 from cadenza.operators.keys import DEFAULT_KEYS, finish, prepare
-from cadenza.session import cut_lineage
+from cadenza.session import written
 
 DAY_MICROS = 86_400_000_000
 
@@ -49,6 +49,10 @@ TOTAL_COLUMNS = ("total_plays", "total_ms", "skipped_plays", "completed_plays",
                  "incognito_plays", "early_skips", "skipped_ms", "focus_plays", "album_plays", "first_ts", "last_ts")
 
 
+#: Play columns that the totals are made from.
+TOTAL_INPUTS = ("ts", "ms_played", "skipped", "reason_end", "shuffle", "offline", "incognito_mode", "album")
+
+
 def _totals_derived(out: DataFrame) -> DataFrame:
     return out.select(
         "*",
@@ -70,7 +74,8 @@ def totals(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 
 def listener_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                    completed_reason: str = C.COMPLETED_REASON, materialize: bool = False) -> dict[str, DataFrame]:
+                    completed_reason: str = C.COMPLETED_REASON, materialize: bool = False,
+                    none_hot: bool = False) -> dict[str, DataFrame]:
     """A1/A2/A15 + A7–A11 from ONE scan and ONE shuffle.
 
     A GROUPING SETS aggregate over ``(keys)``, ``(keys, hour_utc)``,
@@ -84,20 +89,35 @@ def listener_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     Catalyst pushes each table's ``grouping_id`` filter below the aggregate
     and prunes the aggregate per consumer, which would give every consumer
     its own scan; ``materialize=True`` writes the aggregate once
-    (``checkpoint``) so all tables read that one result."""
+    (:func:`written`) so all tables read that one result.
+
+    A key's plays lie in many input splits, so partial aggregates of sparse
+    dimensions (months) hardly shrink them, and the shuffle carries several wide
+    rows a play.  ``none_hot`` (the caller knows that the plays of each key fit
+    one task) sends each play once, by its key; all sets are grouped there."""
     d, ks = prepare(df, keys)
     d = d.withColumn("platform_cat", platform_category("platform"))
     dims = ["hour_utc", "weekday", "conn_country", "platform_cat", "year", "month"]
     sets = {"totals": [], "hour": ["hour_utc"], "weekday": ["weekday"], "country": ["conn_country"],
             "platform": ["platform_cat"], "month": ["year", "month"]}
-    g = d.groupingSets([[*ks, *v] for v in sets.values()], *ks, *dims).agg(
-        *_totals_aggs(completed_reason), F.grouping_id(*ks, *dims).alias("_gid"))
-    if materialize:
-        g = cut_lineage(g)
 
     def gid(members: list[str]) -> int:
         return sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in members)
 
+    if none_hot:
+        d = d.select(*ks, *dims, *TOTAL_INPUTS).repartition(*ks)
+        types = dict(d.dtypes)
+        places = F.array(*[F.struct(F.lit(gid(v)).alias("_gid"), *[
+            (F.col(c) if c in v else F.lit(None).cast(types[c])).alias(c) for c in dims]) for v in sets.values()])
+        # an explode keeps the partitioning, which the rows of GROUPING SETS lose
+        d = d.withColumn("_place", F.explode(places)).select(*ks, *TOTAL_INPUTS, "_place.*")
+        g = d.groupBy(*ks, "_gid", *dims).agg(*_totals_aggs(completed_reason))
+    else:
+        g = d.groupingSets([[*ks, *v] for v in sets.values()], *ks, *dims).agg(
+            *_totals_aggs(completed_reason), F.grouping_id(*ks, *dims).alias("_gid"))
+    if materialize:
+        g = written(g, "listener-tables")
+
     out = {}
     for name, members in sets.items():
         t = g.filter(F.col("_gid") == gid(members))
@@ -110,22 +130,35 @@ def listener_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 
 def track_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                 materialize: bool = False) -> dict[str, DataFrame]:
+                 materialize: bool = False, none_hot: bool = False) -> dict[str, DataFrame]:
     """A3/A4/A16/A17 from ONE scan: per (keys, track, artist) plays, ms,
     skips, first play; the artist table is rolled up from it (no re-scan).
-    ``materialize=True`` checkpoints both so their many consumers share one
-    computation (see :func:`listener_tables`)."""
+    ``materialize=True`` writes both so their many consumers share one
+    computation (see :func:`listener_tables`).  With ``none_hot`` the plays are
+    exchanged once, by the keys, for both tables, and are written in the order
+    of the keys: later aggregates per key find a key's rows in one task."""
     d, ks = prepare(df, keys)
+    if none_hot:
+        d = d.select(*ks, "track", "artist", "ms_played", "skipped", "ts").repartition(*ks)
     tracks = d.groupBy(*ks, "track", "artist").agg(
         F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms"),
         F.count_if(F.col("skipped")).alias("skips"), F.min("ts").alias("first_ts"))
+    if none_hot:
+        w = Window.partitionBy(*ks, "artist")
+        sums = [F.sum(c).over(w).alias(f"_{c}") for c in ("plays", "ms", "skips")]
+        both = tracks.select("*", *sums, F.min("first_ts").over(w).alias("_first_ts"),
+                             (F.row_number().over(w.orderBy("track")) == 1).alias("_one"))
+        both = written(both, "tracks") if materialize else both
+        tracks = both.select(*tracks.columns)
+        artists = both.filter("_one").select(*ks, "artist", *[F.col(f"_{c}").alias(c) for c in ("plays", "ms", "skips", "first_ts")])
+        return {"tracks": finish(tracks, keys), "artists": finish(artists, keys)}
     if materialize:
-        tracks = cut_lineage(tracks)
+        tracks = written(tracks, "tracks")
     artists = tracks.groupBy(*ks, "artist").agg(
         F.sum("plays").alias("plays"), F.sum("ms").alias("ms"), F.sum("skips").alias("skips"),
         F.min("first_ts").alias("first_ts"))
     if materialize:
-        artists = cut_lineage(artists)
+        artists = written(artists, "artists")
     return {"tracks": finish(tracks, keys), "artists": finish(artists, keys)}
 
 

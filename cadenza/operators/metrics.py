@@ -18,7 +18,7 @@ from cadenza.functions.expressions import hours, pct, ratio, tz_label, tz_offset
 from cadenza.operators import aggregates as A
 from cadenza.operators import sequence as S
 from cadenza.operators.keys import DEFAULT_KEYS, finish, join_per_key, prepare
-from cadenza.session import cut_lineage
+from cadenza.session import cut_lineage, written
 
 
 def timezone(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -128,6 +128,10 @@ def loyal_artists(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     return finish(out, keys)
 
 
+#: Play columns that the passes of a profile read.
+PASS_COLUMNS = tuple(dict.fromkeys([*S.PLAY_ORDER, *A.TOTAL_INPUTS, "conn_country", "platform", "year", "month", "hour_utc", "weekday"]))
+
+
 def profile_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                    session_mode: str = "end_to_start", bucket: str | None = None,
                    hot_rows: int | None = S.HOT_KEY_ROWS, materialize: bool = True) -> dict[str, DataFrame]:
@@ -138,19 +142,22 @@ def profile_tables(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     the dominant-country time zone.  Keys column(s) included (``_all`` for
     ``()``).
 
-    With ``materialize`` (default) the aggregates are written once with a
-    reliable ``checkpoint()``: every later piece reads those compact results,
-    so the plays are scanned three times however many metrics are derived (hot
-    keys are told from the materialised totals; if there are any, their plays
-    are read again), and a lost executor does not replay the aggregates.  The
+    With ``materialize`` (default) the plays' columns are written once, so that
+    the plan that makes them (a scan, cleaning, joins) runs once, and so are the
+    aggregates: every later piece reads those compact results, and a lost
+    executor does not replay them.  The written plays are counted per key;
+    where no key is hot each pass exchanges them once, by the keys.  The
     ordered pass writes nothing per play; its one row per key is read once."""
     d, ks = prepare(df, keys)
-    t = dict(A.listener_tables(d, ks, materialize=materialize))
-    t.update(A.track_tables(d, ks, materialize=materialize))
-    # plays per key are already in the (materialised) totals: no extra scan
-    counts = t["totals"].select(*ks, "total_plays") if materialize else None
-    most = S.HOT_KEY_ROWS if hot_rows is None else hot_rows
-    none_hot = counts is not None and counts.filter(F.col("total_plays") > most).isEmpty()
+    counts, none_hot = None, False
+    if materialize:
+        d = written(d.select(*ks, *[c for c in PASS_COLUMNS if c not in ks]), "plays")
+        most = S.HOT_KEY_ROWS if hot_rows is None else hot_rows
+        none_hot = d.groupBy(*ks).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).isEmpty()
+    t = dict(A.listener_tables(d, ks, materialize=materialize, none_hot=none_hot))
+    t.update(A.track_tables(d, ks, materialize=materialize, none_hot=none_hot))
+    if materialize:  # plays per key are in the written totals: no extra scan
+        counts = t["totals"].select(*ks, "total_plays")
     t["history"] = S.history(d, ks, session_mode, bucket=bucket, hot_rows=hot_rows, counts=counts, none_hot=none_hot)
     dom = A.argmax(t["country"], "conn_country", "ms", ks, "dominant_country")
     t["tz"] = dom.select(*ks, "dominant_country", tz_offset("dominant_country").alias("tz_offset")).withColumn(
@@ -220,19 +227,20 @@ def user_profile(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                  F.struct((-F.col("ms")).alias("m"), F.col("track"), F.col("artist"))).alias("_top"),
     ).select(*ks, "unique_tracks", F.col("_top.plays").alias("top_song_plays"),
              hours(F.col("_top.ms")).alias("top_song_hours"))
-    # one aggregate over artists: distinct artists, entropy sums, loyal artists
-    since = F.expr(f"timestampdiff(MICROSECOND, first_ts, last_ts) div {A.DAY_MICROS}")
+    # one aggregate over artists: distinct artists, entropy sums
     c = F.col("plays").cast("double")
-    artist_stats = join_per_key(artists, t["totals"].select(*ks, "last_ts"), ks, keys).groupBy(*ks).agg(
+    artist_stats = artists.groupBy(*ks).agg(
         F.count(F.lit(1)).alias("unique_artists"),
         F.sum(c).alias("_n"), F.sum(c * F.log2(c)).alias("_s"),
-        F.count_if((since >= C.LOYAL_ARTIST_DAYS) & (F.col("plays") >= C.LOYAL_ARTIST_MIN_PLAYS)).alias(
-            "loyal_artists_5yr"),
-    ).select(*ks, "unique_artists", "loyal_artists_5yr",
-             (F.log2("_n") - F.col("_s") / F.col("_n")).alias("artist_diversity_entropy"))
+    ).select(*ks, "unique_artists", (F.log2("_n") - F.col("_s") / F.col("_n")).alias("artist_diversity_entropy"))
+    # loyal artists: only those with plays enough meet the last play of their key
+    since = F.expr(f"timestampdiff(MICROSECOND, first_ts, last_ts) div {A.DAY_MICROS}")
+    often = artists.filter(F.col("plays") >= C.LOYAL_ARTIST_MIN_PLAYS).select(*ks, "first_ts")
+    steady = join_per_key(often, t["totals"].select(*ks, "last_ts"), ks, keys).groupBy(*ks).agg(
+        F.count_if(since >= C.LOYAL_ARTIST_DAYS).alias("loyal_artists_5yr"))
     loyal = A.top_k(artists, "ms", C.LOYALTY_TOP_ARTISTS, ks, tiebreak=["artist"]).groupBy(*ks).agg(
         F.sum("plays").alias("top_artist_plays"))
-    parts = [track_stats, artist_stats, tz, night, mobile, nov, loyal,
+    parts = [track_stats, artist_stats, steady, tz, night, mobile, nov, loyal,
              t["history"].drop("repeated_pairs", "all_pairs"), countries]
     p = t["totals"]
     for part in parts:

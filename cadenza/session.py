@@ -97,3 +97,12 @@ def cut_lineage(df):  # noqa: ANN001, ANN201 - DataFrame in, DataFrame out
     (and survive losing the executors that computed it)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df, name):  # noqa: ANN001, ANN201 - DataFrame in, DataFrame out
+    """Like :func:`cut_lineage` for tables that grow with the plays: compressed
+    Parquet in the checkpoint folder, of which a consumer reads the columns it
+    needs (a checkpoint holds whole rows as they are in memory)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
