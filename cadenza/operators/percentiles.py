@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import constants as C
-from cadenza.session import cut_lineage
+from cadenza.session import written
 
 #: Distinct values of a group that one sorted range holds, about.
 RANGE_ROWS = 100_000
@@ -99,7 +99,7 @@ def percentiles(pool: DataFrame, id_cols: Sequence[str] = ("user_id",),
 
     The long table is read by several consumers (ranking, join back), so it
     is materialised once instead of re-running the plan that built the pool."""
-    long = cut_lineage(to_long(pool, id_cols, metrics))
+    long = written(to_long(pool, id_cols, metrics), "pool-long")
     below = count_below(long)
     pct = F.when(F.col("total") < 2, F.lit(C.PERCENTILE_SMALL_POOL)).otherwise(
         F.lit(100.0) * F.col("below") / F.col("total"))
@@ -113,8 +113,10 @@ def percentiles_against(users: DataFrame, pool: DataFrame, id_cols: Sequence[str
     The users' values enter the ranking with weight 0, so they are positioned
     among the pool values without counting themselves (no theta join)."""
     pool_long = to_long(pool, [], metrics).withColumn("_w", F.lit(1))
-    user_long = cut_lineage(to_long(users, id_cols, metrics))
-    both = cut_lineage(pool_long.unionByName(user_long.select("metric", "value", F.lit(0).alias("_w"))))
+    user_long = written(to_long(users, id_cols, metrics), "users-long")
+    # ties of both sides collapse before they are written and ranked
+    both = written(pool_long.unionByName(user_long.select("metric", "value", F.lit(0).alias("_w"))).groupBy("metric", "value").agg(
+        F.sum("_w").alias("_w")), "ranked-values")
     below = count_below(both, weight="_w")
     pct = F.when(F.col("total") < 2, F.lit(C.PERCENTILE_SMALL_POOL)).otherwise(
         F.lit(100.0) * F.col("below") / F.col("total"))
