@@ -121,9 +121,10 @@ def _flag_expr(df: DataFrame, name: str) -> Column:
         return F.lit(False)
     if isinstance(df.schema[name].dataType, T.BooleanType):
         return F.coalesce(F.col(name), F.lit(False))
+    # words first: a failed parse of a number raises inside the cast, which costs
+    # more than all other columns of a row; 0 and 1 mean the same both ways
     text = F.trim(F.col(name).cast("string"))
-    number = text.try_cast("double")
-    return F.coalesce(F.when(number.isNotNull(), number != 0).otherwise(text.try_cast("boolean")), F.lit(False))
+    return F.coalesce(text.try_cast("boolean"), text.try_cast("double") != 0, F.lit(False))
 
 
 def from_export(df: DataFrame) -> DataFrame:
@@ -309,15 +310,21 @@ def read_plays_table(
     return df.select(*PLAY_COLUMNS)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
-    """Flat JSON / Parquet / CSV sinks."""
+#: Rows of one text file: gzip can't be split, so a file is read by one task.
+TEXT_FILE_ROWS = 1_000_000
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", compression: str = "gzip") -> str:
+    """Flat JSON / Parquet / CSV sinks.  Text is compressed (field names
+    and defaults repeat in every line), unless ``compression`` is ``none``."""
     w = df.write.mode(mode)
+    text = w.option("compression", compression).option("maxRecordsPerFile", TEXT_FILE_ROWS)
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "json":
-        w.json(path)
+        text.json(path)
     elif fmt == "csv":
-        w.option("header", True).csv(path)
+        text.option("header", True).csv(path)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     return path
