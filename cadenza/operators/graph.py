@@ -277,6 +277,8 @@ def label_propagation(edges: DataFrame, keys: Sequence[str] = GRAPH_KEYS, max_it
     fixpoint comes first (graphs that changed in the last one are not
     converged)."""
     e, ks = prepare(edges, keys)
+    # read by neighbours and vertices: materialised once, as in pagerank
+    e = _cut(e.select(*ks, "src", "dst"))
     nb = _cut(undirected_neighbours(e, ks))
     lab = _cut(vertices(e, ks).select(*ks, "id", F.col("id").alias("label"), F.col("id").alias("_old")))
     state, seen, cycle, i, active = _Rounds(checkpoint_every), set(), False, 0, None

@@ -573,6 +573,7 @@ register("R7_loyal_artists", with_plays(
 
 # ------------------------------------------- S8 / W6 / W7 / J7 / A21: pool
 from cadenza.operators import percentiles as PC  # noqa: E402
+from cadenza.session import cut_lineage  # noqa: E402
 from cadenza.sources import pool as POOL  # noqa: E402
 
 _VEC_COLS = ", ".join(C.METRIC_KEYS)
@@ -1233,7 +1234,8 @@ keep AS (SELECT id, round(r, 9) AS rank FROM r20 QUALIFY row_number() OVER (ORDE
 
 
 def _display(spark, d):
-    e = _item_edges(spark, d)
+    # ranks, labels, communities and the subgraph read the edges, not the plays
+    e = cut_lineage(_item_edges(spark, d))
     ranks = G.pagerank(e, iterations=20)
     return G.display_subgraph(e, ranks, G.communities(e, G.label_propagation(e)))
 
