@@ -41,6 +41,7 @@ from cadenza.session import cut_lineage
 
 
 ROWS_PER_PARTITION = 20_000  # listener vectors of a k-means task
+ROWS_PER_CORE = 1_000        # vectors from which another core is worth a task
 ROUNDS = 100                 # moves of the centres at most
 STILL = 1e-9                 # a centre that moves by no more stands still
 APART = 1e-12                # squared distance from which rows are different
@@ -256,8 +257,11 @@ def prepare_vectors(vectors: DataFrame, id_cols: Sequence[str] = ("user_id",),
         *id_cols, *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics]))
     n = vec.count()
     stats = scaler_stats(vec, metrics)
-    # many short jobs follow: no more partitions than the rows need
-    scaled = standardize(vec, stats, metrics).coalesce(n // ROWS_PER_PARTITION + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    # many short jobs follow: no more partitions than the rows need, but all
+    # cores as soon as each has some thousand rows
+    cores = vec.sparkSession.sparkContext.defaultParallelism
+    parts = max(n // ROWS_PER_PARTITION, min(n // ROWS_PER_CORE, cores - 1)) + 1
+    scaled = standardize(vec, stats, metrics).repartition(parts, *id_cols).persist(StorageLevel.MEMORY_AND_DISK)
     return vec, n, stats, scaled
 
 
